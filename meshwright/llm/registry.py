@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwright.llm import bpe
+from meshwright.llm import bpe, packing, sharding, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op5_jump_shards": sharding.op5_jump_shards,
+    "op10_url_filter": urls.op10_url_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_url_filter": urls.OP10_SQL,
+}
