@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwright.llm import bpe, packing, sharding, urls
+from meshwright.llm import bpe, packing, secretscan, sharding, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op4_secret_scan": secretscan.op4_secret_scan,
     "op5_jump_shards": sharding.op5_jump_shards,
     "op10_url_filter": urls.op10_url_filter,
 }
