@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwright.llm import bpe, packing, secretscan, sharding, urls
+from meshwright.llm import bpe, packing, secretscan, sharding, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,9 +15,11 @@ QUERIES: dict[str, Query] = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_secret_scan": secretscan.op4_secret_scan,
     "op5_jump_shards": sharding.op5_jump_shards,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op10_url_filter": urls.op10_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_toxicity": toxicity.op8_toxicity,
     "op10_url_filter": urls.OP10_SQL,
 }
