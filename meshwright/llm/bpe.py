@@ -15,6 +15,7 @@ encoded in O(n log n) and only one Arrow batch of texts is held at a time.
 from __future__ import annotations
 
 import base64
+import codecs
 import struct
 from itertools import chain
 
@@ -33,6 +34,8 @@ from meshwright.llm.common import table, whole_text
 BYTE_BASE = 0x100
 #: Pre-tokens remembered by one Python worker before its memo is emptied.
 MEMO = 400_000
+#: Texts encoded together.
+BLOCK = 128
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -58,9 +61,12 @@ def _field(number: int, value: int | float | bytes) -> bytes:
     return _varint(number << 3) + _varint(value)
 
 
+_CHARS = "".join(chr(BYTE_BASE + b) for b in range(256))
+
+
 def mapped(data: bytes) -> str:
     """Bytes as the characters that stand for them."""
-    return "".join(chr(BYTE_BASE + b) for b in data)
+    return codecs.charmap_decode(data, "strict", _CHARS)[0]
 
 
 def serialise(ranks: dict[bytes, int]) -> bytes:
@@ -79,34 +85,42 @@ class ByteBpe:
     def __init__(self, path: str, pattern: str) -> None:
         self.ranks = read_ranks(path)
         self.tokens: dict[int, bytes] = {rank: token for token, rank in self.ranks.items()}
-        self.by_piece = [-1, *sorted(self.tokens)]
+        self.by_piece = np.array([-1, *sorted(self.tokens)], dtype=np.int32)
         self.cut = regex.compile(pattern).findall
         self.model = sentencepiece.SentencePieceProcessor()
         self.model.LoadFromSerializedProto(serialise(self.ranks))
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}
 
     def learn(self, fresh: list[str]) -> None:
-        if len(self.memo) + len(fresh) > MEMO:
-            self.memo.clear()
+        """Encode pre-tokens by the model (whole tokens directly) and remember their ids as 32-bit numbers."""
+        raw = [word.encode() for word in fresh]
         rest = []
-        for word in fresh:
-            whole = self.ranks.get(word.encode())
+        for word, data in zip(fresh, raw, strict=True):
+            whole = self.ranks.get(data)
             if whole is None:
-                rest.append(word)
+                rest.append((word, data))
             else:
-                self.memo[word] = (whole,)
-        for word, ids in zip(rest, self.model.encode([mapped(w.encode()) for w in rest], num_threads=1), strict=True):
-            self.memo[word] = tuple(self.by_piece[i] for i in ids)
+                self.memo[word] = whole.to_bytes(4, "little")
+        found = self.model.encode([mapped(data) for _, data in rest], num_threads=1)
+        ids = self.by_piece[np.fromiter(chain.from_iterable(found), dtype=np.int32)].astype("<i4").tobytes()
+        at = 0
+        for (word, _), pieces in zip(rest, found, strict=True):
+            end = at + 4 * len(pieces)
+            self.memo[word] = ids[at:end]
+            at = end
+
+    def encode_block(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts, each as little-endian 32-bit numbers."""
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        split = [self.cut(x) for x in texts]
+        if fresh := set().union(*split) - self.memo.keys():
+            self.learn(list(fresh))
+        of = self.memo.__getitem__
+        return [b"".join(map(of, words)) for words in split]
 
     def encode(self, text: str) -> list[int]:
-        words = self.cut(text)
-        memo = self.memo
-        fresh = {w for w in words if w not in memo}
-        if fresh:
-            self.learn(list(fresh))
-            if len(self.memo) < len(fresh) or any(w not in memo for w in words):  # the memo was emptied
-                self.learn([w for w in set(words) if w not in memo])
-        return list(chain.from_iterable(map(memo.__getitem__, words)))
+        return np.frombuffer(self.encode_block([text])[0], "<i4").tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -128,9 +142,9 @@ def encode(text: Column, path: str, pattern: str = public_tokenizers.PATTERN) ->
     @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
     def ids_of(texts: pa.Array) -> pa.Array:
         bpe = loaded(path, pattern)
-        rows = [np.array(bpe.encode(x), dtype=np.int32) for x in texts.to_pylist()]
-        ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-        return pa.ListArray.from_arrays(ends, np.concatenate(rows) if rows else np.zeros(0, np.int32))
+        rows = [ids for at in range(0, len(texts), BLOCK) for ids in bpe.encode_block(texts[at : at + BLOCK].to_pylist())]
+        ends = np.cumsum([0, *(len(x) // 4 for x in rows)], dtype=np.int32)
+        return pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(rows), "<i4"))
 
     return ids_of(F.coalesce(text.cast("string"), F.lit("")))
 
@@ -141,7 +155,7 @@ def decode(ids: Column, path: str, pattern: str = public_tokenizers.PATTERN) ->
     @F.arrow_udf(T.BinaryType())
     def bytes_of(lists: pa.Array) -> pa.Array:
         bpe = loaded(path, pattern)
-        return pa.array([None if x is None else bpe.decode(x) for x in lists.to_pylist()], pa.binary())
+        return pa.array([bpe.decode(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else None for x in lists], pa.binary())
 
     return bytes_of(ids)
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import zlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -39,7 +40,7 @@ SOLUTIONS = 3
 #: How fast a covered length loses weight.
 RATE = 4.0
 #: Words remembered by one Python worker before its memo is emptied.
-MEMO = 600_000
+MEMO = 400_000
 
 PIECES = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
 
@@ -48,28 +49,63 @@ class WordIds:
     """Ids of whole texts as little-endian 32-bit numbers.
 
     The tokenizer drops white space and never merges across it, so that a text's ids
-    are those of its words, one after the other; words are encoded once and kept.
+    are those of its words, one after the other; words are encoded once and kept.  It
+    lower-cases too, so that A-Z can be lower-cased before.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.is_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.memo: dict[bytes, bytes] = {}
 
+    def batch(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def keep(self, words: list[bytes], found: list[list[int]]) -> None:
+        ids, at = np.fromiter(chain.from_iterable(found), dtype="<u4").tobytes(), 0
+        for word, own in zip(words, found, strict=True):
+            self.memo[word] = ids[at : (at := at + 4 * len(own))]
+
     def learn(self, words: list[bytes]) -> None:
-        if len(self.memo) + len(words) > MEMO:
-            self.memo.clear()
-        for word, found in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
-            self.memo[word] = np.array(found.ids, "<u4").tobytes()
+        """Encode words: those of letters joined by blanks, many at a time, the others one by one.
+
+        A word of letters is one run to the tokenizer and ends in one word-end id.  Where the
+        number of these ids in a joined text is not that of its words, they are encoded singly.
+        """
+        plain, ended, other = [], [], []
+        for word in words:
+            if word.decode().isalpha():
+                plain.append(word)
+            elif word[-1:] in b".," and word[:-1].decode().isalpha():
+                ended.append(word)
+            else:
+                other.append(word)
+        plain += {w[:-1] for w in ended} - self.memo.keys() - set(plain)
+        other += {w[-1:] for w in ended} - self.memo.keys() - set(other)
+        for at in range(0, len(plain), 500):
+            group = plain[at : at + 500]
+            joined = np.array(self.batch([b" ".join(group).decode()])[0], dtype="<u4")
+            ends = (4 * np.flatnonzero(self.is_end[joined]) + 4).tolist()
+            if len(ends) == len(group):
+                ids = joined.tobytes()
+                self.memo.update(zip(group, [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+            else:
+                other += group
+        self.keep(other, self.batch([w.decode() for w in other]))
+        for word in ended:
+            self.memo[word] = self.memo[word[:-1]] + self.memo[word[-1:]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        memo, split = self.memo, [x.encode().split() for x in texts]
-        fresh = {w for words in split for w in words if w not in memo}
-        if fresh:
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        split = [x.encode().lower().split() for x in texts]
+        if fresh := set().union(*split) - self.memo.keys():
             self.learn(list(fresh))
-            if lost := {w for words in split for w in words if w not in memo}:  # the memo was emptied
-                self.learn(list(lost))
-        return [b"".join(map(memo.__getitem__, words)) for words in split]
+        of = self.memo.__getitem__
+        return [b"".join(map(of, words)) for words in split]
 
 
 @functools.cache
@@ -87,8 +123,8 @@ def pieces(text: Column, path: str, capacity: int = CAPACITY, end_id: int = END_
         out = []
         words = word_ids(path)
         rows = texts.to_pylist()
-        for at in range(0, len(rows), 256):
-            for ids in words.encode(rows[at : at + 256]):
+        for at in range(0, len(rows), 128):
+            for ids in words.encode(rows[at : at + 128]):
                 ids += end
                 out.append([{"piece": i, "start": s // 4, "length": (len(part := ids[s : s + 4 * capacity])) // 4, "ids_crc32": zlib.crc32(part)} for i, s in enumerate(range(0, len(ids), 4 * capacity))])
         return pa.array(out, pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])))
