@@ -18,6 +18,7 @@ ties and null doc_ids are placed like any others: equal rows get consecutive pla
 from __future__ import annotations
 
 import functools
+import unicodedata
 import zlib
 from itertools import chain
 
@@ -45,6 +46,11 @@ MEMO = 400_000
 PIECES = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
 
 
+def letters(word: bytes) -> bool:
+    """Whether a word is letters only once it is normalised and lower-cased."""
+    return word.isalpha() if word.isascii() else unicodedata.normalize("NFC", word.decode()).lower().isalpha()
+
+
 class WordIds:
     """Ids of whole texts as little-endian 32-bit numbers.
 
@@ -77,9 +83,9 @@ class WordIds:
         """
         plain, ended, other = [], [], []
         for word in words:
-            if word.decode().isalpha():
+            if letters(word):
                 plain.append(word)
-            elif word[-1:] in b".," and word[:-1].decode().isalpha():
+            elif word[-1:] in b".," and letters(word[:-1]):
                 ended.append(word)
             else:
                 other.append(word)
