@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -69,3 +71,60 @@ def gapless_rank(df: DataFrame, group: str, keys: list[str], buckets: int = 256,
     joined = ranked.join(offsets, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__b") == F.col("__c")))
     first = F.col("__o") + F.col("__i")
     return joined.select(group, *keys, F.explode(F.sequence(first, first + F.col("__n") - 1)).alias(out))
+
+
+#: Bits of a sieve; 2 MB whatever the number of keys.
+SIEVE_BITS = 1 << 24
+
+
+def sieve(keys: DataFrame, key: str) -> Column:
+    """A column that is true where the 64-bit ``key`` may be among ``keys`` (and always where it is).
+
+    A Bloom filter with two probes and a fixed size: the bitmap is aggregated by Spark,
+    brought to the driver (no more than its bits) and broadcast.  With very many keys it
+    lets more rows through, never fewer; what follows must work on a superset.
+    """
+    probes = keys.select(F.explode(F.array(F.col(key), F.shiftrightunsigned(F.col(key), 28))).alias("h"))
+    words = probes.select(F.shiftright(F.col("h").bitwiseAND(F.lit(SIEVE_BITS - 1)), 6).alias("w"), F.expr("shiftleft(1L, int(h & 63))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    found = words.toArrow()
+    bits = np.zeros(SIEVE_BITS >> 6, dtype=np.int64)
+    bits[found["w"].to_numpy()] = found["b"].to_numpy()
+    shared = keys.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+
+    @F.arrow_udf("boolean")
+    def may(hashes: pa.Array) -> pa.Array:
+        h = hashes.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        hit = np.ones(len(h), dtype=bool)
+        for x in (h, h >> np.uint64(28)):
+            x = x & np.uint64(SIEVE_BITS - 1)
+            hit &= (shared.value[x >> np.uint64(6)] >> (x & np.uint64(63))) & np.uint64(1) == 1
+        return pa.array(hit)
+
+    return may(F.col(key))
+
+
+def components(edges: DataFrame, checkpoint=stored) -> DataFrame:
+    """(node, root) of every node of the undirected ``edges`` (a, b); root is the smallest node reachable.
+
+    Distributed union-find by contraction: every node points to its smallest neighbour,
+    pointers are doubled, edges are moved to what their ends point to, and loops and
+    repeats go, until no edge is left.  Each round is written out, so that the lineage
+    stays short; a round at least halves the nodes that still have a smaller neighbour.
+    """
+    left = checkpoint(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels: DataFrame | None = None
+    while True:
+        both = left.select("a", "b").union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        to = both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("node"), F.least("a", "p").alias("p"))
+        hop = to.alias("x").join(to.select(F.col("node").alias("q"), F.col("p").alias("pp")), F.col("x.p") == F.col("q"), "left")
+        to = checkpoint(hop.select("node", F.coalesce("pp", "p").alias("p")))
+        if labels is None:
+            labels = to.select("node", F.col("p").alias("root"))
+        else:
+            labels = labels.join(to.select(F.col("node").alias("n2"), "p"), F.col("root") == F.col("n2"), "left").select("node", F.coalesce("p", "root").alias("root"))
+        ends = [to.select(F.col("node").alias(f"n{x}"), F.col("p").alias(f"p{x}")) for x in "ab"]
+        moved = left.join(ends[0], F.col("a") == F.col("na")).join(ends[1], F.col("b") == F.col("nb")).where("pa != pb")
+        left = checkpoint(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        labels = checkpoint(labels)
+        if left.isEmpty():
+            return labels
