@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -77,28 +78,37 @@ def gapless_rank(df: DataFrame, group: str, keys: list[str], buckets: int = 256,
 SIEVE_BITS = 1 << 24
 
 
-def sieve(keys: DataFrame, key: str) -> Column:
-    """A column that is true where the 64-bit ``key`` may be among ``keys`` (and always where it is).
+def sieve_bits(keys: DataFrame, key: str) -> Broadcast:
+    """A Bloom filter (two probes, fixed size) of a column of 64-bit keys, broadcast.
 
-    A Bloom filter with two probes and a fixed size: the bitmap is aggregated by Spark,
-    brought to the driver (no more than its bits) and broadcast.  With very many keys it
-    lets more rows through, never fewer; what follows must work on a superset.
+    The bitmap is aggregated by Spark and brought to the driver, no more than its bits
+    however many keys there are.  With very many it lets more keys through, never fewer.
     """
     probes = keys.select(F.explode(F.array(F.col(key), F.shiftrightunsigned(F.col(key), 28))).alias("h"))
     words = probes.select(F.shiftright(F.col("h").bitwiseAND(F.lit(SIEVE_BITS - 1)), 6).alias("w"), F.expr("shiftleft(1L, int(h & 63))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     found = words.toArrow()
     bits = np.zeros(SIEVE_BITS >> 6, dtype=np.int64)
     bits[found["w"].to_numpy()] = found["b"].to_numpy()
-    shared = keys.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+    return keys.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+
+
+def in_sieve(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which of the int64 keys a sieve may hold."""
+    h = keys.view(np.uint64)
+    hit = np.ones(len(h), dtype=bool)
+    for x in (h, h >> np.uint64(28)):
+        x = x & np.uint64(SIEVE_BITS - 1)
+        hit &= (bits[x >> np.uint64(6)] >> (x & np.uint64(63))) & np.uint64(1) == 1
+    return hit
+
+
+def sieve(keys: DataFrame, key: str) -> Column:
+    """A column that is true where the 64-bit ``key`` may be among ``keys`` (and always where it is)."""
+    shared = sieve_bits(keys, key)
 
     @F.arrow_udf("boolean")
     def may(hashes: pa.Array) -> pa.Array:
-        h = hashes.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        hit = np.ones(len(h), dtype=bool)
-        for x in (h, h >> np.uint64(28)):
-            x = x & np.uint64(SIEVE_BITS - 1)
-            hit &= (shared.value[x >> np.uint64(6)] >> (x & np.uint64(63))) & np.uint64(1) == 1
-        return pa.array(hit)
+        return pa.array(in_sieve(hashes.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), shared.value))
 
     return may(F.col(key))
 
