@@ -18,6 +18,7 @@ ties and null doc_ids are placed like any others: equal rows get consecutive pla
 from __future__ import annotations
 
 import functools
+import string
 import unicodedata
 import zlib
 from itertools import chain
@@ -41,7 +42,9 @@ SOLUTIONS = 3
 #: How fast a covered length loses weight.
 RATE = 4.0
 #: Words remembered by one Python worker before its memo is emptied.
-MEMO = 400_000
+MEMO = 900_000
+#: Closing marks: to the tokenizer a run of its own after letters.
+MARKS = string.punctuation.encode()
 
 PIECES = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
 
@@ -76,7 +79,7 @@ class WordIds:
             self.memo[word] = ids[at : (at := at + 4 * len(own))]
 
     def learn(self, words: list[bytes]) -> None:
-        """Encode words: those of letters joined by blanks, many at a time, the others one by one.
+        """Encode words: those of letters joined by blanks, many at a time, their closing marks apart, the others one by one.
 
         A word of letters is one run to the tokenizer and ends in one word-end id.  Where the
         number of these ids in a joined text is not that of its words, they are encoded singly.
@@ -85,12 +88,12 @@ class WordIds:
         for word in words:
             if letters(word):
                 plain.append(word)
-            elif word[-1:] in b".," and letters(word[:-1]):
-                ended.append(word)
+            elif (core := word.rstrip(MARKS)) and core != word and letters(core):
+                ended.append((word, core, word[len(core) :]))
             else:
                 other.append(word)
-        plain += {w[:-1] for w in ended} - self.memo.keys() - set(plain)
-        other += {w[-1:] for w in ended} - self.memo.keys() - set(other)
+        plain += {core for _, core, _ in ended} - self.memo.keys() - set(plain)
+        other += {marks for _, _, marks in ended} - self.memo.keys() - set(other)
         for at in range(0, len(plain), 500):
             group = plain[at : at + 500]
             joined = np.array(self.batch([b" ".join(group).decode()])[0], dtype="<u4")
@@ -101,8 +104,8 @@ class WordIds:
             else:
                 other += group
         self.keep(other, self.batch([w.decode() for w in other]))
-        for word in ended:
-            self.memo[word] = self.memo[word[:-1]] + self.memo[word[-1:]]
+        for word, core, marks in ended:
+            self.memo[word] = self.memo[core] + self.memo[marks]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > MEMO:
