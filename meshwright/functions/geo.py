@@ -18,6 +18,11 @@ def _d(x: float) -> Column:
     return F.lit(float(x))
 
 
+def let(values: dict[str, Column], body) -> Column:
+    """``body`` of a struct of values that are each computed once, however often the body uses them."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), F.lit(0))
+
+
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Distance on the sphere in metres."""
     dlat, dlon = F.radians(lat2 - lat1) / _d(2), F.radians(lon2 - lon1) / _d(2)

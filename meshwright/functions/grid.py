@@ -9,12 +9,13 @@ own; they are not those of any other hexagon library.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from meshwright.functions.geo import METRES_PER_DEGREE
+from meshwright.functions.geo import METRES_PER_DEGREE, let
 
 LAT0 = 40.0
 #: Average hexagon edge in metres by resolution 0 to 15 (published for a common global grid).
@@ -31,7 +32,7 @@ def edge_m(resolution: int) -> float:
 
 def edge_of(resolution: Column) -> Column:
     """Average edge by a column of resolutions."""
-    return F.get(F.array(*[F.lit(x) for x in EDGE_M]), resolution.cast("int"))
+    return F.get(F.from_json(F.lit(json.dumps(EDGE_M)), "array<double>"), resolution.cast("int"))
 
 
 def ring_step_m(resolution: int) -> float:
@@ -60,20 +61,27 @@ def is_valid(cell: Column) -> Column:
     return F.coalesce((resolution_of(cell) >= 0) & (resolution_of(cell) < len(EDGE_M)) & (cell > 0), F.lit(False))
 
 
-def _rounded(fq: Column, fr: Column) -> tuple[Column, Column]:
-    """Axial coordinates of the hexagon that holds fractional ones (cube rounding, halves up)."""
+def _rounded_id(resolution: Column, fq: Column, fr: Column) -> Column:
+    """Id of the hexagon that holds fractional axial coordinates (cube rounding, halves up)."""
     half = F.lit(0.5)
-    q, r, s = F.floor(fq + half), F.floor(fr + half), F.floor(-fq - fr + half)
-    dq, dr, ds = F.abs(q - fq), F.abs(r - fr), F.abs(s + fq + fr)
-    return F.when((dq > dr) & (dq > ds), -r - s).otherwise(q), F.when((dq > dr) & (dq > ds), r).when(dr > ds, -q - s).otherwise(r)
+
+    def near(v: Column) -> Column:
+        q, r, s = F.floor(v["fq"] + half), F.floor(v["fr"] + half), F.floor(-v["fq"] - v["fr"] + half)
+        return F.struct(q.alias("q"), r.alias("r"), s.alias("s"), F.abs(q - v["fq"]).alias("dq"), F.abs(r - v["fr"]).alias("dr"), F.abs(s + v["fq"] + v["fr"]).alias("ds"))
+
+    def settle(v: Column) -> Column:
+        off = (v["dq"] > v["dr"]) & (v["dq"] > v["ds"])
+        return pack_id(resolution, F.when(off, -v["r"] - v["s"]).otherwise(v["q"]), F.when(off, v["r"]).when(v["dr"] > v["ds"], -v["q"] - v["s"]).otherwise(v["r"]))
+
+    return F.get(F.transform(F.transform(F.array(F.struct(fq.alias("fq"), fr.alias("fr"))), near), settle), F.lit(0))
 
 
 def cell_of(lat: Column, lon: Column, resolution: int | Column) -> Column:
     """The cell that holds a point."""
     edge = F.lit(EDGE_M[resolution]) if isinstance(resolution, int) else edge_of(resolution)
     x, y = lon * F.lit(METRES_PER_DEGREE * _COS0), lat * F.lit(METRES_PER_DEGREE)
-    q, r = _rounded((F.lit(ROOT3 / 3) * x - y / F.lit(3.0)) / edge, y * F.lit(2.0) / F.lit(3.0) / edge)
-    return pack_id(F.lit(resolution) if isinstance(resolution, int) else resolution, q, r)
+    level = F.lit(resolution) if isinstance(resolution, int) else resolution
+    return _rounded_id(level, (F.lit(ROOT3 / 3) * x - y / F.lit(3.0)) / edge, y * F.lit(2.0) / F.lit(3.0) / edge)
 
 
 def lat_of(cell: Column) -> Column:
@@ -104,27 +112,30 @@ def shifted(cell: Column, dq: Column, dr: Column) -> Column:
 
 def disk(cell: Column, k: int | Column) -> Column:
     """Array of the cells within k steps."""
-    n = F.lit(k) if isinstance(k, int) else k
-    n = n.cast("long")
+    if isinstance(k, int):
+        return F.array(*[shifted(cell, F.lit(q), F.lit(r)) for q, r in offsets(k)]) if k <= 3 else F.transform(F.array(*[F.lit((q << 28) + r) for q, r in offsets(k)]), lambda d: cell + d)
+    n = k.cast("long")
     rows = lambda q: F.transform(F.sequence(F.greatest(-n, -q - n), F.least(n, -q + n)), lambda r: shifted(cell, q, r))
     return F.flatten(F.transform(F.sequence(-n, n), rows))
 
 
 def ring(cell: Column, k: int) -> Column:
     """Array of the cells exactly k steps away."""
-    return F.filter(disk(cell, k), lambda c: grid_distance(c, cell) == k)
+    return F.array(*[shifted(cell, F.lit(q), F.lit(r)) for q, r in offsets(k, ring=True)])
 
 
 def path_cells(a: Column, b: Column) -> Column:
     """Cells of the straight line between two cells of one resolution, ends included; null for mixed resolutions."""
-    n = grid_distance(a, b)
 
-    def at(i: Column) -> Column:
-        t = F.when(n == 0, F.lit(0.0)).otherwise(i.cast("double") / F.when(n == 0, F.lit(1)).otherwise(n))
-        q, r = _rounded(q_of(a) + (q_of(b) - q_of(a)) * t + F.lit(1e-6), r_of(a) + (r_of(b) - r_of(a)) * t + F.lit(2e-6))
-        return pack_id(resolution_of(a), q, r)
+    def line(v: Column) -> Column:
+        def at(i: Column) -> Column:
+            t = F.when(v["n"] == 0, F.lit(0.0)).otherwise(i.cast("double") / F.when(v["n"] == 0, F.lit(1)).otherwise(v["n"]))
+            return _rounded_id(v["level"], v["q"] + v["dq"] * t + F.lit(1e-6), v["r"] + v["dr"] * t + F.lit(2e-6))
+
+        return F.transform(F.sequence(F.lit(0).cast("long"), v["n"]), at)
 
-    return F.when(resolution_of(a) == resolution_of(b), F.transform(F.sequence(F.lit(0).cast("long"), n), at))
+    values = {"n": grid_distance(a, b), "level": resolution_of(a), "q": q_of(a), "r": r_of(a), "dq": q_of(b) - q_of(a), "dr": r_of(b) - r_of(a)}
+    return F.when(resolution_of(a) == resolution_of(b), let(values, line))
 
 
 def parent(cell: Column, resolution: int) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshwright.functions import geo, grid
+from meshwright.operators.stage import cut
 
 
 @dataclasses.dataclass(frozen=True)
@@ -151,7 +152,8 @@ def local_gradient(cells: DataFrame) -> DataFrame:
     """(cell, gradient): steepest rise in m per km to a neighbour in the set; neighbours of 1 m or less are skipped."""
     pairs = cells.select(F.col("cell").alias("a"), F.col("elevation").alias("ea"), F.explode(grid.ring(F.col("cell"), 1)).alias("b"))
     near = pairs.join(cells.select(F.col("cell").alias("c"), F.col("elevation").alias("eb")), F.col("b") == F.col("c"))
-    far = geo.geodesic_m(grid.lat_of(F.col("a")), grid.lon_of(F.col("a")), grid.lat_of(F.col("b")), grid.lon_of(F.col("b")))
+    near = cut(near.withColumn("la", grid.lat_of(F.col("a"))).withColumn("oa", grid.lon_of(F.col("a"))).withColumn("lb", grid.lat_of(F.col("b"))).withColumn("ob", grid.lon_of(F.col("b"))))
+    far = geo.geodesic_m(F.col("la"), F.col("oa"), F.col("lb"), F.col("ob"))
     steep = near.withColumn("d", far).where("d > 1").groupBy("a").agg(F.max(F.abs(F.col("ea") - F.col("eb")) / (F.col("d") / 1000)).alias("gradient"))
     return cells.select("cell").join(steep, F.col("cell") == F.col("a"), "left").select("cell", F.coalesce("gradient", F.lit(0.0)).alias("gradient"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from meshwright.config import MeshConfig
 from meshwright.functions import geo, grid, physics
 from meshwright.operators import dem
+from meshwright.operators.stage import cut
 
 BLOCKED_CLEARANCE, NO_LOSS = -999.0, 999.0
 #: Samples of the refinement, and how many of the worst are refined.
@@ -114,18 +115,19 @@ def evaluate(pairs: DataFrame, config: MeshConfig, cells: DataFrame | None = Non
     rows = pairs.withColumn("distance_m", far).withColumn("height1", F.col("ground1") + F.col("mast1")).withColumn("height2", F.col("ground2") + F.col("mast2"))
     rows = rows.withColumn("fspl", F.when(F.col("distance_m") > 0, physics.fspl_db(F.col("distance_m"), config.frequency_hz)).otherwise(F.lit(0.0)))
     gate = F.when((F.col("cell1") == F.col("cell2")) | (F.col("distance_m") == 0), "same").when(F.col("distance_m") > config.max_visibility_m, "distance").when(F.col("fspl") > config.link_budget_db, "budget").otherwise("profile")
-    rows = rows.withColumn("gate", gate)
+    rows = cut(rows.withColumn("gate", gate))
     null = F.lit(None).cast("double")
     same = rows.where("gate = 'same'").select("id", F.least("mast1", "mast2").alias("clearance_m"), F.lit(0.0).alias("path_loss_db"), "distance_m", F.lit(0.0).alias("obstruction"), F.lit(True).alias("visible"), "gate")
     off = rows.where("gate in ('distance', 'budget')").select("id", F.lit(BLOCKED_CLEARANCE).alias("clearance_m"), F.when(F.col("gate") == "distance", F.lit(NO_LOSS)).otherwise(F.col("fspl")).alias("path_loss_db"), "distance_m", F.when(F.col("gate") == "distance", null).otherwise(F.lit(1.0)).alias("obstruction"), F.lit(False).alias("visible"), "gate")
     open_ = rows.where("gate = 'profile'")
     known = cells if cells is not None else pairs.select(F.col("cell1").alias("cell"), F.col("ground1").alias("elevation")).union(pairs.select("cell2", "ground2")).groupBy("cell").agg(F.max("elevation").alias("elevation"))
-    coarse = decide(summary(sample_metrics(open_, coarse_profile(open_, known, raster), config)).join(open_.select("id", "distance_m"), "id"), config)
+    coarse = cut(decide(summary(sample_metrics(open_, coarse_profile(open_, known, raster), config)).join(open_.select("id", "distance_m"), "id"), config))
     shaped = lambda df, gate: df.select("id", F.col("clearance").alias("clearance_m"), "path_loss_db", "distance_m", "obstruction", "visible", F.lit(gate).alias("gate"))
     if raster is None:
         return same.union(off).union(shaped(coarse, "coarse"))
     passed = open_.join(coarse.where("visible").select(F.col("id").alias("__v")), F.col("id") == F.col("__v"), "left_semi")
-    metrics = sample_metrics(passed, dense_profile(passed, raster, config.los_dense_sample_step_m, config.los_dense_max_samples), config)
+    passed = cut(passed)
+    metrics = cut(sample_metrics(passed, dense_profile(passed, raster, config.los_dense_sample_step_m, config.los_dense_max_samples), config))
     dense = summary(metrics)
     if refined:
         good = passed.join(dense.where(physics.obstruction_accepts(F.col("obstruction"))).select(F.col("id").alias("__g")), F.col("id") == F.col("__g"), "left_semi")
@@ -143,7 +145,7 @@ def shadow_links(links: DataFrame, raster: dem.Raster, config: MeshConfig, step_
     ``links`` have id, lat, lon and ground per end; a blocked link's loss is null.
     """
     far = geo.geodesic_m(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
-    rows = links.withColumn("distance_m", far).withColumn("h1", F.col("ground1") + config.mast_height_m).withColumn("h2", F.col("ground2") + config.coverage_receiver_height_m)
+    rows = cut(links.withColumn("distance_m", far).withColumn("h1", F.col("ground1") + config.mast_height_m).withColumn("h2", F.col("ground2") + config.coverage_receiver_height_m))
     n = F.least(F.greatest(F.lit(2), F.floor(F.col("distance_m") / step_m).cast("int")), F.lit(most))
     samples = rows.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n") - 1))).withColumn("t", F.col("i") / F.col("n"))
     samples = samples.withColumn("lat", F.col("lat1") + (F.col("lat2") - F.col("lat1")) * F.col("t")).withColumn("lon", F.col("lon1") + (F.col("lon2") - F.col("lon1")) * F.col("t"))

@@ -2,34 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from meshwright.config import MeshConfig
 from meshwright.functions import geo, grid, physics
 from meshwright.operators import los, spatial
-
-
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Use ``spark.checkpoint.dir``; only in local mode, and where nothing is set, a temporary folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="meshwright-")
-    sc.setCheckpointDir(found)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage at a reliable checkpoint."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+from meshwright.operators.stage import cut
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

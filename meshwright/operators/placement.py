@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 
 from meshwright.config import MeshConfig
 from meshwright.functions import geo, grid, physics
-from meshwright.operators import network
+from meshwright.operators.stage import cut
 
 #: Rounds of gap repair, and candidates that each side of a gap tries.
 REPAIR_ROUNDS, CANDIDATES = 3, 24
@@ -54,14 +54,14 @@ def best_paths(edges: DataFrame, lengths: DataFrame, k: int | Column) -> DataFra
     bottleneck win, else the best bottleneck (ties to fewer); routes without a path are absent.
     """
     limit = k if isinstance(k, int) else int(lengths.agg(F.max("k")).collect()[0][0] or 2)
-    steps = network.cut(edges.select("route", "i", "j", "clearance"))
+    steps = cut(edges.select("route", "i", "j", "clearance"))
     state = lengths.select("route", F.lit(0).alias("j"), F.lit(float("inf")).alias("q"), F.array(F.lit(0)).alias("path"))
     found = []
     for t in range(2, limit + 1):
         before = state.select(F.col("route").alias("r"), F.col("j").alias("at"), "q", "path")
         ahead = steps.join(before, (F.col("route") == F.col("r")) & (F.col("i") == F.col("at"))).select("route", "j", F.least("q", "clearance").alias("q"), "i", "path")
         best = F.max_by(F.struct("q", "path"), F.struct("q", (-F.col("i")).alias("o")))
-        state = network.cut(ahead.groupBy("route", "j").agg(best.alias("b")).select("route", "j", "b.q", F.concat("b.path", F.array("j")).alias("path")))
+        state = cut(ahead.groupBy("route", "j").agg(best.alias("b")).select("route", "j", "b.q", F.concat("b.path", F.array("j")).alias("path")))
         found.append(state.withColumn("towers", F.lit(t)))
     if not found:
         return lengths.limit(0).select("route", F.lit(0).alias("towers"), F.lit(0.0).alias("quality"), F.array(F.lit(0)).alias("path"))

@@ -357,7 +357,7 @@ def coverage_radii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.coverage_radius(found).withColumnRenamed("radius_m", "radius_mm")
 
 
-@query(f"WITH {_NEAR}, c AS (SELECT cell, arg_min(source, d * 100000 + source) AS id FROM near GROUP BY cell) SELECT id, avg(CASE WHEN lat > 40.02 AND lat < 40.06 AND lon > 44.02 AND lon < 44.06 THEN 1 ELSE 0 END) >= 0.2 AS city_link FROM c JOIN receivers v ON v.id = c.cell GROUP BY c.id")
+@query(f"WITH {_NEAR}, c AS (SELECT cell, arg_min(source, d * 100000 + source) AS id FROM near GROUP BY cell) SELECT c.id, avg(CASE WHEN lat > 40.02 AND lat < 40.06 AND lon > 44.02 AND lon < 44.06 THEN 1 ELSE 0 END) >= 0.2 AS city_link FROM c JOIN receivers v ON v.id = c.cell GROUP BY c.id")
 def city_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     city = spark.range(1).select(F.expr("array(array(named_struct('lon', 44.02D, 'lat', 40.02D), named_struct('lon', 44.06D, 'lat', 40.02D), named_struct('lon', 44.06D, 'lat', 40.06D), named_struct('lon', 44.02D, 'lat', 40.06D)))").alias("rings"))
     cells = coverage_aggregate(spark, sf_dir).join(b.receivers(spark, sf_dir).select(F.col("id").alias("cell"), "lat", "lon"), "cell")
@@ -401,7 +401,7 @@ def corridor_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corridor.without_repeats(c, ["pos"])
 
 
-@query(f"WITH {CORRIDORS}, f AS (SELECT route, cell % 4 AS cell, min(pos) AS at FROM corridors GROUP BY ALL) SELECT route, CAST(row_number() OVER (PARTITION BY route ORDER BY at) - 1 AS INT) AS pos, cell FROM f")
+@query(f"WITH {CORRIDORS}, f AS (SELECT route, cell % 4 AS cell, min(pos) AS first_at FROM corridors GROUP BY ALL) SELECT route, CAST(row_number() OVER (PARTITION BY route ORDER BY first_at) - 1 AS INT) AS pos, cell FROM f")
 def corridor_first_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = b.corridors(spark, sf_dir).select("route", "pos", (F.col("cell") % 4).alias("cell"))
     return corridor.first_visits(c)
