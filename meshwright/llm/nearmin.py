@@ -39,8 +39,10 @@ K = 64
 SHARED = K // 2
 #: Listed values that a pair must share before its sketches are compared.
 COUNT = 3
-#: How far below the threshold an estimate may lie (six standard deviations).
-MARGIN = 0.3
+#: Hashes, cut to 32 bits, that a sketch keeps for the estimate.
+LONG = 192
+#: How far below the threshold an estimate may lie (six standard deviations), and where both sets are whole.
+MARGIN, WHOLE_MARGIN = 0.175, 0.02
 
 
 def words_of(text: str) -> list[bytes]:
@@ -75,27 +77,31 @@ def hashes_of(text: str, size: int) -> np.ndarray:
 
 
 def sketches(text: Column, size: int) -> Column:
-    """struct<n, digest, sketch>: set size, digest of the whole set, and its K smallest hashes (as longs of the same order)."""
+    """struct<n, digest, sketch, longer>: set size, digest of the whole set, its K smallest hashes (as longs of the
+    same order), and the LONG smallest ones cut to 32 bits."""
 
-    @F.arrow_udf("struct<n:bigint,digest:binary,sketch:array<bigint>>")
+    @F.arrow_udf("struct<n:bigint,digest:binary,sketch:array<bigint>,longer:array<int>>")
     def of(texts: pa.Array) -> pa.Array:
-        n, digest, parts = [], [], []
+        n, digest, parts, more = [], [], [], []
         for at in range(0, len(texts), 256):
             for x in texts[at : at + 256].to_pylist():
                 h = hashes_of(x, size)
                 n.append(len(h))
                 digest.append(xxhash.xxh3_128_digest(h.tobytes()))
                 parts.append(h[:K])
+                more.append((h[:LONG] >> np.uint64(32)).astype(np.uint32) ^ np.uint32(1 << 31))
+        longer = pa.ListArray.from_arrays(np.cumsum([0, *map(len, more)], dtype=np.int32), (np.concatenate(more) if more else np.zeros(0, np.uint32)).view(np.int32))
         ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
         flat = (np.concatenate(parts) if parts else np.zeros(0, np.uint64)) ^ np.uint64(1 << 63)
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(ends, flat.view(np.int64))], ["n", "digest", "sketch"])
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(ends, flat.view(np.int64)), longer], ["n", "digest", "sketch", "longer"])
 
     return of(text)
 
 
-def estimate(a: Column, b: Column) -> Column:
-    """Jaccard similarity by the sketch of the union."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, K)
+def estimate(a: Column, b: Column, whole: Column) -> Column:
+    """Jaccard similarity by the sketch of the union: its LONG smallest hashes, or all where both sets are whole."""
+    union = F.array_sort(F.array_union(a, b))
+    union = F.when(whole, union).otherwise(F.slice(union, 1, LONG))
     return F.size(F.array_intersect(F.array_intersect(union, a), b)) / F.size(union)
 
 
@@ -119,11 +125,13 @@ def verified(a: Column, b: Column, size: int, percent: int) -> Column:
 
 def similar_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Of pairs (a, b) of class ids those that pass the sketch estimate and are verified on whole texts."""
-    one = classes.select(F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    two = classes.select(F.col("rep").alias("rb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    one = classes.select(F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("longer").alias("sa"))
+    two = classes.select(F.col("rep").alias("rb"), F.col("n").alias("nb"), F.col("longer").alias("sb"))
     close = pairs.join(one, F.col("a") == F.col("ra")).join(two, F.col("b") == F.col("rb"))
     sized = F.lit(percent) * F.greatest("na", "nb") <= F.lit(100) * F.least("na", "nb")
-    near = stored(close.where(sized).where(estimate(F.col("sa"), F.col("sb")) >= percent / 100 - MARGIN).select("a", "b"))
+    whole = (F.col("na") <= LONG) & (F.col("nb") <= LONG)
+    likely = estimate(F.col("sa"), F.col("sb"), whole) >= F.lit(percent / 100) - F.when(whole, WHOLE_MARGIN).otherwise(MARGIN)
+    near = stored(close.where(sized).where(likely).select("a", "b"))
     involved = near.select("a").union(near.select("b")).distinct().select(F.xxhash64("a").alias("h"))
     texts = docs.select(F.col("doc_id").alias("id"), whole_text().alias("text"), F.xxhash64("doc_id").alias("h"))
     texts = texts.where(sieve(involved, "h")).select("id", "text")
@@ -133,7 +141,11 @@ def similar_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: i
 
 
 def listed_values(classes: DataFrame, percent: int) -> DataFrame:
-    """Inverted lists (v, rep): of each class the rarest retained values that a partner must share COUNT of, where two hold them."""
+    """Inverted lists (v, rep, n, own, level): of each class the rarest retained values that a partner must share COUNT of.
+
+    A list holds the classes of one value and size class (``level``), and those of the size
+    class below (``own``); a pair counts in the list of the larger of its size classes.
+    """
     values = classes.where(F.col("n") * (100 - percent) >= percent)  # smaller sets have no other partner
     values = values.select("rep", "n", F.explode("sketch").alias("v"))
     held = values.groupBy("v").count().where("count > 1").select(F.col("v").alias("v2"), F.col("count").alias("df"))
@@ -142,29 +154,35 @@ def listed_values(classes: DataFrame, percent: int) -> DataFrame:
     shared = F.when(whole, F.ceil(F.col("n") * percent / 100)).otherwise(F.lit(SHARED))
     kept = F.least("n", F.lit(K)) - shared + COUNT
     place = F.row_number().over(W.partitionBy("rep").orderBy("df", "v"))
-    return known.withColumn("place", place).where((F.col("place") <= kept) & (F.col("df") > 1)).select("v", "rep", "n")
+    rows = known.withColumn("place", place).where((F.col("place") <= kept) & (F.col("df") > 1)).select("v", "rep", "n")
+    # sets of the threshold differ in size by its inverse at most: lists are kept by size class, each class with the one below
+    own = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
+    rows = rows.withColumn("own", own).withColumn("level", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    rows = rows.select(F.xxhash64("v", "level").alias("v"), "rep", "n", "own", "level")
+    several = rows.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.max((F.col("own") == F.col("level")).cast("int")).alias("has")).where("c > 1 and has = 1").select(F.col("v").alias("sv"))
+    return rows.join(several, F.col("v") == F.col("sv"), "left_semi")
 
 
 def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
     seen = stored(docs.select("doc_id", sketches(whole_text(), size).alias("s")).select("doc_id", "s.*"))
-    classes = seen.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = seen.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("longer").alias("longer"))
     classes = stored(classes)
     lists = stored(listed_values(classes, percent))
-    # every list's members against its smallest one
-    centre = lists.groupBy("v").agg(F.min("rep").alias("a"))
+    # every list's members against its smallest one of the list's own size class
+    centre = lists.where("own = level").groupBy("v").agg(F.min("rep").alias("a"))
     stars = lists.join(centre, "v").where("a != rep").groupBy("a", F.col("rep").alias("b")).count().where(F.col("count") >= COUNT).select("a", "b")
     first = similar_pairs(stars, classes, docs, size, percent)
     near = components(first)
     # what still shares lists across components
-    members = lists.join(near, F.col("rep") == F.col("node"), "left").select("v", "rep", "n", F.coalesce("root", "rep").alias("comp"))
+    members = lists.join(near, F.col("rep") == F.col("node"), "left").select("v", "rep", "n", "own", "level", F.coalesce("root", "rep").alias("comp"))
     sizes = members.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("c"))
     mixed = sizes.groupBy(F.col("v").alias("mv")).agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("mv", F.col("top.comp").alias("top"))
-    open_ = stored(members.join(mixed, F.col("v") == F.col("mv")).select("v", "rep", "n", "comp", (F.col("comp") == F.col("top")).alias("inside")))
-    few = open_.where("not inside").select(F.col("v").alias("v2"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
+    open_ = stored(members.join(mixed, F.col("v") == F.col("mv")).select("v", "rep", "n", "own", "level", "comp", (F.col("comp") == F.col("top")).alias("inside")))
+    few = open_.where("not inside").select(F.col("v").alias("v2"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("own").alias("own2"), F.col("comp").alias("comp2"))
     sized = F.lit(percent) * F.greatest("n", "n2") <= F.lit(100) * F.least("n", "n2")
     once = F.col("inside") | (F.col("rep") < F.col("rep2"))
-    across = open_.join(few, (F.col("v") == F.col("v2")) & (F.col("comp") != F.col("comp2")) & sized & once)
+    across = open_.join(few, (F.col("v") == F.col("v2")) & (F.col("comp") != F.col("comp2")) & (F.greatest("own", "own2") == F.col("level")) & sized & once)
     pairs = across.groupBy(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).count().where(F.col("count") >= COUNT).select("a", "b")
     second = similar_pairs(pairs, classes, docs, size, percent)
     labels = components(first.union(second))
