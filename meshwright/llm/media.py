@@ -129,18 +129,20 @@ def shared_bodies(text: Column, shared: Broadcast) -> Column:
     return bodies(text)
 
 
+def built(own: list[dict], found: list[bytes]) -> bytes:
+    """The stored medium of an ordered chunk list, the missing bodies taken from the store's in their order."""
+    rest = iter(found)
+    parts = [(c["digest"], next(rest) if c["body"] is None else c["body"]) for c in own]
+    head = struct.pack(HEAD, MAGIC, sum(len(b) for _, b in parts), len(parts))
+    return b"".join([head, *(struct.pack(ENTRY, len(b), d) for d, b in parts), *(b for _, b in parts)])
+
+
 def assemble(listed: Column, found: Column) -> Column:
     """The stored medium from an ordered chunk list and the bodies that the store gave, in their order."""
 
     @F.arrow_udf("binary")
     def build(lists: pa.Array, stores: pa.Array) -> pa.Array:
-        out = []
-        for own, more in zip(lists, stores, strict=True):
-            rest = iter(more.as_py() or [])
-            parts = [(c["digest"], next(rest) if c["body"] is None else c["body"]) for c in own.as_py()]
-            head = struct.pack(HEAD, MAGIC, sum(len(b) for _, b in parts), len(parts))
-            out.append(b"".join([head, *(struct.pack(ENTRY, len(b), d) for d, b in parts), *(b for _, b in parts)]))
-        return pa.array(out, pa.binary())
+        return pa.array([built(own.as_py(), more.as_py() or []) for own, more in zip(lists, stores, strict=True)], pa.binary())
 
     return build(listed, found)
 
@@ -162,29 +164,48 @@ def read_back(media: bytes) -> tuple[bytes, int]:
     return payload, n
 
 
-def features(media: Column) -> Column:
-    """struct<payload_bytes, payload_sha256, tail_crc32, feature> of a medium that is read back and verified.
+def facts_of(medium: bytes) -> dict:
+    """What is known of a medium once it is read back and verified.
 
     feature: chunks, mean, standard deviation and range of the samples, and crossings of their mean.
     """
+    payload, n = read_back(medium)
+    samples = np.frombuffer(payload, np.uint8)
+    mean = samples.mean()
+    over = samples > mean
+    feature = f"{n};{mean:.4f};{samples.std():.4f};{samples.min()}-{samples.max()};{np.count_nonzero(over[1:] != over[:-1])}"
+    return {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]), "media_bytes": len(medium), "media_sha256": hashlib.sha256(medium).hexdigest(), "feature": feature}
+
+
+FACTS = "struct<payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,media_bytes:bigint,media_sha256:string,feature:string>"
 
-    @F.arrow_udf("struct<payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,feature:string>")
+
+def features(media: Column) -> Column:
+    """The facts of a column of stored media."""
+
+    @F.arrow_udf(FACTS)
     def read(column: pa.Array) -> pa.Array:
-        out = []
-        for x in column:
-            payload, n = read_back(x.as_py())
-            samples = np.frombuffer(payload, np.uint8)
-            mean = samples.mean()
-            over = samples > mean
-            feature = f"{n};{mean:.4f};{samples.std():.4f};{samples.min()}-{samples.max()};{np.count_nonzero(over[1:] != over[:-1])}"
-            out.append({"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]), "feature": feature})
-        return pa.array(out, pa.struct([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("feature", pa.string())]))
+        return _facts([facts_of(x.as_py()) for x in column])
 
     return read(media)
 
 
-def store_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and ``medium`` (the stored form) of every row of ``docs`` (doc_id, text)."""
+def assembled_features(listed: Column, found: Column) -> Column:
+    """The facts of media that are put together and read back in one pass, so that no medium crosses to another worker."""
+
+    @F.arrow_udf(FACTS)
+    def read(lists: pa.Array, stores: pa.Array) -> pa.Array:
+        return _facts([facts_of(built(own.as_py(), more.as_py() or [])) for own, more in zip(lists, stores, strict=True)])
+
+    return read(listed, found)
+
+
+def _facts(rows: list[dict]) -> pa.Array:
+    return pa.array(rows, pa.struct([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]))
+
+
+def chunked(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, chunks and bodies of every row of ``docs`` (doc_id, text): its ordered chunk list, and from the store what that lacks."""
     text = whole_text()
     rows = docs.select("doc_id", text.alias("text"))
     used = rows.select(F.explode(digest_keys(F.col("text"))).alias("key")).groupBy("key").count()
@@ -199,11 +220,15 @@ def store_media(docs: DataFrame) -> DataFrame:
     references = partly.select("media", F.posexplode(F.filter("chunks", lambda c: c["body"].isNull())).alias("seq", "c")).select("media", "seq", "c.digest").distinct()
     bodies = references.join(store.select(F.col("digest").alias("d"), "body"), F.col("digest") == F.col("d")).groupBy("media").agg(F.array_sort(F.collect_list(F.struct("seq", "body"))).alias("found"))
     joined = partly.join(bodies.select(F.col("media").alias("m"), F.col("found.body").alias("bodies")), F.col("media") == F.col("m")).select("doc_id", "n_bytes", "chunks", "bodies")
-    return whole.union(joined).select("doc_id", "n_bytes", assemble(F.col("chunks"), F.col("bodies")).alias("medium"))
+    return whole.union(joined)
+
+
+def store_media(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and ``medium`` (the stored form) of every row of ``docs`` (doc_id, text)."""
+    return chunked(docs).select("doc_id", "n_bytes", assemble(F.col("chunks"), F.col("bodies")).alias("medium"))
 
 
 def op1_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of every document."""
-    media = store_media(table(spark, sf_dir, "documents"))
-    read = media.select("doc_id", "n_bytes", F.octet_length("medium").cast("long").alias("media_bytes"), F.sha2("medium", 256).alias("media_sha256"), features(F.col("medium")).alias("f"))
-    return read.select("doc_id", "n_bytes", "f.payload_bytes", "f.payload_sha256", "f.tail_crc32", "media_bytes", "media_sha256", "f.feature")
+    rows = chunked(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", assembled_features(F.col("chunks"), F.col("bodies")).alias("f")).select("doc_id", "n_bytes", "f.*")
