@@ -12,6 +12,7 @@ from meshwright.functions import geo, grid, physics
 from meshwright.operators import adaptive, corridor, coverage, dem, los, network, placement, spatial
 from meshwright.plans import bindings as b
 from meshwright.sources import export
+from meshwright.streaming import telemetry
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -492,3 +493,45 @@ def tower_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def grid_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.grid_features(_receiver_cells(spark, sf_dir), b.RESOLUTION)
+
+
+# --- more of the inventory ------------------------------------------------------------------------
+
+
+@query(f"WITH {RECEIVERS}, {TOWERS}, n AS (SELECT v.id, t.id AS tower, row_number() OVER (PARTITION BY v.id ORDER BY {_s(_chord('v', 't'))}, t.id) AS k FROM receivers v JOIN towers t ON abs(v.lat - t.lat) < 0.03 WHERE {_chord('v', 't')} <= {REACH_M}) SELECT id, tower FROM n WHERE k = 1")
+def nearest_tower(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = spatial.range_join(b.receivers(spark, sf_dir).select("id", "lat", "lon"), b.towers(spark, sf_dir).select("id", "lat", "lon"), REACH_M)
+    return near.groupBy(F.col("id1").alias("id")).agg(F.min_by("id2", F.struct(scaled(F.col("chord_m")), "id2")).alias("tower"))
+
+
+@query(f"WITH {CELLS}, roads AS (SELECT DISTINCT q, r FROM gridcells WHERE has_road), o AS (SELECT q AS dq, r AS dr FROM range(-1, 2) a(q), range(-1, 2) b(r) WHERE abs(q + r) <= 1), around AS (SELECT DISTINCT q + dq AS q, r + dr AS r FROM roads CROSS JOIN o) SELECT g.cell, x.q IS NOT NULL AS has_road FROM around a JOIN gridcells g ON g.q = a.q AND g.r = a.r LEFT JOIN roads x ON x.q = g.q AND x.r = g.r")
+def road_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _receiver_cells(spark, sf_dir)
+    return corridor.road_grid(cells.where("has_road"), cells.select("cell"), 100.0, b.RESOLUTION)
+
+
+@query(f"WITH {CORRIDORS}, e AS (SELECT least(cell, nxt) AS lo, greatest(cell, nxt) AS hi, route * 100 + pos AS seq, value FROM (SELECT *, lead(cell) OVER (PARTITION BY route ORDER BY pos) AS nxt FROM corridors) WHERE nxt IS NOT NULL AND nxt <> cell) SELECT lo AS a, hi AS b, max(seq) AS seq, arg_max(value, seq) AS value FROM e GROUP BY lo, hi")
+def edge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = b.corridors(spark, sf_dir).withColumn("b", F.lead("cell").over(W.partitionBy("route").orderBy("pos"))).where("b is not null and b != cell")
+    rows = c.select(F.col("cell").alias("a"), "b", (F.col("route") * 100 + F.col("pos")).alias("seq"), "value")
+    return network.upsert_edges(rows.where("seq % 2 = 0"), rows.where("seq % 2 = 1"), ["value"]).select("a", "b", "seq", "value")
+
+
+@query(f"WITH {CORRIDORS}, s AS (SELECT cell, pos * 1000000 + route AS ord, route % 7 AS id FROM corridors) SELECT cell, arg_min(id, ord * 10 + id) AS id, min(ord) AS ord FROM s GROUP BY cell")
+def source_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = b.corridors(spark, sf_dir).select("cell", (F.col("pos").cast("long") * 1_000_000 + F.col("route")).alias("ord"), (F.col("route") % 7).alias("id"))
+    return coverage.dedupe_sources(s).select("cell", "id", "ord")
+
+
+@query(f"WITH {CORRIDORS}, b AS (SELECT route, pos, cell, row_number() OVER (PARTITION BY route ORDER BY value DESC, cell, pos) AS n FROM corridors WHERE value % 2 = 0), x AS (SELECT route, pos * 2 AS at, cell FROM corridors UNION ALL SELECT route, pos * 2 + 1, cell + 100000 FROM b WHERE n <= 2) SELECT route, CAST(row_number() OVER (PARTITION BY route ORDER BY at) - 1 AS INT) AS place, cell FROM x".replace(" AS at", " AS spot").replace("ORDER BY at)", "ORDER BY spot)"))
+def inject_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = b.corridors(spark, sf_dir)
+    best = c.where("value % 2 = 0").select("route", "pos", (F.col("cell") + 100000).alias("cell"), F.col("value").alias("elevation"))
+    return corridor.inject(c, best, 2).select("route", F.col("pos").alias("place"), "cell")
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type AS kind, count(*) AS n, CAST(floor(min(value) * 1e3 + 0.5) AS BIGINT) AS least FROM events GROUP BY ALL")
+def telemetry_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    readings = b.table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("kind"), "value")
+    return telemetry.windowed(readings).select("start", "kind", "n", scaled(F.col("least")).alias("least"))
+
