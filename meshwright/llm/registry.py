@@ -24,9 +24,5 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op6_line_dedup": lines.op6_line_dedup,
-    "op7_nearest": neighbours.op7_nearest,
-    "op8_toxicity": toxicity.op8_toxicity,
-    "op9_near_duplicates": nearmin.op9_near_duplicates,
     "op10_url_filter": urls.OP10_SQL,
 }
