@@ -7,6 +7,7 @@ import __spark_entry__
 
 def test_oracles_belong_to_queries():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+    assert all(isinstance(sql, str) for sql in __spark_entry__.oracle_sql().values())
 
 
 def test_entry_runs(spark):
