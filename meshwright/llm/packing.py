@@ -3,11 +3,11 @@
 The pieces of all documents are counted by length.  A configuration is a multiset of
 lengths that fits one sequence; the covering program asks for the fewest
 configurations that hold the whole histogram.  It is solved by multiplicative
-weights: each length has a weight that decays as it gets covered, and a knapsack
-dynamic program prices the heaviest configuration under the current weights.  The
-solution is scaled so that nothing is covered twice, rounded down, and repeated on
-what is left; the rest is packed by best fit, a whole run of equal sequences at a
-time.  Only the histogram (at most one number per length up to the capacity) reaches
+weights: each length has a weight that decays as it gets covered, and a bounded knapsack
+dynamic program prices the heaviest configuration under the current weights, until
+every length is covered.  The whole parts of the solution are used as they are; its
+fractions are rounded up, trimmed to the pieces that are left, and the room that this
+frees is priced again.  Only the histogram (at most one number per length up to the capacity) reaches
 the driver, whatever the number of documents, and the plan that goes back to the
 executors has a size bounded by the capacity as well.
 
@@ -35,10 +35,14 @@ from meshwright.llm.common import gapless_rank, stored, table, whole_text
 
 CAPACITY = 4096
 END_ID = 1
-#: Configurations priced in one solution of the linear program.
-PRICINGS = 160
-#: Solutions of the program (each on what the last rounding left) before best fit takes the rest.
-SOLUTIONS = 3
+#: How often the program covers its least covered length before it is scaled down.
+COVERS = 1
+#: Share of its scarcest length that a priced configuration covers at once.
+STEP = 0.5
+#: Lengths offered to one pricing, the heaviest by the token.
+OFFERED = 192
+#: What a piece as long as the capacity weighs more by the token.
+LONGER = 1.0
 #: How fast a covered length loses weight.
 RATE = 4.0
 #: Words remembered by one Python worker before its memo is emptied.
@@ -141,87 +145,120 @@ def pieces(text: Column, path: str, capacity: int = CAPACITY, end_id: int = END_
     return cut(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def price(lengths: np.ndarray, weights: np.ndarray, capacity: int) -> dict[int, int]:
-    """The heaviest multiset of lengths within the capacity (unbounded knapsack by dynamic programming)."""
-    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), "right")
-    for room in range(1, capacity + 1):
-        best[room] = best[room - 1]
-        if k := upto[room]:
-            gain = best[room - lengths[:k]] + weights[:k]
-            i = int(gain.argmax())
-            if gain[i] > best[room]:
-                best[room], pick[room] = gain[i], i
+def price(lengths: np.ndarray, counts: np.ndarray, weights: np.ndarray, capacity: int, ties: np.random.Generator) -> dict[int, int]:
+    """A heaviest multiset of at most ``counts`` of each length within the capacity (bounded knapsack by dynamic programming).
+
+    Offered are the OFFERED lengths that weigh most by the token, ties in random order, so that
+    equally heavy lengths take turns; each is split into lots of 1, 2, 4, ... pieces.  Of
+    configurations about equally heavy the one of the longer pieces is preferred.
+    """
+    fits = np.flatnonzero((lengths <= capacity) & (counts > 0))
+    dense = weights[fits] / lengths[fits] * (1 + 1e-6 * ties.random(len(fits)))
+    offered = fits[np.argsort(-dense)[:OFFERED]]
+    weights = weights * (1 + LONGER * lengths / capacity)
+    lots: list[tuple[int, int]] = []
+    for i in offered.tolist():
+        left, k = min(int(counts[i]), capacity // int(lengths[i])), 1
+        while left > 0:
+            lots.append((i, min(k, left)))
+            left, k = left - k, 2 * k
+    best, taken = np.zeros(capacity + 1), np.zeros((len(lots), capacity + 1), dtype=bool)
+    for row, (i, k) in zip(taken, lots, strict=True):
+        size = k * int(lengths[i])
+        gain = best[:-size] + k * weights[i]
+        np.greater(gain, best[size:], out=row[size:])
+        np.maximum(gain, best[size:], out=best[size:])
     found: dict[int, int] = {}
     room = capacity
-    while room > 0:
-        if pick[room] < 0:
-            room -= 1
-        else:
-            i = int(pick[room])
-            found[i] = found.get(i, 0) + 1
-            room -= int(lengths[i])
+    for at in range(len(lots) - 1, -1, -1):
+        if taken[at, room]:
+            i, k = lots[at]
+            found[i] = found.get(i, 0) + k
+            room -= k * int(lengths[i])
     return found
 
 
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, pricings: int = PRICINGS) -> list[tuple[dict[int, int], float]]:
-    """Fractional configurations by multiplicative weights, scaled so that no length is covered more than once."""
-    covered = np.zeros(len(lengths))
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int], float]], np.ndarray]:
+    """Fractional configurations by multiplicative weights that together cover every length, and the mean weights (a priced configuration weighs 1).
+
+    Pricing goes on until the least covered length is covered COVERS times, however many
+    lengths there are; the solution is then scaled down to cover it once.
+    """
+    covered, ties = np.zeros(len(lengths)), np.random.default_rng(0)
     found: list[tuple[dict[int, int], float]] = []
-    for _ in range(pricings):
+    mean = np.zeros(len(lengths))
+    while covered.min(initial=COVERS) < COVERS:
         weights = np.exp(-RATE * (covered - covered.min())) * lengths
-        config = {i: min(k, int(counts[i])) for i, k in price(lengths, weights, capacity).items()}
-        times = min(counts[i] / k for i, k in config.items())
+        config = price(lengths, counts, weights, capacity, ties)
+        mean += weights / sum(k * weights[i] for i, k in config.items())
+        times = STEP * min(counts[i] / k for i, k in config.items())
         for i, k in config.items():
             covered[i] += times * k / counts[i]
         found.append((config, times))
-    scale = max(1.0, covered.max(initial=0))
-    return [(config, times / scale) for config, times in found]
-
-
-def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Pack what is left: fill a sequence from the longest remaining length by the best fits, and repeat it while it lasts."""
-    out, left = [], counts.copy()
-    live = np.flatnonzero(left)
-    while len(live):
-        top = live[-1]
-        config, room = {int(top): 1}, capacity - int(lengths[top])
-        while room > 0:
-            k = int(np.searchsorted(lengths[live], room, "right")) - 1
-            while k >= 0 and left[live[k]] <= config.get(int(live[k]), 0):
-                k -= 1
-            if k < 0:
-                break
-            i = int(live[k])
-            n = min(room // int(lengths[i]), int(left[i]) - config.get(i, 0))
-            config[i] = config.get(i, 0) + n
-            room -= n * int(lengths[i])
-        times = min(int(left[i]) // k for i, k in config.items())
-        for i, k in config.items():
-            left[i] -= times * k
-        out.append((config, times))
-        live = live[left[live] > 0]
+    scale = covered.min(initial=np.inf)
+    return [(config, times / scale) for config, times in found], mean / max(1, len(found))
+
+
+def rounded(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Whole uses of configurations that hold every piece once.
+
+    The whole parts of a solution are used as they are and the program is solved again for
+    what is left, until the whole parts hold less than a quarter of it.  Then the fractions are rounded
+    up where all their pieces are left; the others are trimmed to their longest piece and
+    priced again with what is left, the longest first.
+    """
+    out, left, ties = [], counts.copy(), np.random.default_rng(1)
+
+    def use(config: dict[int, int], times: int) -> int:
+        if times:
+            for i, k in config.items():
+                left[i] -= times * k
+            out.append((config, times))
+        return times
+
+    def uses(config: dict[int, int]) -> int:
+        return min(int(left[i]) // k for i, k in config.items())
+
+    weights = np.zeros(len(lengths))
+    while left.any():
+        live = np.flatnonzero(left)
+        found, mean = solve(lengths[live], left[live], capacity)
+        weights[live] = mean
+        found = [({int(live[i]): k for i, k in config.items()}, times) for config, times in found]
+        found.sort(key=lambda x: -max(x[0]))
+        before = left.sum()
+        for config, times in found:
+            if full(config, lengths, capacity):
+                use(config, min(int(times), uses(config)))
+        if before - left.sum() < before / 4:
+            break
+    if left.any():
+        for config, _ in found:
+            if full(config, lengths, capacity):
+                use(config, min(1, uses(config)))
+    while left.any():
+        top = int(np.flatnonzero(left)[-1])
+        config, room, spare = {top: 1}, capacity - int(lengths[top]), left.copy()
+        spare[top] -= 1
+        if ((lengths <= room) & (spare > 0)).any():
+            for i, k in price(lengths, spare, weights, room, ties).items():
+                config[i] = config.get(i, 0) + k
+        use(config, uses(config))
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, solutions: int = SOLUTIONS) -> list[tuple[dict[int, int], int]]:
+def full(config: dict[int, int], lengths: np.ndarray, capacity: int) -> bool:
+    return sum(k * int(lengths[i]) for i, k in config.items()) == capacity
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
     """Configurations (length to number) and how often each is used; together they hold the histogram exactly."""
     used: list[tuple[dict[int, int], int]] = []
     if histogram.get(capacity):
         used.append(({capacity: 1}, histogram[capacity]))
     lengths = np.array(sorted(x for x in histogram if x < capacity and histogram[x]), dtype=np.int64)
     counts = np.array([histogram[int(x)] for x in lengths], dtype=np.int64)
-    for _ in range(solutions):
-        live = np.flatnonzero(counts)
-        if not len(live) or counts.sum() < 4 * len(live):
-            break
-        for config, times in solve(lengths[live], counts[live], capacity):
-            n = min(int(times), *(int(counts[live[i]]) // k for i, k in config.items()))
-            if n and sum(int(lengths[live[i]]) * k for i, k in config.items()) >= 0.995 * capacity:
-                for i, k in config.items():
-                    counts[live[i]] -= n * k
-                used.append(({int(lengths[live[i]]): k for i, k in config.items()}, n))
-    used += [({int(lengths[i]): k for i, k in config.items()}, n) for config, n in best_fit(lengths, counts, capacity)]
+    used += [({int(lengths[i]): k for i, k in config.items()}, n) for config, n in rounded(lengths, counts, capacity)]
     return used
 
 

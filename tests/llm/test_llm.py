@@ -144,6 +144,26 @@ def test_plan_holds_the_histogram():
     assert sequences <= 1.02 * -(-sum(k * v for k, v in histogram.items()) // 512) + 1
 
 
+def test_program_covers_every_length():
+    rng = random.Random(11)
+    for lengths in (list(range(1, 1024)), sorted(rng.sample(range(1, 1024), 300))):
+        counts = np.array([rng.choice([1, 1, 2, 5]) for _ in lengths])
+        found, _ = packing.solve(np.array(lengths), counts, 1024)
+        covered = collections.Counter()
+        for config, times in found:
+            assert sum(k * lengths[i] for i, k in config.items()) <= 1024 and all(k <= counts[i] for i, k in config.items())
+            for i, k in config.items():
+                covered[i] += k * times
+        assert all(covered[i] >= 0.999 * n for i, n in enumerate(counts))
+        used = packing.plan({int(x): int(n) for x, n in zip(lengths, counts, strict=True)}, 1024)
+        held = collections.Counter()
+        for config, times in used:
+            for length, k in config.items():
+                held[length] += k * times
+        assert held == collections.Counter(dict(zip(lengths, counts.tolist(), strict=True)))
+        assert sum(n for _, n in used) <= 1.02 * -(-int(np.dot(lengths, counts)) // 1024) + 1
+
+
 # --- secrets ---------------------------------------------------------------------------------------
 
 
