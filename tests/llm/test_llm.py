@@ -231,6 +231,13 @@ def test_line_dedup(spark, odd, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def test_lines_of_few_words_meet(spark):
+    """Lines of fewer than five words, or without blanks, and short lines with one edit."""
+    pairs = [("A thonnd in. Onwhingon and.", "Thonnd in. Onwhingon and."), ("x" + "abcdefghij" * 2 + "klmnopqrstuvwxyz0123456789", "abcdefghij" * 2 + "klmnopqrstuvwxyz0123456789"), ("一二三四五六七八九十甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未申酉戌亥", "二三四五六七八九十甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未申酉戌亥")]
+    docs = spark.createDataFrame([(2 * i + j, line) for i, p in enumerate(pairs) for j, line in enumerate(p)], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()} == {2 * i + j: "" if j else line for i, p in enumerate(pairs) for j, line in enumerate(p)}
+
+
 # --- neighbours ------------------------------------------------------------------------------------
 
 
