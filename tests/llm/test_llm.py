@@ -238,6 +238,14 @@ def test_lines_of_few_words_meet(spark):
     assert {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()} == {2 * i + j: "" if j else line for i, p in enumerate(pairs) for j, line in enumerate(p)}
 
 
+def test_repetitive_lines_meet(spark):
+    """One sentence repeated a different number of times, and repeated 25 times with an edit."""
+    one = "the quick river runs by the old stone mill at dawn, and nobody minds. "
+    many = "over the hill and far away, where seven sleepy shepherds count their sheep. "
+    docs = spark.createDataFrame([(1, one * 3), (2, one * 6), (3, many * 25), (4, "Q" + many * 25)], "doc_id long, text string")
+    assert {r.doc_id for r in lines.dedup_lines(docs).where("text = ''").collect()} == {2, 4}
+
+
 # --- neighbours ------------------------------------------------------------------------------------
 
 
