@@ -246,6 +246,22 @@ def test_repetitive_lines_meet(spark):
     assert {r.doc_id for r in lines.dedup_lines(docs).where("text = ''").collect()} == {2, 4}
 
 
+def test_line_links_near_the_threshold(spark):
+    rng = random.Random(12)
+    rows, want = [], 0
+    while want < 150:
+        line = prose(rng.choice([5, 8, 20, 60, 150]), 5000 + len(rows))
+        chars = list(line)
+        for _ in range(max(1, len(chars) // rng.randint(45, 70))):
+            chars[rng.randrange(len(chars))] = "#"
+        grams = [{x[i : i + 5] for i in range(len(x) - 4)} for x in (line, "".join(chars))]
+        if len(line) >= 20 and 0.8 <= len(grams[0] & grams[1]) / len(grams[0] | grams[1]) < 0.85:
+            rows += [(2 * want, line), (2 * want + 1, "".join(chars))]
+            want += 1
+    gone = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("text = ''").count()
+    assert gone >= 0.97 * want
+
+
 # --- neighbours ------------------------------------------------------------------------------------
 
 
