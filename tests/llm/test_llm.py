@@ -262,6 +262,11 @@ def test_line_links_near_the_threshold(spark):
     assert gone >= 0.97 * want
 
 
+def test_short_copies_go(spark, tmp_path):
+    spark.createDataFrame([(1, "Les.\n\n \nAnd ornd."), (2, "Les.\n\n \nLos."), (3, "And ornd.")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.removed for r in lines.op6_line_dedup(spark, str(tmp_path)).collect()} == {1: "", 2: "0", 3: "0"}
+
+
 # --- neighbours ------------------------------------------------------------------------------------
 
 
