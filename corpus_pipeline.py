@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.  A
 stage's result is written as Parquet in the shared folder and read again as the next
 one's documents.  All but the last return the columns of documents.
+
+Null and empty texts pass every stage, very long ones are read whole; rows without a
+doc_id are never near another and pass.  Repeated rows of one doc_id are one document to the
+line and near-duplicate stages, ties go to the smaller doc_id.  Empty tables give an empty result.
+Extra columns, whatever their names (but for those that begin with two underscores), stay up to the last stage.
 """
 
 from __future__ import annotations
@@ -28,8 +33,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8), the one of the smallest doc_id."""
-    kept = nearmin.near_duplicates(docs, 5, 80).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("gone"), "left_anti")
+    lost = nearmin.near_duplicates(docs.select("doc_id", "text"), 5, 80).where("not kept").select(F.col("doc_id").alias("__lost")).distinct()
+    return docs.join(lost, F.col("doc_id") == F.col("__lost"), "left_anti")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
