@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -113,6 +115,26 @@ def sieve(keys: DataFrame, key: str) -> Column:
     return may(F.col(key))
 
 
+def native_sieve(keys: DataFrame, key: str) -> DataFrame:
+    """(w, bits): a bitmap of the low bits of 64-bit keys in words, at most SIEVE_BITS / 64 rows whatever the keys."""
+    return keys.select(F.col(key).alias("h")).select(_word(F.col("h")).alias("w"), _bit(F.col("h")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("bits"))
+
+
+def _word(h: Column) -> Column:
+    return F.shiftright(h.bitwiseAND(F.lit(SIEVE_BITS - 1)), 6)
+
+
+def _bit(h: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def sieved(df: DataFrame, h: str, words: DataFrame) -> DataFrame:
+    """``df`` with ``__in``: whether the bitmap may hold the 64-bit column ``h``; the bitmap's size bound allows a broadcast."""
+    known = words.select(F.col("w").alias("__w"), F.col("bits").alias("__bits"))
+    hit = F.coalesce(F.col("__bits").bitwiseAND(_bit(F.col(h))) != 0, F.lit(False))
+    return df.join(F.broadcast(known), _word(F.col(h)) == F.col("__w"), "left").withColumn("__in", hit).drop("__w", "__bits")
+
+
 def components(edges: DataFrame, checkpoint=stored) -> DataFrame:
     """(node, root) of every node of the undirected ``edges`` (a, b); root is the smallest node reachable.
 
@@ -138,3 +160,87 @@ def components(edges: DataFrame, checkpoint=stored) -> DataFrame:
         labels = checkpoint(labels)
         if left.isEmpty():
             return labels
+
+
+def hubs_of(lists: DataFrame) -> DataFrame:
+    """(key, hub): of each list of ``lists`` (key, id, c: the members of the list) the member that stands in the longest lists.
+
+    In a family of near copies that is the one the others derive from, so that most of them link to it.
+    """
+    known = lists.groupBy(F.col("id").alias("i")).agg(F.sum("c").alias("pop"))
+    ranked = lists.join(known, F.col("id") == F.col("i")).groupBy("key").agg(F.max(F.struct("pop", "id")).alias("top"))
+    return ranked.select("key", F.col("top.id").alias("hub"))
+
+
+def linked_by_difference(measured: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """(a, b): linked pairs of different components, of members that were measured against one hub.
+
+    ``measured`` has the hub a, the member b, the sizes na and nb of their sets, whether the two are
+    linked, and the elements in which they differ.  The members that a hub's component does not hold are
+    compared with all members of that hub by their differences, a small part of the sets:
+    two sets that differ from the hub in d1 and d2 elements, s of them the same, differ from
+    each other in d1 + d2 - 2s.  The comparison is exact, and is the residual of the join on the hub, so
+    that only linked pairs leave it.
+    """
+    comp = comps.select(F.col("node").alias("cn"), F.col("root").alias("comp"))
+    hub = comps.select(F.col("node").alias("hn"), F.col("root").alias("hub_comp"))
+    known = measured.join(comp, F.col("b") == F.col("cn"), "left").withColumn("comp", F.coalesce("comp", "b"))
+    known = known.join(hub, F.col("a") == F.col("hn"), "left").withColumn("probe", ~F.col("linked") & (F.col("comp") != F.coalesce("hub_comp", "a")))
+    known = stored(known.select("a", "b", "nb", "comp", "probe", "diff"))
+    one = known.where("probe").select("a", "b", "nb", "comp", "diff")
+    two = known.select([F.col(c).alias(f"{c}_2") for c in known.columns])
+    size = F.col("nb") + F.col("nb_2")
+    apart = lambda shared: F.size("diff") + F.size("diff_2") - 2 * shared
+    may = lambda shared: 100 * (size - apart(shared)) >= percent * (size + apart(shared))
+    pairs = one.join(
+        two,
+        (F.col("a") == F.col("a_2"))
+        & (F.col("comp") != F.col("comp_2"))
+        & (~F.col("probe_2") | (F.col("b") < F.col("b_2")))
+        & (percent * F.greatest("nb", "nb_2") <= 100 * F.least("nb", "nb_2"))
+        & may(F.least(F.size("diff"), F.size("diff_2")))
+        & may(F.size(F.array_intersect("diff", "diff_2"))),
+    )
+    return pairs.select(F.least("b", "b_2").alias("a"), F.greatest("b", "b_2").alias("b")).distinct()
+
+
+def across_lists(lists: DataFrame, own: list[str], hubs: DataFrame, measured: DataFrame, far: DataFrame, comps: DataFrame, least: int, fits: Callable[[Callable[[str], Column], Callable[[str], Column]], Column]) -> DataFrame:
+    """(a, b): pairs of different components that share ``least`` lists and that differences from a hub do not cover.
+
+    ``lists`` has key and id; the lists that count together for an id are those of equal ``own`` columns.  Two members that were measured near the
+    hub of a list are left to ``linked_by_difference``.  A member that is known to be ``far`` from the hub is linked
+    with none that is linked with the hub: distances obey the triangle inequality, and far is beyond twice
+    the distance of a link.  So a pair that need not be looked at in one of its lists need not be looked at
+    at all, and each pair leaves the join in the first list that it shares, however many there are.
+    Members of a list's largest component are paired only with those outside it.
+    """
+    comp = comps.select(F.col("node").alias("cn"), F.col("root").alias("comp"))
+    states = measured.select("a", "b", F.when(F.col("linked"), 3).otherwise(2).alias("state")).union(far.select("a", "b", F.lit(1)))
+    states = states.select(F.col("a").alias("sa"), F.col("b").alias("sb"), "state")
+    rows = lists.join(hubs.withColumnRenamed("key", "hk"), F.col("key") == F.col("hk")).drop("hk")
+    rows = rows.join(states, (F.col("hub") == F.col("sa")) & (F.col("id") == F.col("sb")), "left").drop("sa", "sb")
+    # 3: linked with the hub or the hub, 2: near it, 1: far from it, 0: not measured
+    rows = rows.withColumn("state", F.when(F.col("id") == F.col("hub"), 3).otherwise(F.coalesce("state", F.lit(0)))).drop("hub")
+    rows = stored(rows.join(comp, F.col("id") == F.col("cn"), "left").withColumn("comp", F.coalesce("comp", "id")).drop("cn"))
+    sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.min("state").alias("least"))
+    mixed = sizes.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.min("least").alias("least")).where("comps > 1 and least < 2")
+    open_ = stored(rows.join(mixed.select("k", F.col("top.comp").alias("top")), F.col("key") == F.col("k")).withColumn("inside", F.col("comp") == F.col("top")).drop("k", "top"))
+    members = open_.select(F.col("id").alias("m")).distinct()
+    held = lists.join(members, F.col("id") == F.col("m"), "left_semi").groupBy([F.col(c).alias(f"h{c}") for c in own]).agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    open_ = open_.join(held, reduce(Column.__and__, [F.col(c) == F.col(f"h{c}") for c in own])).drop(*[f"h{c}" for c in own])
+    few = open_.where("not inside").select([F.col(c).alias(f"{c}_2") for c in open_.columns])
+    two = lambda c: F.col(f"{c}_2")
+    low, high = F.least("state", "state_2"), F.greatest("state", "state_2")
+    shared = F.array_intersect("keys", "keys_2")
+    pairs = open_.join(
+        few,
+        (F.col("key") == F.col("key_2"))
+        & (F.col("comp") != F.col("comp_2"))
+        & (F.col("inside") | (F.col("id") < F.col("id_2")))
+        & (low < 2)
+        & ~((low == 1) & (high == 3))
+        & fits(F.col, two)
+        & (F.get(shared, F.lit(0)) == F.col("key"))
+        & (F.size(shared) >= least),
+    )
+    return pairs.select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")).distinct()

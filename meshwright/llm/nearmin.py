@@ -9,11 +9,13 @@ them apart).  The sketch of a union is the K smallest hashes of two sketches; th
 of it that both hold estimates their Jaccard similarity and filters pairs.  What is
 left is verified on the full sets of the two whole texts.
 
-Large groups are not paired with each other: first every list links its members to its
-smallest one, these pairs are verified and contracted, and then only pairs of different
-components that still share lists are formed, members of a list's largest component
-only with those outside it.  So no group gives all its pairs, and no link between
-components is lost.
+Large groups are not paired with each other.  First every list compares its members with
+its hub, the one that stands in the longest lists, and links are contracted.  Members that
+are near a hub but not in its component are compared with the hub's other members by
+their differences from it, as the residual of a join, so that only linked pairs leave it.  Other
+pairs of different components leave the join once, in the first list they share, if they share enough of them.
+No link between components is lost.  In a family of copies the comparisons of differences
+still grow with its members times those that the hub's component lacks.
 
 Words are runs of characters other than blank and U+0009 to U+000D, with A-Z
 lower-cased.  A text with fewer words than a shingle is one shingle of all its words;
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from meshwright.llm.common import components, sieve, stored, table, whole_text
+from meshwright.llm.common import across_lists, components, hubs_of, linked_by_difference, native_sieve, sieve, sieved, stored, table, whole_text
 
 #: Hashes retained by a sketch.
 K = 64
@@ -39,6 +41,8 @@ K = 64
 SHARED = K // 2
 #: Listed values that a pair must share before its sketches are compared.
 COUNT = 3
+#: How often lists of one class and classes of too few lists are dropped in turn; it changes the cost only.
+PEELS = 2
 #: Hashes, cut to 32 bits, that a sketch keeps for the estimate.
 LONG = 192
 #: How far below the threshold an estimate may lie (six standard deviations), and where both sets are whole.
@@ -105,88 +109,119 @@ def estimate(a: Column, b: Column, whole: Column) -> Column:
     return F.size(F.array_intersect(F.array_intersect(union, a), b)) / F.size(union)
 
 
-def verified(a: Column, b: Column, size: int, percent: int) -> Column:
-    """Whether 100 * intersection >= percent * union holds on the full shingle sets of two texts."""
+def compared(a: Column, b: Column, size: int, least: Column, differences: bool) -> Column:
+    """struct<both, diff>: of the full shingle sets of two texts the size of the intersection, and the hashes of what
+    only one of them holds (none where fewer than ``least`` are common, or where they are not asked for)."""
 
-    @F.arrow_udf("boolean")
-    def linked(left: pa.Array, right: pa.Array) -> pa.Array:
-        out, last, mine = [], None, set()
+    @F.arrow_udf("struct<both:bigint,diff:array<bigint>>")
+    def compare(left: pa.Array, right: pa.Array, floor: pa.Array) -> pa.Array:
+        counts, diffs, last, mine = [], [], None, np.zeros(0, np.uint64)
         for i in range(len(left)):
             x, y = left[i].as_py(), right[i].as_py()
             if x != last:
-                last, mine = x, shingles_of(x, size)
-            other = shingles_of(y, size)
-            both = len(mine & other)
-            out.append(bool(both) and 100 * both >= percent * (len(mine) + len(other) - both))
-        return pa.array(out, pa.bool_())
+                last, mine = x, hashes_of(x, size)
+            other = hashes_of(y, size)
+            both = len(np.intersect1d(mine, other, assume_unique=True))
+            counts.append(both)
+            diffs.append(np.setxor1d(mine, other, assume_unique=True).view(np.int64) if differences and both >= floor[i].as_py() else np.zeros(0, np.int64))
+        ends = np.cumsum([0, *map(len, diffs)], dtype=np.int32)
+        flat = np.concatenate(diffs) if diffs else np.zeros(0, np.int64)
+        return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.ListArray.from_arrays(ends, flat)], ["both", "diff"])
 
-    return linked(a, b)
+    return compare(a, b, least)
 
 
-def similar_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of class ids those that pass the sketch estimate and are verified on whole texts."""
+def measured_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, least: int, differences: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Of pairs (a, b) of class ids those near at ``least`` per cent (a, b, na, nb, linked, diff), and all the others (a, b).
+
+    The sketch estimate filters them; what is left is compared on whole texts.
+    """
+    pairs = stored(pairs)
+    ends = pairs.select(F.xxhash64("a").alias("h")).union(pairs.select(F.xxhash64("b").alias("h"))).distinct()
+    classes = sieved(classes.select("rep", "n", "longer").withColumn("h", F.xxhash64("rep")), "h", native_sieve(ends, "h")).where("__in")
     one = classes.select(F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("longer").alias("sa"))
     two = classes.select(F.col("rep").alias("rb"), F.col("n").alias("nb"), F.col("longer").alias("sb"))
     close = pairs.join(one, F.col("a") == F.col("ra")).join(two, F.col("b") == F.col("rb"))
-    sized = F.lit(percent) * F.greatest("na", "nb") <= F.lit(100) * F.least("na", "nb")
+    sized = F.lit(least) * F.greatest("na", "nb") <= F.lit(100) * F.least("na", "nb")
     whole = (F.col("na") <= LONG) & (F.col("nb") <= LONG)
-    likely = estimate(F.col("sa"), F.col("sb"), whole) >= F.lit(percent / 100) - F.when(whole, WHOLE_MARGIN).otherwise(MARGIN)
-    near = stored(close.where(sized).where(likely).select("a", "b"))
+    likely = estimate(F.col("sa"), F.col("sb"), whole) >= F.lit(least / 100) - F.when(whole, WHOLE_MARGIN).otherwise(MARGIN)
+    judged = stored(close.select("a", "b", "na", "nb", (sized & likely).alias("likely")))
+    near = judged.where("likely").select("a", "b", "na", "nb")
     involved = near.select("a").union(near.select("b")).distinct().select(F.xxhash64("a").alias("h"))
     texts = docs.select(F.col("doc_id").alias("id"), whole_text().alias("text"), F.xxhash64("doc_id").alias("h"))
     texts = texts.where(sieve(involved, "h")).select("id", "text")
-    with_b = near.join(texts.select(F.col("id").alias("ib"), F.col("text").alias("tb")), F.col("b") == F.col("ib")).select("a", "b", "tb")
+    with_b = near.join(texts.select(F.col("id").alias("ib"), F.col("text").alias("tb")), F.col("b") == F.col("ib")).drop("ib")
     with_both = with_b.join(texts.select(F.col("id").alias("ia"), F.col("text").alias("ta")), F.col("a") == F.col("ia"))
-    return stored(with_both.where(verified(F.col("ta"), F.col("tb"), size, percent)).select("a", "b"))
+    enough = F.ceil(F.lit(least / 100 - 1e-9) * F.greatest("na", "nb"))
+    found = with_both.select("a", "b", "na", "nb", compared(F.col("ta"), F.col("tb"), size, enough, differences).alias("c"))
+    found = found.select("a", "b", "na", "nb", "c.*").withColumn("union", F.col("na") + F.col("nb") - F.col("both"))
+    linked = (F.col("both") > 0) & (100 * F.col("both") >= percent * F.col("union"))
+    found = stored(found.select("a", "b", "na", "nb", linked.alias("linked"), (100 * F.col("both") >= least * F.col("union")).alias("near"), "diff"))
+    return found.where("near").drop("near"), judged.where("not likely").select("a", "b").union(found.where("not near").select("a", "b"))
 
 
 def listed_values(classes: DataFrame, percent: int) -> DataFrame:
-    """Inverted lists (v, rep, n, own, level): of each class the rarest retained values that a partner must share COUNT of.
+    """Inverted lists (key, id, n, own, level, c): of each class the rarest retained values that a partner must share COUNT of.
 
     A list holds the classes of one value and size class (``level``), and those of the size
-    class below (``own``); a pair counts in the list of the larger of its size classes.
+    class below (``own``); a pair counts in the list of the larger of its size classes.  ``c`` is
+    the length of the list.
     """
     values = classes.where(F.col("n") * (100 - percent) >= percent)  # smaller sets have no other partner
     values = values.select("rep", "n", F.explode("sketch").alias("v"))
     held = values.groupBy("v").count().where("count > 1").select(F.col("v").alias("v2"), F.col("count").alias("df"))
-    known = values.join(held, F.col("v") == F.col("v2"), "left").select("rep", "n", "v", F.coalesce("df", F.lit(1)).alias("df"))
+    known = values.join(held, F.col("v") == F.col("v2")).drop("v2")
     whole = F.col("n") * 100 <= F.lit(K * percent)  # any partner's sketch is its whole set as well
     shared = F.when(whole, F.ceil(F.col("n") * percent / 100)).otherwise(F.lit(SHARED))
     kept = F.least("n", F.lit(K)) - shared + COUNT
-    place = F.row_number().over(W.partitionBy("rep").orderBy("df", "v"))
-    rows = known.withColumn("place", place).where((F.col("place") <= kept) & (F.col("df") > 1)).select("v", "rep", "n")
+    mine = W.partitionBy("rep")
+    # values that no other class retains are the rarest, and come first
+    place = F.least("n", F.lit(K)) - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("df", "v"))
+    rows = known.withColumn("place", place).where(F.col("place") <= kept).select("v", "rep", "n")
     # sets of the threshold differ in size by its inverse at most: lists are kept by size class, each class with the one below
     own = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     rows = rows.withColumn("own", own).withColumn("level", F.explode(F.array(F.col("own"), F.col("own") + 1)))
-    rows = rows.select(F.xxhash64("v", "level").alias("v"), "rep", "n", "own", "level")
-    several = rows.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.max((F.col("own") == F.col("level")).cast("int")).alias("has")).where("c > 1 and has = 1").select(F.col("v").alias("sv"))
-    return rows.join(several, F.col("v") == F.col("sv"), "left_semi")
+    rows = rows.select(F.xxhash64("v", "level").alias("key"), F.col("rep").alias("id"), "n", "own", "level")
+    for _ in range(PEELS):
+        # a list needs a second member; a class with fewer than COUNT lists shares COUNT with none
+        rows = stored(several(rows).withColumn("k", F.count(F.lit(1)).over(W.partitionBy("id", "level"))).where(F.col("k") >= COUNT).drop("k", "c"))
+    return several(rows)
+
+
+def several(rows: DataFrame) -> DataFrame:
+    """The rows of lists of two or more members, one of them of the list's own size class, with the length ``c``."""
+    counts = rows.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("c"), F.max((F.col("own") == F.col("level")).cast("int")).alias("has"))
+    return rows.join(counts.where("c > 1 and has = 1").select("k", "c"), F.col("key") == F.col("k")).drop("k")
+
+
+def classes_of(seen: DataFrame) -> DataFrame:
+    """rep, n, sketch, longer of every class of equal sets; only sets that may be repeated are dealt anew."""
+    rows = seen.where("n > 0 and doc_id is not null").withColumn("h", F.xxhash64("digest"))
+    counts = rows.groupBy("h").count().where("count > 1").select("h")
+    split = sieved(rows, "h", native_sieve(counts, "h"))
+    once = split.where("not __in").select(F.col("doc_id").alias("rep"), "n", "sketch", "longer")
+    again = split.where("__in").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("longer").alias("longer"))
+    return once.union(stored(again.select("rep", "n", "sketch", "longer")))
 
 
 def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
     seen = stored(docs.select("doc_id", sketches(whole_text(), size).alias("s")).select("doc_id", "s.*"))
-    classes = seen.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("longer").alias("longer"))
-    classes = stored(classes)
+    classes = classes_of(seen)
     lists = stored(listed_values(classes, percent))
-    # every list's members against its smallest one of the list's own size class
-    centre = lists.where("own = level").groupBy("v").agg(F.min("rep").alias("a"))
-    stars = lists.join(centre, "v").where("a != rep").groupBy("a", F.col("rep").alias("b")).count().where(F.col("count") >= COUNT).select("a", "b")
-    first = similar_pairs(stars, classes, docs, size, percent)
-    near = components(first)
-    # what still shares lists across components
-    members = lists.join(near, F.col("rep") == F.col("node"), "left").select("v", "rep", "n", "own", "level", F.coalesce("root", "rep").alias("comp"))
-    sizes = members.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("c"))
-    mixed = sizes.groupBy(F.col("v").alias("mv")).agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("mv", F.col("top.comp").alias("top"))
-    open_ = stored(members.join(mixed, F.col("v") == F.col("mv")).select("v", "rep", "n", "own", "level", "comp", (F.col("comp") == F.col("top")).alias("inside")))
-    few = open_.where("not inside").select(F.col("v").alias("v2"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("own").alias("own2"), F.col("comp").alias("comp2"))
-    sized = F.lit(percent) * F.greatest("n", "n2") <= F.lit(100) * F.least("n", "n2")
-    once = F.col("inside") | (F.col("rep") < F.col("rep2"))
-    across = open_.join(few, (F.col("v") == F.col("v2")) & (F.col("comp") != F.col("comp2")) & (F.greatest("own", "own2") == F.col("level")) & sized & once)
-    pairs = across.groupBy(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).count().where(F.col("count") >= COUNT).select("a", "b")
-    second = similar_pairs(pairs, classes, docs, size, percent)
+    hubs = stored(hubs_of(lists.where("own = level")))
+    # every list's members against its hub, the nearer ones with their differences from it
+    stars = lists.join(hubs, "key").where("hub != id").groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).count().where(F.col("count") >= COUNT).select("a", "b")
+    near, far = measured_pairs(stars, classes, docs, size, percent, 2 * percent - 100, differences=True)
+    first = near.where("linked").select("a", "b")
+    comps = components(first)
+    # what may still be linked across components
+    sized = lambda one, two: (F.greatest(one("own"), two("own")) == one("level")) & (F.lit(percent) * F.greatest(one("n"), two("n")) <= F.lit(100) * F.least(one("n"), two("n")))
+    pairs = across_lists(lists.drop("c"), ["id", "level"], hubs, near, far, comps, COUNT, sized)
+    second = measured_pairs(pairs, classes, docs, size, percent, percent)[0].where("linked").select("a", "b")
+    second = second.union(linked_by_difference(near, comps, percent))
     labels = components(first.union(second))
-    reps = classes.select(F.col("digest").alias("d2"), "rep")
+    reps = seen.where("n > 0 and doc_id is not null").groupBy(F.col("digest").alias("d2")).agg(F.min("doc_id").alias("rep"))
     placed = seen.join(reps, (F.col("digest") == F.col("d2")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
     rooted = placed.join(labels, F.col("rep") == F.col("node"), "left")
     component = F.coalesce("root", "rep", "doc_id")
