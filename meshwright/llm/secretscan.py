@@ -12,14 +12,20 @@ them the sum of c * log2(c), from which the Shannon entropy follows.  The thresh
 depends on the candidate's character class (hex, alphanumeric, or base64 with
 punctuation).  A candidate whose best window reaches its threshold is a span of kind
 ``entropy`` unless the allow-list covers it (paths and dotted or hyphenated words, UUIDs, runs of
-one repeated group) or a base span already holds part of it.
+one repeated group) or one base span holds all of it.
 
 Null text is empty and has no spans.  Only texts that hold a candidate or a keyword are
-looked at closely; the test for that reads every whole text.  Extra columns are left alone.
+looked at closely; the test for that reads every whole text.  Very long texts are read whole, and
+take time in proportion to their length: no pattern backtracks over nested groups, arrays are bound once,
+and running totals are kept by chunks.  Repeated rows and ties (spans of several kinds at
+one place) all stay, by start, then kind.  An empty table gives an empty result.  Extra columns are left alone,
+whatever their names (but for ``__base`` and ``__spans``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,30 +44,56 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WINDOW = 20
 #: Least entropy (bits) of the best window by character class.
 LEAST = {"hex": 2.9, "alnum": 3.5, "base64": 3.7}
-#: Candidates that are no secrets: UUIDs, words and numbers joined by hyphens, slashes or underscores, one group repeated.
-ALLOWED = [
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^[/_=+-]*([A-Za-z]+|[0-9]+)([/_=+-]+([A-Za-z]+|[0-9]+))*[/_=+-]*$",
-    r"^(.{1,8}?)\1+.{0,8}$",
-]
+#: Candidates that are no secrets: UUIDs, and one group repeated.
+ALLOWED = [r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", r"^(.{1,8}?)\1+.{0,8}$"]
+#: What candidates other than words and numbers joined by hyphens, slashes or underscores hold.
+MIXED = r"[A-Za-z][0-9]|[0-9][A-Za-z]"
+#: Elements of a chunk of a running total.
+CHUNK = 256
 SPAN = "array<struct<start:int,stop:int,kind:string,place:int>>"
 PLACES = {"assign": 0, "access": 1, "hex": 2, "entropy": 3}
 
 
-def _spans(text: Column, pattern: str) -> Column:
-    """All matches of a pattern as spans with their text; gaps between matches come from splitting at them."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,text:string>>").alias("out"))
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, wherever the optimizer moves the whole."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def running(parts: Column, fields: dict[str, str], value: Callable[[Column], Column], join: Callable[[Column, Column], Column]) -> Column:
+    """``parts`` (an array of structs of ``fields``, names and types) with ``before``: the joined values (int) of all earlier parts, from 0.
+
+    Chunks are totalled first, and then gone through from the total before each, so that no step copies more than a chunk.
+    """
+    schema = f"array<struct<{','.join(f'{k}:{t}' for k, t in fields.items())},before:int>>"
+    none = F.array().cast(schema)
+
+    def total(chunk: Column) -> Column:
+        return F.aggregate(chunk, F.lit(0), lambda at, p: join(at, value(p)))
+
+    def carried(chunks: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(F.transform(chunks, total), start, lambda s, t: F.struct(join(s["at"], t).alias("at"), F.array_append(s["out"], s["at"]).alias("out")), lambda s: s["out"])
 
-    def step(state: Column, i: Column) -> Column:
-        first = state["at"] + F.length(F.get(gaps, i))
-        last = first + F.length(F.get(found, i))
-        one = F.struct(first.alias("start"), last.alias("stop"), F.get(found, i).alias("text"))
-        return F.struct(last.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
+    def through(chunk: Column, at: Column) -> Column:
+        start = F.struct(at.alias("at"), none.alias("out"))
+        one = lambda s, p: F.struct(*[p[k].alias(k) for k in fields], s["at"].alias("before"))
+        return F.aggregate(chunk, start, lambda s, p: F.struct(join(s["at"], value(p)).alias("at"), F.array_append(s["out"], one(s, p)).alias("out")), lambda s: s["out"])
 
-    none = F.array().cast("array<struct<start:int,stop:int,text:string>>")
-    return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step)["out"]).otherwise(none)
+    def whole(all_parts: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_parts) - 1) / CHUNK).cast("int")), lambda c: F.slice(all_parts, c * CHUNK + 1, F.lit(CHUNK)))
+        return F.when(F.size(all_parts) > 0, let(chunks, lambda cs: F.flatten(F.zip_with(cs, carried(cs), through)))).otherwise(none)
+
+    return let(parts, whole)
+
+
+def _spans(text: Column, pattern: str) -> Column:
+    """All matches of a pattern as spans (start, stop, text); gaps between matches come from splitting at them."""
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    parts = F.filter(F.zip_with(found, gaps, lambda m, g: F.struct(g.alias("gap"), F.length(m).alias("size"), m.alias("text"))), lambda p: p["text"].isNotNull())
+    placed = running(parts, {"gap": "int", "size": "int", "text": "string"}, lambda p: p["gap"] + p["size"], lambda x, y: x + y)
+    first = lambda p: p["before"] + p["gap"]
+    return F.transform(placed, lambda p: F.struct(first(p).alias("start"), (first(p) + p["size"]).alias("stop"), p["text"].alias("text")))
 
 
 def _long_enough(pattern: str, group: int, least: int):
@@ -84,32 +116,40 @@ def base_spans(text: Column) -> Column:
 
 def best_window(candidate: Column, window: int = WINDOW) -> Column:
     """The largest Shannon entropy of any window of a candidate, from counts kept incrementally."""
-    chars = F.split(candidate, "")
     slot = lambda c: F.position(c, F.lit(ALPHABET)) - 1
-    codes = F.transform(F.slice(chars, 1, F.length(candidate)), slot)
+    codes = F.transform(F.filter(F.split(candidate, ""), lambda c: c != ""), slot)
     xlog = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
-    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
+    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0).alias("seen"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
+
+    def put(counts: Column, at: Column, value: Column) -> Column:
+        return F.concat(F.slice(counts, F.lit(1), at), F.array(value), F.slice(counts, at + 2, F.lit(len(ALPHABET))))
+
+    def step(state: Column, x: Column) -> Column:
+        had, lost = F.get(state["n"], x["comes"]), F.when(x["goes"] >= 0, F.get(state["n"], x["goes"])).otherwise(F.lit(0))
+        same = x["comes"] == x["goes"]
+        left = F.when(x["goes"] >= 0, xlog(lost - 1) - xlog(lost)).otherwise(F.lit(0.0))
+        total = F.when(same, state["s"]).otherwise(state["s"] + xlog(had + 1) - xlog(had) + left)
+        more = put(state["n"], x["comes"], had + 1)
+        counts = F.when(same, state["n"]).when(x["goes"] >= 0, let(more, lambda n: put(n, x["goes"], lost - 1))).otherwise(more)
+        entropy = F.when(state["seen"] >= window - 1, F.log2(F.lit(float(window))) - total / F.lit(float(window))).otherwise(F.lit(0.0))
+        return F.struct(counts.alias("n"), (state["seen"] + 1).alias("seen"), total.alias("s"), F.greatest(state["best"], entropy).alias("best"))
 
-    def step(state: Column, i: Column) -> Column:
-        comes = F.get(codes, i)
-        goes = F.when(i >= window, F.get(codes, i - window)).otherwise(F.lit(-1))
-        had, lost = F.get(state["n"], comes), F.when(goes >= 0, F.get(state["n"], goes)).otherwise(F.lit(0))
-        same = comes == goes
-        total = F.when(same, state["s"]).otherwise(state["s"] + xlog(had + 1) - xlog(had) + F.when(goes >= 0, xlog(lost - 1) - xlog(lost)).otherwise(F.lit(0.0)))
-        counts = F.when(same, state["n"]).otherwise(F.transform(state["n"], lambda c, j: c + F.when(j == comes, 1).otherwise(0) - F.when(j == goes, 1).otherwise(0)))
-        entropy = F.when(i >= window - 1, F.log2(F.lit(float(window))) - total / F.lit(float(window))).otherwise(F.lit(0.0))
-        return F.struct(counts.alias("n"), total.alias("s"), F.greatest(state["best"], entropy).alias("best"))
+    def slide(all_codes: Column) -> Column:
+        before = F.slice(F.concat(F.array_repeat(F.lit(-1), window), all_codes), F.lit(1), F.size(all_codes))
+        return F.aggregate(F.zip_with(all_codes, before, lambda c, g: F.struct(c.alias("comes"), g.alias("goes"))), start, step, lambda s: s["best"])
 
-    return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, step)["best"]
+    return let(codes, slide)
 
 
 def entropy_spans(text: Column, base: Column) -> Column:
-    """Candidates of high entropy that neither the allow-list nor a base span covers."""
-    word = lambda m: m["text"]
-    least = lambda m: F.when(word(m).rlike("^([0-9a-f]+|[0-9A-F]+)$"), LEAST["hex"]).when(word(m).rlike("^[A-Za-z0-9]+$"), LEAST["alnum"]).otherwise(LEAST["base64"])
-    free = lambda m: ~F.exists(base, lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"]))
-    unlisted = lambda m: ~(word(m).rlike(ALLOWED[0]) | word(m).rlike(ALLOWED[1]) | word(m).rlike(ALLOWED[2]))
-    kept = F.filter(_spans(text, CANDIDATE), lambda m: F.when(free(m) & unlisted(m), best_window(word(m)) >= least(m)).otherwise(F.lit(False)))
+    """Candidates of high entropy that neither the allow-list nor one base span covers."""
+    least = lambda w: F.when(w.rlike("^([0-9a-f]+|[0-9A-F]+)$"), LEAST["hex"]).when(w.rlike("^[A-Za-z0-9]+$"), LEAST["alnum"]).otherwise(LEAST["base64"])
+    secret = lambda w: F.when(w.rlike(MIXED) & ~w.rlike(ALLOWED[0]) & ~w.rlike(ALLOWED[1]), best_window(w) >= least(w)).otherwise(F.lit(False))
+    one = lambda m, later, word: F.struct(m["start"].alias("start"), F.lit(later).alias("later"), m["stop"].alias("stop"), word.alias("text"))
+    events = F.sort_array(F.concat(F.transform(base, lambda m: one(m, 0, F.lit(""))), F.transform(_spans(text, CANDIDATE), lambda m: one(m, 1, m["text"]))))
+    # how far the base spans reach that begin no later
+    reached = running(events, {"start": "int", "later": "int", "stop": "int", "text": "string"}, lambda e: F.when(e["later"] == 0, e["stop"]).otherwise(0), lambda x, y: F.greatest(x, y))
+    kept = F.filter(reached, lambda e: F.when((e["later"] == 1) & (e["before"] < e["stop"]), secret(e["text"])).otherwise(F.lit(False)))
     return F.when(text.rlike(CANDIDATE), F.transform(kept, _as("entropy"))).otherwise(F.array().cast(SPAN))
 
 
@@ -127,17 +167,15 @@ def listed(spans: Column) -> Column:
 def redact(df: DataFrame, mark: str = "[secret]", text: str = "text") -> DataFrame:
     """Replace every span (overlapping ones together) by a mark; all other text and all columns stay."""
     found = scan(df, text)
-    whole = F.col(text)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    merged = running(F.col("__spans"), {"start": "int", "stop": "int"}, lambda x: x["stop"], lambda x, y: F.greatest(x, y))
+    bound = F.struct(F.filter(F.split(text, ""), lambda c: c != "").alias("chars"), merged.alias("spans"))
 
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        out = F.when(fresh, F.concat(state["out"], F.substring(whole, state["at"] + 1, s["start"] - state["at"]), F.lit(mark))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["stop"]).alias("at"), out.alias("out"))
+    def masked(v: Column) -> Column:
+        kept = lambda a, b: F.array_join(F.slice(v["chars"], a + 1, b - a), "")
+        pieces = F.transform(v["spans"], lambda x: F.when(x["start"] >= x["before"], F.concat(kept(x["before"], x["start"]), F.lit(mark))).otherwise(F.lit("")))
+        return F.concat(F.array_join(pieces, ""), kept(F.array_max(F.transform(v["spans"], lambda x: x["stop"])), F.size(v["chars"])))
 
-    folded = F.aggregate("__spans", start, step)
-    done = F.concat(folded["out"], F.substring(whole, folded["at"] + 1, F.length(whole)))
-    return found.withColumn(text, F.when(F.size("__spans") > 0, done).otherwise(whole)).select(*df.columns)
+    return found.withColumn(text, F.when(F.size("__spans") > 0, let(bound, masked)).otherwise(F.col(text))).select(*df.columns)
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
