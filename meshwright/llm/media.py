@@ -10,8 +10,9 @@ medium is read back.
 
 Which chunks are shared is looked up in a sieve of fixed size; it may send a chunk
 through the store that nobody shares, which changes nothing but the way it takes.
-Null text is empty: its payload is one unit of padding.  Equal texts give equal
-media; hot chunks and groups of copies are stored once.
+Null text is empty: its payload is one unit of padding.  Very long texts are cut whole, into
+chunks of bounded size.  Equal texts give equal media, repeated rows stay rows of their own;
+hot chunks and groups of copies are stored once.  An empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meshwright.llm.common import in_sieve, sieve_bits, stored, table, whole_text
 
@@ -33,10 +36,11 @@ from meshwright.llm.common import in_sieve, sieve_bits, stored, table, whole_tex
 UNIT = 192
 #: Least and most bytes of a chunk, and the low bits of the rolling hash that are zero at a cut.
 LEAST, MOST, MASK = 512, 8192, np.uint32((1 << 10) - 1)
+#: Rows that a worker holds at once.
+ROWS = 256
 #: The gear table: a number for each byte, from a rule.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 192) for b in range(256)], dtype=np.uint32)
 MAGIC = b"CDC1"
-CHUNKS = "array<struct<digest:binary,body:binary>>"
 HEAD, ENTRY = "<4sQI", "<I16s"
 HEAD_SIZE, ENTRY_SIZE = struct.calcsize(HEAD), struct.calcsize(ENTRY)
 
@@ -82,23 +86,30 @@ def key_of(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
-def digest_keys(text: Column) -> Column:
-    """The first 64 bits of the digests of a text's chunks."""
+def by_rows(batches: Iterator[pa.RecordBatch], make: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Work through Arrow batches a few rows at a time and give unused memory back, so that a worker stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield make(batch.slice(at, ROWS))
+        pa.default_memory_pool().release_unused()
 
-    @F.arrow_udf("array<bigint>")
-    def keys(texts: pa.Array) -> pa.Array:
-        return pa.array([[key_of(digest_of(c)) for c in chunks(payload_of(x.as_py()))] for x in texts], pa.list_(pa.int64()))
 
-    return keys(text)
+def digest_keys(rows: DataFrame) -> DataFrame:
+    """(key): the first 64 bits of the digest of every chunk of every text."""
 
+    def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [key_of(digest_of(c)) for x in batch.column("text") for c in chunks(payload_of(x.as_py()))]
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["key"])
 
-def chunk_list(text: Column, shared: Broadcast) -> Column:
-    """struct<media, chunks>: a digest of the whole payload, and its chunks in order; the body is null where the sieve holds it."""
+    return rows.select("text").mapInArrow(lambda batches: by_rows(batches, keys), "key long")
 
-    @F.arrow_udf(f"struct<media:binary,chunks:{CHUNKS}>")
-    def cut(texts: pa.Array) -> pa.Array:
+
+def chunk_lists(rows: DataFrame, shared: Broadcast) -> DataFrame:
+    """``rows`` with its text replaced by ``media``, a digest of the whole payload, and ``chunks`` in order; the body is null where the sieve holds it."""
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         media, lists, digests, bodies = [], [0], [], []
-        for x in texts:
+        for x in batch.column("text"):
             data = payload_of(x.as_py())
             parts = chunks(data)
             media.append(digest_of(data))
@@ -108,25 +119,29 @@ def chunk_list(text: Column, shared: Broadcast) -> Column:
             bodies += [None if hit else c for c, hit in zip(parts, common.tolist(), strict=True)]
             lists.append(len(digests))
         inner = pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(bodies, pa.binary())], ["digest", "body"])
-        return pa.StructArray.from_arrays([pa.array(media, pa.binary()), pa.ListArray.from_arrays(pa.array(lists, pa.int32()), inner)], ["media", "chunks"])
+        kept = [name for name in batch.schema.names if name != "text"]
+        return pa.RecordBatch.from_arrays([*(batch.column(name) for name in kept), pa.array(media, pa.binary()), pa.ListArray.from_arrays(pa.array(lists, pa.int32()), inner)], [*kept, "media", "chunks"])
 
-    return cut(text)
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "text"]).add("media", "binary").add("chunks", T.ArrayType(T.StructType().add("digest", "binary").add("body", "binary")))
+    return rows.mapInArrow(lambda batches: by_rows(batches, cut), schema)
 
 
-def shared_bodies(text: Column, shared: Broadcast) -> Column:
-    """The chunks of a text that the sieve holds, with their bodies."""
+def shared_bodies(rows: DataFrame, shared: Broadcast) -> DataFrame:
+    """(digest, body) of the chunks of all texts that the sieve holds."""
 
-    @F.arrow_udf(CHUNKS)
-    def bodies(texts: pa.Array) -> pa.Array:
-        out = []
-        for x in texts:
+    def bodies(batch: pa.RecordBatch) -> pa.RecordBatch:
+        digests, found = [], []
+        for x in batch.column("text"):
             parts = chunks(payload_of(x.as_py()))
             own = [digest_of(c) for c in parts]
             common = in_sieve(np.array([key_of(d) for d in own], dtype=np.int64), shared.value)
-            out.append([{"digest": d, "body": c} for d, c, hit in zip(own, parts, common.tolist(), strict=True) if hit])
-        return pa.array(out, pa.list_(pa.struct([("digest", pa.binary()), ("body", pa.binary())])))
+            for digest, body, hit in zip(own, parts, common.tolist(), strict=True):
+                if hit:
+                    digests.append(digest)
+                    found.append(body)
+        return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(found, pa.binary())], ["digest", "body"])
 
-    return bodies(text)
+    return rows.select("text").mapInArrow(lambda batches: by_rows(batches, bodies), "digest binary, body binary")
 
 
 def built(own: list[dict], found: list[bytes]) -> bytes:
@@ -137,16 +152,6 @@ def built(own: list[dict], found: list[bytes]) -> bytes:
     return b"".join([head, *(struct.pack(ENTRY, len(b), d) for d, b in parts), *(b for _, b in parts)])
 
 
-def assemble(listed: Column, found: Column) -> Column:
-    """The stored medium from an ordered chunk list and the bodies that the store gave, in their order."""
-
-    @F.arrow_udf("binary")
-    def build(lists: pa.Array, stores: pa.Array) -> pa.Array:
-        return pa.array([built(own.as_py(), more.as_py() or []) for own, more in zip(lists, stores, strict=True)], pa.binary())
-
-    return build(listed, found)
-
-
 def read_back(media: bytes) -> tuple[bytes, int]:
     """Payload and number of chunks of a stored medium; raises where a chunk is not what its digest says."""
     magic, size, n = struct.unpack_from(HEAD, media)
@@ -177,42 +182,48 @@ def facts_of(medium: bytes) -> dict:
     return {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]), "media_bytes": len(medium), "media_sha256": hashlib.sha256(medium).hexdigest(), "feature": feature}
 
 
-FACTS = "struct<payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,media_bytes:bigint,media_sha256:string,feature:string>"
+FACTS = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
 
 
-def features(media: Column) -> Column:
-    """The facts of a column of stored media."""
+def media_of(batch: pa.RecordBatch) -> Iterator[bytes]:
+    """The stored media of rows of chunk lists and of the bodies that the store gave, in their order."""
+    for own, more in zip(batch.column("chunks"), batch.column("bodies"), strict=True):
+        yield built(own.as_py(), more.as_py() or [])
 
-    @F.arrow_udf(FACTS)
-    def read(column: pa.Array) -> pa.Array:
-        return _facts([facts_of(x.as_py()) for x in column])
 
-    return read(media)
+def assembled(rows: DataFrame) -> DataFrame:
+    """``rows`` (with chunks and bodies) with the stored ``medium`` in their place."""
+    kept = [c for c in rows.columns if c not in ("chunks", "bodies")]
 
+    def build(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(media_of(batch), pa.binary())], [*kept, "medium"])
 
-def assembled_features(listed: Column, found: Column) -> Column:
-    """The facts of media that are put together and read back in one pass, so that no medium crosses to another worker."""
+    schema = T.StructType([rows.schema[c] for c in kept]).add("medium", "binary")
+    return rows.mapInArrow(lambda batches: by_rows(batches, build), schema)
 
-    @F.arrow_udf(FACTS)
-    def read(lists: pa.Array, stores: pa.Array) -> pa.Array:
-        return _facts([facts_of(built(own.as_py(), more.as_py() or [])) for own, more in zip(lists, stores, strict=True)])
 
-    return read(listed, found)
+def assembled_features(rows: DataFrame) -> DataFrame:
+    """``rows`` (with chunks and bodies) with the facts of their media in their place; these are put together and read back in one pass."""
+    kept = [c for c in rows.columns if c not in ("chunks", "bodies")]
 
+    def read(batch: pa.RecordBatch) -> pa.RecordBatch:
+        facts = [facts_of(m) for m in media_of(batch)]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array([f[k] for f in facts], t) for k, t in FACTS)], [*kept, *(k for k, _ in FACTS)])
 
-def _facts(rows: list[dict]) -> pa.Array:
-    return pa.array(rows, pa.struct([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]))
+    schema = T.StructType([rows.schema[c] for c in kept])
+    for k, t in FACTS:
+        schema = schema.add(k, "long" if t == pa.int64() else "string")
+    return rows.mapInArrow(lambda batches: by_rows(batches, read), schema)
 
 
 def chunked(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, chunks and bodies of every row of ``docs`` (doc_id, text): its ordered chunk list, and from the store what that lacks."""
-    text = whole_text()
-    rows = docs.select("doc_id", text.alias("text"))
-    used = rows.select(F.explode(digest_keys(F.col("text"))).alias("key")).groupBy("key").count()
+    rows = docs.select("doc_id", whole_text().alias("text"))
+    used = digest_keys(rows).groupBy("key").count()
     shared = sieve_bits(used.where("count > 1").select("key"), "key")
     # chunk store: one body for each digest
-    store = stored(rows.select(F.explode(shared_bodies(F.col("text"), shared)).alias("c")).groupBy("c.digest").agg(F.first("c.body").alias("body")))
-    listed = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), chunk_list(F.col("text"), shared).alias("l")).select("doc_id", "n_bytes", "l.media", "l.chunks")
+    store = stored(shared_bodies(rows, shared).groupBy("digest").agg(F.first("body").alias("body")))
+    listed = stored(chunk_lists(rows.withColumn("n_bytes", F.octet_length("text").cast("long")), shared))
     refers = F.exists("chunks", lambda c: c["body"].isNull())
     whole = listed.where(~refers).select("doc_id", "n_bytes", "chunks", F.array().cast("array<binary>").alias("bodies"))
     partly = listed.where(refers)
@@ -225,10 +236,9 @@ def chunked(docs: DataFrame) -> DataFrame:
 
 def store_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and ``medium`` (the stored form) of every row of ``docs`` (doc_id, text)."""
-    return chunked(docs).select("doc_id", "n_bytes", assemble(F.col("chunks"), F.col("bodies")).alias("medium"))
+    return assembled(chunked(docs))
 
 
 def op1_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of every document."""
-    rows = chunked(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "n_bytes", assembled_features(F.col("chunks"), F.col("bodies")).alias("f")).select("doc_id", "n_bytes", "f.*")
+    return assembled_features(chunked(table(spark, sf_dir, "documents")))
