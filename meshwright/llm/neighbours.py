@@ -10,8 +10,10 @@ when the lower bound of its distance is within the K-th smallest upper bound see
 
 Every row is indexed.  Queries are broadcast in passes of a bounded number, and each
 pass reads the index once, so that neither side has to fit anywhere whole.  Vectors
-that are null, zero, hold null or non-finite components, or have another length than most, take
-no part; ties go to the smaller vec_id, repeated rows stay rows of their own.
+that are null, zero, hold null or non-finite components, or have another length than most (no distance is
+defined between lengths), take no part.  Components too large for an estimate are compared exactly; a distance that
+overflows is infinite and comes last.  Ties go to the smaller vec_id, repeated rows stay rows of their own; an
+empty table, or one without queries, gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -33,6 +35,10 @@ PASS = 4096
 #: Rows compared with the queries of a pass at once.
 ROWS = 1024
 SEED = 7
+#: Rows with a component as large as this do not count for the centre.
+HUGE = 1e100
+#: What a product in single precision may be off by, relative to its largest terms.
+SINGLE = 1e-6
 
 
 def rotation(size: int, seed: int = SEED) -> np.ndarray:
@@ -56,8 +62,10 @@ def mean_of(rows: DataFrame, size: int) -> np.ndarray:
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total = 0, np.zeros(size)
         for batch in batches:
-            n += batch.num_rows
-            total += matrix(batch.column("vector"), size).sum(axis=0)
+            part = matrix(batch.column("vector"), size)
+            part = part[(np.abs(part) < HUGE).all(axis=1)]
+            n += len(part)
+            total += part.sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tolist()], pa.list_(pa.float64()))], ["n", "total"])
 
     added = rows.select("vector").mapInArrow(sums, "n long, total array<double>").agg(F.sum("n").alias("n"), *[F.sum(F.get("total", F.lit(i))).alias(f"t{i}") for i in range(size)]).collect()[0]
@@ -71,11 +79,14 @@ def matrix(column: pa.Array, size: int) -> np.ndarray:
 def codes(vector: Column, centre: np.ndarray, size: int) -> Column:
     """struct<code, norm, dot>: packed signs, distance from the centre, inner product of unit vector and code."""
 
+    turn = rotation(size)
+
     @F.arrow_udf("struct<code:binary,norm:double,dot:double>")
     def encode(column: pa.Array) -> pa.Array:
-        away = matrix(column, size) - centre
-        norm = np.linalg.norm(away, axis=1)
-        unit = away / np.where(norm > 0, norm, 1.0)[:, None] @ rotation(size)
+        with np.errstate(over="ignore", invalid="ignore"):
+            away = matrix(column, size) - centre
+            norm = np.linalg.norm(away, axis=1)
+            unit = np.nan_to_num(away / np.where(norm > 0, norm, 1.0)[:, None]) @ turn
         packed = np.packbits(unit > 0, axis=1)
         dot = np.abs(unit).sum(axis=1) / np.sqrt(size)
         return pa.StructArray.from_arrays([pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(norm), pa.array(dot)], ["code", "norm", "dot"])
@@ -84,17 +95,23 @@ def codes(vector: Column, centre: np.ndarray, size: int) -> Column:
 
 
 def bounds(code: np.ndarray, norm: np.ndarray, dot: np.ndarray, queries: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of the squared distances of rows (packed codes) to rotated, centred queries."""
-    signs = np.unpackbits(code, axis=1, count=size).astype(np.float64) * 2 - 1
-    reach = np.linalg.norm(queries, axis=1)
-    unit = queries / np.where(reach > 0, reach, 1.0)[:, None]
-    safe = np.where(dot > 0, dot, 1.0)
-    inner = signs @ unit.T / np.sqrt(size) / safe[:, None]
-    error = BOUND * np.sqrt(np.maximum(0.0, 1 - safe**2) / safe**2 / max(1, size - 1))
-    both = 2 * norm[:, None] * reach[None, :]
-    middle = norm[:, None] ** 2 + reach[None, :] ** 2 - both * inner
-    slack = both * error[:, None] + 1e-9
-    return middle - slack, middle + slack
+    """Lower and upper bounds of the squared distances of rows (packed codes) to rotated, centred queries.
+
+    A sign is a bit, so that the inner product with a code is twice the sum over its set bits less the sum over all.
+    Where a number is too large for an estimate the bounds are infinite, and the row is reranked.
+    """
+    bits = np.unpackbits(code, axis=1, count=size).astype(np.float32)
+    with np.errstate(over="ignore", invalid="ignore"):
+        reach = np.linalg.norm(queries, axis=1)
+        unit = np.nan_to_num(queries / np.where(reach > 0, reach, 1.0)[:, None])
+        safe = np.where(dot > 0, dot, 1.0)
+        inner = (2 * (bits @ unit.T.astype(np.float32)).astype(np.float64) - unit.sum(axis=1)) / np.sqrt(size) / safe[:, None]
+        error = BOUND * np.sqrt(np.maximum(0.0, 1 - safe**2) / safe**2 / max(1, size - 1)) + SINGLE * np.sqrt(size)
+        both = 2 * norm[:, None] * reach[None, :]
+        far = norm[:, None] ** 2 + reach[None, :] ** 2
+        middle, slack = far - both * inner, both * error[:, None] + 1e-9 * far
+        low, high = middle - slack, middle + slack
+    return np.where(np.isfinite(low), low, -np.inf), np.where(np.isfinite(high), high, np.inf)
 
 
 class Nearest:
@@ -115,7 +132,8 @@ class Nearest:
         distance = np.empty(len(r))
         for at in range(0, len(r), 50_000):
             part = slice(at, at + 50_000)
-            distance[part] = np.sqrt(((rows[r[part]] - self.vectors[q[part]]) ** 2).sum(axis=1))
+            with np.errstate(over="ignore"):
+                distance[part] = np.sqrt(((rows[r[part]] - self.vectors[q[part]]) ** 2).sum(axis=1))
         query, key, far = (np.concatenate(x) for x in zip(self.found, (q, keys[r], distance), strict=True))
         order = np.lexsort((key, far, query))
         query, key, far = query[order], key[order], far[order]
