@@ -18,6 +18,7 @@ ties and null doc_ids are placed like any others: equal rows get consecutive pla
 from __future__ import annotations
 
 import functools
+import re
 import string
 import unicodedata
 import zlib
@@ -46,9 +47,13 @@ LONGER = 1.0
 #: How fast a covered length loses weight.
 RATE = 4.0
 #: Words remembered by one Python worker before its memo is emptied.
-MEMO = 900_000
+MEMO = 1_400_000
 #: Closing marks: to the tokenizer a run of its own after letters.
 MARKS = string.punctuation.encode()
+#: A lower-cased ASCII word of letters, with or without closing marks.
+SHAPE = re.compile(rb"([a-z]+)[" + re.escape(MARKS) + rb"]*").fullmatch
+#: Words encoded at once.
+JOINED = 2000
 
 PIECES = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
 
@@ -83,33 +88,34 @@ class WordIds:
             self.memo[word] = ids[at : (at := at + 4 * len(own))]
 
     def learn(self, words: list[bytes]) -> None:
-        """Encode words: those of letters joined by blanks, many at a time, their closing marks apart, the others one by one.
+        """Encode words: those of letters, with or without closing marks, joined by blanks, many at a time, the others one by one.
 
-        A word of letters is one run to the tokenizer and ends in one word-end id.  Where the
-        number of these ids in a joined text is not that of its words, they are encoded singly.
+        A word of letters is one run to the tokenizer, its closing marks are another, and each run ends in one
+        word-end id.  Where the number of these ids in a joined text is not that of its runs, its words are encoded singly.
         """
-        plain, ended, other = [], [], []
+        joined, runs, other = [], [], []
         for word in words:
-            if letters(word):
-                plain.append(word)
-            elif (core := word.rstrip(MARKS)) and core != word and letters(core):
-                ended.append((word, core, word[len(core) :]))
+            shape = SHAPE(word)
+            if shape:
+                joined.append(word)
+                runs.append(2 if shape.end(1) < len(word) else 1)
+            elif not word.isascii() and (core := word.rstrip(MARKS)) and letters(core):
+                joined.append(word)
+                runs.append(1 if core == word else 2)
             else:
                 other.append(word)
-        plain += {core for _, core, _ in ended} - self.memo.keys() - set(plain)
-        other += {marks for _, _, marks in ended} - self.memo.keys() - set(other)
-        for at in range(0, len(plain), 500):
-            group = plain[at : at + 500]
-            joined = np.array(self.batch([b" ".join(group).decode()])[0], dtype="<u4")
-            ends = (4 * np.flatnonzero(self.is_end[joined]) + 4).tolist()
-            if len(ends) == len(group):
-                ids = joined.tobytes()
-                self.memo.update(zip(group, [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+        for at in range(0, len(joined), JOINED):
+            group = joined[at : at + JOINED]
+            found = np.array(self.batch([b" ".join(group).decode()])[0], dtype="<u4")
+            ends, last = 4 * np.flatnonzero(self.is_end[found]) + 4, np.cumsum(runs[at : at + JOINED]) - 1
+            if len(ends) == last[-1] + 1:
+                ids, stops = found.tobytes(), ends[last].tolist()
+                self.memo.update(zip(group, map(ids.__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
             else:
                 other += group
-        self.keep(other, self.batch([w.decode() for w in other]))
-        for word, core, marks in ended:
-            self.memo[word] = self.memo[core] + self.memo[marks]
+        for at in range(0, len(other), JOINED):
+            group = other[at : at + JOINED]
+            self.keep(group, self.batch([w.decode() for w in group]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > MEMO:
