@@ -66,7 +66,7 @@ def sample_metrics(fraction: Column, terrain_m: Column, distance_m: Column, heig
     d2 = distance_m - d1
     line = height1_m + (height2_m - height1_m) * fraction
     curve = d1 * d2 / _d(2 * effective_radius_m)
-    radius = F.sqrt(_d(wavelength_m) * d1 * d2 / distance_m)
+    radius = F.sqrt(_d(wavelength_m) * d1 * d2 / F.when(distance_m > 0, distance_m).otherwise(_d(1)))
     geometric = line - curve - terrain_m
     share = F.when(radius > 0, F.greatest(_d(0), F.least(_d(1), (radius - geometric) / F.when(radius > 0, radius).otherwise(_d(1))))).otherwise(F.when(geometric < 0, _d(1)).otherwise(_d(0)))
     return F.struct(d1.alias("d1"), d2.alias("d2"), radius.alias("fresnel"), geometric.alias("geometric"), (geometric - radius).alias("clearance"), share.alias("obstruction"))

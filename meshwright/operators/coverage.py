@@ -76,7 +76,8 @@ def tower_coverage(cells: DataFrame, sources: DataFrame, raster: dem.Raster, con
     radius = min(radius_m or config.max_coverage_radius_m, config.max_coverage_radius_m)
     left = cells.select(F.col("cell").alias("id"), "lat", "lon", F.col("elevation").alias("ground"))
     right = dedupe_sources(sources).select("id", "lat", "lon", "ground", "ord")
-    reach = spatial.range_join(left, right, radius).withColumn("id", F.struct(F.col("id1").alias("cell"), F.col("id2").alias("source"), F.col("ord2").alias("ord")))
+    # the tower's end, with the mast, is the first of a link
+    reach = spatial.range_join(right, left, radius).withColumn("id", F.struct(F.col("id2").alias("cell"), F.col("id1").alias("source"), F.col("ord1").alias("ord")))
     tested = los.shadow_links(reach, raster, config).select("id.cell", "id.source", "id.ord", "distance_m", "path_loss_db", "clearance_m", "visible")
     best = aggregate_links(tested.where("visible").drop("visible"))
     any_ = tested.groupBy(F.col("cell").alias("ac")).agg(F.min_by("source", F.struct("distance_m", "ord")).alias("any_id"), F.min("distance_m").alias("any_m"))

@@ -7,12 +7,12 @@ estimate and shuffles a large one.  North is at row 0.
 from __future__ import annotations
 
 import dataclasses
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshwright.functions import geo, grid
-from meshwright.operators.stage import cut
 
 
 @dataclasses.dataclass(frozen=True)
@@ -75,16 +75,28 @@ def pixel_cells(raster: Raster, resolution: int) -> DataFrame:
 
 
 def touched_cells(raster: Raster, resolution: int) -> DataFrame:
-    """As ``pixel_cells``, but a pixel belongs to every cell that its centre or a corner lies in."""
-    rows = pixel_cells(raster, resolution)
-    half = F.lit(raster.px / 2)
-    at = F.array_distinct(F.array("cell", *[grid.cell_of(F.col("lat") + half * i, F.col("lon") + half * j, resolution) for i in (-1, 1) for j in (-1, 1)]))
-    return rows.withColumn("cell", F.explode(at))
+    """As ``pixel_cells``, but a pixel belongs to every cell whose hexagon its rectangle overlaps.
+
+    Cells near a pixel's own are tried; hexagon and rectangle overlap where no edge direction of either separates them.
+    """
+    edge, half = grid.edge_m(resolution), raster.px / 2 * geo.METRES_PER_DEGREE
+    wide, inner = half * grid._COS0, edge * grid.ROOT3 / 2
+    reach = math.ceil(math.hypot(half, wide) / (1.5 * edge)) + 1
+    tried = pixel_cells(raster, resolution).withColumn("cell", F.explode(grid.disk(F.col("cell"), reach)))
+    x, y = (F.col("lon") - grid.lon_of(F.col("cell"))) * (geo.METRES_PER_DEGREE * grid._COS0), (F.col("lat") - grid.lat_of(F.col("cell"))) * geo.METRES_PER_DEGREE
+    apart = tried.withColumn("__x", x).withColumn("__y", y)
+    slanted = lambda sign: F.abs(F.col("__x") * 0.5 + sign * F.col("__y") * (grid.ROOT3 / 2)) < inner + wide * 0.5 + half * grid.ROOT3 / 2
+    return apart.where((F.abs("__x") < wide + inner) & (F.abs("__y") < half + edge) & slanted(1.0) & slanted(-1.0)).drop("__x", "__y")
+
+
+def highest(touched: DataFrame) -> DataFrame:
+    """(cell, elevation): the highest of the pixels that touch each cell."""
+    return touched.where(~F.isnan("value")).groupBy("cell").agg(F.max("value").alias("elevation"))
 
 
 def cell_max(raster: Raster, resolution: int) -> DataFrame:
     """(cell, elevation): the highest pixel that touches each cell."""
-    return touched_cells(raster, resolution).where(~F.isnan("value")).groupBy("cell").agg(F.max("value").alias("elevation"))
+    return highest(touched_cells(raster, resolution))
 
 
 def _edge_margin(lat: Column, lon: Column, cell: Column) -> Column:
@@ -152,7 +164,7 @@ def local_gradient(cells: DataFrame) -> DataFrame:
     """(cell, gradient): steepest rise in m per km to a neighbour in the set; neighbours of 1 m or less are skipped."""
     pairs = cells.select(F.col("cell").alias("a"), F.col("elevation").alias("ea"), F.explode(grid.ring(F.col("cell"), 1)).alias("b"))
     near = pairs.join(cells.select(F.col("cell").alias("c"), F.col("elevation").alias("eb")), F.col("b") == F.col("c"))
-    near = cut(near.withColumn("la", grid.lat_of(F.col("a"))).withColumn("oa", grid.lon_of(F.col("a"))).withColumn("lb", grid.lat_of(F.col("b"))).withColumn("ob", grid.lon_of(F.col("b"))))
+    near = near.withColumn("la", grid.lat_of(F.col("a"))).withColumn("oa", grid.lon_of(F.col("a"))).withColumn("lb", grid.lat_of(F.col("b"))).withColumn("ob", grid.lon_of(F.col("b")))
     far = geo.geodesic_m(F.col("la"), F.col("oa"), F.col("lb"), F.col("ob"))
     steep = near.withColumn("d", far).where("d > 1").groupBy("a").agg(F.max(F.abs(F.col("ea") - F.col("eb")) / (F.col("d") / 1000)).alias("gradient"))
     return cells.select("cell").join(steep, F.col("cell") == F.col("a"), "left").select("cell", F.coalesce("gradient", F.lit(0.0)).alias("gradient"))

@@ -242,6 +242,11 @@ def wire_chain(chain: DataFrame, existing: DataFrame) -> DataFrame:
     return keyed.join(existing.select("a", "b"), ["a", "b"], "left_anti").select("route", "a", "b")
 
 
+def sites_by_priority(sites: DataFrame) -> DataFrame:
+    """``sites`` with their ``place`` within their priority, from 1, in order of ord."""
+    return sites.withColumn("place", F.row_number().over(W.partitionBy("priority").orderBy("ord")))
+
+
 def priority_links(sites: DataFrame) -> DataFrame:
     """(a, b, level): which sites (id, ord, priority, lat, lon) are to be connected.
 

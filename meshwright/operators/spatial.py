@@ -9,38 +9,44 @@ from pyspark.sql import Window as W
 from meshwright.functions import geo
 
 
-def range_join(left: DataFrame, right: DataFrame, radius_m: float, most_lat: float = 80.0, distance: str = "chord_m") -> DataFrame:
-    """Pairs of (id, lat, lon, ...) rows within a radius on the sphere.
+def range_join(left: DataFrame, right: DataFrame, radius_m: float, distance: str = "chord_m") -> DataFrame:
+    """Pairs of (id, lat, lon, ...) rows within a radius, by the straight distance through the sphere.
 
-    Both sides get integer buckets at least as wide as the radius; the left side is
-    repeated into the nine buckets around it, the join is on the bucket, and the exact
-    distance decides.  Columns of the sides get the suffixes 1 and 2.
+    Points are put into cubes of twice the radius about the earth's centre, so that poles and
+    the antimeridian are like any other place.  The left side is repeated into the cubes that its ball touches, at
+    most two in each direction; the join is on the cube, and the exact distance decides.
+    Columns of the sides get the suffixes 1 and 2.
     """
-    dlat, dlon = geo.degrees_for(radius_m, most_lat)
+    width, radius = F.lit(2.0 * radius_m), F.lit(float(radius_m))
     one = left.select([F.col(c).alias(f"{c}1") for c in left.columns])
     two = right.select([F.col(c).alias(f"{c}2") for c in right.columns])
-    by, bx = F.floor(F.col("lat1") / dlat), F.floor(F.col("lon1") / dlon)
-    around = F.array(*[F.struct((by + i).alias("y"), (bx + j).alias("x")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    one = one.withColumn("__k", F.explode(around))
-    two = two.withColumn("__k2", F.struct(F.floor(F.col("lat2") / dlat).alias("y"), F.floor(F.col("lon2") / dlon).alias("x")))
-    joined = one.join(two, F.col("__k") == F.col("__k2")).drop("__k", "__k2")
-    far = geo.chord_m(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
-    return joined.withColumn(distance, far).where(F.col(distance) <= radius_m)
-
-
-def pairs_within(points: DataFrame, radius_m: float, most_lat: float = 80.0) -> DataFrame:
+    # a millimetre more, so that rounding loses no point on the rim
+    near = lambda v, sign: F.floor((v + F.lit(sign) * (radius + F.lit(1e-3))) / width)
+    for axis, v in zip("xyz", geo.xyz(F.col("lat1"), F.col("lon1")), strict=True):
+        one = one.withColumn(f"__{axis}", v)
+    for axis in "xyz":
+        one = one.withColumn(f"__c{axis}", F.explode(F.sequence(near(F.col(f"__{axis}"), -1.0), near(F.col(f"__{axis}"), 1.0))))
+    for axis, v in zip("xyz", geo.xyz(F.col("lat2"), F.col("lon2")), strict=True):
+        two = two.withColumn(f"__{axis}2", v).withColumn(f"__d{axis}", F.floor(F.col(f"__{axis}2") / width))
+    joined = one.join(two, (F.col("__cx") == F.col("__dx")) & (F.col("__cy") == F.col("__dy")) & (F.col("__cz") == F.col("__dz")))
+    gap = [(F.col(f"__{axis}") - F.col(f"__{axis}2")) * (F.col(f"__{axis}") - F.col(f"__{axis}2")) for axis in "xyz"]
+    found = joined.withColumn(distance, F.sqrt(gap[0] + gap[1] + gap[2])).where(F.col(distance) <= radius)
+    return found.drop(*[f"__{k}{axis}" for k in ("", "c", "d") for axis in "xyz"], *[f"__{axis}2" for axis in "xyz"])
+
+
+def pairs_within(points: DataFrame, radius_m: float) -> DataFrame:
     """Unordered pairs (id1 < id2) of points within a radius."""
-    return range_join(points, points, radius_m, most_lat).where("id1 < id2")
+    return range_join(points, points, radius_m).where("id1 < id2")
 
 
-def nearest(points: DataFrame, sites: DataFrame, radius_m: float | None = None, k: int = 1, most_lat: float = 80.0) -> DataFrame:
+def nearest(points: DataFrame, sites: DataFrame, radius_m: float | None = None, k: int = 1) -> DataFrame:
     """The k sites nearest to each point by geodesic distance, ties to the smaller ``ord`` (else id); rank from 1.
 
     With a radius only sites within it count.  Without one the sites, a set whose size is
     known to be small, are compared in full.
     """
     if radius_m is not None:
-        pairs = range_join(points, sites, radius_m, most_lat)
+        pairs = range_join(points, sites, radius_m)
     else:
         pairs = points.select([F.col(c).alias(f"{c}1") for c in points.columns]).join(sites.select([F.col(c).alias(f"{c}2") for c in sites.columns]))
     order = "ord2" if "ord" in sites.columns else "id2"

@@ -97,7 +97,7 @@ def write_plan(plan: dict[str, DataFrame], paths: dict[str, str], config: MeshCo
     towers = plan["towers"].withColumn("algorithm", F.when(F.col("source") != "site", "dp"))
     export.write_features(export.tower_features(towers, plan["cells"].withColumn("offset_m", F.lit(0.0)), config.mast_height_m), paths["towers"])
     export.write_features(export.coverage_features(plan["coverage"]), paths["coverage"])
-    export.write_features(export.edge_features(plan["edges"], towers), paths["edges"])
+    export.write_features(export.edge_features(plan["edges"], towers, plan["cells"], config), paths["edges"])
     if config.export_full_grid_cells:
         export.write_features(export.grid_features(plan["cells"], config.h3_resolution), paths["grid_cells"])
     plan["report"].select(F.to_json(F.struct(*plan["report"].columns)).alias("value")).write.mode("overwrite").text(paths["report"])

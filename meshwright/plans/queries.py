@@ -198,29 +198,6 @@ def routing_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.routing_graph(_receiver_cells(spark, sf_dir).where("has_road").select("cell", "elevation"), 2)
 
 
-@query(f"WITH {CELLS}, n AS (SELECT a.cell, max(abs(a.elevation - c.elevation)) AS rise FROM gridcells a JOIN gridcells c ON greatest(abs(a.q - c.q), abs(a.r - c.r), abs(a.q - c.q + a.r - c.r)) = 1 GROUP BY a.cell) SELECT g.cell, coalesce(rise, 0) > 75e0 * 0.92e0 AS steep FROM gridcells g LEFT JOIN n USING (cell) WHERE abs(coalesce(rise, 0) - 75e0 * 0.92e0) > 2")
-def local_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steepness by the gradient: neighbours of resolution 8 lie about 0.92 km apart, cells near the limit are left to the tests."""
-    cells = _receiver_cells(spark, sf_dir)
-    steep = dem.local_gradient(cells.select("cell", "elevation"))
-    rise = cells.select("cell", "elevation", F.explode(grid.ring(F.col("cell"), 1)).alias("c")).join(cells.select(F.col("cell").alias("c"), F.col("elevation").alias("e2")), "c").groupBy("cell").agg(F.max(F.abs(F.col("elevation") - F.col("e2"))).alias("rise"))
-    return steep.join(rise, "cell", "left").where(F.abs(F.coalesce("rise", F.lit(0.0)) - 75.0 * 0.92) > 2).select("cell", (F.col("gradient") > adaptive.STEEP).alias("steep"))
-
-
-@query()
-def adaptive_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _receiver_cells(spark, sf_dir)
-    mesh = adaptive.mesh(cells, adaptive.targets(dem.local_gradient(cells.select("cell", "elevation")), b.RESOLUTION, 9), b.RESOLUTION)
-    return adaptive.summary(mesh)
-
-
-@query()
-def children_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every finer cell has one parent: children of all cells, counted by parent and checked."""
-    kids = _receiver_cells(spark, sf_dir).select("cell", F.explode(grid.children(F.col("cell"), b.RESOLUTION, 9)).alias("child"))
-    return kids.groupBy("child").agg(F.count(F.lit(1)).alias("parents"), F.min("cell").alias("cell")).groupBy("cell", "parents").count()
-
-
 # --- elevation ------------------------------------------------------------------------------------
 
 
@@ -243,22 +220,6 @@ def cell_zonal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.groupBy("cell").agg(F.count(F.lit(1)).alias("pixels"), F.max("value").alias("highest"), scaled(F.avg("value"), 2).alias("mean"))
 
 
-@query()
-def cell_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dem.anchors(_receiver_cells(spark, sf_dir), b.raster(spark, sf_dir), b.RESOLUTION)
-
-
-@query()
-def cell_max_touched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dem.cell_max(b.raster(spark, sf_dir), b.RESOLUTION)
-
-
-@query()
-def line_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _pairs(spark, sf_dir).select(F.struct("id1", "id2").alias("id"), "lat1", "lon1", "lat2", "lon2")
-    return dem.line_peaks(lines, b.raster(spark, sf_dir)).select("id.id1", "id.id2", "peak_m", scaled(F.col("fraction"), 6).alias("fraction"))
-
-
 # --- line of sight --------------------------------------------------------------------------------
 
 
@@ -281,19 +242,6 @@ def fresnel_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id.id1", "id.id2", scaled(F.col("clearance")).alias("clearance_mm"), scaled(F.col("obstruction"), 6).alias("obstruction"))
 
 
-@query()
-def line_of_sight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _links(spark, sf_dir)
-    seen = los.evaluate(pairs, b.TIGHT, None, b.raster(spark, sf_dir))
-    return seen.select("id.id1", "id.id2", scaled(F.col("clearance_m")).alias("clearance_mm"), scaled(F.col("path_loss_db"), 4).alias("loss"), "visible", "gate")
-
-
-@query()
-def shadow_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _links(spark, sf_dir)
-    return los.shadow_prefilter(pairs, b.raster(spark, sf_dir), b.TIGHT).select("id.id1", "id.id2", "rejected")
-
-
 @query("WITH d AS (SELECT least(l_partkey, l_suppkey) AS lo, greatest(l_partkey, l_suppkey) AS hi, count(*) AS asked FROM lineitem GROUP BY ALL) SELECT count(*) AS pairs, CAST(sum(asked) AS BIGINT) AS asked FROM d")
 def canonical_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = b.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
@@ -329,13 +277,6 @@ def visible_supplier_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where("loss_db <= 95").select("id1", "id2", scaled(F.col("loss_db"), 4).alias("loss"))
 
 
-@query()
-def shortest_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = routing_graph(spark, sf_dir)
-    ends = edges.agg(F.min("src").alias("src"), F.max("src").alias("dst")).select(F.lit(0).alias("route"), "src", "dst")
-    return network.shortest_paths(edges, ends).select("route", "cost", F.size("path").alias("cells"))
-
-
 @query(f"WITH {RECEIVERS}, {TOWERS}, n AS (SELECT v.id, t.id AS tower, {_hav('v', 't')} AS d FROM receivers v JOIN towers t ON abs(v.lat - t.lat) < 0.03 AND {_chord('v', 't')} <= {REACH_M}), w AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, tower) AS k FROM n) SELECT id, count(*) AS n_visible FROM w GROUP BY id")
 def cell_tower_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = spatial.range_join(b.receivers(spark, sf_dir).select("id", "lat", "lon"), b.towers(spark, sf_dir).select("id", "lat", "lon"), REACH_M)
@@ -365,19 +306,6 @@ def city_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.city_links(cells.select("cell", "lat", "lon", "closest_id"), city)
 
 
-@query()
-def terrain_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = b.receivers(spark, sf_dir).select(F.col("id").alias("cell"), "lat", "lon", (F.col("ground") + 900.0).alias("elevation"))
-    sources = coverage.snap_sources(b.towers(spark, sf_dir).select("id", "lat", "lon", (F.col("ground") + 950.0).alias("ground"), F.col("id").alias("ord")), b.RESOLUTION)
-    found = coverage.tower_coverage(cells, sources, b.raster(spark, sf_dir), b.TIGHT, REACH_M)
-    return found.select("cell", "n_visible", "closest_id", "serving_id", "covered")
-
-
-@query(f"WITH {SITES} SELECT priority, count(*) AS sites, min(id) AS first_id FROM sites GROUP BY priority")
-def sites_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.sites(spark, sf_dir).groupBy("priority").agg(F.count(F.lit(1)).alias("sites"), F.min("id").alias("first_id"))
-
-
 @query(f"WITH {SITES}, top AS (SELECT * FROM sites WHERE priority = 1) SELECT CAST(level AS INT) AS level, count(*) AS links FROM (SELECT 1 AS level FROM top a JOIN top b ON a.ord < b.ord UNION ALL SELECT priority FROM sites WHERE priority > 1) GROUP BY level")
 def priority_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placement.priority_links(b.sites(spark, sf_dir)).groupBy("level").agg(F.count(F.lit(1)).alias("links"))
@@ -454,25 +382,6 @@ def segment_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placement.segment_budgets(s, 10).select("route", "segment", "k")
 
 
-@query(f"WITH {CORRIDORS}, s AS (SELECT route, abs(lead(value) OVER (PARTITION BY route ORDER BY pos) - value) AS rise FROM corridors) SELECT route, {_s('quantile_cont(rise, 0.9)', 2)} AS p90 FROM s WHERE rise IS NOT NULL GROUP BY route")
-def slope_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = b.corridors(spark, sf_dir).withColumn("rise", F.abs(F.lead("value").over(W.partitionBy("route").orderBy("pos")) - F.col("value"))).where("rise is not null")
-    return c.groupBy("route").agg(scaled(F.percentile("rise", 0.9), 2).alias("p90"))
-
-
-@query(f"WITH {CORRIDORS}, o AS (SELECT c.*, max(CASE WHEN value > 60000 THEN 1 ELSE 0 END) OVER (PARTITION BY route ORDER BY pos ROWS UNBOUNDED PRECEDING) AS over_limit FROM corridors c) SELECT route, count(*) AS before_limit FROM o WHERE over_limit = 0 GROUP BY route")
-def early_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    over = F.max((F.col("value") > 60000).cast("int")).over(W.partitionBy("route").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
-    return b.corridors(spark, sf_dir).withColumn("over_limit", over).where("over_limit = 0").groupBy("route").agg(F.count(F.lit(1)).alias("before_limit"))
-
-
-@query("WITH r AS (SELECT c_custkey AS id, c_nationkey AS side, floor(c_acctbal) AS elevation, row_number() OVER (PARTITION BY c_nationkey ORDER BY floor(c_acctbal) DESC, c_custkey) AS n FROM customer) SELECT side, id, CAST(n AS INT) AS n FROM r WHERE n <= 24")
-def top_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.row_number().over(W.partitionBy("side").orderBy(F.desc("elevation"), "id"))
-    c = b.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("side"), F.floor("c_acctbal").alias("elevation"))
-    return c.withColumn("n", n).where(f"n <= {placement.CANDIDATES}").select("side", "id", "n")
-
-
 # --- exports --------------------------------------------------------------------------------------
 
 
@@ -483,27 +392,9 @@ def link_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("id", export.link_type(kind(F.col("nation")), kind(F.col("nation") + 1)).alias("link_type"))
 
 
-@query()
-def tower_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = b.towers(spark, sf_dir).withColumn("cell", grid.cell_of(F.col("lat"), F.col("lon"), b.RESOLUTION)).withColumn("source", F.when(F.col("id") % 3 == 0, "site").otherwise("route")).withColumn("algorithm", F.when(F.col("id") % 3 != 0, "dp"))
-    cells = _receiver_cells(spark, sf_dir).select("cell", "elevation", F.lit(0.0).alias("offset_m"))
-    return export.tower_features(t, cells, b.TIGHT.mast_height_m)
-
-
-@query()
-def grid_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.grid_features(_receiver_cells(spark, sf_dir), b.RESOLUTION)
-
-
 # --- more of the inventory ------------------------------------------------------------------------
 
 
-@query(f"WITH {RECEIVERS}, {TOWERS}, n AS (SELECT v.id, t.id AS tower, row_number() OVER (PARTITION BY v.id ORDER BY {_s(_chord('v', 't'))}, t.id) AS k FROM receivers v JOIN towers t ON abs(v.lat - t.lat) < 0.03 WHERE {_chord('v', 't')} <= {REACH_M}) SELECT id, tower FROM n WHERE k = 1")
-def nearest_tower(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = spatial.range_join(b.receivers(spark, sf_dir).select("id", "lat", "lon"), b.towers(spark, sf_dir).select("id", "lat", "lon"), REACH_M)
-    return near.groupBy(F.col("id1").alias("id")).agg(F.min_by("id2", F.struct(scaled(F.col("chord_m")), "id2")).alias("tower"))
-
-
 @query(f"WITH {CELLS}, roads AS (SELECT DISTINCT q, r FROM gridcells WHERE has_road), o AS (SELECT q AS dq, r AS dr FROM range(-1, 2) a(q), range(-1, 2) b(r) WHERE abs(q + r) <= 1), around AS (SELECT DISTINCT q + dq AS q, r + dr AS r FROM roads CROSS JOIN o) SELECT g.cell, x.q IS NOT NULL AS has_road FROM around a JOIN gridcells g ON g.q = a.q AND g.r = a.r LEFT JOIN roads x ON x.q = g.q AND x.r = g.r")
 def road_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _receiver_cells(spark, sf_dir)

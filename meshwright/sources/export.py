@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.functions import grid
+from meshwright.config import MeshConfig
+from meshwright.functions import grid, physics
 
 _RED, _YELLOW = ("peak_fallback", "endpoint_fallback"), "dp_repair"
 
@@ -30,10 +31,40 @@ def finite(x: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
 
 
+def _or_null(df: DataFrame, name: str, kind: str) -> Column:
+    """A column that a table may lack."""
+    return F.col(name) if name in df.columns else F.lit(None).cast(kind)
+
+
+def tower_algorithm(towers: DataFrame) -> Column:
+    """How a tower was placed; a site's own tower is of kind ``site``."""
+    return F.coalesce(_or_null(towers, "algorithm", "string"), F.when(F.col("source") == "site", "site"))
+
+
 def tower_features(towers: DataFrame, cells: DataFrame, mast_m: float) -> DataFrame:
-    """(feature): towers (id, cell, lat, lon, source, algorithm) with their cell's elevation, antenna height and link data."""
-    joined = towers.join(cells.select(F.col("cell").alias("__c"), "elevation", "offset_m"), F.col("cell") == F.col("__c"), "left")
-    own = [F.col("id").alias("tower_id"), F.col("cell").alias("cell"), F.col("source"), (F.col("source") == "site").alias("virtual"), F.coalesce("algorithm", F.lit("site")).alias("algorithm"), finite(F.col("elevation")).alias("elevation"), (F.lit(mast_m) + F.coalesce("offset_m", F.lit(0.0))).alias("antenna_height")]
+    """(feature): towers (id, cell, lat, lon, source[, algorithm, dp_steps, repair_round, city_link, coverage_radius_m, route])
+    with their cell's centre, elevation and antenna height; what is not known is null, or false and 0 for link data."""
+    place = cells.select(F.col("cell").alias("__c"), F.col("elevation").alias("__elevation"), _or_null(cells, "offset_m", "double").alias("__offset"))
+    joined = towers.join(place, F.col("cell") == F.col("__c"), "left")
+    known = F.col("__c").isNotNull()
+    own = [
+        F.col("id").alias("tower_id"),
+        F.col("cell").alias("h3_index"),
+        F.col("source"),
+        F.coalesce(_or_null(towers, "route", "string").cast("string"), F.col("source")).alias("route_id"),
+        (F.col("source") == "site").alias("virtual"),
+        F.coalesce(_or_null(towers, "city_link", "boolean"), F.lit(False)).alias("city_link"),
+        F.coalesce(_or_null(towers, "coverage_radius_m", "double"), F.lit(0.0)).alias("coverage_radius_m"),
+        F.col("lat"),
+        F.col("lon"),
+        F.when(known, grid.lat_of(F.col("cell"))).alias("centroid_lat"),
+        F.when(known, grid.lon_of(F.col("cell"))).alias("centroid_lon"),
+        finite(F.col("__elevation")).alias("elevation_m"),
+        (F.lit(mast_m) + F.coalesce("__offset", F.lit(0.0))).alias("antenna_height_m"),
+        tower_algorithm(towers).alias("algorithm"),
+        _or_null(towers, "dp_steps", "int").alias("dp_steps"),
+        _or_null(towers, "repair_round", "int").alias("repair_round"),
+    ]
     return joined.select(feature(point(F.col("lat"), F.col("lon")), *own).alias("feature"))
 
 
@@ -70,16 +101,58 @@ def link_type(algorithm1: Column, algorithm2: Column) -> Column:
     return F.when(either(*_RED), "red").when(either(_YELLOW), "yellow").otherwise("green")
 
 
-def edge_features(edges: DataFrame, towers: DataFrame) -> DataFrame:
-    """(feature): lines between towers, coordinates to 6 digits, with loss, clearance, sight state and link type."""
-    one = towers.select(F.col("id").alias("a"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.col("algorithm").alias("g1"))
-    two = towers.select(F.col("id").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("algorithm").alias("g2"))
-    joined = edges.join(one, "a").join(two, "b")
-    r = lambda c: F.bround(F.col(c), 6)
-    line = F.struct(F.lit("LineString").alias("type"), F.array(F.array(r("lon1"), r("lat1")), F.array(r("lon2"), r("lat2"))).alias("coordinates"))
-    low = F.col("clearance_m") < 0
-    own = ["a", "b", "distance_m", "path_loss_db", "clearance_m", "obstruction", "origin"]
-    return joined.select(feature(line, *[F.col(c) for c in own], low.alias("is_nlos"), F.when(low, "nlos").otherwise("los").alias("los_state"), link_type(F.col("g1"), F.col("g2")).alias("link_type")).alias("feature"))
+def edge_features(edges: DataFrame, towers: DataFrame, cells: DataFrame | None = None, config: MeshConfig | None = None) -> DataFrame:
+    """(feature): lines between towers with all that is known of the link and of its ends.
+
+    ``edges`` have a, b, distance_m, path_loss_db, clearance_m, obstruction, origin; ``cells`` (cell, elevation[, offset_m])
+    give the ends' ground and antennas, ``config`` the budget, the rule and the margins.
+    """
+    rows = edges
+    for side, key in (("source", "a"), ("target", "b")):
+        end = towers.select(F.col("id").alias(key), F.col("lat").alias(f"{side}_y"), F.col("lon").alias(f"{side}_x"), F.col("cell").alias(f"{side}_h3"), F.col("source").alias(f"{side}_source"), tower_algorithm(towers).alias(f"{side}_algorithm"))
+        rows = rows.join(end, key)
+        if cells is not None:
+            place = cells.select(F.col("cell").alias(f"{side}_c"), F.col("elevation").cast("double").alias(f"{side}_elevation_m"), F.coalesce(_or_null(cells, "offset_m", "double"), F.lit(0.0)).alias(f"{side}_offset"))
+            rows = rows.join(place, F.col(f"{side}_h3") == F.col(f"{side}_c"), "left")
+        else:
+            rows = rows.withColumn(f"{side}_c", F.lit(None).cast("long")).withColumn(f"{side}_elevation_m", F.lit(None).cast("double")).withColumn(f"{side}_offset", F.lit(None).cast("double"))
+    r = lambda c: F.bround(c, 6)
+    line = F.struct(F.lit("LineString").alias("type"), F.array(F.array(F.col("source_x"), F.col("source_y")), F.array(F.col("target_x"), F.col("target_y"))).alias("coordinates"))
+    low = F.coalesce(F.col("clearance_m") < 0, F.lit(False))
+    given = lambda v: F.lit(v).cast("double") if config is not None else F.lit(None).cast("double")
+    mast, budget = given(config and config.mast_height_m), given(config and config.link_budget_db)
+    most = given(physics.MOST_OBSTRUCTION)
+    both = lambda name, value: [value(side).alias(f"{side}_{name}") for side in ("source", "target")]
+    own = [
+        F.col("a").alias("source_id"),
+        F.col("b").alias("target_id"),
+        *both("h3", lambda s: F.col(f"{s}_h3")),
+        *both("lat", lambda s: r(F.col(f"{s}_y"))),
+        *both("lon", lambda s: r(F.col(f"{s}_x"))),
+        *both("centroid_lat", lambda s: F.when(F.col(f"{s}_c").isNotNull(), r(grid.lat_of(F.col(f"{s}_h3"))))),
+        *both("centroid_lon", lambda s: F.when(F.col(f"{s}_c").isNotNull(), r(grid.lon_of(F.col(f"{s}_h3"))))),
+        *both("source", lambda s: F.col(f"{s}_source")),
+        F.col("distance_m"),
+        F.col("clearance_m"),
+        F.col("path_loss_db"),
+        mast.alias("mast_height_m"),
+        *both("elevation_m", lambda s: F.col(f"{s}_elevation_m")),
+        *both("antenna_height_m", lambda s: mast + F.coalesce(F.col(f"{s}_offset"), F.lit(0.0))),
+        F.col("origin").alias("edge_origin"),
+        (F.lit("budget_and_fresnel_40pct") if config is not None else F.lit(None).cast("string")).alias("visibility_policy"),
+        budget.alias("link_budget_db"),
+        (budget - F.col("path_loss_db")).alias("path_loss_margin_db"),
+        most.alias("max_allowed_fresnel_obstruction_ratio"),
+        F.col("obstruction").alias("fresnel_obstruction_ratio"),
+        (most - F.col("obstruction")).alias("fresnel_obstruction_margin_ratio"),
+        (F.col("path_loss_db") <= budget).alias("accepted_by_budget"),
+        (F.col("obstruction") <= most).alias("accepted_by_fresnel_policy"),
+        *both("algorithm", lambda s: F.col(f"{s}_algorithm")),
+        link_type(F.col("source_algorithm"), F.col("target_algorithm")).alias("link_type"),
+        low.alias("is_nlos"),
+        F.when(low, "nlos").otherwise("los").alias("los_state"),
+    ]
+    return rows.select(feature(line, *own).alias("feature"))
 
 
 def write_features(features: DataFrame, path: str) -> None:
