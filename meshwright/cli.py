@@ -1,17 +1,44 @@
-"""Plan a mesh from a configuration file: python -m meshwright.cli CONFIG [--output FOLDER]."""
+"""Plan a mesh: python -m meshwright.cli CONFIG [--output FOLDER], or from ready routes:
+python -m meshwright.cli routes --routes FILE --grid-bundle FOLDER [--city-boundaries FILE] [--output FOLDER]."""
 
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from meshwright.config import OUTPUT_NAMES, load_yaml, output_path
-from meshwright.plans import mesh
+from meshwright.functions import grid
+from meshwright.plans import mesh, routes
 from meshwright.sources import geojson, raster
 
 
+def routes_main(args: list[str]) -> None:
+    """Towers along the routes of a file, over the cells of a grid bundle."""
+    parser = argparse.ArgumentParser(prog="meshwright.cli routes")
+    parser.add_argument("--routes", required=True)
+    parser.add_argument("--grid-bundle", required=True)
+    parser.add_argument("--city-boundaries")
+    parser.add_argument("--output", default="output")
+    given = parser.parse_args(args)
+    spark = SparkSession.builder.appName("meshwright-routes").getOrCreate()
+    config, found = routes.load(spark, given.routes)
+    _, static = raster.read_bundle(spark, given.grid_bundle)
+    own = static.where(F.col("resolution") == config.h3_resolution)
+    cells = own.groupBy("cell").agg(F.max("elevation").alias("elevation"), F.first("los_lat").alias("los_lat"), F.first("los_lon").alias("los_lon"), F.max(F.col("kind") == "road").alias("has_road"))
+    cells = cells.withColumn("lat", grid.lat_of(F.col("cell"))).withColumn("lon", grid.lon_of(F.col("cell")))
+    cities = geojson.load_cities(spark, given.city_boundaries) if given.city_boundaries else None
+    made = routes.run_routes(spark, found, mesh.marked(cells, cities), config, None, cities)
+    mesh.write_plan(made, {name: output_path(name, {}, given.output) for name in OUTPUT_NAMES}, config)
+    print(made["report"].toPandas().to_string(index=False))
+
+
 def main(args: list[str] | None = None) -> None:
+    args = sys.argv[1:] if args is None else args
+    if args[:1] == ["routes"]:
+        return routes_main(args[1:])
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("config")
     parser.add_argument("--output")

@@ -126,7 +126,7 @@ def repair(chain: list, sees: Callable, candidates: Callable, fixed: set, base_m
     chain = list(chain)
     still = {chain[0], chain[-1], *fixed} if chain else set()
     for r in range(1, rounds + 1):
-        radius = base_m * (r + 1) / 2
+        radius = base_m * r / 2
         broken = [i for i in range(len(chain) - 1) if sees(chain[i], chain[i + 1]) is None]
         if not broken:
             break

@@ -31,6 +31,11 @@ def plan_cells(boundary: DataFrame, roads: DataFrame, config: MeshConfig, raster
     else:
         cells = cells.withColumn("elevation", F.lit(0.0)).withColumn("los_lat", grid.lat_of(F.col("cell"))).withColumn("los_lon", grid.lon_of(F.col("cell")))
     placed = cut(cells.withColumn("lat", grid.lat_of(F.col("cell"))).withColumn("lon", grid.lon_of(F.col("cell"))))
+    return marked(placed, cities)
+
+
+def marked(placed: DataFrame, cities: DataFrame | None) -> DataFrame:
+    """Cells (cell, lat, lon, ...) with ``unfit``: whether a city holds their centre."""
     if cities is None:
         return placed.withColumn("unfit", F.lit(False))
     inside = spatial.within_polygons(placed.select(F.col("cell").alias("id"), "lat", "lon"), cities).select(F.col("id").alias("cell"), F.col("inside").alias("unfit"))
@@ -94,8 +99,8 @@ def plan_mesh(spark: SparkSession, config: MeshConfig, boundary: DataFrame, road
 
 def write_plan(plan: dict[str, DataFrame], paths: dict[str, str], config: MeshConfig) -> None:
     """Towers, coverage, links, grid cells and report of a plan to their paths."""
-    towers = plan["towers"].withColumn("algorithm", F.when(F.col("source") != "site", "dp"))
-    export.write_features(export.tower_features(towers, plan["cells"].withColumn("offset_m", F.lit(0.0)), config.mast_height_m), paths["towers"])
+    towers = plan["towers"] if "algorithm" in plan["towers"].columns else plan["towers"].withColumn("algorithm", F.when(F.col("source") != "site", "dp"))
+    export.write_features(export.tower_features(towers, plan["cells"], config.mast_height_m), paths["towers"])
     export.write_features(export.coverage_features(plan["coverage"]), paths["coverage"])
     export.write_features(export.edge_features(plan["edges"], towers, plan["cells"], config), paths["edges"])
     if config.export_full_grid_cells:

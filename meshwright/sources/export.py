@@ -38,7 +38,7 @@ def _or_null(df: DataFrame, name: str, kind: str) -> Column:
 
 def tower_algorithm(towers: DataFrame) -> Column:
     """How a tower was placed; a site's own tower is of kind ``site``."""
-    return F.coalesce(_or_null(towers, "algorithm", "string"), F.when(F.col("source") == "site", "site"))
+    return F.coalesce(_or_null(towers, "algorithm", "string"), F.when(_or_null(towers, "source", "string") == "site", "site"))
 
 
 def tower_features(towers: DataFrame, cells: DataFrame, mast_m: float) -> DataFrame:
@@ -109,7 +109,7 @@ def edge_features(edges: DataFrame, towers: DataFrame, cells: DataFrame | None =
     """
     rows = edges
     for side, key in (("source", "a"), ("target", "b")):
-        end = towers.select(F.col("id").alias(key), F.col("lat").alias(f"{side}_y"), F.col("lon").alias(f"{side}_x"), F.col("cell").alias(f"{side}_h3"), F.col("source").alias(f"{side}_source"), tower_algorithm(towers).alias(f"{side}_algorithm"))
+        end = towers.select(F.col("id").alias(key), F.col("lat").alias(f"{side}_y"), F.col("lon").alias(f"{side}_x"), _or_null(towers, "cell", "long").alias(f"{side}_h3"), _or_null(towers, "source", "string").alias(f"{side}_source"), tower_algorithm(towers).alias(f"{side}_algorithm"))
         rows = rows.join(end, key)
         if cells is not None:
             place = cells.select(F.col("cell").alias(f"{side}_c"), F.col("elevation").cast("double").alias(f"{side}_elevation_m"), F.coalesce(_or_null(cells, "offset_m", "double"), F.lit(0.0)).alias(f"{side}_offset"))

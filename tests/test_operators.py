@@ -54,7 +54,7 @@ def test_gap_repair_moves_inner_cells_only():
     assert placement.repair([0, 1, 2], look, lambda c, r: [(9, 120.0, 10.0)], {1}, 100.0) == [0, 1, 2]
     radii = []
     placement.repair([0, 1, 2], lambda a, b: None, lambda c, r: radii.append(r) or [], set(), 100.0)
-    assert sorted(radii) == [100.0, 100.0, 150.0, 150.0, 200.0, 200.0]
+    assert sorted(radii) == [50.0, 50.0, 100.0, 100.0, 150.0, 150.0]  # half of one, two and three times the base
 
 
 def test_components_and_isolated_nodes(spark):
@@ -145,6 +145,26 @@ def test_range_join_equals_brute_force(spark):
     assert near == {(r.id1, r.id2) for r in every.collect()} and near
 
 
+def test_range_join_knows_no_edge_of_the_map(spark):
+    """Across the antimeridian, near a pole and on it."""
+    rows = spark.createDataFrame([(0, 40.0, 179.999), (1, 40.0, -179.9986), (2, 85.0, 10.0), (3, 85.0, 10.247), (4, 90.0, 0.0), (5, 89.99, 120.0), (6, 0.0, 0.0)], "id long, lat double, lon double")
+    assert {(r.id1, r.id2) for r in spatial.pairs_within(rows, 2500).collect()} == {(0, 1), (2, 3), (4, 5)}
+
+
+def test_pixels_overlap_cells(spark):
+    """A pixel wider than cells belongs to all of them, and a cell takes pixels that only its corner enters."""
+    from meshwright.operators import dem
+    from meshwright.sources import raster
+
+    px = spark.createDataFrame([(0, 0, 5.0), (0, 1, 9.0)], "row int, col int, value double")
+    wide = dem.touched_cells(raster.from_pixels(px, 44.0, 40.05, 0.05, 2, 1), 8)
+    counts = {r.value: r["count"] for r in wide.groupBy("value").count().collect()}
+    assert all(30 < n < 60 for n in counts.values())
+    inside = corridor.polyfill(spark.range(1).select("id", F.expr("array(array(named_struct('lon', 44.0D, 'lat', 40.0D), named_struct('lon', 44.05D, 'lat', 40.0D), named_struct('lon', 44.05D, 'lat', 40.05D), named_struct('lon', 44.0D, 'lat', 40.05D)))").alias("rings")), 8)
+    assert inside.join(wide.where("value = 5"), "cell", "left_anti").count() == 0
+    assert {r.elevation for r in dem.highest(wide).collect()} == {5.0, 9.0}
+
+
 def test_polyfill_and_adaptive(spark):
     square = spark.range(1).select("id", F.expr("array(array(named_struct('lon', 44.0D, 'lat', 40.0D), named_struct('lon', 44.05D, 'lat', 40.0D), named_struct('lon', 44.05D, 'lat', 40.05D), named_struct('lon', 44.0D, 'lat', 40.05D)))").alias("rings"))
     cells = corridor.polyfill(square, 8)
