@@ -48,7 +48,8 @@ def main(args: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("meshwright").getOrCreate()
     terrain = raster.load_ascii_grid(spark, inputs.elevation) if inputs.elevation else None
     cities = geojson.load_cities(spark, inputs.city_boundaries) if inputs.city_boundaries else None
-    made = mesh.plan_mesh(spark, config, geojson.load_boundary(spark, inputs.boundary), geojson.load_roads(spark, inputs.roads), geojson.load_sites(spark, inputs.sites, config.h3_resolution), terrain, cities)
+    standing = geojson.load_towers(spark, inputs.existing_towers, config.h3_resolution) if inputs.existing_towers else None
+    made = mesh.plan_mesh(spark, config, geojson.load_boundary(spark, inputs.boundary), geojson.load_roads(spark, inputs.roads), geojson.load_sites(spark, inputs.sites, config.h3_resolution), terrain, cities, standing)
     mesh.write_plan(made, {name: output_path(name, plan["outputs"], given.output) for name in OUTPUT_NAMES}, config)
     print(made["report"].toPandas().to_string(index=False))
 

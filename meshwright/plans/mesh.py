@@ -51,34 +51,23 @@ def pair_rows(pairs: DataFrame, cells: DataFrame, config: MeshConfig) -> DataFra
     return out
 
 
-def place_on_corridors(corridors: DataFrame, cells: DataFrame, config: MeshConfig, raster: dem.Raster | None = None) -> tuple[DataFrame, DataFrame]:
-    """Chosen cells (route, pos, cell) of corridors (route, pos, cell), and the line-of-sight results behind them.
-
-    Corridors without a path of enough visible steps keep their ends only.
-    """
-    rows = cut(corridors.join(cells.select("cell", "lat", "lon", "unfit"), "cell"))
-    pairs = cut(placement.prefiltered(placement.forward_pairs(rows, config.max_visibility_m), rows, config).where("reason in ('ask', 'zero')"))
-    at = rows.select("route", "pos", "cell")
-    named = pairs.join(at.select("route", F.col("pos").alias("i"), F.col("cell").alias("src")), ["route", "i"]).join(at.select("route", F.col("pos").alias("j"), F.col("cell").alias("dst")), ["route", "j"])
-    asked = named.select("route", "i", "j", "src", "dst")
-    seen = cut(los.evaluate(pair_rows(los.canonical(asked), cells, config), config, cells.select("cell", "elevation"), raster).select("id.lo", "id.hi", F.col("clearance_m").alias("clearance"), "path_loss_db", "visible"))
-    edges = los.fan_out(asked, seen.where("visible")).select("route", "i", "j", "clearance")
-    last = rows.groupBy("route").agg(F.max("pos").cast("int").alias("last")).where("last > 0")
-    best = placement.best_paths(edges, last, config.max_towers_per_route)
-    chosen = best.select("route", F.explode("path").alias("pos"))
-    ends = last.join(best.select("route"), "route", "left_anti").select("route", F.explode(F.array(F.lit(0), F.col("last"))).alias("pos"))
-    return chosen.union(ends).join(at, ["route", "pos"]), seen
-
-
-def plan_mesh(spark: SparkSession, config: MeshConfig, boundary: DataFrame, roads: DataFrame, sites: DataFrame, raster: dem.Raster | None = None, cities: DataFrame | None = None) -> dict[str, DataFrame]:
+def plan_mesh(spark: SparkSession, config: MeshConfig, boundary: DataFrame, roads: DataFrame, sites: DataFrame, raster: dem.Raster | None = None, cities: DataFrame | None = None, existing: DataFrame | None = None) -> dict[str, DataFrame]:
     """cells, sites, corridors, towers, edges, clusters, coverage and report of a plan.
 
-    Site towers come first; sites are linked by priority along the road graph, towers are
-    placed on these corridors, then links, clusters and coverage follow.
+    Towers that stand already (``existing``: cell, source, ord) come first, then those of the sites; sites are linked by
+    priority along the road graph, towers are placed on these corridors, then links, clusters and coverage follow.
+    A site's height (site_height_m) raises the antennas of its cell.
     """
+    from meshwright.plans import routes
+
     cells = plan_cells(boundary, roads, config, raster, cities)
     snapped = cut(sites.drop("cell").join(corridor.snap_sites(sites.select("id", "lat", "lon", "cell"), cells), "id"))
+    height = F.col("site_height_m") if "site_height_m" in snapped.columns else F.lit(0.0)
+    offsets = snapped.groupBy("cell").agg(F.max(F.greatest(F.coalesce(height, F.lit(0.0)), F.lit(0.0))).alias("offset_m"))
+    cells = cut(cells.join(offsets, "cell", "left").withColumn("offset_m", F.coalesce("offset_m", F.lit(0.0))))
     towers = spark.createDataFrame([], TOWER)
+    if existing is not None:
+        towers = cut(network.place_towers(towers, existing.select("cell", "source", "ord"), cells))
     towers = cut(network.place_towers(towers, snapped.select("cell", F.lit("site").alias("source"), F.col("ord").cast("long").alias("ord")), cells))
     graph_cells = cells.join(snapped.select("cell").withColumn("__site", F.lit(True)).distinct(), "cell", "left").where("has_road or __site").select("cell", "elevation")
     graph = cut(network.routing_graph(graph_cells, config.routing_k_ring))
@@ -88,9 +77,13 @@ def plan_mesh(spark: SparkSession, config: MeshConfig, boundary: DataFrame, road
     requests = cut(asked.withColumn("route", F.row_number().over(W.orderBy("level", "a", "b")).cast("long")).select("route", "src", "dst"))
     paths = network.shortest_paths(graph, requests)
     corridors = cut(paths.select("route", F.posexplode("path").alias("pos", "cell")))
-    chosen, _ = place_on_corridors(corridors, cells, config, raster)
+    raised = cells.withColumn("elevation", F.col("elevation") + F.col("offset_m"))
+    budgets = requests.select("route", F.lit(config.max_towers_per_route).alias("budget"))
+    chosen = routes.place_along(corridors, budgets, cells, towers.select("cell"), config, routes.sight_over(raised, config, raster))
     towers = cut(network.place_towers(towers, chosen.select("cell", F.lit("route").alias("source"), (F.col("route") * 100_000 + F.col("pos")).alias("ord")), cells))
-    sited = towers.join(cells.select("cell", F.col("elevation").alias("ground")), "cell").withColumn("mast", F.lit(config.mast_height_m))
+    how = chosen.where("algorithm is not null").groupBy(F.col("cell").alias("mc")).agg(F.min_by(F.struct("algorithm", "dp_steps", "repair_round"), "route").alias("m"))
+    towers = cut(towers.join(how, F.col("cell") == F.col("mc"), "left").select(*towers.columns, "m.algorithm", "m.dp_steps", "m.repair_round"))
+    sited = towers.join(cells.select("cell", F.col("elevation").alias("ground"), "offset_m"), "cell").withColumn("mast", F.lit(config.mast_height_m) + F.col("offset_m"))
     edges = cut(network.visibility_edges(sited.select("id", "cell", "lat", "lon", "ground", "mast"), config, cells.select("cell", "elevation"), raster))
     groups = network.clusters(towers, edges)
     covered = coverage.cell_coverage(cells, sited, config, raster)

@@ -195,6 +195,17 @@ def test_geojson_and_exports(spark, tmp_path):
     assert f["properties"]["is_nlos"] and f["properties"]["link_type"] == "red"
 
 
+def test_sites_by_centroid(spark, tmp_path):
+    """Points, a line by length, a square with a hole, and towers that stand already."""
+    shapes = [("Point", [44.0, 40.0]), ("LineString", [[0, 0], [4, 0], [4, 2]]), ("Polygon", [[[0, 0], [4, 0], [4, 4], [0, 4], [0, 0]], [[0, 0], [2, 0], [2, 4], [0, 4], [0, 0]]])]
+    doc = {"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"name": str(i)}, "geometry": {"type": k, "coordinates": c}} for i, (k, c) in enumerate(shapes)]}
+    (tmp_path / "s.geojson").write_text(json.dumps(doc))
+    got = {r.name: (round(r.lon, 9), round(r.lat, 9)) for r in geojson.load_sites(spark, str(tmp_path / "s.geojson"), 8).collect()}
+    assert got == {"0": (44.0, 40.0), "1": (round((4 * 2 + 2 * 4) / 6, 9), round(2 / 6, 9)), "2": (3.0, 2.0)}
+    tower = geojson.load_towers(spark, str(tmp_path / "s.geojson"), 8).collect()
+    assert [(r.source, r.ord < 0) for r in tower] == [("existing", True)]
+
+
 def test_site_priorities(spark):
     sites = spark.createDataFrame([(0, 0, 40.0, 44.0, 1), (1, 1, 40.0, 44.1, 1), (2, 2, 40.0, 44.09, 2)], "id long, ord long, lat double, lon double, priority int")
     assert {(r.a, r.b, r.level) for r in placement.priority_links(sites).collect()} == {(0, 1, 1), (2, 1, 2)}
