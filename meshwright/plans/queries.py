@@ -242,12 +242,11 @@ def fresnel_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id.id1", "id.id2", scaled(F.col("clearance")).alias("clearance_mm"), scaled(F.col("obstruction"), 6).alias("obstruction"))
 
 
-@query("WITH d AS (SELECT least(l_partkey, l_suppkey) AS lo, greatest(l_partkey, l_suppkey) AS hi, count(*) AS asked FROM lineitem GROUP BY ALL) SELECT count(*) AS pairs, CAST(sum(asked) AS BIGINT) AS asked FROM d")
+@query("SELECT least(l_partkey, l_suppkey) AS lo, greatest(l_partkey, l_suppkey) AS hi, count(*) AS asked FROM lineitem GROUP BY ALL")
 def canonical_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct unordered pairs, and how many directed requests each of them answers."""
     asked = b.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
-    lows = los.canonical(asked)
-    back = los.fan_out(asked, lows)
-    return lows.agg(F.count(F.lit(1)).alias("pairs")).join(F.broadcast(back.agg(F.count(F.lit(1)).alias("asked"))))
+    return los.fan_out(asked, los.canonical(asked)).groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("asked"))
 
 
 @query("SELECT event_type AS stage, count(*) AS requested, CAST(sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS BIGINT) AS visible, CAST(floor(min(value) * 1e3 + 0.5) AS BIGINT) AS least_s, CAST(floor(max(value) * 1e3 + 0.5) AS BIGINT) AS most_s, CAST(floor(quantile_cont(value, 0.5) * 1e3 + 0.5) AS BIGINT) AS median_s FROM events GROUP BY ROLLUP (event_type)")
@@ -277,10 +276,10 @@ def visible_supplier_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where("loss_db <= 95").select("id1", "id2", scaled(F.col("loss_db"), 4).alias("loss"))
 
 
-@query(f"WITH {RECEIVERS}, {TOWERS}, n AS (SELECT v.id, t.id AS tower, {_hav('v', 't')} AS d FROM receivers v JOIN towers t ON abs(v.lat - t.lat) < 0.03 AND {_chord('v', 't')} <= {REACH_M}), w AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, tower) AS k FROM n) SELECT id, count(*) AS n_visible FROM w GROUP BY id")
+@query(f"WITH {RECEIVERS}, {TOWERS} SELECT v.id, t.id AS tower, {_s(_chord('v', 't'))} AS chord_mm FROM receivers v JOIN towers t ON abs(v.lat - t.lat) < 0.03 WHERE {_chord('v', 't')} <= {REACH_M}")
 def cell_tower_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = spatial.range_join(b.receivers(spark, sf_dir).select("id", "lat", "lon"), b.towers(spark, sf_dir).select("id", "lat", "lon"), REACH_M)
-    return near.groupBy(F.col("id1").alias("id")).agg(F.count(F.lit(1)).alias("n_visible"))
+    return near.select(F.col("id1").alias("id"), F.col("id2").alias("tower"), scaled(F.col("chord_m")).alias("chord_mm"))
 
 
 _NEAR = f"{RECEIVERS}, {TOWERS}, near AS (SELECT v.id AS cell, t.id AS source, {_s(_chord('v', 't'))} AS d, CAST((v.id * 31 + t.id * 17) % 97 AS BIGINT) AS loss FROM receivers v JOIN towers t ON abs(v.lat - t.lat) < 0.03 WHERE {_chord('v', 't')} <= {REACH_M})"
@@ -306,9 +305,10 @@ def city_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.city_links(cells.select("cell", "lat", "lon", "closest_id"), city)
 
 
-@query(f"WITH {SITES}, top AS (SELECT * FROM sites WHERE priority = 1) SELECT CAST(level AS INT) AS level, count(*) AS links FROM (SELECT 1 AS level FROM top a JOIN top b ON a.ord < b.ord UNION ALL SELECT priority FROM sites WHERE priority > 1) GROUP BY level")
+@query(f"WITH {SITES}, lowest AS (SELECT min(priority) AS p FROM sites), pairs AS (SELECT a.id AS id1, c.id AS id2, a.lat AS lat1, a.lon AS lon1, c.lat AS lat2, c.lon AS lon2 FROM sites a JOIN sites c ON c.priority < a.priority), {_vincenty()}, near AS (SELECT id1, id2, row_number() OVER (PARTITION BY id1 ORDER BY far, id2) AS n FROM geodesics) SELECT a.id AS a, c.id AS b, a.priority AS level FROM sites a JOIN lowest ON a.priority = p JOIN sites c ON c.priority = p AND a.ord < c.ord UNION ALL SELECT id1, id2, priority FROM near JOIN sites s ON s.id = id1 WHERE n = 1")
 def priority_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return placement.priority_links(b.sites(spark, sf_dir)).groupBy("level").agg(F.count(F.lit(1)).alias("links"))
+    """The first level meshed, every other site to its nearest one of an earlier level."""
+    return placement.priority_links(b.sites(spark, sf_dir)).select("a", "b", "level")
 
 
 @query("SELECT (SELECT count(*) FROM supplier) AS towers, (SELECT count(*) FROM customer) AS cells, (SELECT count(*) FROM customer WHERE c_acctbal > 0) AS covered, (SELECT CAST(floor(1000.0 * avg(CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END) + 0.5) AS BIGINT) FROM customer) AS coverage_permille, (SELECT count(DISTINCT s_nationkey) FROM supplier) AS clusters")
