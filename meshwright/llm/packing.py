@@ -40,8 +40,8 @@ END_ID = 1
 COVERS = 1
 #: Share of its scarcest length that a priced configuration covers at once.
 STEP = 0.5
-#: Lengths offered to one pricing, the heaviest by the token.
-OFFERED = 192
+#: Lengths offered to one pricing of the program, the heaviest by the token, and of what is left in the end.
+OFFERED, LAST_OFFERED = 48, 144
 #: What a piece as long as the capacity weighs more by the token.
 LONGER = 1.0
 #: How fast a covered length loses weight.
@@ -151,16 +151,16 @@ def pieces(text: Column, path: str, capacity: int = CAPACITY, end_id: int = END_
     return cut(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def price(lengths: np.ndarray, counts: np.ndarray, weights: np.ndarray, capacity: int, ties: np.random.Generator) -> dict[int, int]:
+def price(lengths: np.ndarray, counts: np.ndarray, weights: np.ndarray, capacity: int, ties: np.random.Generator, most: int = OFFERED) -> dict[int, int]:
     """A heaviest multiset of at most ``counts`` of each length within the capacity (bounded knapsack by dynamic programming).
 
-    Offered are the OFFERED lengths that weigh most by the token, ties in random order, so that
+    Offered are the ``most`` lengths that weigh most by the token, ties in random order, so that
     equally heavy lengths take turns; each is split into lots of 1, 2, 4, ... pieces.  Of
     configurations about equally heavy the one of the longer pieces is preferred.
     """
     fits = np.flatnonzero((lengths <= capacity) & (counts > 0))
     dense = weights[fits] / lengths[fits] * (1 + 1e-6 * ties.random(len(fits)))
-    offered = fits[np.argsort(-dense)[:OFFERED]]
+    offered = fits[np.argsort(-dense)[:most]]
     weights = weights * (1 + LONGER * lengths / capacity)
     lots: list[tuple[int, int]] = []
     for i in offered.tolist():
@@ -247,7 +247,7 @@ def rounded(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tupl
         config, room, spare = {top: 1}, capacity - int(lengths[top]), left.copy()
         spare[top] -= 1
         if ((lengths <= room) & (spare > 0)).any():
-            for i, k in price(lengths, spare, weights, room, ties).items():
+            for i, k in price(lengths, spare, weights, room, ties, LAST_OFFERED).items():
                 config[i] = config.get(i, 0) + k
         use(config, uses(config))
     return out
