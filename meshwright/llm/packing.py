@@ -39,13 +39,13 @@ END_ID = 1
 #: How often the program covers its least covered length before it is scaled down.
 COVERS = 1
 #: Share of its scarcest length that a priced configuration covers at once.
-STEP = 0.5
+STEP = 0.35
 #: Lengths offered to one pricing of the program, the heaviest by the token, and of what is left in the end.
 OFFERED, LAST_OFFERED = 48, 144
 #: What a piece as long as the capacity weighs more by the token.
 LONGER = 1.0
 #: How fast a covered length loses weight.
-RATE = 4.0
+RATE = 2.0
 #: Words remembered by one Python worker before its memo is emptied.
 MEMO = 1_400_000
 #: Closing marks: to the tokenizer a run of its own after letters.
