@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwright.llm import bpe, lines, media, nearmin, neighbours, packing, secretscan, sharding, toxicity, urls
+from meshwright.llm import bpe, lines, media, mixing, nearmin, negatives, neighbours, packing, resampling, secretscan, sharding, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,8 +21,13 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_near_duplicates": nearmin.op9_near_duplicates,
     "op10_url_filter": urls.op10_url_filter,
+    "op11_source_mix": mixing.op11_source_mix,
+    "op12_resample": resampling.op12_resample,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op10_url_filter": urls.OP10_SQL,
+    "op11_source_mix": mixing.OP11_SQL,
+    "op13_hard_negatives": negatives.OP13_SQL,
 }
