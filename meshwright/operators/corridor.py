@@ -69,7 +69,7 @@ def order_features(features: DataFrame) -> DataFrame:
     """(route, feature, ord, flip): greedy head-to-tail order from the route's start.
 
     ``features`` have route, feature, lat1, lon1, lat2, lon2 (their ends) and slat, slon
-    (the start).  The nearest end of the features left comes next, flipped where it is
+    (the start), and may have tlat, tlon (where a turned feature is left, if not at its first end).  The nearest end of the features left comes next, flipped where it is
     its tail; the first wins ties.  Inherently sequential in a route, so one Arrow group a route.
     """
 
@@ -86,10 +86,12 @@ def order_features(features: DataFrame) -> DataFrame:
             offers = [(far(at, end), i, flip) for i, r in enumerate(left) for flip, end in ((False, (r.lat1, r.lon1)), (True, (r.lat2, r.lon2)))]
             _, i, flip = min(offers, key=lambda x: x[0])
             r = left.pop(i)
-            at = (r.lat1, r.lon1) if flip else (r.lat2, r.lon2)
+            at = (r.tlat, r.tlon) if flip else (r.lat2, r.lon2)
             out.append((r.route, r.feature, len(out), flip))
         return pd.DataFrame(out, columns=["route", "feature", "ord", "flip"])
 
+    if "tlat" not in features.columns:
+        features = features.withColumn("tlat", F.col("lat1")).withColumn("tlon", F.col("lon1"))
     return features.groupBy("route").applyInPandas(stitch, "route long, feature long, ord int, flip boolean")
 
 

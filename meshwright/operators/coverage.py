@@ -51,7 +51,8 @@ def coverage_radius(cells: DataFrame) -> DataFrame:
 def cell_coverage(cells: DataFrame, towers: DataFrame, config: MeshConfig, raster: dem.Raster | None = None) -> DataFrame:
     """Every cell (cell, lat, lon, elevation) with its visible towers; a tower's own cell is covered by it at no distance."""
     radius = min(config.max_coverage_radius_m, physics.max_fspl_distance_m(config.frequency_hz, config.link_budget_db))
-    left = cells.select(F.col("cell").alias("id"), F.coalesce("los_lat", "lat").alias("lat"), F.coalesce("los_lon", "lon").alias("lon"), "cell", F.col("elevation").alias("ground"), F.lit(config.mast_height_m).alias("mast"))
+    mast = F.lit(config.mast_height_m) + (F.coalesce("offset_m", F.lit(0.0)) if "offset_m" in cells.columns else F.lit(0.0))
+    left = cells.select(F.col("cell").alias("id"), F.coalesce("los_lat", "lat").alias("lat"), F.coalesce("los_lon", "lon").alias("lon"), "cell", F.col("elevation").alias("ground"), mast.alias("mast"))
     right = towers.select("id", "lat", "lon", "cell", "ground", "mast")
     pairs = spatial.range_join(left, right, radius).withColumn("id", F.struct(F.col("id1").alias("cell"), F.col("id2").alias("source")))
     seen = los.evaluate(pairs, config, cells.select("cell", "elevation"), raster).where("visible")

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from meshwright.config import MeshConfig
 from meshwright.functions import geo, grid, physics
-from meshwright.operators import los, spatial
+from meshwright.operators import los, spatial, stage
 from meshwright.operators.stage import cut
 
 
@@ -87,16 +87,18 @@ def corridor_length(corridor: DataFrame) -> DataFrame:
     return ahead.groupBy("route").agg(F.coalesce(F.sum(step), F.lit(0.0)).alias("length_m"))
 
 
-def place_towers(towers: DataFrame, wanted: DataFrame, cells: DataFrame) -> DataFrame:
-    """Towers (id, cell, lat, lon, source, ord) with those of ``wanted`` (cell, source, ord) that stand on a known, free cell.
+def place_towers(towers: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Towers (cell, source, route, step, pos) with those of ``wanted`` that stand on a free cell; of several on one cell the first."""
+    own = ["source", "route", "step", "pos"]
+    first = wanted.groupBy("cell").agg(F.min_by(F.struct(*own), F.struct("route", "step", "pos")).alias("w")).select("cell", "w.*")
+    return towers.unionByName(first.join(towers.select("cell"), "cell", "left_anti"))
 
-    Ids go on from the largest; a cell that has a tower, or is asked for twice, gets one.
-    """
-    first = wanted.groupBy("cell").agg(F.min_by(F.struct("source", "ord"), "ord").alias("w")).select("cell", "w.source", "w.ord")
-    fresh = first.join(towers, "cell", "left_anti").join(cells.select("cell", F.coalesce("los_lat", "lat").alias("lat"), F.coalesce("los_lon", "lon").alias("lon")), "cell")
-    last = towers.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("last"))
-    numbered = fresh.withColumn("n", F.row_number().over(W.orderBy("ord", "cell"))).join(F.broadcast(last))  # towers are few: one row each that is placed
-    return towers.unionByName(numbered.select((F.col("last") + F.col("n")).alias("id"), "cell", "lat", "lon", "source", "ord"))
+
+def numbered(towers: DataFrame, cells: DataFrame) -> DataFrame:
+    """(id, cell, lat, lon, source, route, step, pos): ids from 0 in the order of route, step and pos, at the anchors of their cells."""
+    known = towers.join(cells.select("cell", F.coalesce("los_lat", "lat").alias("lat"), F.coalesce("los_lon", "lon").alias("lon")), "cell")
+    placed = stage.numbered(known, [F.col("route"), F.col("step"), F.col("pos"), F.col("cell")], "id")
+    return placed.select("id", "cell", "lat", "lon", "source", "route", "step", "pos")
 
 
 def upsert_edges(edges: DataFrame, fresh: DataFrame, columns: list[str]) -> DataFrame:
@@ -116,6 +118,22 @@ def visibility_edges(towers: DataFrame, config: MeshConfig, cells: DataFrame | N
     return seen.select("id.a", "id.b", "distance_m", "path_loss_db", "clearance_m", "obstruction", F.lit(origin).alias("origin"))
 
 
+def chain_edges(pairs: DataFrame, towers: DataFrame, config: MeshConfig, cells: DataFrame | None = None, raster=None) -> DataFrame:
+    """Edges of origin ``corridor_chain`` between the pairs (a, b) of towers (id, cell, lat, lon, ground, mast) that see each other."""
+    rows = pairs.withColumn("id", F.struct("a", "b"))
+    for i, end in (("1", "a"), ("2", "b")):
+        rows = rows.join(towers.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}{i}") for c in ("cell", "lat", "lon", "ground", "mast")]), end)
+    seen = los.evaluate(rows, config, cells, raster).where("visible")
+    return seen.select("id.a", "id.b", "distance_m", "path_loss_db", "clearance_m", "obstruction", F.lit("corridor_chain").alias("origin"))
+
+
+def linked(chain: DataFrame, everywhere: DataFrame) -> DataFrame:
+    """All edges: those of the chains, replaced where the edges between all towers have them too."""
+    values = ["distance_m", "path_loss_db", "clearance_m", "obstruction", "origin"]
+    both = upsert_edges(chain.withColumn("seq", F.lit(0)), everywhere.withColumn("seq", F.lit(1)), values)
+    return both.select("a", "b", *values)
+
+
 def clusters(towers: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): a cluster is named by its smallest tower."""
     return components(towers.select("id"), edges.select("a", "b"))

@@ -116,41 +116,32 @@ def repair_choices(candidates: DataFrame, sight: DataFrame) -> DataFrame:
     return seen.groupBy("route", "pos").agg(F.min_by(F.struct("a", "b", "clearance"), order).alias("x")).select("route", "pos", "x.*")
 
 
-def repair(chain: list, sees: Callable, candidates: Callable, fixed: set, base_m: float, rounds: int = REPAIR_ROUNDS) -> list:
-    """Repair the broken gaps of one chain by moving its cells, a radius of base * round / 2 at a time.
+def repair(chain: list, sees: Callable, candidates: Callable, fixed: set, base_m: float, rounds: int = REPAIR_ROUNDS) -> tuple[list, dict]:
+    """Repair the broken gaps of one chain by moving its cells: (chain, round in which each new cell was placed).
 
-    Gaps are mended in order, as each mend changes the chain; moved ends must still see
-    their other neighbours; the chain's ends and ``fixed`` cells stay.  ``sees(a, b)`` gives a
-    clearance or None, ``candidates(cell, radius)`` the (cell, elevation, move) to try.
+    Gaps are mended in order, as each mend changes the chain, and each tries radii of base * round / 2
+    before the next one is looked at.  Both ends, moved or not, must see their other neighbour;
+    the chain's ends and ``fixed`` cells stay.  ``sees(a, b)`` gives a clearance or None,
+    ``candidates(cell, radius)`` the (cell, elevation, move) to try, the cell itself among them.
     """
-    chain = list(chain)
-    still = {chain[0], chain[-1], *fixed} if chain else set()
-    for r in range(1, rounds + 1):
-        radius = base_m * r / 2
-        broken = [i for i in range(len(chain) - 1) if sees(chain[i], chain[i + 1]) is None]
-        if not broken:
-            break
-        for i in broken:
-            if sees(chain[i], chain[i + 1]) is not None:
-                continue
+    chain, placed = list(chain), {}
+    broken = [i for i in range(len(chain) - 1) if sees(chain[i], chain[i + 1]) is None]
+    for i in broken:
+        first, second = chain[i], chain[i + 1]
+        stays = i == 0 or first in fixed, i + 2 == len(chain) or second in fixed
+        outer = chain[i - 1] if i else None, chain[i + 2] if i + 2 < len(chain) else None
+        for r in range(1, rounds + 1):
             sides = []
-            for cell in (chain[i], chain[i + 1]):
-                offered = [] if cell in still else sorted(candidates(cell, radius), key=lambda c: (-c[1], c[2], c[0]))[:CANDIDATES]
-                sides.append([(cell, 0.0, 0.0), *[c for c in offered if c[0] != cell]])
-            best = None
-            for a, ea, ma in sides[0]:
-                if i and sees(chain[i - 1], a) is None and a != chain[i]:
-                    continue
-                for b, eb, mb in sides[1]:
-                    if a == b or (b != chain[i + 1] and i + 2 < len(chain) and sees(b, chain[i + 2]) is None):
-                        continue
-                    clearance = sees(a, b)
-                    if clearance is not None:
-                        key = (-clearance, ma + mb, -(ea + eb), a, b)
-                        best = min(best, (key, a, b)) if best else (key, a, b)
-            if best:
-                chain[i], chain[i + 1] = best[1], best[2]
-    return chain
+            for cell, stay, beyond in zip((first, second), stays, outer, strict=True):
+                offered = [(cell, 0.0, 0.0)] if stay else sorted(candidates(cell, base_m * r / 2), key=lambda c: (-c[1], c[2], c[0]))[:CANDIDATES]
+                sides.append([c for c in offered if beyond is None or sees(beyond, c[0]) is not None])
+            pairs = [(sees(a, b), ma + mb, ea + eb, a, b) for a, ea, ma in sides[0] for b, eb, mb in sides[1]]
+            seen = [(-clearance, move, -high, a, b) for clearance, move, high, a, b in pairs if clearance is not None]
+            if seen:
+                *_, chain[i], chain[i + 1] = min(seen)
+                placed |= {new: r for old, new in ((first, chain[i]), (second, chain[i + 1])) if new != old and new not in fixed}
+                break
+    return chain, placed
 
 
 def _per_route(rows: DataFrame, schema: str, step: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
@@ -235,11 +226,10 @@ def peak_fallback(corridor: DataFrame, k: int) -> DataFrame:
     return ends.withColumn("n", rank).where((F.col("n") <= k) | F.col("end")).drop("n", "end")
 
 
-def wire_chain(chain: DataFrame, existing: DataFrame) -> DataFrame:
-    """(route, a, b): following towers (route, pos, id) of a chain that have no edge yet."""
+def wire_chain(chain: DataFrame) -> DataFrame:
+    """(a, b): pairs of towers that follow each other in a chain (route, pos, id), each pair once; those that see each other become edges."""
     ahead = chain.withColumn("next", F.lead("id").over(W.partitionBy("route").orderBy("pos"))).where("next is not null and next != id")
-    keyed = ahead.select("route", F.least("id", "next").alias("a"), F.greatest("id", "next").alias("b")).dropDuplicates(["a", "b"])
-    return keyed.join(existing.select("a", "b"), ["a", "b"], "left_anti").select("route", "a", "b")
+    return ahead.select(F.least("id", "next").alias("a"), F.greatest("id", "next").alias("b")).distinct()
 
 
 def sites_by_priority(sites: DataFrame) -> DataFrame:
@@ -251,14 +241,14 @@ def priority_links(sites: DataFrame) -> DataFrame:
     """(a, b, level): which sites (id, ord, priority, lat, lon) are to be connected.
 
     The first level (priority 1, else the lowest) is meshed in full; every site of a later
-    level goes to the nearest site of the levels before it.
+    level goes to the nearest site of the levels before it, or of its own level before it in order.
     """
     first = sites.agg(F.min("priority").alias("first"))
     ranked = sites.join(F.broadcast(first))
     top = ranked.where("priority = first")
     mesh = top.select(F.col("id").alias("a"), F.col("ord").alias("oa"), F.col("priority").alias("level")).join(top.select(F.col("id").alias("b"), F.col("ord").alias("ob")), F.col("oa") < F.col("ob")).select("a", "b", "level")
-    later = ranked.where("priority > first").select(F.col("id").alias("a"), F.col("priority").alias("level"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
+    later = ranked.where("priority > first").select(F.col("id").alias("a"), F.col("ord").alias("oa"), F.col("priority").alias("level"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
     before = sites.select(F.col("id").alias("b"), F.col("ord").alias("ob"), F.col("priority").alias("pb"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    pairs = later.join(before, F.col("pb") < F.col("level")).withColumn("far", geo.geodesic_m(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")))
+    pairs = later.join(before, (F.col("pb") < F.col("level")) | ((F.col("pb") == F.col("level")) & (F.col("ob") < F.col("oa")))).withColumn("far", geo.geodesic_m(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")))
     near = pairs.groupBy("a", "level").agg(F.min_by("b", F.struct("far", "ob")).alias("b")).select("a", "b", "level")
     return mesh.union(near)

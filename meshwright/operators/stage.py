@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
@@ -24,3 +26,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage at a reliable checkpoint."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with the place of each row in ``order``, from 0: rows are dealt by ranges, numbered in them, and moved by the rows before."""
+    dealt = cut(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sizes = dealt.groupBy("__part").count()
+    before = F.sum("count").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1))  # a row a range
+    starts = sizes.select(F.col("__part").alias("__p"), F.coalesce(before, F.lit(0)).alias("__before"))
+    place = F.row_number().over(W.partitionBy("__part").orderBy(*order)) - 1
+    return dealt.withColumn(name, place).join(starts, F.col("__part") == F.col("__p")).withColumn(name, (F.col(name) + F.col("__before")).cast("long")).drop("__part", "__p", "__before")

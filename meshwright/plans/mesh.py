@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from meshwright.config import MeshConfig
 from meshwright.functions import grid
 from meshwright.operators import corridor, coverage, dem, los, network, placement, spatial
-from meshwright.operators.stage import cut
+from meshwright.operators.stage import cut, numbered
 from meshwright.sources import export
 
-TOWER = "id long, cell long, lat double, lon double, source string, ord long"
+#: A tower's cell and source, and its place in the order of planning: route (negative before all routes), step (0 anchors, 1 placed nodes), pos.
+TOWER = "cell long, source string, route long, step int, pos long"
 
 
 def road_cells(roads: DataFrame, resolution: int) -> DataFrame:
@@ -43,56 +43,90 @@ def marked(placed: DataFrame, cities: DataFrame | None) -> DataFrame:
 
 
 def pair_rows(pairs: DataFrame, cells: DataFrame, config: MeshConfig) -> DataFrame:
-    """Canonical pairs (lo, hi) of cells as line-of-sight rows, ends at their anchors."""
+    """Canonical pairs (lo, hi) of cells as line-of-sight rows, ends at their anchors; a cell's ``offset_m`` raises its mast, not its ground."""
+    mast = F.lit(config.mast_height_m) + (F.coalesce("offset_m", F.lit(0.0)) if "offset_m" in cells.columns else F.lit(0.0))
     out = pairs.select("lo", "hi", F.struct("lo", "hi").alias("id"), F.col("lo").alias("cell1"), F.col("hi").alias("cell2"))
     for i in ("1", "2"):
-        own = cells.select(F.col("cell").alias(f"cell{i}"), F.coalesce("los_lat", "lat").alias(f"lat{i}"), F.coalesce("los_lon", "lon").alias(f"lon{i}"), F.col("elevation").alias(f"ground{i}"), F.lit(config.mast_height_m).alias(f"mast{i}"))
+        own = cells.select(F.col("cell").alias(f"cell{i}"), F.coalesce("los_lat", "lat").alias(f"lat{i}"), F.coalesce("los_lon", "lon").alias(f"lon{i}"), F.col("elevation").alias(f"ground{i}"), mast.alias(f"mast{i}"))
         out = out.join(own, f"cell{i}")
     return out
 
 
+def standing(spark: SparkSession, existing: DataFrame | None) -> DataFrame:
+    """The towers that a plan begins with: those of ``existing`` (cell, source, ord), or none."""
+    towers = spark.createDataFrame([], TOWER)
+    if existing is None:
+        return towers
+    return cut(network.place_towers(towers, existing.select("cell", "source", F.lit(-2).cast("long").alias("route"), F.lit(0).alias("step"), F.col("ord").cast("long").alias("pos"))))
+
+
+def raised(cells: DataFrame, heights: DataFrame) -> DataFrame:
+    """Cells with ``offset_m``: the largest extra height (cell, height) of what stands in each, 0 or more."""
+    own = heights.groupBy("cell").agg(F.max(F.greatest(F.coalesce("height", F.lit(0.0)), F.lit(0.0))).alias("offset_m"))
+    return cells.drop("offset_m").join(own, "cell", "left").withColumn("offset_m", F.coalesce("offset_m", F.lit(0.0)))
+
+
+def assembled(towers: DataFrame, chains: DataFrame, cells: DataFrame, config: MeshConfig, raster: dem.Raster | None, cities: DataFrame | None) -> dict[str, DataFrame]:
+    """towers, edges, chain edges, clusters, coverage[, city links] and report of placed towers (TOWER) and chains (route, pos, cell, algorithm, ...).
+
+    Towers get ids in the order in which they were planned, how they were placed, their coverage radius and whether they serve a city.
+    """
+    named = cut(network.numbered(towers, cells))
+    how = chains.where("algorithm is not null").groupBy(F.col("cell").alias("mc")).agg(F.min_by(F.struct("algorithm", "dp_steps", "repair_round"), "route").alias("m"))
+    known = named.join(how, (F.col("cell") == F.col("mc")) & (F.col("step") == 1), "left").select("id", "cell", "lat", "lon", "source", "m.algorithm", "m.dp_steps", "m.repair_round")
+    sited = cut(named.join(cells.select("cell", F.col("elevation").alias("ground"), "offset_m"), "cell").select("id", "cell", "lat", "lon", "ground", (F.lit(config.mast_height_m) + F.col("offset_m")).alias("mast")))
+    terrain = cells.select("cell", "elevation")
+    follow = placement.wire_chain(chains.select("route", "pos", "cell").join(named.select("cell", "id"), "cell"))
+    wired = cut(network.chain_edges(follow, sited, config, terrain, raster))
+    edges = cut(network.linked(wired, network.visibility_edges(sited, config, terrain, raster)))
+    groups = cut(network.clusters(named, edges))
+    covered = cut(coverage.cell_coverage(cells, sited, config, raster))
+    radii = coverage.coverage_radius(covered).withColumnRenamed("radius_m", "coverage_radius_m")
+    full = known.join(radii, "id", "left").withColumn("coverage_radius_m", F.coalesce("coverage_radius_m", F.lit(0.0)))
+    made = {"edges": edges, "corridor_edges": wired, "clusters": groups, "coverage": covered, "report": coverage.report(named, covered, groups)}
+    if cities is not None:
+        made["city_links"] = cut(coverage.city_links(covered.select("cell", "lat", "lon", "closest_id"), cities))
+        full = full.join(made["city_links"], "id", "left")
+    return made | {"towers": cut(full)}
+
+
 def plan_mesh(spark: SparkSession, config: MeshConfig, boundary: DataFrame, roads: DataFrame, sites: DataFrame, raster: dem.Raster | None = None, cities: DataFrame | None = None, existing: DataFrame | None = None) -> dict[str, DataFrame]:
     """cells, sites, corridors, towers, edges, clusters, coverage and report of a plan.
 
     Towers that stand already (``existing``: cell, source, ord) come first, then those of the sites; sites are linked by
-    priority along the road graph, towers are placed on these corridors, then links, clusters and coverage follow.
-    A site's height (site_height_m) raises the antennas of its cell.
+    priority along the road graph.  A level's corridors are planned together, beside the towers of the levels before
+    it, which they reuse; then links, clusters and coverage follow.  A site's height (site_height_m) raises the antennas of its cell.
     """
     from meshwright.plans import routes
 
     cells = plan_cells(boundary, roads, config, raster, cities)
     snapped = cut(sites.drop("cell").join(corridor.snap_sites(sites.select("id", "lat", "lon", "cell"), cells), "id"))
     height = F.col("site_height_m") if "site_height_m" in snapped.columns else F.lit(0.0)
-    offsets = snapped.groupBy("cell").agg(F.max(F.greatest(F.coalesce(height, F.lit(0.0)), F.lit(0.0))).alias("offset_m"))
-    cells = cut(cells.join(offsets, "cell", "left").withColumn("offset_m", F.coalesce("offset_m", F.lit(0.0))))
-    towers = spark.createDataFrame([], TOWER)
-    if existing is not None:
-        towers = cut(network.place_towers(towers, existing.select("cell", "source", "ord"), cells))
-    towers = cut(network.place_towers(towers, snapped.select("cell", F.lit("site").alias("source"), F.col("ord").cast("long").alias("ord")), cells))
+    cells = cut(raised(cells, snapped.select("cell", height.alias("height"))))
+    towers = standing(spark, existing)
+    towers = cut(network.place_towers(towers, snapped.select("cell", F.lit("site").alias("source"), F.lit(-1).cast("long").alias("route"), F.lit(0).alias("step"), F.col("ord").cast("long").alias("pos"))))
     graph_cells = cells.join(snapped.select("cell").withColumn("__site", F.lit(True)).distinct(), "cell", "left").where("has_road or __site").select("cell", "elevation")
     graph = cut(network.routing_graph(graph_cells, config.routing_k_ring))
-    own = snapped.select("id", "cell")
     links = placement.priority_links(snapped.select("id", "ord", "priority", "lat", "lon"))
-    asked = links.join(own.select(F.col("id").alias("a"), F.col("cell").alias("src")), "a").join(own.select(F.col("id").alias("b"), F.col("cell").alias("dst")), "b").where("src != dst")
-    requests = cut(asked.withColumn("route", F.row_number().over(W.orderBy("level", "a", "b")).cast("long")).select("route", "src", "dst"))
-    paths = network.shortest_paths(graph, requests)
+    end = lambda key, cell, ord_: snapped.select(F.col("id").alias(key), F.col("cell").alias(cell), F.col("ord").alias(ord_))
+    asked = links.join(end("a", "src", "oa"), "a").join(end("b", "dst", "ob"), "b").where("src != dst")
+    requests = cut(numbered(asked.select("level", "src", "dst", "oa", "ob"), [F.col("level"), F.col("oa"), F.col("ob")], "route"))
+    paths = network.shortest_paths(graph, requests.select("route", "src", "dst"))
     corridors = cut(paths.select("route", F.posexplode("path").alias("pos", "cell")))
-    raised = cells.withColumn("elevation", F.col("elevation") + F.col("offset_m"))
     budgets = requests.select("route", F.lit(config.max_towers_per_route).alias("budget"))
-    chosen = routes.place_along(corridors, budgets, cells, towers.select("cell"), config, routes.sight_over(raised, config, raster))
-    towers = cut(network.place_towers(towers, chosen.select("cell", F.lit("route").alias("source"), (F.col("route") * 100_000 + F.col("pos")).alias("ord")), cells))
-    how = chosen.where("algorithm is not null").groupBy(F.col("cell").alias("mc")).agg(F.min_by(F.struct("algorithm", "dp_steps", "repair_round"), "route").alias("m"))
-    towers = cut(towers.join(how, F.col("cell") == F.col("mc"), "left").select(*towers.columns, "m.algorithm", "m.dp_steps", "m.repair_round"))
-    sited = towers.join(cells.select("cell", F.col("elevation").alias("ground"), "offset_m"), "cell").withColumn("mast", F.lit(config.mast_height_m) + F.col("offset_m"))
-    edges = cut(network.visibility_edges(sited.select("id", "cell", "lat", "lon", "ground", "mast"), config, cells.select("cell", "elevation"), raster))
-    groups = network.clusters(towers, edges)
-    covered = coverage.cell_coverage(cells, sited, config, raster)
-    return {"cells": cells, "sites": snapped, "corridors": corridors, "towers": towers, "edges": edges, "clusters": groups, "coverage": covered, "report": coverage.report(towers, covered, groups)}
+    sight = routes.sight_over(cells, config, raster)
+    chains = spark.createDataFrame([], routes.CHAIN)
+    for (level,) in requests.select("level").distinct().orderBy("level").collect():  # as many rows as there are priorities
+        own = corridors.join(requests.where(F.col("level") == level).select("route"), "route", "left_semi")
+        chosen = routes.place_along(own, budgets, cells, towers.select("cell"), config, sight)
+        towers = cut(network.place_towers(towers, chosen.select("cell", F.lit(f"priority_{level}").alias("source"), "route", F.lit(1).alias("step"), F.col("pos").cast("long").alias("pos"))))
+        chains = cut(chains.unionByName(chosen))
+    return {"cells": cells, "sites": snapped, "corridors": corridors, "chains": chains} | assembled(towers, chains, cells, config, raster, cities)
 
 
 def write_plan(plan: dict[str, DataFrame], paths: dict[str, str], config: MeshConfig) -> None:
     """Towers, coverage, links, grid cells and report of a plan to their paths."""
-    towers = plan["towers"] if "algorithm" in plan["towers"].columns else plan["towers"].withColumn("algorithm", F.when(F.col("source") != "site", "dp"))
+    towers = plan["towers"]
     export.write_features(export.tower_features(towers, plan["cells"], config.mast_height_m), paths["towers"])
     export.write_features(export.coverage_features(plan["coverage"]), paths["coverage"])
     export.write_features(export.edge_features(plan["edges"], towers, plan["cells"], config), paths["edges"])

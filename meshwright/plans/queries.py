@@ -305,7 +305,7 @@ def city_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.city_links(cells.select("cell", "lat", "lon", "closest_id"), city)
 
 
-@query(f"WITH {SITES}, lowest AS (SELECT min(priority) AS p FROM sites), pairs AS (SELECT a.id AS id1, c.id AS id2, a.lat AS lat1, a.lon AS lon1, c.lat AS lat2, c.lon AS lon2 FROM sites a JOIN sites c ON c.priority < a.priority), {_vincenty()}, near AS (SELECT id1, id2, row_number() OVER (PARTITION BY id1 ORDER BY far, id2) AS n FROM geodesics) SELECT a.id AS a, c.id AS b, a.priority AS level FROM sites a JOIN lowest ON a.priority = p JOIN sites c ON c.priority = p AND a.ord < c.ord UNION ALL SELECT id1, id2, priority FROM near JOIN sites s ON s.id = id1 WHERE n = 1")
+@query(f"WITH {SITES}, lowest AS (SELECT min(priority) AS p FROM sites), pairs AS (SELECT a.id AS id1, c.id AS id2, a.lat AS lat1, a.lon AS lon1, c.lat AS lat2, c.lon AS lon2 FROM sites a JOIN sites c ON c.priority < a.priority OR (c.priority = a.priority AND c.ord < a.ord AND a.priority > (SELECT p FROM lowest))), {_vincenty()}, near AS (SELECT id1, id2, row_number() OVER (PARTITION BY id1 ORDER BY far, id2) AS n FROM geodesics) SELECT a.id AS a, c.id AS b, a.priority AS level FROM sites a JOIN lowest ON a.priority = p JOIN sites c ON c.priority = p AND a.ord < c.ord UNION ALL SELECT id1, id2, priority FROM near JOIN sites s ON s.id = id1 WHERE n = 1")
 def priority_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first level meshed, every other site to its nearest one of an earlier level."""
     return placement.priority_links(b.sites(spark, sf_dir)).select("a", "b", "level")

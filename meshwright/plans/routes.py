@@ -1,7 +1,8 @@
 """Towers along ready routes: attempts over widening searches, segments at existing towers, repair, pruning.
 
-All routes of a wave are planned together, with one request for line of sight a step; waves
-follow each other, so that later routes reuse the towers of earlier ones.
+All routes of a wave are planned together, with one request for line of sight a step.  Routes
+whose cells meet are in different waves, in their order, so that later routes reuse the towers of
+earlier ones and a plan is the same as if one route after the other had been planned.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Window as W
 
 from meshwright.config import MeshConfig
 from meshwright.functions import geo, grid
-from meshwright.operators import corridor, coverage, dem, los, network, placement
+from meshwright.operators import corridor, dem, los, network, placement, spatial, waves
 from meshwright.operators.stage import cut
 from meshwright.plans import mesh
 from meshwright.sources import geojson
@@ -24,6 +25,8 @@ from meshwright.sources import geojson
 Sight = Callable[[DataFrame], DataFrame]
 #: A chain of nodes: pos is the place in the route's corridor.
 CHAIN = "route long, pos int, cell long, algorithm string, dp_steps int, repair_round int"
+#: A city's anchor keeps this many edges away from other towers: 1.2, and the two cells' own.
+ANCHOR_EDGES = 3.2
 
 
 def sight_over(cells: DataFrame, config: MeshConfig, raster: dem.Raster | None = None) -> Sight:
@@ -114,7 +117,8 @@ def repaired(chains: DataFrame, broken: DataFrame, cells: DataFrame, existing: D
     most = base_m * placement.REPAIR_ROUNDS / 2
     rings = grid.rings_covering(most, config.h3_resolution)
     free = cells.where("not unfit").select(F.col("cell").alias("to"), "elevation")
-    near = movable.select("route", "n", "cell", F.explode(grid.disk(F.col("cell"), rings)).alias("to")).join(free, "to").where("to != cell")
+    near = movable.select("route", "n", "cell", F.explode(grid.disk(F.col("cell"), rings)).alias("to")).join(free, "to").select("route", "n", "cell", "to", "elevation")
+    near = near.union(movable.join(cells.select(F.col("cell").alias("own"), "elevation"), F.col("cell") == F.col("own")).select("route", "n", "cell", F.col("cell").alias("to"), "elevation")).distinct()
     far = geo.geodesic_m(grid.lat_of(F.col("cell")), grid.lon_of(F.col("cell")), grid.lat_of(F.col("to")), grid.lon_of(F.col("to")))
     offered = near.withColumn("move", far)
     kept = None
@@ -144,17 +148,18 @@ def repaired(chains: DataFrame, broken: DataFrame, cells: DataFrame, existing: D
         home: dict[int, int] = {}
         for cell, to, high, move in group[group.kind == "pool"][["cell", "other", "value", "move"]].itertuples(index=False):
             pools.setdefault(int(cell), []).append((int(to), high, move))
-            home.setdefault(int(to), int(cell))
+            if to != cell:
+                home.setdefault(int(to), int(cell))
         before = [int(c) for c in nodes.cell]
         fixed = {int(c) for c in group[group.kind == "fixed"].cell}
-        sees = lambda a, b: 0.0 if a == b else clear.get((min(a, b), max(a, b)))
+        sees = lambda a, b: config.mast_height_m if a == b else clear.get((min(a, b), max(a, b)))
         near = lambda cell, radius: [c for c in pools.get(cell, pools.get(home.get(cell, -1), [])) if c[2] <= radius]
-        after = placement.repair(before, sees, near, fixed, base_m)
+        after, rounds = placement.repair(before, sees, near, fixed, base_m)
         moved = [a != b for a, b in zip(before, after, strict=True)]
         out = pd.DataFrame({"route": nodes.route.to_numpy(), "pos": nodes.pos.astype(int).to_numpy(), "cell": after})
         out["algorithm"] = ["dp_repair" if m else a for m, a in zip(moved, nodes.algorithm, strict=True)]
         out["dp_steps"] = [None if m or pd.isna(s) else int(s) for m, s in zip(moved, nodes.dp_steps, strict=True)]
-        out["repair_round"] = [1 if m else None for m in moved]
+        out["repair_round"] = [rounds.get(a) if m else None for a, m in zip(after, moved, strict=True)]
         return out.astype({"dp_steps": "Int64", "repair_round": "Int64"})
 
     mended = touched.groupBy("route").applyInPandas(mend, CHAIN)
@@ -220,69 +225,129 @@ def place_along(corridors: DataFrame, budgets: DataFrame, cells: DataFrame, exis
     return done
 
 
-def route_corridors(routes: DataFrame, cells: DataFrame, config: MeshConfig) -> DataFrame:
-    """(route, pos, cell) of routes (ord, site1, site2, features): their lines head to tail from the first site, sampled into cells, with the sites' cells at the ends, trimmed to fit cells."""
-    line = F.from_json("f.geometry.coordinates", "array<array<double>>")
-    features = routes.select(F.col("ord").cast("long").alias("route"), "site1", F.posexplode("features").alias("feature", "f")).where("f.geometry.type = 'LineString'").select("route", F.col("feature").cast("long").alias("feature"), "site1", line.alias("line")).where("size(line) > 1")
-    end = lambda i: (F.element_at(F.element_at("line", i), 2), F.element_at(F.element_at("line", i), 1))
-    (lat1, lon1), (lat2, lon2) = end(1), end(-1)
-    ordered = corridor.order_features(features.select("route", "feature", lat1.alias("lat1"), lon1.alias("lon1"), lat2.alias("lat2"), lon2.alias("lon2"), F.col("site1.lat").alias("slat"), F.col("site1.lon").alias("slon")))
+def sampled_corridors(routes: DataFrame, resolution: int) -> DataFrame:
+    """(route, pos, cell) of routes (route, site1, site2, features): their lines head to tail from the first site, sampled into cells, with the sites' cells at the ends.
+
+    A MultiLineString is one feature: its first line's ends place it among the others, its lines follow each other, in reverse
+    order where it is turned.  Features of other kinds, or without a line, are left out.
+    """
+    kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    lines = F.when(kind == "LineString", F.array(F.from_json(text, "array<array<double>>"))).when(kind == "MultiLineString", F.from_json(text, "array<array<array<double>>>"))
+    features = routes.select("route", "site1", F.posexplode("features").alias("feature", "f")).select("route", F.col("feature").cast("long").alias("feature"), "site1", lines.alias("lines"), (kind == "MultiLineString").alias("many"))
+    features = features.where("size(get(lines, 0)) > 1")
+    end = lambda part, i: [F.element_at(F.element_at(F.element_at("lines", part), i), k) for k in (2, 1)]
+    (lat1, lon1), (lat2, lon2) = end(1, 1), end(1, -1)
+    # the end at which a turned feature is left
+    tail = [F.when(F.col("many"), a).otherwise(b) for a, b in zip(end(-1, -1), end(1, 1), strict=True)]
+    ordered = corridor.order_features(features.select("route", "feature", lat1.alias("lat1"), lon1.alias("lon1"), lat2.alias("lat2"), lon2.alias("lon2"), tail[0].alias("tlat"), tail[1].alias("tlon"), F.col("site1.lat").alias("slat"), F.col("site1.lon").alias("slon")))
     turned = features.join(ordered.select(F.col("route").alias("r2"), F.col("feature").alias("f2"), "ord", "flip"), (F.col("route") == F.col("r2")) & (F.col("feature") == F.col("f2")))
-    points = turned.select("route", "ord", F.posexplode(F.when(F.col("flip"), F.reverse("line")).otherwise(F.col("line"))).alias("seq", "p"))
-    vertices = points.select(F.struct("route", "ord").alias("line"), "seq", F.element_at("p", 1).alias("lon"), F.element_at("p", 2).alias("lat"))
-    samples = corridor.segment_cells(vertices, config.h3_resolution).select("line.route", "line.ord", "seq", "i", "cell")
-    found = corridor.without_repeats(samples, ["ord", "seq", "i"])
-    spot = lambda s: grid.cell_of(F.col(f"{s}.lat"), F.col(f"{s}.lon"), config.h3_resolution)
-    full = corridor.with_ends(found, routes.select(F.col("ord").cast("long").alias("route"), spot("site1").alias("first"), spot("site2").alias("last")))
-    known = full.join(cells.select("cell", (~F.col("unfit")).alias("fit")), "cell")
-    trimmed = corridor.trim_unfit(known.select("route", "pos", "cell", "fit"))
-    return corridor.first_visits(trimmed.select("route", "pos", "cell"))
+    whole = F.when(~F.col("flip"), F.col("lines")).when(F.col("many"), F.reverse("lines")).otherwise(F.transform("lines", F.reverse))
+    parts = turned.select("route", "ord", F.posexplode(whole).alias("part", "line"))
+    points = parts.select("route", "ord", "part", F.posexplode("line").alias("seq", "p"))
+    vertices = points.select(F.struct("route", "ord", "part").alias("line"), "seq", F.element_at("p", 1).alias("lon"), F.element_at("p", 2).alias("lat"))
+    samples = corridor.segment_cells(vertices, resolution).select("line.route", "line.ord", "line.part", "seq", "i", "cell")
+    found = corridor.without_repeats(samples, ["ord", "part", "seq", "i"])
+    spot = lambda s: grid.cell_of(F.col(f"{s}.lat"), F.col(f"{s}.lon"), resolution)
+    return corridor.with_ends(found, routes.select("route", spot("site1").alias("first"), spot("site2").alias("last")))
+
+
+def with_unknown(cells: DataFrame, wanted: DataFrame, config: MeshConfig, raster: dem.Raster | None, cities: DataFrame | None) -> DataFrame:
+    """Cells with those of ``wanted`` (cell, has_road) that they lack, at their anchors in the raster (without one at no height, at their centres)."""
+    missing = cut(wanted.groupBy("cell").agg(F.bool_or("has_road").alias("has_road")).join(cells.select("cell"), "cell", "left_anti"))
+    if missing.isEmpty():
+        return cells
+    if raster is not None:
+        placed = dem.anchors(missing.select("cell"), raster, config.h3_resolution, config.cell_anchor_margin_m)
+    else:
+        placed = missing.select("cell", F.lit(0.0).alias("elevation"), grid.lat_of(F.col("cell")).alias("los_lat"), grid.lon_of(F.col("cell")).alias("los_lon"))
+    made = missing.join(placed, "cell").withColumn("lat", grid.lat_of(F.col("cell"))).withColumn("lon", grid.lon_of(F.col("cell")))
+    return cut(cells.select("cell", "lat", "lon", "elevation", "los_lat", "los_lon", "has_road", "unfit").unionByName(mesh.marked(made, cities).select("cell", "lat", "lon", "elevation", "los_lat", "los_lon", "has_road", "unfit")))
+
+
+def route_claims(paths: DataFrame, config: MeshConfig) -> DataFrame:
+    """(route, cell): all cells that planning a corridor (route, pos, cell) may read or put a tower on."""
+    search = max([config.road_buffer_m, config.optimizer_search_radius_m or 0.0, *config.fallback_initial_search_radius_ladder_m])
+    repair = (config.road_buffer_m if config.road_buffer_m > 0 else search) * placement.REPAIR_ROUNDS / 2
+    rings = max(2, round(search / grid.edge_m(config.h3_resolution)), grid.rings_covering(max(repair, 1.0), config.h3_resolution))
+    return paths.select("route", F.explode(grid.disk(F.col("cell"), rings)).alias("cell")).distinct()
+
+
+def site_anchors(routes: DataFrame, paths: DataFrame, config: MeshConfig, cities: DataFrame | None) -> DataFrame:
+    """(route, side, cell, height, city): where the sites of routes get their towers.
+
+    A site inside a city has its anchor where the trimmed corridor enters the city: at the corridor's end on
+    the site's side.  Any other has it in its own cell.  Sites without a place have none.
+    """
+    sites = routes.select("route", F.posexplode(F.array("site1", "site2")).alias("side", "s")).where("s.lat is not null and s.lon is not null")
+    rows = sites.select("route", "side", F.struct("route", "side").alias("id"), F.col("s.lat").alias("lat"), F.col("s.lon").alias("lon"), F.coalesce("s.site_height_m", F.lit(0.0)).alias("height"))
+    rows = spatial.within_polygons(rows, cities).withColumnRenamed("inside", "city") if cities is not None else rows.withColumn("city", F.lit(False))
+    ends = paths.groupBy(F.col("route").alias("er")).agg(F.min_by("cell", "pos").alias("first"), F.max_by("cell", "pos").alias("last"))
+    entry = F.when(F.col("side") == 0, F.col("first")).otherwise(F.col("last"))
+    own = grid.cell_of(F.col("lat"), F.col("lon"), config.h3_resolution)
+    return rows.join(ends, F.col("route") == F.col("er")).select("route", "side", F.when(F.col("city"), entry).otherwise(own).alias("cell"), "height", "city")
 
 
-def site_offsets(routes: DataFrame, config: MeshConfig) -> DataFrame:
-    """(cell, offset_m): the largest extra height of the sites that stand in a cell."""
-    ends = routes.select(F.explode(F.array("site1", "site2")).alias("s")).where("s.lat is not null and s.lon is not null")
-    cell = grid.cell_of(F.col("s.lat"), F.col("s.lon"), config.h3_resolution)
-    return ends.select(cell.alias("cell"), F.coalesce("s.site_height_m", F.lit(0.0)).alias("height")).groupBy("cell").agg(F.max(F.greatest("height", F.lit(0.0))).alias("offset_m"))
+def anchored(anchors: DataFrame, towers: DataFrame, resolution: int) -> tuple[DataFrame, DataFrame]:
+    """(towers, heights): towers with those of anchors (route, side, cell, height, city), and the extra height (cell, height) each anchor gives to a cell.
+
+    Anchors come in order of route and side.  A city's anchor is left out where a tower stands near it already, and that tower
+    gets its height; all others are placed.
+    """
+    points = anchors.select((F.col("route") * 2 + F.col("side")).alias("id"), "cell", "height", "city", "route", "side").withColumn("ord", F.col("id"))
+    placed = points.withColumn("lat", grid.lat_of(F.col("cell"))).withColumn("lon", grid.lon_of(F.col("cell")))
+    stood = towers.select(F.col("cell").alias("id"), grid.lat_of(F.col("cell")).alias("lat"), grid.lon_of(F.col("cell")).alias("lon"))
+    fit = waves.first_fit(placed.select("id", "ord", "lat", "lon", (~F.col("city")).alias("fixed")), ANCHOR_EDGES * grid.edge_m(resolution), stood)
+    judged = cut(points.join(fit, "id"))
+    kept = judged.where("kept")
+    fresh = kept.select("cell", F.lit("site").alias("source"), "route", F.lit(0).alias("step"), F.col("side").cast("long").alias("pos"))
+    to = judged.where("not kept").join(points.select(F.col("id").alias("pid"), F.col("cell").alias("near")), F.col("by") == F.col("pid"), "left")
+    # ``by`` is the id of an anchor, or the cell of a standing tower
+    heights = kept.select("cell", "height").union(to.select(F.coalesce("near", "by").alias("cell"), "height"))
+    return cut(network.place_towers(towers, fresh)), cut(heights)
 
 
 def run_routes(spark: SparkSession, routes: DataFrame, cells: DataFrame, config: MeshConfig, raster: dem.Raster | None = None, cities: DataFrame | None = None, existing: DataFrame | None = None) -> dict[str, DataFrame]:
-    """towers, corridor edges, visibility edges, clusters, coverage, city_links and report of ready routes (ord, site1, site2, max_towers, features[, wave]).
+    """cells, corridors, chains, towers, edges, clusters, coverage, city links, summaries and report of ready routes (ord, route_id, site1, site2, max_towers, features).
 
-    ``cells`` have cell, lat, lon, elevation, los_lat, los_lon, has_road, unfit; ``existing`` (cell, source, ord) are towers that stand already.
-    Routes of one ``wave`` are planned together; without that column every route is a wave of its own, in order of ord.
+    ``cells`` have cell, lat, lon, elevation, los_lat, los_lon, has_road, unfit; those that a corridor needs and that are not among them are
+    made from the raster.  ``existing`` (cell, source, ord) are towers that stand already.  Each route's sites get their anchors first, then its corridor its
+    nodes, whose source is the route's id.  Routes that do not meet are planned together.
     """
-    routes = cut(routes if "wave" in routes.columns else routes.withColumn("wave", F.col("ord")))
-    offsets = site_offsets(routes, config)
-    cells = cut(cells.join(offsets, "cell", "left").withColumn("offset_m", F.coalesce("offset_m", F.lit(0.0))))
-    towers = spark.createDataFrame([], mesh.TOWER)
-    if existing is not None:
-        towers = cut(network.place_towers(towers, existing.select("cell", "source", "ord"), cells))
-    sight = sight_over(cells.withColumn("elevation", F.col("elevation") + F.col("offset_m")), config, raster)
-    paths = cut(route_corridors(routes, cells, config))
-    budgets = routes.select(F.col("ord").cast("long").alias("route"), F.coalesce("max_towers", F.lit(config.max_towers_per_route)).alias("budget"))
-    chains: DataFrame | None = None
-    for (wave,) in routes.select("wave").distinct().orderBy("wave").collect():  # one row a wave
-        own = paths.join(routes.where(F.col("wave") == wave).select(F.col("ord").cast("long").alias("route")), "route", "left_semi")
-        found = place_along(own, budgets, cells, towers.select("cell"), config, sight)
-        towers = cut(network.place_towers(towers, found.select("cell", F.lit("route").alias("source"), (F.col("route") * 100_000 + F.col("pos")).alias("ord")), cells))
-        chains = found if chains is None else cut(chains.unionByName(found))
-    if chains is None:
-        chains = spark.createDataFrame([], CHAIN)
-    how = chains.where("algorithm is not null").groupBy(F.col("cell").alias("mc")).agg(F.min_by(F.struct("algorithm", "dp_steps", "repair_round"), "route").alias("m"))
-    towers = cut(towers.join(how, F.col("cell") == F.col("mc"), "left").select(*towers.columns, "m.algorithm", "m.dp_steps", "m.repair_round"))
-    sited = towers.join(cells.select("cell", F.col("elevation").alias("ground"), "offset_m"), "cell").withColumn("mast", F.lit(config.mast_height_m) + F.col("offset_m"))
-    edges = cut(network.visibility_edges(sited.select("id", "cell", "lat", "lon", "ground", "mast"), config, cells.select("cell", "elevation"), raster))
-    named = chains.join(towers.select(F.col("cell").alias("tc"), "id"), F.col("cell") == F.col("tc")).select("route", "pos", "id")
-    wired = placement.wire_chain(named, edges).withColumn("origin", F.lit("corridor_chain"))
-    groups = network.clusters(towers, edges)
-    covered = coverage.cell_coverage(cells, sited, config, raster)
-    radii = coverage.coverage_radius(covered)
-    made = {"cells": cells, "corridors": paths, "chains": chains, "towers": towers.join(radii, "id", "left"), "edges": edges, "corridor_edges": wired, "clusters": groups, "coverage": covered, "report": coverage.report(towers, covered, groups)}
-    if cities is not None:
-        made["city_links"] = coverage.city_links(covered.select("cell", "lat", "lon", "closest_id"), cities)
-        made["towers"] = made["towers"].join(made["city_links"], "id", "left")
-    return made
+    named = F.coalesce(F.col("route_id") if "route_id" in routes.columns else F.lit(None).cast("string"), F.concat(F.lit("route_"), F.col("ord")))
+    routes = cut(routes.withColumn("route", F.col("ord").cast("long")).withColumn("name", named))
+    full = cut(sampled_corridors(routes, config.h3_resolution))
+    beside = max(1, round(config.road_buffer_m / grid.edge_m(config.h3_resolution))) if config.road_buffer_m > 0 else 0
+    spots = routes.select(F.explode(F.array("site1", "site2")).alias("s")).where("s.lat is not null and s.lon is not null").select(grid.cell_of(F.col("s.lat"), F.col("s.lon"), config.h3_resolution).alias("cell"), F.lit(False).alias("has_road"))
+    wanted = full.select("cell", F.lit(True).alias("has_road")).union(full.select(F.explode(grid.disk(F.col("cell"), beside)), F.lit(False))).union(spots)
+    cells = with_unknown(cells, wanted, config, raster, cities)
+    known = full.join(cells.select("cell", (~F.col("unfit")).alias("fit")), "cell")
+    trimmed = corridor.first_visits(corridor.trim_unfit(known.select("route", "pos", "cell", "fit")).select("route", "pos", "cell"))
+    long = trimmed.groupBy("route").count().where("count > 1").select("route")
+    paths = cut(trimmed.join(long, "route", "left_semi"))
+    anchors = cut(site_anchors(routes, paths, config, cities))
+    claims = route_claims(paths, config).union(anchors.select("route", F.explode(grid.disk(F.col("cell"), 2))))
+    order = cut(waves.waves(claims))
+    towers = mesh.standing(spark, existing)
+    heights = spark.createDataFrame([], "cell long, height double")
+    budgets = routes.select("route", F.coalesce("max_towers", F.lit(config.max_towers_per_route)).alias("budget"))
+    chains = spark.createDataFrame([], CHAIN)
+    for (wave,) in order.select("wave").distinct().orderBy("wave").collect():  # one row a wave
+        mine = cut(order.where(F.col("wave") == wave).select("route"))
+        towers, more = anchored(anchors.join(mine, "route", "left_semi"), towers, config.h3_resolution)
+        heights = cut(heights.union(more).groupBy("cell").agg(F.max("height").alias("height")))
+        standing = cut(mesh.raised(cells, heights))
+        found = place_along(paths.join(mine, "route", "left_semi"), budgets, standing, towers.select("cell"), config, sight_over(standing, config, raster))
+        fresh = found.join(routes.select("route", F.col("name").alias("source")), "route").select("cell", "source", "route", F.lit(1).alias("step"), F.col("pos").cast("long").alias("pos"))
+        towers = cut(network.place_towers(towers, fresh))
+        chains = cut(chains.unionByName(found))
+    cells = cut(mesh.raised(cells, heights))
+    new = towers.where("step = 1").groupBy("route").agg(F.count(F.lit(1)).alias("towers_new"))
+    placed = chains.groupBy("route").agg(F.countDistinct("cell").alias("nodes"))
+    sampled = full.groupBy("route").agg(F.count(F.lit(1)).alias("corridor_cells"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    summaries = routes.select("route", "name").join(sampled, "route", "left").join(placed, "route", "left").join(new, "route", "left").join(order, "route", "left")
+    summaries = summaries.select("route", F.col("name").alias("route_id"), zero("corridor_cells").alias("corridor_cells"), zero("towers_new").alias("towers_new"), (zero("nodes") - zero("towers_new")).alias("towers_reused"), F.col("nodes").isNull().alias("skipped"), "wave")
+    return {"cells": cells, "corridors": paths, "chains": chains, "routes": summaries} | mesh.assembled(towers, chains, cells, config, raster, cities)
 
 
 def load(spark: SparkSession, path: str) -> tuple[MeshConfig, DataFrame]:

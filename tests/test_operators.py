@@ -49,14 +49,28 @@ def test_prune_and_select(spark):
 
 def test_gap_repair_moves_inner_cells_only():
     sees = {(0, 9): 5.0, (2, 9): 7.0}
-    look = lambda a, b: sees.get((min(a, b), max(a, b)))
-    assert placement.repair([0, 1, 2], look, lambda c, r: [(9, 120.0, 10.0)] if c == 1 else [], set(), 100.0) == [0, 9, 2]
-    assert placement.repair([0, 1, 2], look, lambda c, r: [(9, 120.0, 10.0)], {1}, 100.0) == [0, 1, 2]
+    look = lambda a, b: 1.0 if a == b else sees.get((min(a, b), max(a, b)))
+    near = lambda c, r: [(c, 100.0, 0.0), (9, 120.0, 10.0)]
+    assert placement.repair([0, 1, 2], look, near, set(), 100.0) == ([0, 9, 2], {9: 1})
+    assert placement.repair([0, 1, 2], look, near, {1}, 100.0) == ([0, 1, 2], {})
     radii = []
     placement.repair([0, 1, 2], lambda a, b: None, lambda c, r: radii.append(r) or [], set(), 100.0)
     assert sorted(radii) == [50.0, 50.0, 100.0, 100.0, 150.0, 150.0]  # half of one, two and three times the base
 
 
+def test_gap_repair_widens_one_gap_before_the_next():
+    """The first gap takes its third round before the second is tried; an end that does not move must see its outer neighbour too."""
+    sees = {(0, 11): 4.0, (3, 4): 2.0, (2, 11): 3.0, (2, 3): 1.0, (3, 12): 9.0, (4, 12): 9.0}
+    look = lambda a, b: 1.0 if a == b else sees.get((min(a, b), max(a, b)))
+    near = lambda c, r: [(c, 0.0, 0.0)] + ([(11, 50.0, 140.0)] if c == 1 and r >= 150 else [])
+    assert placement.repair([0, 1, 2, 3, 4], look, near, set(), 100.0) == ([0, 11, 2, 3, 4], {11: 3})
+    sees = {(1, 11): 5.0, (3, 11): 4.0, (2, 3): 1.0, (3, 4): 1.0}
+    near = lambda c, r: [(c, 0.0, 0.0)] + ([(11, 50.0, 40.0)] if c == 2 else [])
+    assert placement.repair([0, 1, 2, 3, 4], look, near, set(), 100.0) == ([0, 1, 2, 3, 4], {})
+    sees[0, 1] = 1.0
+    assert placement.repair([0, 1, 2, 3, 4], look, near, set(), 100.0) == ([0, 1, 11, 3, 4], {11: 1})
+
+
 def test_components_and_isolated_nodes(spark):
     nodes = spark.createDataFrame([(i,) for i in range(8)], "id long")
     edges = spark.createDataFrame([(0, 1), (1, 2), (5, 6), (6, 5), (3, 3)], "a long, b long")

@@ -69,7 +69,7 @@ def test_repair_moves_a_node(spark):
     assert broken.count() == 1
     fixed = routes.repaired(chains, broken, cells_of(spark, known, {11: 300.0}), spark.createDataFrame([], "cell long"), config, 1000.0, sight).orderBy("pos").collect()
     assert [place[r.cell] for r in fixed] == [0, 11, 20]
-    assert [r.algorithm for r in fixed] == ["dp", "dp_repair", "dp"] and fixed[1].repair_round == 1
+    assert [r.algorithm for r in fixed] == ["dp", "dp_repair", "dp"] and fixed[1].repair_round == 2  # 920 m away: beyond half the base, within the base
 
 
 def test_lost_ends_go(spark):
@@ -94,3 +94,74 @@ def test_run_over_routes(spark, tmp_path):
     assert len(towers) >= 2 and {t.algorithm for t in towers} <= {"dp", "dp_repair", "endpoint_fallback", None}
     assert made["report"].first().towers == len(towers) and made["edges"].count() >= 1
     assert made["cells"].where("offset_m = 4").count() == 1
+
+
+def a_site(name, lat, lon, height=0.0):
+    return {"name": name, "lat": lat, "lon": lon, "site_height_m": height}
+
+
+def a_route(name, a, b, lines, most=4, kind="LineString"):
+    shapes = [{"type": "Feature", "properties": {}, "geometry": {"type": kind, "coordinates": x}} for x in lines]
+    return {"route_id": name, "site1": a, "site2": b, "max_towers_per_route": most, "features": shapes}
+
+
+def read(spark, tmp_path, *found, **parameters):
+    (tmp_path / "routes.json").write_text(json.dumps({"parameters": {"mast_height_m": 40.0, "h3_resolution": 8, "auto_refine_h3_on_gradient": False} | parameters, "routes": list(found)}))
+    return routes.load(spark, str(tmp_path / "routes.json"))
+
+
+def flat(spark, rows, columns, west=43.99, south=39.995):
+    made = spark.range(columns).crossJoin(spark.range(rows).withColumnRenamed("id", "j")).select(grid.cell_of(F.lit(south) + F.col("j") * 0.006, F.lit(west) + F.col("id") * 0.005, 8).alias("cell")).distinct()
+    return made.select("cell", F.lit(100.0).alias("elevation"), F.lit(True).alias("has_road"), F.lit(False).alias("unfit"), grid.lat_of(F.col("cell")).alias("lat"), grid.lon_of(F.col("cell")).alias("lon")).withColumn("los_lat", F.col("lat")).withColumn("los_lon", F.col("lon"))
+
+
+def test_a_tall_site_is_no_hill(spark):
+    """A site's height raises its own mast; between others its ground is what it was."""
+    known = ids(spark, 7)
+    cells = cells_of(spark, known).withColumn("offset_m", F.when(F.col("cell") == known[3], 120.0).otherwise(0.0))
+    seen = routes.sight_over(cells, MeshConfig(mast_height_m=40.0))(spark.createDataFrame([(known[0], known[6]), (known[0], known[3])], "lo long, hi long"))
+    clear = {r.hi: (r.visible, r.clearance) for r in seen.collect()}
+    assert clear[known[6]][0] and 10 < clear[known[6]][1] < 30 and clear[known[3]][0]
+
+
+def test_routes_that_meet_share_towers_and_are_planned_in_order(spark, tmp_path):
+    """Two routes from one site and a third far away: two waves, the same plan as one route after the other; ids, sources, heights and radii."""
+    a, b, c = a_site("A", 40.02, 44.0, 4.0), a_site("B", 40.02, 44.04), a_site("C", 40.04, 44.0)
+    d, e = a_site("D", 40.02, 44.5), a_site("E", 40.02, 44.53)
+    config, found = read(spark, tmp_path, a_route("one", a, b, [[[44.0, 40.02], [44.04, 40.02]]]), a_route("two", a | {"site_height_m": 12.0}, c, [[[[44.0, 40.02], [44.0, 40.03]], [[44.0, 40.03], [44.0, 40.04]]]], kind="MultiLineString"), a_route("far", d, e, [[[44.5, 40.02], [44.53, 40.02]]]))
+    made = routes.run_routes(spark, found, flat(spark, 9, 16), config)
+    told = {r.route_id: r for r in made["routes"].collect()}
+    assert [told[x].wave for x in ("one", "two", "far")] == [0, 1, 0] and not any(r.skipped for r in told.values())
+    towers = made["towers"].orderBy("id").collect()
+    assert [t.id for t in towers] == list(range(len(towers))) and len({t.cell for t in towers}) == len(towers)
+    assert [t.source for t in towers if t.source == "site"] == ["site"] * 5  # A, B, C, D, E
+    assert {t.source for t in towers} <= {"site", "one", "two", "far"} and towers[0].source == towers[1].source == "site"
+    assert all(t.coverage_radius_m >= 0 for t in towers) and any(t.coverage_radius_m > 0 for t in towers)
+    assert made["report"].first().virtual_towers == 5
+    spot = spark.range(1).select(grid.cell_of(F.lit(40.02), F.lit(44.0), 8)).first()[0]
+    assert made["cells"].where("offset_m > 0").select("cell", "offset_m").collect() == [(spot, 12.0)]
+    # the far route's cells are not in the table and come with it
+    assert made["cells"].where("lon > 44.4 and has_road").count() >= 4 and told["far"].corridor_cells >= 4
+    ends = {r.a for r in made["corridor_edges"].collect()} | {r.b for r in made["corridor_edges"].collect()}
+    assert ends and ends <= {t.id for t in towers}
+    every = {(r.a, r.b) for r in made["edges"].collect()}
+    assert {(r.a, r.b) for r in made["corridor_edges"].collect()} <= every
+    alone = routes.run_routes(spark, found.where("ord < 2"), flat(spark, 9, 16), config)
+    assert sorted((t.cell, t.source, t.algorithm) for t in alone["towers"].collect()) == sorted((t.cell, t.source, t.algorithm) for t in towers if t.lon < 44.4)
+
+
+def test_city_anchors_stand_where_the_road_enters(spark, tmp_path):
+    """Two roads into one city: each has an anchor at the edge, but for the one that another stands beside."""
+    city = spark.range(1).select(F.struct("id").alias("id"), F.lit("X").alias("name"), F.expr("array(array(named_struct('lon', 43.98D, 'lat', 40.0D), named_struct('lon', 44.02D, 'lat', 40.0D), named_struct('lon', 44.02D, 'lat', 40.05D), named_struct('lon', 43.98D, 'lat', 40.05D), named_struct('lon', 43.98D, 'lat', 40.0D)))").alias("rings"))
+    x, b, c = a_site("X", 40.02, 44.0, 9.0), a_site("B", 40.02, 44.06), a_site("C", 40.021, 44.06)
+    config, found = read(spark, tmp_path, a_route("one", x, b, [[[44.0, 40.02], [44.06, 40.02]]]), a_route("two", x, c, [[[44.0, 40.021], [44.06, 40.021]]]))
+    from meshwright.plans import mesh
+
+    made = routes.run_routes(spark, found, mesh.marked(flat(spark, 9, 20).drop("unfit"), city), config, None, city)
+    first = made["corridors"].where("pos = 0").orderBy("route").collect()
+    outside = made["cells"].where("not unfit").select("cell")
+    assert made["corridors"].join(outside, "cell", "left_anti").count() == 0
+    anchors = [t.cell for t in made["towers"].where("source = 'site'").orderBy("id").collect()]
+    assert first[0].cell in anchors and made["cells"].where("offset_m = 9").count() == 1
+    assert len(anchors) == len({first[0].cell, *made["corridors"].groupBy("route").agg(F.max_by("cell", "pos")).toPandas().iloc[:, 1]})
+    assert "city_link" in made["towers"].columns
