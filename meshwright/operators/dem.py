@@ -17,7 +17,10 @@ from meshwright.functions import geo, grid
 
 @dataclasses.dataclass(frozen=True)
 class Raster:
-    """Pixels and their placing: the north-west corner, the pixel size in degrees, and the shape."""
+    """Pixels and their placing: the north-west corner, the pixel size in degrees, and the shape.
+
+    ``px`` is a pixel's width, and its height too unless ``py`` says otherwise.
+    """
 
     pixels: DataFrame
     west: float
@@ -25,10 +28,15 @@ class Raster:
     px: float
     width: int
     height: int
+    py: float = 0.0
+
+    @property
+    def dlat(self) -> float:
+        return self.py or self.px
 
     def row_at(self, lat: Column) -> Column:
         """Fractional row of a latitude."""
-        return (F.lit(self.north) - lat) / F.lit(self.px)
+        return (F.lit(self.north) - lat) / F.lit(self.dlat)
 
     def col_at(self, lon: Column) -> Column:
         return (lon - F.lit(self.west)) / F.lit(self.px)
@@ -38,7 +46,7 @@ class Raster:
 
     def window(self, south: float, west: float, north: float, east: float) -> DataFrame:
         """The pixels of a rectangle, at least one in each direction."""
-        r0, r1 = int((self.north - north) // self.px), int((self.north - south) // self.px)
+        r0, r1 = int((self.north - north) // self.dlat), int((self.north - south) // self.dlat)
         c0, c1 = int((west - self.west) // self.px), int((east - self.west) // self.px)
         return self.pixels.where((F.col("row") >= r0) & (F.col("row") <= max(r0, r1)) & (F.col("col") >= c0) & (F.col("col") <= max(c0, c1)))
 
@@ -69,7 +77,7 @@ def bilinear_value(points: DataFrame, raster: Raster, key: str = "id", out: str
 
 def pixel_cells(raster: Raster, resolution: int) -> DataFrame:
     """(cell, row, col, lat, lon, value) of every pixel with data, by the cell of its centre."""
-    lat = F.lit(raster.north) - (F.col("row") + F.lit(0.5)) * F.lit(raster.px)
+    lat = F.lit(raster.north) - (F.col("row") + F.lit(0.5)) * F.lit(raster.dlat)
     lon = F.lit(raster.west) + (F.col("col") + F.lit(0.5)) * F.lit(raster.px)
     return raster.pixels.where("value is not null").select("row", "col", lat.alias("lat"), lon.alias("lon"), F.col("value").cast("double").alias("value")).withColumn("cell", grid.cell_of(F.col("lat"), F.col("lon"), resolution))
 
@@ -79,8 +87,8 @@ def touched_cells(raster: Raster, resolution: int) -> DataFrame:
 
     Cells near a pixel's own are tried; hexagon and rectangle overlap where no edge direction of either separates them.
     """
-    edge, half = grid.edge_m(resolution), raster.px / 2 * geo.METRES_PER_DEGREE
-    wide, inner = half * grid._COS0, edge * grid.ROOT3 / 2
+    edge, half = grid.edge_m(resolution), raster.dlat / 2 * geo.METRES_PER_DEGREE
+    wide, inner = raster.px / 2 * geo.METRES_PER_DEGREE * grid._COS0, edge * grid.ROOT3 / 2
     reach = math.ceil(math.hypot(half, wide) / (1.5 * edge)) + 1
     tried = pixel_cells(raster, resolution).withColumn("cell", F.explode(grid.disk(F.col("cell"), reach)))
     x, y = (F.col("lon") - grid.lon_of(F.col("cell"))) * (geo.METRES_PER_DEGREE * grid._COS0), (F.col("lat") - grid.lat_of(F.col("cell"))) * geo.METRES_PER_DEGREE

@@ -3,29 +3,39 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Use ``spark.checkpoint.dir``; only in local mode, and where nothing is set, a temporary folder."""
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, the folder that driver and executors share; only in local mode, and where nothing is set, a temporary folder."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not sc.getCheckpointDir():
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="meshwright-")
-    sc.setCheckpointDir(found)
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="meshwright-"))
+    return sc.getCheckpointDir().rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage at a reliable checkpoint."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Cut the lineage: write a table in the shared folder, computing it once, and read it back.
+
+    Lost executors lose none of it, and what follows is planned with its true size: a checkpoint would
+    hand on the estimate of its plan, which is a product of sizes and grows with every join of a loop.  The files go
+    when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
