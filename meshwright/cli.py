@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from meshwright.config import OUTPUT_NAMES, load_yaml, output_path
 from meshwright.functions import grid
+from meshwright.operators import adaptive
 from meshwright.plans import mesh, routes
 from meshwright.sources import geojson, raster
 
@@ -25,12 +26,11 @@ def routes_main(args: list[str]) -> None:
     given = parser.parse_args(args)
     spark = SparkSession.builder.appName("meshwright-routes").getOrCreate()
     config, found = routes.load(spark, given.routes)
-    _, static = raster.read_bundle(spark, given.grid_bundle)
-    own = static.where(F.col("resolution") == config.h3_resolution)
-    cells = own.groupBy("cell").agg(F.max("elevation").alias("elevation"), F.first("los_lat").alias("los_lat"), F.first("los_lon").alias("los_lon"), F.max(F.col("kind") == "road").alias("has_road"))
-    cells = cells.withColumn("lat", grid.lat_of(F.col("cell"))).withColumn("lon", grid.lon_of(F.col("cell")))
+    meta, static = raster.read_bundle(spark, given.grid_bundle)
+    cells = adaptive.from_static(static, config).withColumn("lat", grid.lat_of(F.col("cell"))).withColumn("lon", grid.lon_of(F.col("cell")))
+    terrain = raster.load(spark, raster.elevation_of(meta, given.grid_bundle)) if meta["elevation_path"] else None
     cities = geojson.load_cities(spark, given.city_boundaries) if given.city_boundaries else None
-    made = routes.run_routes(spark, found, mesh.marked(cells, cities), config, None, cities)
+    made = routes.run_routes(spark, found, mesh.marked(cells, cities), config, terrain, cities, None, max(meta["metadata"]["resolution_set"]))
     mesh.write_plan(made, {name: output_path(name, {}, given.output) for name in OUTPUT_NAMES}, config)
     print(made["report"].toPandas().to_string(index=False))
 
@@ -46,7 +46,7 @@ def main(args: list[str] | None = None) -> None:
     plan = load_yaml(given.config)
     config, inputs = plan["parameters"], plan["inputs"]
     spark = SparkSession.builder.appName("meshwright").getOrCreate()
-    terrain = raster.load_ascii_grid(spark, inputs.elevation) if inputs.elevation else None
+    terrain = raster.load(spark, inputs.elevation) if inputs.elevation else None
     cities = geojson.load_cities(spark, inputs.city_boundaries) if inputs.city_boundaries else None
     standing = geojson.load_towers(spark, inputs.existing_towers, config.h3_resolution) if inputs.existing_towers else None
     made = mesh.plan_mesh(spark, config, geojson.load_boundary(spark, inputs.boundary), geojson.load_roads(spark, inputs.roads), geojson.load_sites(spark, inputs.sites, config.h3_resolution), terrain, cities, standing)

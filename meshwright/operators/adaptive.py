@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from meshwright.config import MeshConfig
 from meshwright.functions import grid
+from meshwright.operators import dem, spatial
 
 #: Gradient (m per km) over which a cell is refined, and the resolution it then gets.
 STEEP, FINE = 75.0, 9
@@ -29,6 +31,45 @@ def mesh(full: DataFrame, targeted: DataFrame, base: int, fine_cells: DataFrame
     return plain
 
 
+def from_static(static: DataFrame, config: MeshConfig) -> DataFrame:
+    """cell, elevation, los_lat, los_lon, has_road, base_cell, resolution, refined, gradient of the mesh over static cells (resolution, cell, kind, elevation, los_lat, los_lon).
+
+    Cells of the plan's resolution whose slope to a neighbour is over the threshold give way to their children, those that the
+    static cells have; where these lack the finer resolution nothing is refined.  Without refinement all cells are of one resolution.
+    """
+    base = config.h3_resolution
+    known = static.groupBy("cell", "resolution").agg(F.max("elevation").alias("elevation"), F.min("los_lat").alias("los_lat"), F.min("los_lon").alias("los_lon"), F.max(F.col("kind") == "road").alias("has_road"))
+    full = known.where(F.col("resolution") == base)
+    fine = max(base, min(FINE, config.auto_refine_h3_max_resolution))
+    finer = known.where(F.col("resolution") == fine).select("cell")
+    gradients = dem.local_gradient(full.select("cell", "elevation"))
+    if not config.auto_refine_h3_on_gradient or fine == base or finer.isEmpty():
+        gradients = gradients.withColumn("gradient", F.lit(0.0))
+    targeted = targets(gradients, base, config.auto_refine_h3_max_resolution, config.gradient_refine_threshold_m_per_km)
+    made = mesh(full, targeted, base, finer)
+    return made.join(known.drop("resolution"), "cell")
+
+
+def project(samples: DataFrame, cells: DataFrame, base: int, fine: int, order: list[str]) -> DataFrame:
+    """(route, pos, cell): samples (route, lat, lon and ``order``) of a road put onto the mesh, each cell at its first visit.
+
+    ``cells`` (cell, resolution) are the mesh cells with roads; a sample outside all of them counts for its base cell.
+    """
+    named = samples.withColumn("id", F.struct("route", *order))
+    placed = locate(named.select("id", "lat", "lon"), cells, base, fine)
+    first = placed.groupBy(F.col("id.route").alias("route"), "cell").agg(F.min(F.struct(*[F.col(f"id.{c}").alias(c) for c in order])).alias("at"))
+    return first.withColumn("pos", (F.row_number().over(W.partitionBy("route").orderBy("at")) - 1).cast("int")).select("route", "pos", "cell")
+
+
+def near(cells: DataFrame, centres: DataFrame, radius_m: float) -> DataFrame:
+    """(centre, cell): mesh cells (cell, lat, lon) of any resolution that a radius about a centre (cell) reaches, both cells' edges added; the centre too."""
+    sized = lambda df: df.select(F.col("cell").alias("id"), "lat", "lon", grid.edge_of(grid.resolution_of(F.col("cell"))).alias("edge"))
+    middle = centres.select("cell", grid.lat_of(F.col("cell")).alias("lat"), grid.lon_of(F.col("cell")).alias("lon")).distinct()
+    largest = cells.select("cell").union(middle.select("cell")).select(F.max(grid.edge_of(grid.resolution_of(F.col("cell"))))).first()[0]
+    found = spatial.within_adaptive(sized(cells), sized(middle), radius_m, largest or 0.0)
+    return found.select("centre", F.col("id").alias("cell"))
+
+
 def locate(points: DataFrame, cells: DataFrame, base: int, fine: int) -> DataFrame:
     """(id, cell): the finest member of the mesh that holds a point (id, lat, lon), else its base cell."""
     out = points.withColumn("__base", grid.cell_of(F.col("lat"), F.col("lon"), base)).withColumn("__hit", F.lit(None).cast("long"))

@@ -44,17 +44,36 @@ class Raster:
     def inside(self, row: Column, col: Column) -> Column:
         return (row >= 0) & (row < self.height) & (col >= 0) & (col < self.width)
 
-    def window(self, south: float, west: float, north: float, east: float) -> DataFrame:
-        """The pixels of a rectangle, at least one in each direction."""
+    def _rows_and_columns(self, south: float, west: float, north: float, east: float) -> tuple[int, int, int, int]:
+        """First and last row, first and last column of a rectangle, at least one of each."""
         r0, r1 = int((self.north - north) // self.dlat), int((self.north - south) // self.dlat)
         c0, c1 = int((west - self.west) // self.px), int((east - self.west) // self.px)
-        return self.pixels.where((F.col("row") >= r0) & (F.col("row") <= max(r0, r1)) & (F.col("col") >= c0) & (F.col("col") <= max(c0, c1)))
+        return r0, max(r0, r1), c0, max(c0, c1)
+
+    def window(self, south: float, west: float, north: float, east: float) -> DataFrame:
+        """The pixels of a rectangle, at least one in each direction."""
+        r0, r1, c0, c1 = self._rows_and_columns(south, west, north, east)
+        return self.pixels.where(F.col("row").between(r0, r1) & F.col("col").between(c0, c1))
+
+    # What a store in tiles does better: each may leave out pixels or samples that cannot matter.
+
+    def at(self, keyed: DataFrame, row: str, col: str) -> DataFrame:
+        """Pixels among which are those that the rows and columns of ``keyed`` name."""
+        return self.pixels
+
+    def around(self, points: DataFrame, reach_deg: float) -> Raster:
+        """This raster, or the part of it within some degrees of points (lat, lon)."""
+        return self
+
+    def promising(self, samples: DataFrame) -> DataFrame:
+        """Samples (id, r, c, ...) of lines, among which is the highest of each."""
+        return samples
 
 
 def nearest_value(points: DataFrame, raster: Raster, out: str = "elevation") -> DataFrame:
     """Elevation of the pixel that holds a point; 0 outside and where there is no data."""
     keyed = points.withColumn("__r", F.floor(raster.row_at(F.col("lat")))).withColumn("__c", F.floor(raster.col_at(F.col("lon"))))
-    px = raster.pixels.select(F.col("row").cast("long").alias("__pr"), F.col("col").cast("long").alias("__pc"), F.col("value").cast("double").alias("__v"))
+    px = raster.at(keyed, "__r", "__c").select(F.col("row").cast("long").alias("__pr"), F.col("col").cast("long").alias("__pc"), F.col("value").cast("double").alias("__v"))
     found = keyed.join(px, (F.col("__r") == F.col("__pr")) & (F.col("__c") == F.col("__pc")), "left")
     return found.withColumn(out, F.coalesce("__v", F.lit(0.0))).drop("__r", "__c", "__pr", "__pc", "__v")
 
@@ -70,7 +89,7 @@ def bilinear_value(points: DataFrame, raster: Raster, key: str = "id", out: str
     one = lambda i, j, w: F.struct((F.floor(r) + i).alias("r"), (F.floor(c) + j).alias("c"), w.alias("w"))
     corners = F.array(one(0, 0, (1 - fr) * (1 - fc)), one(0, 1, (1 - fr) * fc), one(1, 0, fr * (1 - fc)), one(1, 1, fr * fc))
     needed = points.select(key, F.explode(F.when(full, corners).otherwise(F.array(one(0, 0, F.lit(1.0))))).alias("p")).select(key, "p.*")
-    px = raster.pixels.select(F.col("row").cast("long").alias("__pr"), F.col("col").cast("long").alias("__pc"), F.col("value").cast("double").alias("__v"))
+    px = raster.at(needed, "r", "c").select(F.col("row").cast("long").alias("__pr"), F.col("col").cast("long").alias("__pc"), F.col("value").cast("double").alias("__v"))
     summed = needed.join(px, (F.col("r") == F.col("__pr")) & (F.col("c") == F.col("__pc")), "left").groupBy(F.col(key).alias("__k")).agg(F.sum(F.col("w") * F.coalesce("__v", F.lit(0.0))).alias(out))
     return points.join(summed, F.col(key) == F.col("__k")).drop("__k")
 
@@ -122,7 +141,9 @@ def anchors(cells: DataFrame, raster: Raster, resolution: int, margin_m: float =
     any the centre with the nearest elevation.  Ties go to the pixel nearest the centre,
     then to the smaller row and column.
     """
-    px = pixel_cells(raster, resolution).withColumn("deep", (_edge_margin(F.col("lat"), F.col("lon"), F.col("cell")) >= margin_m).cast("int"))
+    spots = cells.select(grid.lat_of(F.col("cell")).alias("lat"), grid.lon_of(F.col("cell")).alias("lon"))
+    near = raster.around(spots, 1.5 * grid.edge_m(resolution) / (geo.METRES_PER_DEGREE * grid._COS0))
+    px = pixel_cells(near, resolution).withColumn("deep", (_edge_margin(F.col("lat"), F.col("lon"), F.col("cell")) >= margin_m).cast("int"))
     off = (F.col("lat") - grid.lat_of(F.col("cell"))) * (F.col("lat") - grid.lat_of(F.col("cell"))) + (F.col("lon") - grid.lon_of(F.col("cell"))) * (F.col("lon") - grid.lon_of(F.col("cell")))
     order = F.struct((-F.col("deep")).alias("t"), (-F.col("value")).alias("v"), off.alias("o"), "row", "col")
     best = px.groupBy(F.col("cell").alias("__cell")).agg(F.min_by(F.struct("value", "lat", "lon"), order).alias("a"))
@@ -150,7 +171,8 @@ def line_peaks(lines: DataFrame, raster: Raster) -> DataFrame:
     samples = walk.withColumn("__n", steps).withColumn("__ra", ra).withColumn("__rb", rb).withColumn("__ca", ca).withColumn("__cb", cb).withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n"))))
     t = F.col("__i") / F.col("__n")
     keyed = samples.select("id", "__flip", t.alias("t"), F.bround(F.col("__ra") + (F.col("__rb") - F.col("__ra")) * t).cast("long").alias("r"), F.bround(F.col("__ca") + (F.col("__cb") - F.col("__ca")) * t).cast("long").alias("c"))
-    px = raster.pixels.where("value is not null").select(F.col("row").cast("long").alias("pr"), F.col("col").cast("long").alias("pc"), F.col("value").cast("double").alias("v"))
+    keyed = raster.promising(keyed)
+    px = raster.at(keyed, "r", "c").where("value is not null").select(F.col("row").cast("long").alias("pr"), F.col("col").cast("long").alias("pc"), F.col("value").cast("double").alias("v"))
     found = keyed.join(px, (F.col("r") == F.col("pr")) & (F.col("c") == F.col("pc")))
     best = found.groupBy(F.col("id").alias("__id")).agg(F.min_by(F.struct("v", F.when(F.col("__flip"), 1 - F.col("t")).otherwise(F.col("t")).alias("f")), F.struct((-F.col("v")).alias("v"), F.abs(F.col("t") - 0.5).alias("m"), "t")).alias("p"))
     ends = nearest_value(nearest_value(lines.withColumnRenamed("lat1", "lat").withColumnRenamed("lon1", "lon"), raster, "__e1").withColumnRenamed("lat", "lat1").withColumnRenamed("lon", "lon1").withColumnRenamed("lat2", "lat").withColumnRenamed("lon2", "lon"), raster, "__e2")

@@ -36,18 +36,21 @@ def first_fit(points: DataFrame, radius_m: float, standing: DataFrame | None = N
     """(id, kept, by): each point in order is kept unless a point that is kept stands within the radius; ``by`` is the nearest of those.
 
     ``points`` have id, ord (all different), lat, lon, and may have ``fixed``: such a point is always kept.  ``standing`` points
-    (id, lat, lon) were there before all others.  A point is decided when all earlier points within its
+    (id, lat, lon) were there before all others.  Where points have ``reach`` and all have ``size``, a point's own radius is its reach
+    and the other's size, none above ``radius_m``.  A point is decided when all earlier points within its
     reach are; many are in each round, and there are as many rounds as the longest chain of points
     in each other's reach, in order, has points.
     """
     rows = points if "fixed" in points.columns else points.withColumn("fixed", F.lit(False))
-    rows = cut(rows.select("id", "ord", "lat", "lon", "fixed"))
-    pairs = spatial.range_join(rows, rows, radius_m, "gap").where("ord2 < ord1 and not fixed1")
+    own = "reach" in points.columns
+    rows = cut(rows.select("id", "ord", "lat", "lon", "fixed", *(["reach", "size"] if own else [])))
+    inside = F.col("gap") <= F.col("reach1") + F.col("size2") if own else F.lit(True)
+    pairs = spatial.range_join(rows, rows, radius_m, "gap").where("ord2 < ord1 and not fixed1").where(inside)
     pairs = cut(pairs.select(F.col("id1").alias("late"), F.col("id2").alias("early"), F.col("ord2").alias("early_ord"), "gap"))
     taken = None
     if standing is not None:
         # ranks before all points
-        taken = cut(spatial.range_join(rows, standing.select("id", "lat", "lon"), radius_m, "gap").where("not fixed1").groupBy(F.col("id1").alias("late")).agg(F.min_by(F.struct("id2"), F.struct("gap", "id2")).alias("b")).select("late", "b.id2"))
+        taken = cut(spatial.range_join(rows, standing.select("id", "lat", "lon", *(["size"] if own else [])), radius_m, "gap").where("not fixed1").where(inside).groupBy(F.col("id1").alias("late")).agg(F.min_by(F.struct("id2"), F.struct("gap", "id2")).alias("b")).select("late", "b.id2"))
     state = rows.select("id", F.when(F.col("fixed"), F.lit(True)).alias("kept"))
     if taken is not None:
         state = state.join(taken, F.col("id") == F.col("late"), "left").select("id", F.when(F.col("late").isNotNull(), F.lit(False)).otherwise(F.col("kept")).alias("kept"))

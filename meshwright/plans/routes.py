@@ -7,6 +7,7 @@ earlier ones and a plan is the same as if one route after the other had been pla
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pandas as pd
@@ -16,13 +17,15 @@ from pyspark.sql import Window as W
 
 from meshwright.config import MeshConfig
 from meshwright.functions import geo, grid
-from meshwright.operators import corridor, dem, los, network, placement, spatial, waves
+from meshwright.operators import adaptive, corridor, dem, los, network, placement, spatial, waves
 from meshwright.operators.stage import cut
 from meshwright.plans import mesh
 from meshwright.sources import geojson
 
 #: Canonical pairs (lo, hi) to (lo, hi, clearance, visible).
 Sight = Callable[[DataFrame], DataFrame]
+#: Centres (cell) and a radius to (centre, cell): the cells that are searched about them.
+Reach = Callable[[DataFrame, float], DataFrame]
 #: A chain of nodes: pos is the place in the route's corridor.
 CHAIN = "route long, pos int, cell long, algorithm string, dp_steps int, repair_round int"
 #: A city's anchor keeps this many edges away from other towers: 1.2, and the two cells' own.
@@ -39,13 +42,31 @@ def sight_over(cells: DataFrame, config: MeshConfig, raster: dem.Raster | None =
     return ask
 
 
-def widened(corridors: DataFrame, cells: DataFrame, radius_m: float, config: MeshConfig) -> DataFrame:
+def in_rings(resolution: int) -> Reach:
+    """Cells of one resolution, by rings: as many as edges go into the radius."""
+
+    def ask(centres: DataFrame, radius_m: float) -> DataFrame:
+        return centres.select(F.col("cell").alias("centre"), F.explode(grid.disk(F.col("cell"), round(radius_m / grid.edge_m(resolution)))).alias("cell"))
+
+    return ask
+
+
+def in_mesh(cells: DataFrame) -> Reach:
+    """Cells of a mesh (cell, lat, lon) of any resolutions, by distance and both cells' edges."""
+
+    def ask(centres: DataFrame, radius_m: float) -> DataFrame:
+        return adaptive.near(cells.select("cell", "lat", "lon"), centres.select("cell"), radius_m)
+
+    return ask
+
+
+def widened(corridors: DataFrame, cells: DataFrame, radius_m: float, config: MeshConfig, reach: Reach | None = None) -> DataFrame:
     """Corridors (route, pos, cell) with the best cell beside each road cell, taken from the cells within a radius that hold no road."""
-    rings = round(radius_m / grid.edge_m(config.h3_resolution)) if radius_m > 0 else 0
-    if rings <= 0:
+    if radius_m <= 0 or (reach is None and round(radius_m / grid.edge_m(config.h3_resolution)) <= 0):
         return corridors.select("route", "pos", "cell")
     road = corridor.first_visits(corridors)
-    around = road.select("route", F.explode(grid.disk(F.col("cell"), rings)).alias("cell")).distinct().join(road.select("route", "cell"), ["route", "cell"], "left_anti")
+    beside = (reach or in_rings(config.h3_resolution))(road.select("cell").distinct(), radius_m)
+    around = road.select("route", F.col("cell").alias("centre")).join(beside, "centre").select("route", "cell").distinct().join(road.select("route", "cell"), ["route", "cell"], "left_anti")
     offered = around.join(cells.where("not has_road").select("cell", "lat", "lon", "elevation"), "cell")
     best = corridor.best_buffer_cells(offered, road.join(cells.select("cell", "lat", "lon"), "cell"))
     cap = config.dp_buffer_candidates_max_per_segment
@@ -103,7 +124,7 @@ def broken_routes(chains: DataFrame, sight: Sight) -> DataFrame:
     return cut(placement.broken_gaps(chains, seen.where("visible")))
 
 
-def repaired(chains: DataFrame, broken: DataFrame, cells: DataFrame, existing: DataFrame, config: MeshConfig, base_m: float, sight: Sight) -> DataFrame:
+def repaired(chains: DataFrame, broken: DataFrame, cells: DataFrame, existing: DataFrame, config: MeshConfig, base_m: float, sight: Sight, reach: Reach | None = None) -> DataFrame:
     """Chains whose broken gaps are mended by moving the nodes beside them, no farther than the last round's radius from their first place.
 
     Each node beside a gap has a pool of the highest cells around it; sight is asked for between the pools of
@@ -115,15 +136,22 @@ def repaired(chains: DataFrame, broken: DataFrame, cells: DataFrame, existing: D
     standing = existing.select(F.col("cell").alias("__t")).distinct()
     movable = order.where("n > 1 and n < of").join(gaps, (F.col("route") == F.col("gr")) & (F.col("cell") == F.col("ga")), "left_semi").join(standing, F.col("cell") == F.col("__t"), "left_anti")
     most = base_m * placement.REPAIR_ROUNDS / 2
-    rings = grid.rings_covering(most, config.h3_resolution)
     free = cells.where("not unfit").select(F.col("cell").alias("to"), "elevation")
-    near = movable.select("route", "n", "cell", F.explode(grid.disk(F.col("cell"), rings)).alias("to")).join(free, "to").select("route", "n", "cell", "to", "elevation")
+    if reach is None:
+        rings = grid.rings_covering(most, config.h3_resolution)
+        near = movable.select("route", "n", "cell", F.explode(grid.disk(F.col("cell"), rings)).alias("to"))
+        slack = F.lit(0.0)
+    else:
+        near = movable.join(reach(movable.select("cell").distinct(), most).select("centre", F.col("cell").alias("to")), F.col("cell") == F.col("centre")).select("route", "n", "cell", "to")
+        slack = grid.edge_of(grid.resolution_of(F.col("cell"))) + grid.edge_of(grid.resolution_of(F.col("to")))
+    near = near.join(free, "to").select("route", "n", "cell", "to", "elevation")
     near = near.union(movable.join(cells.select(F.col("cell").alias("own"), "elevation"), F.col("cell") == F.col("own")).select("route", "n", "cell", F.col("cell").alias("to"), "elevation")).distinct()
     far = geo.geodesic_m(grid.lat_of(F.col("cell")), grid.lon_of(F.col("cell")), grid.lat_of(F.col("to")), grid.lon_of(F.col("to")))
-    offered = near.withColumn("move", far)
+    # a cell's own edge counts for a mesh: what a radius touches is tried
+    offered = near.withColumn("move", far).withColumn("least", F.greatest(F.lit(0.0), F.col("move") - slack))
     kept = None
     for r in range(1, placement.REPAIR_ROUNDS + 1):
-        inside = offered.where(F.col("move") <= base_m * r / 2)
+        inside = offered.where(F.col("least") <= base_m * r / 2)
         rank = F.row_number().over(W.partitionBy("route", "n").orderBy(F.desc("elevation"), "move", "to"))
         part = inside.withColumn("rank", rank).where(F.col("rank") <= placement.CANDIDATES).drop("rank")
         kept = part if kept is None else kept.union(part)
@@ -136,7 +164,7 @@ def repaired(chains: DataFrame, broken: DataFrame, cells: DataFrame, existing: D
     null = lambda kind: F.lit(None).cast(kind)
     none = F.lit(0).cast("long")  # a null would make cell ids floating-point numbers
     rows = order.select("route", F.lit("node").alias("kind"), "pos", "cell", none.alias("other"), null("double").alias("value"), null("double").alias("move"), "algorithm", "dp_steps", "repair_round")
-    rows = rows.union(pool.select("route", F.lit("pool"), null("int"), "cell", "to", "elevation", "move", null("string"), null("int"), null("int")))
+    rows = rows.union(pool.select("route", F.lit("pool"), null("int"), "cell", "to", "elevation", "move", F.col("least").cast("string"), null("int"), null("int")))
     rows = rows.union(seen.select("route", F.lit("sight"), null("int"), "lo", "hi", "clearance", null("double"), null("string"), null("int"), null("int")))
     rows = rows.union(order.join(standing, F.col("cell") == F.col("__t"), "left_semi").select("route", F.lit("fixed"), null("int"), "cell", none, null("double"), null("double"), null("string"), null("int"), null("int")))
     touched = rows.join(broken.select(F.col("route").alias("br")).distinct(), F.col("route") == F.col("br"), "left_semi")
@@ -144,16 +172,16 @@ def repaired(chains: DataFrame, broken: DataFrame, cells: DataFrame, existing: D
     def mend(group: pd.DataFrame) -> pd.DataFrame:
         nodes = group[group.kind == "node"].sort_values("pos")
         clear = {(int(a), int(b)): c for a, b, c in group[group.kind == "sight"][["cell", "other", "value"]].itertuples(index=False)}
-        pools: dict[int, list[tuple[int, float, float]]] = {}
+        pools: dict[int, list[tuple[int, float, float, float]]] = {}
         home: dict[int, int] = {}
-        for cell, to, high, move in group[group.kind == "pool"][["cell", "other", "value", "move"]].itertuples(index=False):
-            pools.setdefault(int(cell), []).append((int(to), high, move))
+        for cell, to, high, move, least in group[group.kind == "pool"][["cell", "other", "value", "move", "algorithm"]].itertuples(index=False):
+            pools.setdefault(int(cell), []).append((int(to), high, move, float(least)))
             if to != cell:
                 home.setdefault(int(to), int(cell))
         before = [int(c) for c in nodes.cell]
         fixed = {int(c) for c in group[group.kind == "fixed"].cell}
         sees = lambda a, b: config.mast_height_m if a == b else clear.get((min(a, b), max(a, b)))
-        near = lambda cell, radius: [c for c in pools.get(cell, pools.get(home.get(cell, -1), [])) if c[2] <= radius]
+        near = lambda cell, radius: [c[:3] for c in pools.get(cell, pools.get(home.get(cell, -1), [])) if c[3] <= radius]
         after, rounds = placement.repair(before, sees, near, fixed, base_m)
         moved = [a != b for a, b in zip(before, after, strict=True)]
         out = pd.DataFrame({"route": nodes.route.to_numpy(), "pos": nodes.pos.astype(int).to_numpy(), "cell": after})
@@ -189,11 +217,11 @@ def without_lost_ends(chains: DataFrame, sight: Sight) -> DataFrame:
     return cut(joined.groupBy("route").applyInPandas(prune, CHAIN))
 
 
-def place_along(corridors: DataFrame, budgets: DataFrame, cells: DataFrame, existing: DataFrame, config: MeshConfig, sight: Sight) -> DataFrame:
+def place_along(corridors: DataFrame, budgets: DataFrame, cells: DataFrame, existing: DataFrame, config: MeshConfig, sight: Sight, reach: Reach | None = None) -> DataFrame:
     """CHAIN of every corridor (route, pos, cell) of two or more cells.
 
     ``budgets`` (route, budget) bound the towers of a route, ``existing`` (cell) are towers to be
-    reused, ``cells`` have cell, lat, lon, elevation, has_road, unfit.  The first attempt searches beside the road as far as the
+    reused, ``cells`` have cell, lat, lon, elevation, has_road, unfit; ``reach`` finds the cells beside others, by rings if there is none.  The first attempt searches beside the road as far as the
     optimizer's radius (else the road buffer); routes with broken links try again with each
     larger radius of the fallback ladder, and at last lose the ends that nothing reaches.
     """
@@ -204,13 +232,13 @@ def place_along(corridors: DataFrame, budgets: DataFrame, cells: DataFrame, exis
     left = cut(corridors.join(two, "route", "left_semi").select("route", "pos", "cell"))
     done: DataFrame | None = None
     for i, radius in enumerate(ladder):
-        work = cut(widened(left, cells, radius, config))
+        work = cut(widened(left, cells, radius, config, reach))
         chains = best_chains(segments(work, existing), budgets, cells, config, sight, existing)
         if config.gap_repair_rounds > 0:
             broken = broken_routes(chains, sight)
             base = config.road_buffer_m if config.road_buffer_m > 0 else radius
             if base > 0 and not broken.isEmpty():
-                chains = repaired(chains, broken, cells, existing, config, base, sight)
+                chains = repaired(chains, broken, cells, existing, config, base, sight, reach)
         filled = placement.fill_gaps(chains.select("route", "pos", "cell"), work, config.max_visibility_m)
         meta = chains.select(F.col("route").alias("cr"), F.col("cell").alias("cc"), "algorithm", "dp_steps", "repair_round")
         chains = cut(filled.join(meta, (F.col("route") == F.col("cr")) & (F.col("cell") == F.col("cc")), "left").select("route", F.col("pos").cast("int").alias("pos"), "cell", "algorithm", "dp_steps", "repair_round"))
@@ -226,7 +254,7 @@ def place_along(corridors: DataFrame, budgets: DataFrame, cells: DataFrame, exis
 
 
 def sampled_corridors(routes: DataFrame, resolution: int) -> DataFrame:
-    """(route, pos, cell) of routes (route, site1, site2, features): their lines head to tail from the first site, sampled into cells, with the sites' cells at the ends.
+    """(route, pos, cell) of routes (route, site1, site2, features): their lines head to tail from the first site, sampled into cells.
 
     A MultiLineString is one feature: its first line's ends place it among the others, its lines follow each other, in reverse
     order where it is turned.  Features of other kinds, or without a line, are left out.
@@ -246,9 +274,22 @@ def sampled_corridors(routes: DataFrame, resolution: int) -> DataFrame:
     points = parts.select("route", "ord", "part", F.posexplode("line").alias("seq", "p"))
     vertices = points.select(F.struct("route", "ord", "part").alias("line"), "seq", F.element_at("p", 1).alias("lon"), F.element_at("p", 2).alias("lat"))
     samples = corridor.segment_cells(vertices, resolution).select("line.route", "line.ord", "line.part", "seq", "i", "cell")
-    found = corridor.without_repeats(samples, ["ord", "part", "seq", "i"])
-    spot = lambda s: grid.cell_of(F.col(f"{s}.lat"), F.col(f"{s}.lon"), resolution)
-    return corridor.with_ends(found, routes.select("route", spot("site1").alias("first"), spot("site2").alias("last")))
+    return corridor.without_repeats(samples, ["ord", "part", "seq", "i"])
+
+
+def site_cells(routes: DataFrame, members: DataFrame, base: int, fine: int) -> DataFrame:
+    """(route, side, cell): the finest member (cell, resolution) that holds each site with a place, else its base cell."""
+    sites = routes.select("route", F.posexplode(F.array("site1", "site2")).alias("side", "s")).where("s.lat is not null and s.lon is not null")
+    found = adaptive.locate(sites.select(F.struct("route", "side").alias("id"), F.col("s.lat").alias("lat"), F.col("s.lon").alias("lon")), members, base, fine)
+    return found.select("id.route", "id.side", "cell")
+
+
+def mesh_corridors(routes: DataFrame, members: DataFrame, base: int, fine: int, available: int) -> DataFrame:
+    """(route, pos, cell): roads sampled at the finest resolution there is, put onto the mesh's road cells, with the sites' cells at the ends."""
+    samples = sampled_corridors(routes, available).withColumn("lat", grid.lat_of(F.col("cell"))).withColumn("lon", grid.lon_of(F.col("cell"))).drop("cell")
+    found = adaptive.project(samples, members, base, fine, ["pos"])
+    spots = site_cells(routes, members, base, fine).groupBy("route").agg(F.max(F.when(F.col("side") == 0, F.col("cell"))).alias("first"), F.max(F.when(F.col("side") == 1, F.col("cell"))).alias("last"))
+    return corridor.with_ends(found, spots)
 
 
 def with_unknown(cells: DataFrame, wanted: DataFrame, config: MeshConfig, raster: dem.Raster | None, cities: DataFrame | None) -> DataFrame:
@@ -257,37 +298,41 @@ def with_unknown(cells: DataFrame, wanted: DataFrame, config: MeshConfig, raster
     if missing.isEmpty():
         return cells
     if raster is not None:
-        placed = dem.anchors(missing.select("cell"), raster, config.h3_resolution, config.cell_anchor_margin_m)
+        placed = None
+        for (resolution,) in missing.select(grid.resolution_of(F.col("cell"))).distinct().collect():  # at most 16
+            part = dem.anchors(missing.where(grid.resolution_of(F.col("cell")) == resolution).select("cell"), raster, resolution, config.cell_anchor_margin_m)
+            placed = part if placed is None else placed.unionByName(part)
     else:
         placed = missing.select("cell", F.lit(0.0).alias("elevation"), grid.lat_of(F.col("cell")).alias("los_lat"), grid.lon_of(F.col("cell")).alias("los_lon"))
     made = missing.join(placed, "cell").withColumn("lat", grid.lat_of(F.col("cell"))).withColumn("lon", grid.lon_of(F.col("cell")))
     return cut(cells.select("cell", "lat", "lon", "elevation", "los_lat", "los_lon", "has_road", "unfit").unionByName(mesh.marked(made, cities).select("cell", "lat", "lon", "elevation", "los_lat", "los_lon", "has_road", "unfit")))
 
 
-def route_claims(paths: DataFrame, config: MeshConfig) -> DataFrame:
-    """(route, cell): all cells that planning a corridor (route, pos, cell) may read or put a tower on."""
+def route_claims(paths: DataFrame, anchors: DataFrame, reach: Reach, config: MeshConfig) -> DataFrame:
+    """(route, cell): all cells that planning a corridor (route, pos, cell) with its anchors (route, cell) may read or put a tower on."""
     search = max([config.road_buffer_m, config.optimizer_search_radius_m or 0.0, *config.fallback_initial_search_radius_ladder_m])
     repair = (config.road_buffer_m if config.road_buffer_m > 0 else search) * placement.REPAIR_ROUNDS / 2
-    rings = max(2, round(search / grid.edge_m(config.h3_resolution)), grid.rings_covering(max(repair, 1.0), config.h3_resolution))
-    return paths.select("route", F.explode(grid.disk(F.col("cell"), rings)).alias("cell")).distinct()
+    own = paths.select("route", "cell").union(anchors.select("route", "cell")).distinct()
+    beside = reach(own.select("cell").distinct(), max(search, repair, ANCHOR_EDGES * grid.edge_m(config.h3_resolution)))
+    return own.select("route", F.col("cell").alias("centre")).join(beside, "centre").select("route", "cell").union(own)
 
 
-def site_anchors(routes: DataFrame, paths: DataFrame, config: MeshConfig, cities: DataFrame | None) -> DataFrame:
+def site_anchors(routes: DataFrame, paths: DataFrame, spots: DataFrame, cities: DataFrame | None) -> DataFrame:
     """(route, side, cell, height, city): where the sites of routes get their towers.
 
     A site inside a city has its anchor where the trimmed corridor enters the city: at the corridor's end on
-    the site's side.  Any other has it in its own cell.  Sites without a place have none.
+    the site's side.  Any other has it in its own cell (``spots``: route, side, cell).  Sites without a place have none.
     """
     sites = routes.select("route", F.posexplode(F.array("site1", "site2")).alias("side", "s")).where("s.lat is not null and s.lon is not null")
     rows = sites.select("route", "side", F.struct("route", "side").alias("id"), F.col("s.lat").alias("lat"), F.col("s.lon").alias("lon"), F.coalesce("s.site_height_m", F.lit(0.0)).alias("height"))
     rows = spatial.within_polygons(rows, cities).withColumnRenamed("inside", "city") if cities is not None else rows.withColumn("city", F.lit(False))
     ends = paths.groupBy(F.col("route").alias("er")).agg(F.min_by("cell", "pos").alias("first"), F.max_by("cell", "pos").alias("last"))
     entry = F.when(F.col("side") == 0, F.col("first")).otherwise(F.col("last"))
-    own = grid.cell_of(F.col("lat"), F.col("lon"), config.h3_resolution)
-    return rows.join(ends, F.col("route") == F.col("er")).select("route", "side", F.when(F.col("city"), entry).otherwise(own).alias("cell"), "height", "city")
+    placed = rows.join(ends, F.col("route") == F.col("er")).join(spots.select(F.col("route").alias("sr"), F.col("side").alias("ss"), F.col("cell").alias("own")), (F.col("route") == F.col("sr")) & (F.col("side") == F.col("ss")))
+    return placed.select("route", "side", F.when(F.col("city"), entry).otherwise(F.col("own")).alias("cell"), "height", "city")
 
 
-def anchored(anchors: DataFrame, towers: DataFrame, resolution: int) -> tuple[DataFrame, DataFrame]:
+def anchored(anchors: DataFrame, towers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(towers, heights): towers with those of anchors (route, side, cell, height, city), and the extra height (cell, height) each anchor gives to a cell.
 
     Anchors come in order of route and side.  A city's anchor is left out where a tower stands near it already, and that tower
@@ -295,8 +340,11 @@ def anchored(anchors: DataFrame, towers: DataFrame, resolution: int) -> tuple[Da
     """
     points = anchors.select((F.col("route") * 2 + F.col("side")).alias("id"), "cell", "height", "city", "route", "side").withColumn("ord", F.col("id"))
     placed = points.withColumn("lat", grid.lat_of(F.col("cell"))).withColumn("lon", grid.lon_of(F.col("cell")))
-    stood = towers.select(F.col("cell").alias("id"), grid.lat_of(F.col("cell")).alias("lat"), grid.lon_of(F.col("cell")).alias("lon"))
-    fit = waves.first_fit(placed.select("id", "ord", "lat", "lon", (~F.col("city")).alias("fixed")), ANCHOR_EDGES * grid.edge_m(resolution), stood)
+    edge = grid.edge_of(grid.resolution_of(F.col("cell")))
+    stood = cut(towers.select(F.col("cell").alias("id"), grid.lat_of(F.col("cell")).alias("lat"), grid.lon_of(F.col("cell")).alias("lon"), edge.alias("size")))
+    placed = cut(placed.select("id", "ord", "lat", "lon", (~F.col("city")).alias("fixed"), (edge * (ANCHOR_EDGES - 1)).alias("reach"), edge.alias("size")))
+    widest = placed.select("size").union(stood.select("size")).agg(F.max("size")).first()[0] or 1.0
+    fit = waves.first_fit(placed, ANCHOR_EDGES * widest, stood)
     judged = cut(points.join(fit, "id"))
     kept = judged.where("kept")
     fresh = kept.select("cell", F.lit("site").alias("source"), "route", F.lit(0).alias("step"), F.col("side").cast("long").alias("pos"))
@@ -306,37 +354,40 @@ def anchored(anchors: DataFrame, towers: DataFrame, resolution: int) -> tuple[Da
     return cut(network.place_towers(towers, fresh)), cut(heights)
 
 
-def run_routes(spark: SparkSession, routes: DataFrame, cells: DataFrame, config: MeshConfig, raster: dem.Raster | None = None, cities: DataFrame | None = None, existing: DataFrame | None = None) -> dict[str, DataFrame]:
+def run_routes(spark: SparkSession, routes: DataFrame, cells: DataFrame, config: MeshConfig, raster: dem.Raster | None = None, cities: DataFrame | None = None, existing: DataFrame | None = None, finest: int | None = None) -> dict[str, DataFrame]:
     """cells, corridors, chains, towers, edges, clusters, coverage, city links, summaries and report of ready routes (ord, route_id, site1, site2, max_towers, features).
 
-    ``cells`` have cell, lat, lon, elevation, los_lat, los_lon, has_road, unfit; those that a corridor needs and that are not among them are
+    ``cells`` have cell, lat, lon, elevation, los_lat, los_lon, has_road, unfit, and may be of several resolutions (``adaptive.from_static``): roads
+    are then sampled at the ``finest`` resolution and put onto the mesh.  Cells that a corridor needs and that are not among them are
     made from the raster.  ``existing`` (cell, source, ord) are towers that stand already.  Each route's sites get their anchors first, then its corridor its
     nodes, whose source is the route's id.  Routes that do not meet are planned together.
     """
     named = F.coalesce(F.col("route_id") if "route_id" in routes.columns else F.lit(None).cast("string"), F.concat(F.lit("route_"), F.col("ord")))
     routes = cut(routes.withColumn("route", F.col("ord").cast("long")).withColumn("name", named))
-    full = cut(sampled_corridors(routes, config.h3_resolution))
-    beside = max(1, round(config.road_buffer_m / grid.edge_m(config.h3_resolution))) if config.road_buffer_m > 0 else 0
-    spots = routes.select(F.explode(F.array("site1", "site2")).alias("s")).where("s.lat is not null and s.lon is not null").select(grid.cell_of(F.col("s.lat"), F.col("s.lon"), config.h3_resolution).alias("cell"), F.lit(False).alias("has_road"))
-    wanted = full.select("cell", F.lit(True).alias("has_road")).union(full.select(F.explode(grid.disk(F.col("cell"), beside)), F.lit(False))).union(spots)
-    cells = with_unknown(cells, wanted, config, raster, cities)
+    base = config.h3_resolution
+    members = cut(cells.select("cell", grid.resolution_of(F.col("cell")).alias("resolution"), "has_road"))
+    fine = max(base, members.agg(F.max("resolution")).first()[0] or base)
+    roads = members.where("has_road")
+    spots = cut(site_cells(routes, members, base, fine))
+    full = cut(mesh_corridors(routes, roads, base, fine, max(fine, finest or base)) if config.auto_refine_h3_on_gradient else sampled_corridors(routes, base))
+    reach = in_mesh(cells.select("cell", "lat", "lon"))
+    cells = with_unknown(cells, full.select("cell", F.lit(True).alias("has_road")).union(spots.select("cell", F.lit(False))), config, raster, cities)
     known = full.join(cells.select("cell", (~F.col("unfit")).alias("fit")), "cell")
     trimmed = corridor.first_visits(corridor.trim_unfit(known.select("route", "pos", "cell", "fit")).select("route", "pos", "cell"))
     long = trimmed.groupBy("route").count().where("count > 1").select("route")
     paths = cut(trimmed.join(long, "route", "left_semi"))
-    anchors = cut(site_anchors(routes, paths, config, cities))
-    claims = route_claims(paths, config).union(anchors.select("route", F.explode(grid.disk(F.col("cell"), 2))))
-    order = cut(waves.waves(claims))
+    anchors = cut(site_anchors(routes, paths, spots, cities))
+    order = cut(waves.waves(route_claims(paths, anchors, reach, config)))
     towers = mesh.standing(spark, existing)
     heights = spark.createDataFrame([], "cell long, height double")
     budgets = routes.select("route", F.coalesce("max_towers", F.lit(config.max_towers_per_route)).alias("budget"))
     chains = spark.createDataFrame([], CHAIN)
     for (wave,) in order.select("wave").distinct().orderBy("wave").collect():  # one row a wave
         mine = cut(order.where(F.col("wave") == wave).select("route"))
-        towers, more = anchored(anchors.join(mine, "route", "left_semi"), towers, config.h3_resolution)
+        towers, more = anchored(anchors.join(mine, "route", "left_semi"), towers)
         heights = cut(heights.union(more).groupBy("cell").agg(F.max("height").alias("height")))
         standing = cut(mesh.raised(cells, heights))
-        found = place_along(paths.join(mine, "route", "left_semi"), budgets, standing, towers.select("cell"), config, sight_over(standing, config, raster))
+        found = place_along(paths.join(mine, "route", "left_semi"), budgets, standing, towers.select("cell"), config, sight_over(standing, config, raster), reach)
         fresh = found.join(routes.select("route", F.col("name").alias("source")), "route").select("cell", "source", "route", F.lit(1).alias("step"), F.col("pos").cast("long").alias("pos"))
         towers = cut(network.place_towers(towers, fresh))
         chains = cut(chains.unionByName(found))
@@ -355,6 +406,9 @@ def load(spark: SparkSession, path: str) -> tuple[MeshConfig, DataFrame]:
     given = {}
     for name, value in geojson.load_route_parameters(spark, path).items():
         default = getattr(MeshConfig, name, None)
+        if isinstance(default, tuple):
+            given[name] = tuple(float(x) for x in json.loads(value))
+            continue
         given[name] = value.lower() == "true" if isinstance(default, bool) else int(float(value)) if isinstance(default, int) else float(value) if isinstance(default, float) or default is None else value
     routes = geojson.load_routes(spark, path)
     if routes.isEmpty():
