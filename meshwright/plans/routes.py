@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 
 from meshwright.config import MeshConfig
 from meshwright.functions import geo, grid
-from meshwright.operators import adaptive, corridor, dem, los, network, placement, spatial, waves
+from meshwright.operators import adaptive, corridor, dem, los, network, placement, sightbook, spatial, waves
 from meshwright.operators.stage import cut
 from meshwright.plans import mesh
 from meshwright.sources import geojson
@@ -32,10 +32,13 @@ CHAIN = "route long, pos int, cell long, algorithm string, dp_steps int, repair_
 ANCHOR_EDGES = 3.2
 
 
-def sight_over(cells: DataFrame, config: MeshConfig, raster: dem.Raster | None = None) -> Sight:
-    """Line of sight between the anchors of cells."""
+def sight_over(cells: DataFrame, config: MeshConfig, raster: dem.Raster | None = None, book: sightbook.SightBook | None = None, stage: str = "placement") -> Sight:
+    """Line of sight between the anchors of cells; with a ``book`` answers of other runs are used, and new ones kept."""
 
     def ask(pairs: DataFrame) -> DataFrame:
+        if book is not None:
+            seen = sightbook.batch(pairs.select(F.col("lo").alias("src"), F.col("hi").alias("dst")), cells, config, raster, book, stage).where("status != 'failed'")
+            return cut(seen.select("lo", "hi", F.col("clearance_m").alias("clearance"), "visible"))
         seen = los.evaluate(mesh.pair_rows(pairs, cells, config), config, cells.select("cell", "elevation"), raster)
         return cut(seen.select("id.lo", "id.hi", F.col("clearance_m").alias("clearance"), "visible"))
 
@@ -354,13 +357,13 @@ def anchored(anchors: DataFrame, towers: DataFrame) -> tuple[DataFrame, DataFram
     return cut(network.place_towers(towers, fresh)), cut(heights)
 
 
-def run_routes(spark: SparkSession, routes: DataFrame, cells: DataFrame, config: MeshConfig, raster: dem.Raster | None = None, cities: DataFrame | None = None, existing: DataFrame | None = None, finest: int | None = None) -> dict[str, DataFrame]:
+def run_routes(spark: SparkSession, routes: DataFrame, cells: DataFrame, config: MeshConfig, raster: dem.Raster | None = None, cities: DataFrame | None = None, existing: DataFrame | None = None, finest: int | None = None, book: sightbook.SightBook | None = None) -> dict[str, DataFrame]:
     """cells, corridors, chains, towers, edges, clusters, coverage, city links, summaries and report of ready routes (ord, route_id, site1, site2, max_towers, features).
 
     ``cells`` have cell, lat, lon, elevation, los_lat, los_lon, has_road, unfit, and may be of several resolutions (``adaptive.from_static``): roads
     are then sampled at the ``finest`` resolution and put onto the mesh.  Cells that a corridor needs and that are not among them are
     made from the raster.  ``existing`` (cell, source, ord) are towers that stand already.  Each route's sites get their anchors first, then its corridor its
-    nodes, whose source is the route's id.  Routes that do not meet are planned together.
+    nodes, whose source is the route's id.  Routes that do not meet are planned together.  A ``book`` keeps answers about sight between runs.
     """
     named = F.coalesce(F.col("route_id") if "route_id" in routes.columns else F.lit(None).cast("string"), F.concat(F.lit("route_"), F.col("ord")))
     routes = cut(routes.withColumn("route", F.col("ord").cast("long")).withColumn("name", named))
@@ -387,7 +390,7 @@ def run_routes(spark: SparkSession, routes: DataFrame, cells: DataFrame, config:
         towers, more = anchored(anchors.join(mine, "route", "left_semi"), towers)
         heights = cut(heights.union(more).groupBy("cell").agg(F.max("height").alias("height")))
         standing = cut(mesh.raised(cells, heights))
-        found = place_along(paths.join(mine, "route", "left_semi"), budgets, standing, towers.select("cell"), config, sight_over(standing, config, raster), reach)
+        found = place_along(paths.join(mine, "route", "left_semi"), budgets, standing, towers.select("cell"), config, sight_over(standing, config, raster, book), reach)
         fresh = found.join(routes.select("route", F.col("name").alias("source")), "route").select("cell", "source", "route", F.lit(1).alias("step"), F.col("pos").cast("long").alias("pos"))
         towers = cut(network.place_towers(towers, fresh))
         chains = cut(chains.unionByName(found))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import dataclasses
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwright.functions import grid
-from meshwright.operators import adaptive, dem, waves
+from meshwright.operators import adaptive, dem, sightbook, waves
 from meshwright.operators.stage import shared_dir
 from meshwright.plans import bindings as b
 from meshwright.plans.queries import ORACLE_SQL, PIXELS, TOWERS, _chord, _pairs, _receiver_cells, query, scaled
@@ -129,3 +130,20 @@ def anchor_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors that keep apart, first come first served."""
     points = b.towers(spark, sf_dir).select("id", F.col("id").alias("ord"), "lat", "lon")
     return waves.first_fit(points, APART_M).select("id", "kept")
+
+
+@query("SELECT run, requested, unique_pairs, hits, computed, failed FROM (SELECT count(*) AS n FROM supplier) s, (VALUES (1, 3, 1, 0, 1), (2, 3, 1, 1, 0), (3, 3, 1, 0, 1)) r(run, requested_times, once, hit, done), LATERAL (SELECT (n - 1) * requested_times AS requested, n - 1 + 0 * once AS unique_pairs, hit * (n - 2) AS hits, done * (n - 2) AS computed, CAST(1 AS BIGINT) AS failed) x")
+def sight_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each tower asked for the next one, three times in both directions, in three runs with one store of answers: new, known, and with another mast height; the last pair has no cell."""
+    t = b.towers(spark, sf_dir)
+    cells = t.select(F.col("id").alias("cell"), "lat", "lon", F.col("lat").alias("los_lat"), F.col("lon").alias("los_lon"), F.col("ground").alias("elevation"))
+    last = t.agg(F.max("id")).first()[0]
+    ahead = t.where(F.col("id") > 0).select((F.col("id") - 1).alias("src"), F.when(F.col("id") == last, F.lit(-1)).otherwise(F.col("id")).alias("dst"))
+    asked = ahead.union(ahead.select("dst", "src")).union(ahead)
+    out = []
+    at = _place(spark)
+    for run, config in enumerate((b.TIGHT, b.TIGHT, dataclasses.replace(b.TIGHT, mast_height_m=35.0)), 1):
+        book = sightbook.SightBook(spark, at)
+        sightbook.batch(asked, cells, config, None, book, "towers")
+        out.append(book.report().select(F.lit(run).alias("run"), "requested", F.col("unique").alias("unique_pairs"), "hits", "computed", "failed"))
+    return out[0].union(out[1]).union(out[2])
