@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from meshwright.config import OUTPUT_NAMES, load_yaml, output_path
 from meshwright.functions import grid
-from meshwright.operators import adaptive
+from meshwright.operators import adaptive, sightbook
 from meshwright.plans import mesh, routes
 from meshwright.sources import geojson, raster
 
@@ -23,6 +23,8 @@ def routes_main(args: list[str]) -> None:
     parser.add_argument("--grid-bundle", required=True)
     parser.add_argument("--city-boundaries")
     parser.add_argument("--output", default="output")
+    parser.add_argument("--debug-snapshots", help="a folder for one JSON text a route")
+    parser.add_argument("--sight-book", help="a folder that keeps answers about sight between runs")
     given = parser.parse_args(args)
     spark = SparkSession.builder.appName("meshwright-routes").getOrCreate()
     config, found = routes.load(spark, given.routes)
@@ -30,9 +32,15 @@ def routes_main(args: list[str]) -> None:
     cells = adaptive.from_static(static, config).withColumn("lat", grid.lat_of(F.col("cell"))).withColumn("lon", grid.lon_of(F.col("cell")))
     terrain = raster.load(spark, raster.elevation_of(meta, given.grid_bundle)) if meta["elevation_path"] else None
     cities = geojson.load_cities(spark, given.city_boundaries) if given.city_boundaries else None
-    made = routes.run_routes(spark, found, mesh.marked(cells, cities), config, terrain, cities, None, max(meta["metadata"]["resolution_set"]))
+    told = meta["metadata"].get("elevation_file")
+    book = sightbook.SightBook(spark, given.sight_book, raster.stable_sha256([meta["elevation_path"], told])) if given.sight_book else None
+    made = routes.run_routes(spark, found, mesh.marked(cells, cities), config, terrain, cities, None, max(meta["metadata"]["resolution_set"]), book)
     mesh.write_plan(made, {name: output_path(name, {}, given.output) for name in OUTPUT_NAMES}, config)
+    if given.debug_snapshots:
+        routes.write_snapshots(made, given.debug_snapshots)
     print(made["report"].toPandas().to_string(index=False))
+    if book is not None:
+        print(book.summary().toPandas().to_string(index=False))
 
 
 def main(args: list[str] | None = None) -> None:

@@ -101,7 +101,7 @@ class InputPaths:
     existing_towers: str | None = None
 
 
-OUTPUT_NAMES = {"towers": "towers.geojson", "coverage": "coverage.geojson", "edges": "visibility_edges.geojson", "grid_cells": "grid_cells.geojson", "report": "report.json"}
+OUTPUT_NAMES = {"towers": "towers.geojson", "coverage": "coverage.geojson", "edges": "visibility_edges.geojson", "grid_cells": "grid_cells.geojson", "gap_repair_hexes": "gap_repair_hexes.geojson", "report": "report.json"}
 
 
 def output_path(name: str, configured: dict[str, str], folder: str | None) -> str:

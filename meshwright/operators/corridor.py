@@ -137,16 +137,16 @@ def snap_sites(sites: DataFrame, cells: DataFrame) -> DataFrame:
     return known.union(near)
 
 
-def best_buffer_cells(candidates: DataFrame, corridor: DataFrame, shortlist: int = 8) -> DataFrame:
+def best_buffer_cells(candidates: DataFrame, corridor: DataFrame, reach_m: float, shortlist: int = 8) -> DataFrame:
     """(route, pos, cell, elevation): for each road cell of a corridor the highest of the candidates nearest to it.
 
     ``candidates`` (route, cell, lat, lon, elevation) go to the nearest corridor cell
-    (route, pos, cell, lat, lon): a shortlist by chord, then the geodesic, ties to the smaller pos.
+    (route, pos, cell, lat, lon): a shortlist by chord, then the geodesic, ties to the smaller pos.  No candidate
+    is farther than ``reach_m`` from all of its corridor, so that each meets the cells about it only.
     """
-    c = candidates.select("route", F.col("cell").alias("id"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), "elevation")
-    road = corridor.select(F.col("route").alias("route2"), "pos", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    pairs = c.join(road, F.col("route") == F.col("route2"))
-    pairs = pairs.withColumn("chord", geo.chord_m(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")))
+    c = candidates.select("route", F.col("cell").alias("id"), "lat", "lon", "elevation")
+    pairs = spatial.range_join(c, corridor.select("route", "pos", "lat", "lon"), reach_m, "chord", "route")
+    pairs = pairs.select(F.col("route1").alias("route"), F.col("id1").alias("id"), F.col("elevation1").alias("elevation"), F.col("pos2").alias("pos"), "lat1", "lon1", "lat2", "lon2", "chord")
     short = pairs.withColumn("n", F.row_number().over(W.partitionBy("route", "id").orderBy("chord", "pos"))).where(F.col("n") <= shortlist)
     short = short.withColumn("far", geo.geodesic_m(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")))
     own = short.groupBy("route", "id", "elevation").agg(F.min_by("pos", F.struct("far", "pos")).alias("pos"))

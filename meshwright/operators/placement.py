@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 
 from meshwright.config import MeshConfig
 from meshwright.functions import geo, grid, physics
+from meshwright.operators import spatial
 from meshwright.operators.stage import cut
 
 #: Rounds of gap repair, and candidates that each side of a gap tries.
@@ -24,16 +25,19 @@ REPAIR_ROUNDS, CANDIDATES = 3, 24
 
 
 def forward_pairs(corridor: DataFrame, most_m: float) -> DataFrame:
-    """(route, i, j, distance_m, over): pairs of positions i < j by centroid distance; once a distance of i exceeds the limit all later j go.
+    """(route, i, j, distance_m, ...): pairs of positions i < j by centroid distance; once a distance of i exceeds the limit all later j go.
 
-    ``corridor`` has route, pos, lat, lon, unfit.
+    ``corridor`` has route, pos, lat, lon, unfit.  Only pairs of a route that lie in reach of each other are made: a position's
+    partners in reach are numbered in order, and stay as long as none is missing between them.
     """
-    one = corridor.select("route", F.col("pos").alias("i"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.col("unfit").alias("unfit1"))
-    two = corridor.select(F.col("route").alias("r2"), F.col("pos").alias("j"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("unfit").alias("unfit2"))
-    pairs = one.join(two, (F.col("route") == F.col("r2")) & (F.col("i") < F.col("j")))
-    pairs = pairs.withColumn("distance_m", geo.geodesic_m(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")))
-    over = F.max((F.col("distance_m") > most_m).cast("int")).over(W.partitionBy("route", "i").orderBy("j").rowsBetween(W.unboundedPreceding, 0))
-    return pairs.withColumn("over", over).where("over = 0").drop("r2", "over")
+    n = F.row_number().over(W.partitionBy("route").orderBy("pos"))
+    rows = corridor.select("route", "pos", "lat", "lon", "unfit").withColumn("n", n)
+    # a chord on the sphere is never more than a hundredth longer than the geodesic
+    near = spatial.range_join(rows, rows, most_m * 1.01, "chord", "route").where("n1 < n2")
+    near = near.withColumn("distance_m", geo.geodesic_m(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))).where(F.col("distance_m") <= most_m)
+    place = F.row_number().over(W.partitionBy("route1", "pos1").orderBy("n2"))
+    kept = near.withColumn("place", place).where(F.col("place") == F.col("n2") - F.col("n1"))
+    return kept.select(F.col("route1").alias("route"), F.col("pos1").alias("i"), "lat1", "lon1", "unfit1", F.col("pos2").alias("j"), "lat2", "lon2", "unfit2", "distance_m")
 
 
 def prefiltered(pairs: DataFrame, corridor: DataFrame, config: MeshConfig) -> DataFrame:
@@ -206,16 +210,23 @@ def _unpacked(rows: pd.DataFrame) -> tuple[list[int], set[tuple[int, int]]]:
 def fill_gaps(chain: DataFrame, corridor: DataFrame, most_m: float) -> DataFrame:
     """Relay cells by distance only: between far neighbours the corridor cell that makes the larger part smallest.
 
-    One relay a gap and call; (route, pos, cell) positions of the corridor.
+    All gaps of all routes are split at once, and their parts again, until every part is within the limit or has no corridor cell
+    left inside; a round halves what is left, more or less.  (route, pos, cell), positions of the corridor.
     """
-    w = W.partitionBy("route").orderBy("pos")
-    gaps = chain.withColumn("b", F.lead("cell").over(w)).withColumn("to", F.lead("pos").over(w)).where("b is not null")
     far = lambda x, y: geo.geodesic_m(grid.lat_of(x), grid.lon_of(x), grid.lat_of(y), grid.lon_of(y))
-    long = gaps.where(far(F.col("cell"), F.col("b")) > most_m).select(F.col("route").alias("r"), F.col("pos").alias("from"), "to", F.col("cell").alias("a"), "b")
-    inner = corridor.join(long, (F.col("route") == F.col("r")) & (F.col("pos") > F.col("from")) & (F.col("pos") < F.col("to")))
-    part = F.greatest(far(F.col("a"), F.col("cell")), far(F.col("cell"), F.col("b")))
-    relay = inner.withColumn("part", part).groupBy("route", "from").agg(F.min_by(F.struct("pos", "cell"), F.struct("part", "pos")).alias("x")).select("route", "x.pos", "x.cell")
-    return chain.select("route", "pos", "cell").union(relay)
+    w = W.partitionBy("route").orderBy("pos")
+    filled = chain.select("route", "pos", "cell")
+    ahead = filled.withColumn("b", F.lead("cell").over(w)).withColumn("to", F.lead("pos").over(w)).where("b is not null")
+    open_ = cut(ahead.where(far(F.col("cell"), F.col("b")) > most_m).select(F.col("route").alias("r"), F.col("pos").alias("from"), "to", F.col("cell").alias("a"), "b"))
+    while not open_.isEmpty():
+        inner = corridor.join(open_, (F.col("route") == F.col("r")) & (F.col("pos") > F.col("from")) & (F.col("pos") < F.col("to")))
+        part = F.greatest(far(F.col("a"), F.col("cell")), far(F.col("cell"), F.col("b")))
+        best = inner.withColumn("part", part).groupBy("route", "from", "to", "a", "b").agg(F.min_by(F.struct("pos", "cell"), F.struct("part", "pos")).alias("x"))
+        relays = cut(best.select("route", "from", "to", "a", "b", "x.pos", "x.cell"))
+        filled = cut(filled.union(relays.select("route", "pos", "cell")))
+        halves = relays.select("route", F.explode(F.array(F.struct(F.col("from"), F.col("pos").alias("to"), "a", F.col("cell").alias("b")), F.struct(F.col("pos").alias("from"), F.col("to"), F.col("cell").alias("a"), "b"))).alias("h")).select(F.col("route").alias("r"), "h.*")
+        open_ = cut(halves.where(far(F.col("a"), F.col("b")) > most_m))
+    return filled
 
 
 def peak_fallback(corridor: DataFrame, k: int) -> DataFrame:

@@ -9,13 +9,13 @@ from pyspark.sql import Window as W
 from meshwright.functions import geo
 
 
-def range_join(left: DataFrame, right: DataFrame, radius_m: float, distance: str = "chord_m") -> DataFrame:
+def range_join(left: DataFrame, right: DataFrame, radius_m: float, distance: str = "chord_m", by: str | None = None) -> DataFrame:
     """Pairs of (id, lat, lon, ...) rows within a radius, by the straight distance through the sphere.
 
     Points are put into cubes of twice the radius about the earth's centre, so that poles and
     the antimeridian are like any other place.  The left side is repeated into the cubes that its ball touches, at
     most two in each direction; the join is on the cube, and the exact distance decides.
-    Columns of the sides get the suffixes 1 and 2.
+    Columns of the sides get the suffixes 1 and 2.  With ``by`` only rows with the same value of that column meet.
     """
     width, radius = F.lit(2.0 * radius_m), F.lit(float(radius_m))
     one = left.select([F.col(c).alias(f"{c}1") for c in left.columns])
@@ -28,7 +28,8 @@ def range_join(left: DataFrame, right: DataFrame, radius_m: float, distance: str
         one = one.withColumn(f"__c{axis}", F.explode(F.sequence(near(F.col(f"__{axis}"), -1.0), near(F.col(f"__{axis}"), 1.0))))
     for axis, v in zip("xyz", geo.xyz(F.col("lat2"), F.col("lon2")), strict=True):
         two = two.withColumn(f"__{axis}2", v).withColumn(f"__d{axis}", F.floor(F.col(f"__{axis}2") / width))
-    joined = one.join(two, (F.col("__cx") == F.col("__dx")) & (F.col("__cy") == F.col("__dy")) & (F.col("__cz") == F.col("__dz")))
+    met = (F.col("__cx") == F.col("__dx")) & (F.col("__cy") == F.col("__dy")) & (F.col("__cz") == F.col("__dz"))
+    joined = one.join(two, met & (F.col(f"{by}1") == F.col(f"{by}2")) if by else met)
     gap = [(F.col(f"__{axis}") - F.col(f"__{axis}2")) * (F.col(f"__{axis}") - F.col(f"__{axis}2")) for axis in "xyz"]
     found = joined.withColumn(distance, F.sqrt(gap[0] + gap[1] + gap[2])).where(F.col(distance) <= radius)
     return found.drop(*[f"__{k}{axis}" for k in ("", "c", "d") for axis in "xyz"], *[f"__{axis}2" for axis in "xyz"])

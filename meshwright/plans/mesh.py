@@ -132,4 +132,6 @@ def write_plan(plan: dict[str, DataFrame], paths: dict[str, str], config: MeshCo
     export.write_features(export.edge_features(plan["edges"], towers, plan["cells"], config), paths["edges"])
     if config.export_full_grid_cells:
         export.write_features(export.grid_features(plan["cells"], config.h3_resolution), paths["grid_cells"])
+    if "search" in plan:
+        export.write_features(export.search_features(plan["search"].distinct()), paths["gap_repair_hexes"])
     plan["report"].select(F.to_json(F.struct(*plan["report"].columns)).alias("value")).write.mode("overwrite").text(paths["report"])

@@ -28,6 +28,8 @@ Sight = Callable[[DataFrame], DataFrame]
 Reach = Callable[[DataFrame, float], DataFrame]
 #: A chain of nodes: pos is the place in the route's corridor.
 CHAIN = "route long, pos int, cell long, algorithm string, dp_steps int, repair_round int"
+#: What was searched: by route and attempt, in which phase, about which gap and in which round, how far.
+SEARCHED = "route long, cell long, algorithm string, phase string, attempt_id int, gap int, repair_round int, radius_m double, ring int, search_scope string"
 #: A city's anchor keeps this many edges away from other towers: 1.2, and the two cells' own.
 ANCHOR_EDGES = 3.2
 
@@ -71,7 +73,9 @@ def widened(corridors: DataFrame, cells: DataFrame, radius_m: float, config: Mes
     beside = (reach or in_rings(config.h3_resolution))(road.select("cell").distinct(), radius_m)
     around = road.select("route", F.col("cell").alias("centre")).join(beside, "centre").select("route", "cell").distinct().join(road.select("route", "cell"), ["route", "cell"], "left_anti")
     offered = around.join(cells.where("not has_road").select("cell", "lat", "lon", "elevation"), "cell")
-    best = corridor.best_buffer_cells(offered, road.join(cells.select("cell", "lat", "lon"), "cell"))
+    # rings are true to scale about one latitude only; at the equator their cells are a third wider
+    most = 1.4 * (radius_m + 3 * grid.edge_m(config.h3_resolution))
+    best = corridor.best_buffer_cells(offered, road.join(cells.select("cell", "lat", "lon"), "cell"), most)
     cap = config.dp_buffer_candidates_max_per_segment
     return corridor.inject(corridors.select("route", "pos", "cell"), best, cap)
 
@@ -127,7 +131,7 @@ def broken_routes(chains: DataFrame, sight: Sight) -> DataFrame:
     return cut(placement.broken_gaps(chains, seen.where("visible")))
 
 
-def repaired(chains: DataFrame, broken: DataFrame, cells: DataFrame, existing: DataFrame, config: MeshConfig, base_m: float, sight: Sight, reach: Reach | None = None) -> DataFrame:
+def repaired(chains: DataFrame, broken: DataFrame, cells: DataFrame, existing: DataFrame, config: MeshConfig, base_m: float, sight: Sight, reach: Reach | None = None, searched: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """Chains whose broken gaps are mended by moving the nodes beside them, no farther than the last round's radius from their first place.
 
     Each node beside a gap has a pool of the highest cells around it; sight is asked for between the pools of
@@ -156,9 +160,11 @@ def repaired(chains: DataFrame, broken: DataFrame, cells: DataFrame, existing: D
     for r in range(1, placement.REPAIR_ROUNDS + 1):
         inside = offered.where(F.col("least") <= base_m * r / 2)
         rank = F.row_number().over(W.partitionBy("route", "n").orderBy(F.desc("elevation"), "move", "to"))
-        part = inside.withColumn("rank", rank).where(F.col("rank") <= placement.CANDIDATES).drop("rank")
+        part = inside.withColumn("rank", rank).where(F.col("rank") <= placement.CANDIDATES).drop("rank").withColumn("round", F.lit(r))
         kept = part if kept is None else kept.union(part)
-    pool = cut(kept.distinct())
+    pool = cut(kept.groupBy("route", "n", "cell", "to", "elevation", "move", "least").agg(F.min("round").alias("round")))
+    if searched is not None:
+        searched(pool.select("route", F.col("to").alias("cell"), F.lit("gap_repair").alias("phase"), (F.col("n") - 1).cast("int").alias("gap"), F.col("round").alias("repair_round"), (F.col("round") * base_m / 2).alias("radius_m"), F.lit("gap_repair_subcorridor").alias("search_scope")))
     places = pool.select("route", "n", "to").union(order.select("route", "n", F.col("cell").alias("to")))
     ahead = places.select(F.col("route").alias("r2"), (F.col("n") - 1).alias("n2"), F.col("to").alias("dst"))
     asked = places.join(ahead, (F.col("route") == F.col("r2")) & (F.col("n") == F.col("n2"))).where("to != dst").select("route", F.col("to").alias("src"), "dst").distinct()
@@ -220,13 +226,14 @@ def without_lost_ends(chains: DataFrame, sight: Sight) -> DataFrame:
     return cut(joined.groupBy("route").applyInPandas(prune, CHAIN))
 
 
-def place_along(corridors: DataFrame, budgets: DataFrame, cells: DataFrame, existing: DataFrame, config: MeshConfig, sight: Sight, reach: Reach | None = None) -> DataFrame:
+def place_along(corridors: DataFrame, budgets: DataFrame, cells: DataFrame, existing: DataFrame, config: MeshConfig, sight: Sight, reach: Reach | None = None, records: list[DataFrame] | None = None) -> DataFrame:
     """CHAIN of every corridor (route, pos, cell) of two or more cells.
 
     ``budgets`` (route, budget) bound the towers of a route, ``existing`` (cell) are towers to be
     reused, ``cells`` have cell, lat, lon, elevation, has_road, unfit; ``reach`` finds the cells beside others, by rings if there is none.  The first attempt searches beside the road as far as the
     optimizer's radius (else the road buffer); routes with broken links try again with each
     larger radius of the fallback ladder, and at last lose the ends that nothing reaches.
+    ``records`` receives what was searched (SEARCHED), as tables.
     """
     first = config.optimizer_search_radius_m if config.optimizer_search_radius_m is not None else config.road_buffer_m
     first = max(0.0, float(first))
@@ -236,12 +243,20 @@ def place_along(corridors: DataFrame, budgets: DataFrame, cells: DataFrame, exis
     done: DataFrame | None = None
     for i, radius in enumerate(ladder):
         work = cut(widened(left, cells, radius, config, reach))
+
+        def note(rows: DataFrame, attempt: int = i + 1) -> None:
+            if records is not None:
+                ring = F.round(F.col("radius_m") / grid.edge_m(config.h3_resolution)).cast("int")
+                told = rows.withColumn("algorithm", F.lit("dp")).withColumn("attempt_id", F.lit(attempt)).withColumn("ring", ring)
+                records.append(cut(told.select(*[x.split()[0] for x in SEARCHED.split(", ")])))
+
+        note(work.select("route", "cell", F.lit("placement").alias("phase"), F.lit(None).cast("int").alias("gap"), F.lit(None).cast("int").alias("repair_round"), F.lit(radius).alias("radius_m"), F.lit("corridor").alias("search_scope")))
         chains = best_chains(segments(work, existing), budgets, cells, config, sight, existing)
         if config.gap_repair_rounds > 0:
             broken = broken_routes(chains, sight)
             base = config.road_buffer_m if config.road_buffer_m > 0 else radius
             if base > 0 and not broken.isEmpty():
-                chains = repaired(chains, broken, cells, existing, config, base, sight, reach)
+                chains = repaired(chains, broken, cells, existing, config, base, sight, reach, note)
         filled = placement.fill_gaps(chains.select("route", "pos", "cell"), work, config.max_visibility_m)
         meta = chains.select(F.col("route").alias("cr"), F.col("cell").alias("cc"), "algorithm", "dp_steps", "repair_round")
         chains = cut(filled.join(meta, (F.col("route") == F.col("cr")) & (F.col("cell") == F.col("cc")), "left").select("route", F.col("pos").cast("int").alias("pos"), "cell", "algorithm", "dp_steps", "repair_round"))
@@ -385,12 +400,13 @@ def run_routes(spark: SparkSession, routes: DataFrame, cells: DataFrame, config:
     heights = spark.createDataFrame([], "cell long, height double")
     budgets = routes.select("route", F.coalesce("max_towers", F.lit(config.max_towers_per_route)).alias("budget"))
     chains = spark.createDataFrame([], CHAIN)
+    records: list[DataFrame] = []
     for (wave,) in order.select("wave").distinct().orderBy("wave").collect():  # one row a wave
         mine = cut(order.where(F.col("wave") == wave).select("route"))
         towers, more = anchored(anchors.join(mine, "route", "left_semi"), towers)
         heights = cut(heights.union(more).groupBy("cell").agg(F.max("height").alias("height")))
         standing = cut(mesh.raised(cells, heights))
-        found = place_along(paths.join(mine, "route", "left_semi"), budgets, standing, towers.select("cell"), config, sight_over(standing, config, raster, book), reach)
+        found = place_along(paths.join(mine, "route", "left_semi"), budgets, standing, towers.select("cell"), config, sight_over(standing, config, raster, book), reach, records)
         fresh = found.join(routes.select("route", F.col("name").alias("source")), "route").select("cell", "source", "route", F.lit(1).alias("step"), F.col("pos").cast("long").alias("pos"))
         towers = cut(network.place_towers(towers, fresh))
         chains = cut(chains.unionByName(found))
@@ -401,7 +417,31 @@ def run_routes(spark: SparkSession, routes: DataFrame, cells: DataFrame, config:
     zero = lambda c: F.coalesce(c, F.lit(0))
     summaries = routes.select("route", "name").join(sampled, "route", "left").join(placed, "route", "left").join(new, "route", "left").join(order, "route", "left")
     summaries = summaries.select("route", F.col("name").alias("route_id"), zero("corridor_cells").alias("corridor_cells"), zero("towers_new").alias("towers_new"), (zero("nodes") - zero("towers_new")).alias("towers_reused"), F.col("nodes").isNull().alias("skipped"), "wave")
-    return {"cells": cells, "corridors": paths, "chains": chains, "routes": summaries} | mesh.assembled(towers, chains, cells, config, raster, cities)
+    search = spark.createDataFrame([], SEARCHED)
+    for part in records:
+        search = search.unionByName(part)
+    return {"cells": cells, "sampled": full, "corridors": paths, "anchors": anchors, "chains": chains, "routes": summaries, "search": search} | mesh.assembled(towers, chains, cells, config, raster, cities)
+
+
+def snapshots(made: dict[str, DataFrame]) -> DataFrame:
+    """(route_id, snapshot): one JSON text a route: its corridor as sampled and as trimmed, its anchors, its nodes and what was searched for them."""
+    by = lambda df, name, *columns: df.groupBy(F.col("route").alias(f"r_{name}")).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+    out = made["routes"]
+    for part in (
+        by(made["sampled"], "corridor", "pos", "cell"),
+        by(made["corridors"], "trimmed_corridor", "pos", "cell"),
+        by(made["anchors"], "anchors", "side", "cell", "city", "height"),
+        by(made["chains"], "placement", "pos", "cell", "algorithm", "dp_steps", "repair_round"),
+        by(made["search"].distinct(), "search_hexes", "attempt_id", "phase", "gap", "repair_round", "cell", "radius_m", "ring"),
+    ):
+        key = part.columns[0]
+        out = out.join(part, F.col("route") == F.col(key), "left").drop(key)
+    return out.select("route_id", F.to_json(F.struct(*[c for c in out.columns if c != "route"]), {"ignoreNullFields": "false"}).alias("snapshot"))
+
+
+def write_snapshots(made: dict[str, DataFrame], folder: str) -> None:
+    """The snapshots of all routes in one write, a folder a route."""
+    snapshots(made).withColumnRenamed("snapshot", "value").write.mode("overwrite").partitionBy("route_id").text(folder)
 
 
 def load(spark: SparkSession, path: str) -> tuple[MeshConfig, DataFrame]:

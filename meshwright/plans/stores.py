@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwright.functions import grid
-from meshwright.operators import adaptive, dem, sightbook, waves
+from meshwright.operators import adaptive, dem, fingerprint, sightbook, waves
 from meshwright.operators.stage import shared_dir
 from meshwright.plans import bindings as b
 from meshwright.plans.queries import ORACLE_SQL, PIXELS, TOWERS, _chord, _pairs, _receiver_cells, query, scaled
@@ -147,3 +147,10 @@ def sight_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
         sightbook.batch(asked, cells, config, None, book, "towers")
         out.append(book.report().select(F.lit(run).alias("run"), "requested", F.col("unique").alias("unique_pairs"), "hits", "computed", "failed"))
     return out[0].union(out[1]).union(out[2])
+
+
+@query("SELECT name, n AS rows, true AS same FROM (SELECT 'events' AS name, count(*) AS n FROM events UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'orders', count(*) FROM orders), range(2)")
+def table_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of tables dealt into different numbers of partitions, which are to be the same."""
+    deal = lambda: {name: b.table(spark, sf_dir, name).repartition(F.rand(7)) for name in ("events", "lineitem", "orders")}
+    return fingerprint.repeated(spark, deal, (2, 5)).select("name", "rows", "same")

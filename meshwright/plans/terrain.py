@@ -279,6 +279,13 @@ def early_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placement.forward_pairs(rows, 5000.0).groupBy("route").agg(F.count(F.lit(1)).alias("pairs"), scaled(F.max("distance_m")).alias("most_mm"))
 
 
+@query(f"WITH {_PLACES}, pairs AS (SELECT a.route * 100 + a.pos AS id1, c.pos AS id2, a.lat AS lat1, a.lon AS lon1, c.lat AS lat2, c.lon AS lon2 FROM spots a JOIN spots c ON a.route = c.route AND a.pos < c.pos), {_vincenty()}, seen AS (SELECT *, max(CASE WHEN far > 5000 THEN 1 ELSE 0 END) OVER (PARTITION BY id1 ORDER BY id2 ROWS UNBOUNDED PRECEDING) AS past FROM geodesics) SELECT id1 // 100 AS route, CAST(id1 % 100 AS INT) AS i, CAST(id2 AS INT) AS j, {_s('far')} AS far_mm FROM seen WHERE past = 0")
+def forward_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every forward pair of every corridor, up to the first that is farther than 5 km."""
+    rows = _places(spark, sf_dir).select("route", "pos", "lat", "lon", F.lit(False).alias("unfit"))
+    return placement.forward_pairs(rows, 5000.0).select("route", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), scaled(F.col("distance_m")).alias("far_mm"))
+
+
 @query(f"WITH {_CENTRES}, gap_ends AS (SELECT cell AS route, 'a' AS side, q, r FROM gridcells UNION ALL SELECT cell, 'b', q + 1, r FROM gridcells), tried AS (SELECT DISTINCT q, r, {_lat('r')} AS lat, {_lon('q', 'r')} AS lon FROM gap_ends), pairs AS (SELECT t.q * 1000000 + t.r AS id1, c.cell AS id2, t.lat AS lat1, t.lon AS lon1, c.lat AS lat2, c.lon AS lon2 FROM tried t JOIN centres c ON greatest(abs(t.q - c.q), abs(t.r - c.r), abs(t.q - c.q + t.r - c.r)) <= 6), {_vincenty()}, ranked AS (SELECT route, side, c.cell, row_number() OVER (PARTITION BY route, side ORDER BY c.elevation DESC, far, c.cell) AS n FROM gap_ends e JOIN geodesics g ON g.id1 = e.q * 1000000 + e.r JOIN gridcells c ON c.cell = g.id2 WHERE far <= 3500) SELECT route, side, cell FROM ranked WHERE n <= {placement.CANDIDATES}")
 def top_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For a gap at every cell (to its eastern neighbour) the highest cells within 3.5 km of either end."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from meshwright import cli
 from meshwright.config import MeshConfig
 from meshwright.functions import grid
-from meshwright.operators import adaptive, dem
+from meshwright.operators import adaptive, dem, sightbook
 from meshwright.operators.stage import cut
 from meshwright.sources import geotiff, raster
 
@@ -98,7 +98,7 @@ def test_routes_command_over_a_mixed_mesh(spark, static, terrain, tmp_path):
     shape = {"type": "Feature", "properties": {}, "geometry": {"type": "LineString", "coordinates": [[44.0, 40.02], [44.065, 40.02]]}}
     spec = {"parameters": {"h3_resolution": 8, "mast_height_m": 30.0, "road_buffer_m": 0.0, "fallback_initial_search_radius_ladder_m": []}, "routes": [{"route_id": "up", "site1": site("A", 44.0), "site2": site("B", 44.065), "max_towers_per_route": 5, "features": [shape]}]}
     (tmp_path / "routes.json").write_text(json.dumps(spec))
-    cli.main(["routes", "--routes", str(tmp_path / "routes.json"), "--grid-bundle", str(tmp_path / "bundle"), "--output", str(tmp_path / "out")])
+    cli.main(["routes", "--routes", str(tmp_path / "routes.json"), "--grid-bundle", str(tmp_path / "bundle"), "--output", str(tmp_path / "out"), "--debug-snapshots", str(tmp_path / "debug"), "--sight-book", str(tmp_path / "book")])
     towers = [json.loads(r[0])["properties"] for r in spark.read.text(str(tmp_path / "out" / "towers.geojson")).collect()]
     cells = [json.loads(r[0])["properties"] for r in spark.read.text(str(tmp_path / "out" / "grid_cells.geojson")).collect()]
     assert {c["resolution"] for c in cells} == {8, 9}
@@ -107,3 +107,9 @@ def test_routes_command_over_a_mixed_mesh(spark, static, terrain, tmp_path):
     assert placed[0]["h3_index"] >> 56 == 8 and placed[-1]["h3_index"] >> 56 == 9
     assert placed[-1]["elevation_m"] > placed[0]["elevation_m"] == 100.0
     assert any(t["coverage_radius_m"] > 0 for t in towers)
+    told = json.loads(spark.read.text(str(tmp_path / "debug")).first()["value"])
+    assert told["route_id"] == "up" and told["corridor_cells"] == len(told["corridor"]) >= len(told["trimmed_corridor"]) > 5
+    assert [n["cell"] for n in told["placement"]] and {a["city"] for a in told["anchors"]} == {False} and told["search_hexes"]
+    hexes = [json.loads(r[0])["properties"] for r in spark.read.text(str(tmp_path / "out" / "gap_repair_hexes.geojson")).collect()]
+    assert {h["phase"] for h in hexes} >= {"placement"} and all(h["gap_idx"] == h["gap"] and h["buffer_ring"] == h["ring"] for h in hexes)
+    assert sightbook.SightBook(spark, str(tmp_path / "book")).answers().count() > 5
