@@ -9,7 +9,8 @@ by itself, and ids are decoded by the inverse mapping.
 
 Null text is read as empty and gives an empty id list; a null id list decodes to
 null.  Repeated rows, ties and very long texts need no special case: a pre-token is
-encoded in O(n log n) and only one Arrow batch of texts is held at a time.
+encoded in O(n log n) and only one Arrow batch of texts is held at a time.  An empty table
+gives an empty result, and other columns than those asked for are not looked at.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ still grow with its members times those that the hub's component lacks.
 Words are runs of characters other than blank and U+0009 to U+000D, with A-Z
 lower-cased.  A text with fewer words than a shingle is one shingle of all its words;
 a text without words (or null) has the empty set and is linked with nothing.  Rows of
-one doc_id are one node; rows without a doc_id take no part (component_id null, kept).
+one doc_id are one node; rows without a doc_id take no part (component_id null, kept).  Very long texts are
+compared whole; ties go to the smaller doc_id; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -145,7 +145,7 @@ class Nearest:
 def search(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of ``rows`` to each of ``queries`` (both vec_id and vector)."""
     spark = rows.sparkSession
-    empty = spark.createDataFrame([], "query_id long, vec_id long, score double")
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sizes = queries.select(F.size("vector").alias("d")).limit(1).collect()
     parts = []
     if sizes:
@@ -168,12 +168,14 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 query, key, far = top.found
                 yield pa.RecordBatch.from_arrays([pa.array(top.ids[query], pa.int64()), pa.array(key, pa.int64()), pa.array(far, pa.float64())], ["query_id", "vec_id", "score"])
 
-            parts.append(index.mapInArrow(nearest, "query_id long, vec_id long, score double"))
-    found = empty
+            rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
+            best = index.mapInArrow(nearest, "query_id long, vec_id long, score double").withColumn("rank", rank).where(F.col("rank") <= k)
+            # a pass is written out, and its queries go, before the next is gathered
+            parts.append(stored(best.select("query_id", "rank", "vec_id", "score")))
+            shared.destroy()
     for part in parts:
-        found = found.union(part)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        empty = empty.union(part)
+    return empty
 
 
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

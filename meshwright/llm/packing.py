@@ -12,7 +12,8 @@ the driver, whatever the number of documents, and the plan that goes back to the
 executors has a size bounded by the capacity as well.
 
 Null text is empty and gives one piece that holds the end id.  Repeated documents,
-ties and null doc_ids are placed like any others: equal rows get consecutive places.
+ties and null doc_ids are placed like any others: equal rows get consecutive places.  Very long texts
+are cut into pieces of the capacity, the last one shorter; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from __future__ import annotations
 import functools
 import re
 import string
+import threading
+import time
 import unicodedata
 import zlib
 from itertools import chain
@@ -48,6 +51,8 @@ LONGER = 1.0
 RATE = 2.0
 #: Words remembered by one Python worker before its memo is emptied.
 MEMO = 1_400_000
+#: Seconds without texts after which a worker's memo goes.
+IDLE_S = 4.0
 #: Closing marks: to the tokenizer a run of its own after letters.
 MARKS = string.punctuation.encode()
 #: A lower-cased ASCII word of letters, with or without closing marks.
@@ -78,6 +83,16 @@ class WordIds:
         self.is_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.is_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.memo: dict[bytes, bytes] = {}
+        self.lock, self.used = threading.Lock(), time.monotonic()
+        threading.Thread(target=self.forget, daemon=True).start()
+
+    def forget(self) -> None:
+        """Give the memo's memory back once there have been no texts for a while: the worker lives on, beside other stages."""
+        while True:
+            time.sleep(IDLE_S / 2)
+            with self.lock:
+                if self.memo and time.monotonic() - self.used > IDLE_S:
+                    self.memo = {}
 
     def batch(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -118,13 +133,15 @@ class WordIds:
             self.keep(group, self.batch([w.decode() for w in group]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        split = [x.encode().lower().split() for x in texts]
-        if fresh := set().union(*split) - self.memo.keys():
-            self.learn(list(fresh))
-        of = self.memo.__getitem__
-        return [b"".join(map(of, words)) for words in split]
+        with self.lock:
+            if len(self.memo) > MEMO:
+                self.memo.clear()
+            split = [x.encode().lower().split() for x in texts]
+            if fresh := set().union(*split) - self.memo.keys():
+                self.learn(list(fresh))
+            of = self.memo.__getitem__
+            self.used = time.monotonic()
+            return [b"".join(map(of, words)) for words in split]
 
 
 @functools.cache

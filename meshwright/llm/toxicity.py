@@ -13,11 +13,13 @@ rising curve makes this a probability.
 The insult lexicon has public seed words and is completed from labelled rows: word
 beginnings and whole words that stand mostly in rows labelled toxic, in many different
 surroundings (so that one copied text teaches nothing).  The labelled rows are a
-bounded sample (``SAMPLE`` rows, those of the smallest text hashes); the weights and
+bounded sample (``SAMPLE`` rows, those of the smallest doc_id hashes); the weights and
 the curve are fitted on it.  Labels, lang, source and doc_id are no inputs of a score.
 
 Null text is empty; it scores what a text without matches scores.  Null labels are not
-learnt from; a table without labels leaves the seed words with their default weights.
+learnt from; a table without labels leaves the seed words with their default weights.  Very long texts are
+read whole, clause by clause; repeated rows have equal scores, and of several labels of one doc_id toxic counts; an empty table
+of documents gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ path: then up to ``?``, ``#`` or the end.  A null URL, or one without ``://``, h
 both empty and fits no rule (a rule has a host).  URLs that fit no rule get the
 default verdict.  Equal (host, path) pairs are expanded once; with an empty rule table
 every URL gets the default.  Of rules with the same expression the smallest verdict
-counts (allow before block).
+counts (allow before block).  A host has no more suffixes than the longest rule host has labels, whatever its own
+length, and a path no more prefixes than rules have lengths, so that very long URLs cost their length once.  An empty table
+of pages gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -48,10 +50,12 @@ def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     ``rules`` has host, path (from its slash, or empty) and verdict.
     """
     rules = rules.where("host is not null and host != ''").groupBy("host", F.coalesce("path", F.lit("")).alias("path")).agg(F.min("verdict").alias("verdict"))
-    rules = rules.select(digest(F.col("host"), F.col("path")).alias("__full"), F.concat("host", "path").alias("rule"), "verdict", F.length("host").alias("__hl"), F.length("path").alias("__pl"))
+    rules = rules.select(digest(F.col("host"), F.col("path")).alias("__full"), F.concat("host", "path").alias("rule"), "verdict", F.length("host").alias("__hl"), F.length("path").alias("__pl"), F.size(F.split("host", r"\.")).alias("__labels"))
     lengths = sorted(int(r[0]) for r in rules.select("__pl").distinct().collect())  # no more numbers than the longest path has characters
+    most = rules.agg(F.max("__labels")).collect()[0][0] or 1
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    tail = F.slice(labels, F.greatest(F.lit(1), F.size(labels) - most + 1), F.lit(most))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(tail)), lambda i: F.array_join(F.slice(tail, i, F.lit(most)), "."))
     prefixes = F.array_distinct(F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda p: p.isNotNull())) if lengths else F.array().cast("array<string>")
     pairs = urls.select("host", "path").where("host != ''").distinct()
     expanded = pairs.select("host", "path", F.explode(suffixes).alias("__s")).select("host", "path", "__s", F.explode(prefixes).alias("__p"))

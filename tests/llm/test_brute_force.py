@@ -357,3 +357,34 @@ def test_empty_stages(spark, tmp_path):
         assert query(spark, str(tmp_path)).count() == 0
     table(spark, tmp_path, "embeddings", [], "vec_id long, embedding array<double>")
     assert neighbours.op7_nearest(spark, str(tmp_path)).count() == 0
+
+
+def test_hosts_of_very_many_labels_cost_their_length(spark, tmp_path):
+    """Six thousand labels, a path of a million characters: only the last labels and the rules' lengths are tried."""
+    host = ".".join(["a"] * 6000)
+    rows = [(1, f"http://{host}.Example.com/en/7"), (2, f"http://{host}.com/en/x"), (3, f"http://{host}/en/7"), (4, "http://com/en/" + "p" * 1_000_000), (5, "http://...com/en/"), (6, None)]
+    table(spark, tmp_path, "pages", rows, "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.op10_url_filter(spark, str(tmp_path)).collect()}
+    assert got == {1: ("example.com/en/7", "allow"), 2: ("com/en/", "block"), 3: (None, "allow"), 4: ("com/en/", "block"), 5: ("com/en/", "block"), 6: (None, "allow")}
+    empty = spark.createDataFrame([], "page_id long, url string")
+    assert urls.judge(empty, spark.createDataFrame(urls.RULES, "host string, path string, verdict string")).count() == 0
+
+
+def test_a_memo_goes_when_there_are_no_texts(monkeypatch):
+    import time
+
+    monkeypatch.setattr(packing, "IDLE_S", 0.2)
+    words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    first = words.encode(["some words, some more"])
+    assert words.memo
+    time.sleep(0.8)
+    assert not words.memo and words.encode(["some words, some more"]) == first
+
+
+def test_searches_in_several_passes(spark, monkeypatch):
+    rng = random.Random(9)
+    df = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(200)], "vec_id long, vector array<double>")
+    asked = df.where("vec_id % 5 = 0")
+    once = sorted(map(tuple, neighbours.search(df, asked).collect()))
+    monkeypatch.setattr(neighbours, "PASS", 7)
+    assert sorted(map(tuple, neighbours.search(df, asked).collect())) == once and len(once) == 400
