@@ -118,7 +118,7 @@ def plan_mesh(spark: SparkSession, config: MeshConfig, boundary: DataFrame, road
     chains = spark.createDataFrame([], routes.CHAIN)
     for (level,) in requests.select("level").distinct().orderBy("level").collect():  # as many rows as there are priorities
         own = corridors.join(requests.where(F.col("level") == level).select("route"), "route", "left_semi")
-        chosen = routes.place_along(own, budgets, cells, towers.select("cell"), config, sight)
+        chosen = routes.place_along(own, budgets, cells, towers.select("cell"), config, sight, shade=routes.shade_over(cells, config, raster))
         towers = cut(network.place_towers(towers, chosen.select("cell", F.lit(f"priority_{level}").alias("source"), "route", F.lit(1).alias("step"), F.col("pos").cast("long").alias("pos"))))
         chains = cut(chains.unionByName(chosen))
     return {"cells": cells, "sites": snapped, "corridors": corridors, "chains": chains} | assembled(towers, chains, cells, config, raster, cities)

@@ -24,6 +24,8 @@ from meshwright.sources import geojson
 
 #: Canonical pairs (lo, hi) to (lo, hi, clearance, visible).
 Sight = Callable[[DataFrame], DataFrame]
+#: Canonical pairs (lo, hi) to those that need not be asked for.
+Shade = Callable[[DataFrame], DataFrame]
 #: Centres (cell) and a radius to (centre, cell): the cells that are searched about them.
 Reach = Callable[[DataFrame, float], DataFrame]
 #: A chain of nodes: pos is the place in the route's corridor.
@@ -47,6 +49,18 @@ def sight_over(cells: DataFrame, config: MeshConfig, raster: dem.Raster | None =
     return ask
 
 
+def shade_over(cells: DataFrame, config: MeshConfig, raster: dem.Raster | None) -> Shade | None:
+    """Pairs whose line the highest pixel beneath it shadows, before sight is asked for; none without a raster."""
+    if raster is None:
+        return None
+
+    def ask(pairs: DataFrame) -> DataFrame:
+        tested = los.shadow_prefilter(mesh.pair_rows(pairs, cells, config), raster, config)
+        return tested.where("rejected").select("id.lo", "id.hi")
+
+    return ask
+
+
 def in_rings(resolution: int) -> Reach:
     """Cells of one resolution, by rings: as many as edges go into the radius."""
 
@@ -97,7 +111,7 @@ def segments(corridors: DataFrame, existing: DataFrame) -> DataFrame:
     return placed.select("route", "segment", "pos", "at", "cell", F.max("at").over(own).alias("length"), (F.col("last") + 1).alias("total"), "anchors")
 
 
-def best_chains(split: DataFrame, budgets: DataFrame, cells: DataFrame, config: MeshConfig, sight: Sight, existing: DataFrame) -> DataFrame:
+def best_chains(split: DataFrame, budgets: DataFrame, cells: DataFrame, config: MeshConfig, sight: Sight, existing: DataFrame, shade: Shade | None = None) -> DataFrame:
     """CHAIN of every route: the max-min path of each segment, or its ends where it has none; repeated cells once."""
     rows = cut(split.join(budgets, "route").join(cells.select("cell", "lat", "lon", "unfit"), "cell").withColumn("key", F.struct("route", "segment")))
     share = F.bround((F.col("budget") + F.col("anchors")) * F.col("length") / F.col("total")).cast("int")
@@ -107,6 +121,9 @@ def best_chains(split: DataFrame, budgets: DataFrame, cells: DataFrame, config:
     at = steps.select("route", "pos", "cell")
     named = pairs.join(at.select("route", F.col("pos").alias("i"), F.col("cell").alias("src")), ["route", "i"]).join(at.select("route", F.col("pos").alias("j"), F.col("cell").alias("dst")), ["route", "j"])
     asked = cut(named.select("route", "i", "j", "src", "dst"))
+    if shade is not None:
+        shut = cut(shade(los.canonical(asked).where("lo != hi")))
+        asked = cut(asked.join(shut, (F.least("src", "dst") == F.col("lo")) & (F.greatest("src", "dst") == F.col("hi")), "left_anti"))
     edges = los.fan_out(asked, sight(los.canonical(asked)).where("visible")).select("route", "i", "j", "clearance")
     best = cut(placement.best_paths(edges, lengths, F.col("k")))
     chosen = best.select("route", F.explode("path").alias("at"), F.lit("dp").alias("algorithm"), F.col("towers").alias("dp_steps"))
@@ -226,14 +243,14 @@ def without_lost_ends(chains: DataFrame, sight: Sight) -> DataFrame:
     return cut(joined.groupBy("route").applyInPandas(prune, CHAIN))
 
 
-def place_along(corridors: DataFrame, budgets: DataFrame, cells: DataFrame, existing: DataFrame, config: MeshConfig, sight: Sight, reach: Reach | None = None, records: list[DataFrame] | None = None) -> DataFrame:
+def place_along(corridors: DataFrame, budgets: DataFrame, cells: DataFrame, existing: DataFrame, config: MeshConfig, sight: Sight, reach: Reach | None = None, records: list[DataFrame] | None = None, shade: Shade | None = None) -> DataFrame:
     """CHAIN of every corridor (route, pos, cell) of two or more cells.
 
     ``budgets`` (route, budget) bound the towers of a route, ``existing`` (cell) are towers to be
     reused, ``cells`` have cell, lat, lon, elevation, has_road, unfit; ``reach`` finds the cells beside others, by rings if there is none.  The first attempt searches beside the road as far as the
     optimizer's radius (else the road buffer); routes with broken links try again with each
     larger radius of the fallback ladder, and at last lose the ends that nothing reaches.
-    ``records`` receives what was searched (SEARCHED), as tables.
+    ``records`` receives what was searched (SEARCHED), as tables; pairs that ``shade`` finds hidden are not asked for.
     """
     first = config.optimizer_search_radius_m if config.optimizer_search_radius_m is not None else config.road_buffer_m
     first = max(0.0, float(first))
@@ -251,7 +268,7 @@ def place_along(corridors: DataFrame, budgets: DataFrame, cells: DataFrame, exis
                 records.append(cut(told.select(*[x.split()[0] for x in SEARCHED.split(", ")])))
 
         note(work.select("route", "cell", F.lit("placement").alias("phase"), F.lit(None).cast("int").alias("gap"), F.lit(None).cast("int").alias("repair_round"), F.lit(radius).alias("radius_m"), F.lit("corridor").alias("search_scope")))
-        chains = best_chains(segments(work, existing), budgets, cells, config, sight, existing)
+        chains = best_chains(segments(work, existing), budgets, cells, config, sight, existing, shade)
         if config.gap_repair_rounds > 0:
             broken = broken_routes(chains, sight)
             base = config.road_buffer_m if config.road_buffer_m > 0 else radius
@@ -406,7 +423,7 @@ def run_routes(spark: SparkSession, routes: DataFrame, cells: DataFrame, config:
         towers, more = anchored(anchors.join(mine, "route", "left_semi"), towers)
         heights = cut(heights.union(more).groupBy("cell").agg(F.max("height").alias("height")))
         standing = cut(mesh.raised(cells, heights))
-        found = place_along(paths.join(mine, "route", "left_semi"), budgets, standing, towers.select("cell"), config, sight_over(standing, config, raster, book), reach, records)
+        found = place_along(paths.join(mine, "route", "left_semi"), budgets, standing, towers.select("cell"), config, sight_over(standing, config, raster, book), reach, records, shade_over(standing, config, raster))
         fresh = found.join(routes.select("route", F.col("name").alias("source")), "route").select("cell", "source", "route", F.lit(1).alias("step"), F.col("pos").cast("long").alias("pos"))
         towers = cut(network.place_towers(towers, fresh))
         chains = cut(chains.unionByName(found))

@@ -165,3 +165,25 @@ def test_city_anchors_stand_where_the_road_enters(spark, tmp_path):
     assert first[0].cell in anchors and made["cells"].where("offset_m = 9").count() == 1
     assert len(anchors) == len({first[0].cell, *made["corridors"].groupBy("route").agg(F.max_by("cell", "pos")).toPandas().iloc[:, 1]})
     assert "city_link" in made["towers"].columns
+
+
+def test_hidden_pairs_are_not_asked_for(spark):
+    """A ridge between cells: the pairs across it are dropped by the peak beneath their line, and no sight is asked of them."""
+    from meshwright.operators import dem, los
+
+    known = ids(spark, 9)
+    cells = cells_of(spark, known)
+    spots = {r.cell: (r.lat, r.lon) for r in cells.collect()}
+    west, north = min(x[1] for x in spots.values()) - 0.01, max(x[0] for x in spots.values()) + 0.02
+    ridge = spots[known[4]][1]
+    px = spark.range(100 * 40).select((F.col("id") / 100).cast("int").alias("row"), (F.col("id") % 100).cast("int").alias("col"))
+    px = px.withColumn("value", F.when(F.abs(F.lit(west) + (F.col("col") + 0.5) * 0.001 - ridge) < 0.002, 900.0).otherwise(100.0))
+    raster = dem.Raster(px, west, north, 0.001, 100, 40)
+    config = MeshConfig(mast_height_m=30.0)
+    pairs = spark.createDataFrame([(known[a], known[b]) for a in range(9) for b in range(a + 1, 9)], "lo long, hi long")
+    shut = {(r.lo, r.hi) for r in routes.shade_over(cells, config, raster)(pairs).collect()}
+    assert {(known[a], known[b]) for a in range(4) for b in range(5, 9)} <= shut
+    assert not any((known[a], known[b]) in shut for a in range(3) for b in range(a + 1, 3))
+    seen = los.evaluate(routes.mesh.pair_rows(pairs, cells, config), config, cells.select("cell", "elevation"), raster)
+    assert not {(r.id.lo, r.id.hi) for r in seen.where("visible").collect()} & {p for p in shut if known[4] not in p}
+    assert routes.shade_over(cells, config, None) is None
