@@ -102,6 +102,18 @@ def trim_unfit(corridor: DataFrame) -> DataFrame:
     return corridor.withColumn("__lo", lo).withColumn("__hi", hi).where("pos between __lo and __hi").drop("__lo", "__hi")
 
 
+def city_intervals(corridor: DataFrame) -> DataFrame:
+    """(route, interval, first_pos, last_pos, entry, exit): every run of cells of a corridor (route, pos, cell, fit) inside cities, with the fit cells before and after.
+
+    A corridor may run through several cities; a run at one of its ends has no entry, or no exit.
+    """
+    w = W.partitionBy("route").orderBy("pos")
+    rows = corridor.withColumn("__before", F.lag("cell").over(w)).withColumn("__after", F.lead("cell").over(w))
+    rows = rows.withColumn("__n", F.row_number().over(w)).where("not fit").withColumn("__run", F.col("__n") - F.row_number().over(w))
+    runs = rows.groupBy("route", "__run").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.min_by("__before", "pos").alias("entry"), F.max_by("__after", "pos").alias("exit"))
+    return runs.withColumn("interval", F.row_number().over(W.partitionBy("route").orderBy("first_pos")) - 1).select("route", "interval", "first_pos", "last_pos", "entry", "exit")
+
+
 def road_grid(road_cells: DataFrame, boundary_cells: DataFrame, buffer_m: float, resolution: int) -> DataFrame:
     """(cell, has_road): road cells and, with a buffer, the rings around them (at least one), inside the boundary."""
     rings = max(1, round(buffer_m / grid.edge_m(resolution))) if buffer_m > 0 else 0

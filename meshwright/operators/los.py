@@ -81,7 +81,10 @@ def summary(metrics: DataFrame) -> DataFrame:
 
 
 def refine(pairs: DataFrame, metrics: DataFrame, raster: dem.Raster, most: int = 400) -> DataFrame:
-    """More samples, every 10 m, beside the worst points of each profile, while the sample budget lasts."""
+    """More samples, every 10 m, beside the worst points of each profile, while the sample budget lasts.
+
+    The neighbours of a point are those by fraction, in the sorted profile, whatever order its samples came in.
+    """
     order = W.partitionBy("id").orderBy("fraction")
     near = metrics.withColumn("before", F.lag("fraction").over(order)).withColumn("after", F.lead("fraction").over(order)).withColumn("have", F.count(F.lit(1)).over(W.partitionBy("id")))
     rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("obstruction"), "clearance", "fraction"))

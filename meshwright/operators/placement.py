@@ -258,8 +258,8 @@ def priority_links(sites: DataFrame) -> DataFrame:
     ranked = sites.join(F.broadcast(first))
     top = ranked.where("priority = first")
     mesh = top.select(F.col("id").alias("a"), F.col("ord").alias("oa"), F.col("priority").alias("level")).join(top.select(F.col("id").alias("b"), F.col("ord").alias("ob")), F.col("oa") < F.col("ob")).select("a", "b", "level")
-    later = ranked.where("priority > first").select(F.col("id").alias("a"), F.col("ord").alias("oa"), F.col("priority").alias("level"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
-    before = sites.select(F.col("id").alias("b"), F.col("ord").alias("ob"), F.col("priority").alias("pb"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    pairs = later.join(before, (F.col("pb") < F.col("level")) | ((F.col("pb") == F.col("level")) & (F.col("ob") < F.col("oa")))).withColumn("far", geo.geodesic_m(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")))
-    near = pairs.groupBy("a", "level").agg(F.min_by("b", F.struct("far", "ob")).alias("b")).select("a", "b", "level")
+    later = ranked.where("priority > first").select("id", "ord", "priority", "lat", "lon")
+    before = sites.select("id", "ord", "priority", "lat", "lon")
+    earlier = (F.col("priority2") < F.col("priority1")) | ((F.col("priority2") == F.col("priority1")) & (F.col("ord2") < F.col("ord1")))
+    near = spatial.nearest(later, before, allowed=earlier).select(F.col("id1").alias("a"), F.col("id2").alias("b"), F.col("priority1").alias("level"))
     return mesh.union(near)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from meshwright.functions import geo
+from meshwright.operators.stage import cut
 
 
 def range_join(left: DataFrame, right: DataFrame, radius_m: float, distance: str = "chord_m", by: str | None = None) -> DataFrame:
@@ -40,27 +41,66 @@ def pairs_within(points: DataFrame, radius_m: float) -> DataFrame:
     return range_join(points, points, radius_m).where("id1 < id2")
 
 
-def nearest(points: DataFrame, sites: DataFrame, radius_m: float | None = None, k: int = 1) -> DataFrame:
+#: Where a search for the nearest begins, and how much larger each round is; beyond the last all sites are in reach.
+FIRST_M, LARGER, WHOLE_M = 5000.0, 4.0, 12_800_000.0
+#: A chord on the sphere is at most so many times the geodesic.
+CHORD = 1.01
+
+
+def nearest(points: DataFrame, sites: DataFrame, radius_m: float | None = None, k: int = 1, allowed: Column | None = None) -> DataFrame:
     """The k sites nearest to each point by geodesic distance, ties to the smaller ``ord`` (else id); rank from 1.
 
-    With a radius only sites within it count.  Without one the sites, a set whose size is
-    known to be small, are compared in full.
+    With a radius only sites within it count.  Without one the search widens: points that have their k sites well within a
+    radius are done, the others look farther, so that each meets the sites about it and not all there are.  ``allowed`` says which
+    pairs count (columns with the suffixes 1 and 2).
     """
-    if radius_m is not None:
-        pairs = range_join(points, sites, radius_m)
-    else:
-        pairs = points.select([F.col(c).alias(f"{c}1") for c in points.columns]).join(sites.select([F.col(c).alias(f"{c}2") for c in sites.columns]))
     order = "ord2" if "ord" in sites.columns else "id2"
     far = geo.geodesic_m(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
     place = F.row_number().over(W.partitionBy("id1").orderBy("distance_m", order))
-    return pairs.withColumn("distance_m", far).withColumn("rank", place).where(F.col("rank") <= k)
+
+    def within(some: DataFrame, reach: float) -> DataFrame:
+        pairs = range_join(some, sites, reach)
+        pairs = pairs if allowed is None else pairs.where(allowed)
+        return pairs.withColumn("distance_m", far).withColumn("rank", place).where(F.col("rank") <= k)
+
+    if radius_m is not None:
+        return within(points, radius_m)
+    found, left, reach = None, cut(points), FIRST_M
+    while True:
+        near = cut(within(left, reach))
+        last = reach >= WHOLE_M
+        done = near if last else near.join(near.groupBy(F.col("id1").alias("__id")).agg(F.count(F.lit(1)).alias("__n"), F.max("distance_m").alias("__far")).where((F.col("__n") == k) & (F.col("__far") <= reach / CHORD)), F.col("id1") == F.col("__id"), "left_semi")
+        found = done if found is None else found.unionByName(done)
+        if last:
+            return found
+        left = cut(left.join(done.select(F.col("id1").alias("__id")).distinct(), F.col("id") == F.col("__id"), "left_anti"))
+        if left.isEmpty():
+            return found
+        reach = min(reach * LARGER, WHOLE_M)
+
+
+#: Degrees of the smallest tile, and tiles that a polygon's box is cut into at most in each direction.
+TILE_DEG, TILES = 0.05, 8
 
 
 def within_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:
-    """``points`` (id, lat, lon, ...) with ``inside``: whether any polygon (rings) holds the point; boundaries do not count."""
-    boxes = polygons.select("rings", *_box(F.get("rings", F.lit(0))))
-    hits = points.join(boxes, (F.col("lat") > F.col("s")) & (F.col("lat") < F.col("n")) & (F.col("lon") > F.col("w")) & (F.col("lon") < F.col("e")))
-    hits = hits.where(geo.in_polygon(F.col("lat"), F.col("lon"), F.col("rings"))).select(F.col("id").alias("__id")).distinct()
+    """``points`` (id, lat, lon, ...) with ``inside``: whether any polygon (rings) holds the point; boundaries do not count.
+
+    A polygon's box is cut into a few tiles, of twice the size for each level that it is larger by; points look up their tile of every level
+    there is, so that each meets the polygons about it only.
+    """
+    boxes = polygons.select("rings", *_box(F.get("rings", F.lit(0)))).where("s is not null")
+    span = F.greatest(F.col("n") - F.col("s"), F.col("e") - F.col("w"), F.lit(TILE_DEG))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(span / (TILE_DEG * (TILES - 1))))).cast("int")
+    width = F.lit(TILE_DEG) * F.pow(F.lit(2.0), F.col("level"))
+    tile = lambda c: F.floor(c / width)
+    tiled = cut(boxes.withColumn("level", level).withColumn("tx", F.explode(F.sequence(tile(F.col("w")), tile(F.col("e"))))).withColumn("ty", F.explode(F.sequence(tile(F.col("s")), tile(F.col("n"))))))
+    levels = [r[0] for r in tiled.select("level").distinct().collect()]  # no more than fit between a tile and the earth
+    asked = points.select(F.col("id").alias("__id"), F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>")).alias("level"))
+    asked = asked.withColumn("px", tile(F.col("__lon"))).withColumn("py", tile(F.col("__lat"))).withColumnRenamed("level", "pl")
+    hits = asked.join(tiled, (F.col("pl") == F.col("level")) & (F.col("px") == F.col("tx")) & (F.col("py") == F.col("ty")))
+    hits = hits.where((F.col("__lat") > F.col("s")) & (F.col("__lat") < F.col("n")) & (F.col("__lon") > F.col("w")) & (F.col("__lon") < F.col("e")))
+    hits = hits.where(geo.in_polygon(F.col("__lat"), F.col("__lon"), F.col("rings"))).select("__id").distinct()
     return points.join(hits, F.col("id") == F.col("__id"), "left").withColumn("inside", F.col("__id").isNotNull()).drop("__id")
 
 

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwright.functions import grid
-from meshwright.operators import adaptive, dem, fingerprint, sightbook, waves
+from meshwright.operators import adaptive, corridor, dem, fingerprint, sightbook, waves
 from meshwright.operators.stage import shared_dir
 from meshwright.plans import bindings as b
-from meshwright.plans.queries import ORACLE_SQL, PIXELS, TOWERS, _chord, _pairs, _receiver_cells, query, scaled
+from meshwright.plans.queries import CORRIDORS, ORACLE_SQL, PIXELS, TOWERS, _chord, _pairs, _receiver_cells, query, scaled
 from meshwright.plans.terrain import _E9, _GRADIENT, _children, _located
 from meshwright.sources import geotiff, tiles
 
@@ -154,3 +154,14 @@ def table_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of tables dealt into different numbers of partitions, which are to be the same."""
     deal = lambda: {name: b.table(spark, sf_dir, name).repartition(F.rand(7)) for name in ("events", "lineitem", "orders")}
     return fingerprint.repeated(spark, deal, (2, 5)).select("name", "rows", "same")
+
+
+@query(f"""WITH {CORRIDORS}, rows AS (SELECT route, pos, cell, value % 3 <> 0 AS fit, lag(cell) OVER w AS before, lead(cell) OVER w AS after, row_number() OVER w AS n FROM corridors WINDOW w AS (PARTITION BY route ORDER BY pos)),
+runs AS (SELECT *, n - row_number() OVER (PARTITION BY route ORDER BY pos) AS run FROM rows WHERE NOT fit),
+found AS (SELECT route, run, min(pos) AS first_pos, max(pos) AS last_pos, arg_min(coalesce(before, -1), pos) AS entry, arg_max(coalesce(after, -1), pos) AS exit FROM runs GROUP BY route, run)
+SELECT route, CAST(row_number() OVER (PARTITION BY route ORDER BY first_pos) - 1 AS INT) AS interval, first_pos, last_pos, entry, exit FROM found""")
+def city_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All runs of corridors through cities, with the cells where the road enters and leaves (-1: it does not)."""
+    rows = b.corridors(spark, sf_dir).withColumn("fit", F.col("value") % 3 != 0)
+    found = corridor.city_intervals(rows)
+    return found.withColumn("interval", F.col("interval").cast("int")).withColumn("entry", F.coalesce("entry", F.lit(-1))).withColumn("exit", F.coalesce("exit", F.lit(-1)))
