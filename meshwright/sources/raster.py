@@ -8,6 +8,7 @@ import json
 from pyarrow import fs as files
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from meshwright.operators.dem import Raster
 from meshwright.sources import geotiff, tiles
@@ -21,11 +22,18 @@ def from_pixels(pixels: DataFrame, west: float, north: float, px: float, width:
 
 
 def load_ascii_grid(spark: SparkSession, path: str) -> Raster:
-    """A raster from an ESRI ASCII grid: six header lines, then a line for each row; the no-data value becomes null."""
-    lines = spark.read.text(path, wholetext=True).select(F.split(F.trim("value"), r"\r?\n").alias("l"))
-    head = {k.lower(): float(v) for k, v in (x.split() for x in lines.select(F.explode(F.slice("l", 1, 6)).alias("h")).toPandas()["h"])}
+    """A raster from an ESRI ASCII grid: six header lines, then a line for each row; the no-data value becomes null.
+
+    The file is read by blocks, as any text: lines are numbered inside each block, and the lines of the blocks before are added.
+    """
+    text = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("m")).where(F.trim("value") != "")
+    numbered = text.withColumn("n", F.row_number().over(W.partitionBy("block").orderBy("m")))
+    before = F.sum("count").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1))  # a row a block
+    starts = text.groupBy("block").count().select(F.col("block").alias("b"), F.coalesce(before, F.lit(0)).alias("start"))
+    lines = numbered.join(starts, F.col("block") == F.col("b")).select((F.col("start") + F.col("n") - 1).alias("line"), F.trim("value").alias("value"))
+    head = {k.lower(): float(v) for k, v in (r["value"].split() for r in lines.where("line < 6").collect())}
     width, height, px = int(head["ncols"]), int(head["nrows"]), head["cellsize"]
-    rows = lines.select(F.posexplode(F.slice("l", 7, height)).alias("row", "text")).select("row", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("col", "text"))
+    rows = lines.where((F.col("line") >= 6) & (F.col("line") < 6 + height)).select((F.col("line") - 6).cast("int").alias("row"), F.posexplode(F.split("value", r"\s+")).alias("col", "text"))
     value = F.col("text").cast("double")
     pixels = rows.select("row", "col", F.when(value != head["nodata_value"], value).alias("value"))
     return Raster(pixels, head["xllcorner"], head["yllcorner"] + height * px, px, width, height)

@@ -89,3 +89,19 @@ def test_every_format_by_its_path(spark, both, tmp_path):
     assert raster.load(spark, str(tmp_path / "mosaic" / "000000_000000.tif")).width == 128
     small = raster.load(spark, str(tmp_path / "a.asc"))
     assert small.north == 41.0 and small.pixels.where("value is null").count() == 1
+
+
+def test_ascii_grids_are_read_by_blocks(spark, tmp_path):
+    """A file of many blocks: each line has its row."""
+    rows = [" ".join(str((r * 31 + c) % 500) for c in range(60)) for r in range(400)]
+    (tmp_path / "b.asc").write_text("\n".join(["NCOLS 60", "NROWS 400", "XLLCORNER 44", "YLLCORNER 40", "CELLSIZE 0.01", "NODATA_VALUE 499", *rows, ""]))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        found = raster.load(spark, str(tmp_path / "b.asc"))
+        got = {(r.row, r.col): r.value for r in found.pixels.collect()}
+        assert spark.read.text(str(tmp_path / "b.asc")).rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert (found.width, found.height, found.north) == (60, 400, 44.0) and len(got) == 24_000
+    assert all(v == (None if (r * 31 + c) % 500 == 499 else (r * 31 + c) % 500) for (r, c), v in got.items())
