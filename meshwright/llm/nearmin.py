@@ -232,3 +232,22 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document: two-word shingles, similarity 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"), 2, 80)
+
+
+#: The plain way: all shingles as strings, all pairs that share one, and every chain of links.
+OP9_SQL = """
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(words) < 2 THEN words ELSE list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) END AS shingles
+  FROM split),
+sized AS (SELECT doc_id, len(shingles) AS n FROM sets),
+held AS (SELECT doc_id, unnest(shingles) AS shingle FROM sets),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM held a JOIN held b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b WHERE 100 * n_both >= 80 * (x.n + y.n - n_both)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS label FROM sized UNION SELECT w.b, r.label FROM reach r JOIN ways w ON w.a = r.node WHERE r.label < w.b),
+named AS (SELECT node, min(label) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sized JOIN named ON node = doc_id
+"""

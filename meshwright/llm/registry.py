@@ -27,7 +27,9 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_near_duplicates": nearmin.OP9_SQL,
     "op10_url_filter": urls.OP10_SQL,
     "op11_source_mix": mixing.OP11_SQL,
+    "op12_resample": resampling.OP12_SQL,
     "op13_hard_negatives": negatives.OP13_SQL,
 }

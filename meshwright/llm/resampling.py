@@ -262,3 +262,35 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least:
 def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_features, weight, score, rank of every document, drawn towards the benchmark."""
     return resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))
+
+
+_TABLE = ", ".join(str(int(x)) for x in byte_table())
+_STEP = f"xor(c >> 8, ([{_TABLE}])[CAST(xor(c, b) & 255 AS INTEGER) + 1])"
+_RUNS = """list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))"""
+#: The plain way: every feature as a string, its CRC byte by byte.
+OP12_SQL = f"""
+WITH texts AS (
+  SELECT doc_id, text, true AS own FROM documents UNION ALL SELECT NULL, text, false FROM benchmark),
+split AS (
+  SELECT row_number() OVER () AS nr, doc_id, own,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
+  FROM texts),
+runs AS (SELECT nr, own, unnest({_RUNS}) AS feature FROM split),
+known AS (SELECT feature, hex(encode(feature)) AS h FROM (SELECT DISTINCT feature FROM runs)),
+bytes AS (SELECT feature, list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))) AS l FROM known),
+buckets AS (SELECT feature, xor(list_reduce(l, lambda c, b: {_STEP}), 4294967295) % {BUCKETS} AS bucket FROM bytes),
+found AS (SELECT nr, own, bucket FROM runs JOIN buckets USING (feature)),
+counted AS (SELECT bucket, count(*) FILTER (own) AS s, count(*) FILTER (NOT own) AS t FROM found GROUP BY bucket),
+sums AS (SELECT coalesce(sum(s), 0) AS sa, coalesce(sum(t), 0) AS ta FROM counted),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((CAST(t + 1 AS DOUBLE) * (sa + {BUCKETS})) / (CAST(s + 1 AS DOUBLE) * (ta + {BUCKETS})))) AS BIGINT) AS gain FROM counted, sums),
+weighed AS (SELECT nr, count(*) AS n, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight FROM found JOIN gains USING (bucket) WHERE own GROUP BY nr),
+scored AS (
+  SELECT s.doc_id, len(s.words) AS n_words, coalesce(w.n, 0) AS n_features, coalesce(w.weight, 0) AS weight,
+    coalesce(w.weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{SEED}:' || coalesce(CAST(s.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM split s LEFT JOIN weighed w USING (nr) WHERE s.own),
+ranked AS (
+  SELECT *, n_words >= {LEAST} AS may, row_number() OVER (PARTITION BY n_words >= {LEAST} ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS place,
+    count(*) FILTER (n_words >= {LEAST}) OVER () AS n
+  FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN may AND place <= {PERCENT} * n // 100 THEN place END AS rank FROM ranked
+"""
