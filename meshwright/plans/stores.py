@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwright.functions import grid
-from meshwright.operators import adaptive, corridor, dem, fingerprint, sightbook, waves
+from meshwright.operators import adaptive, corridor, dem, fingerprint, sightbook, spatial, waves
 from meshwright.operators.stage import shared_dir
 from meshwright.plans import bindings as b
-from meshwright.plans.queries import CORRIDORS, ORACLE_SQL, PIXELS, TOWERS, _chord, _pairs, _receiver_cells, query, scaled
+from meshwright.plans.queries import CORRIDORS, ORACLE_SQL, PIXELS, TOWERS, _chord, _each, _pairs, _receiver_cells, query, scaled
 from meshwright.plans.terrain import _E9, _GRADIENT, _children, _located
 from meshwright.sources import geotiff, tiles
 
@@ -63,8 +63,9 @@ def tiled_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ORACLE_SQL["line_peak"])
 def tiled_line_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peaks of lines, from a store in tiles; tiles that lie too low are not read."""
-    lines = _pairs(spark, sf_dir).select(F.struct("id1", "id2").alias("id"), "lat1", "lon1", "lat2", "lon2")
-    return dem.line_peaks(lines, _tiled(spark, sf_dir)).select("id.id1", "id.id2", "peak_m", scaled(F.col("fraction"), 6).alias("fraction"))
+    of = spatial.kinds(b.towers(spark, sf_dir).select("id", "lat", "lon"))
+    lines = _pairs(of).select(F.struct("id1", "id2").alias("id"), "lat1", "lon1", "lat2", "lon2")
+    return _each(dem.line_peaks(lines, _tiled(spark, sf_dir)).select("id.id1", "id.id2", "peak_m", scaled(F.col("fraction"), 6).alias("fraction")), of)
 
 
 @query(ORACLE_SQL["cell_anchor"])

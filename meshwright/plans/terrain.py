@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from meshwright.functions import geo, grid, physics
 from meshwright.operators import adaptive, corridor, coverage, dem, los, network, placement, spatial
 from meshwright.plans import bindings as b
-from meshwright.plans.queries import BUDGET, CELLS, CORRIDORS, FREQUENCY, PAIRS, PIXELS, REACH_M, RECEIVERS, SITES, TOWERS, _chord, _fspl, _links, _pairs, _receiver_cells, _s, _vincenty, query, scaled
+from meshwright.plans.queries import BUDGET, CELLS, CORRIDORS, FREQUENCY, PAIRS, PIXELS, REACH_M, RECEIVERS, SITES, TOWERS, _chord, _fspl, _each, _links, _masts, _pairs, _receiver_cells, _s, _vincenty, query, scaled
 
 _M, _C, _R3 = geo.METRES_PER_DEGREE, grid._COS0, grid.ROOT3
 _E8, _E9 = grid.EDGE_M[8], grid.EDGE_M[9]
@@ -114,8 +114,9 @@ peaks AS (SELECT id1, id2, coalesce(value, greatest(e1, e2)) AS peak_m, coalesce
 
 @query(f"WITH {PAIRS}, {PIXELS}, {_PEAKS} SELECT id1, id2, peak_m, {_s('fraction', 6)} AS fraction FROM peaks")
 def line_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _pairs(spark, sf_dir).select(F.struct("id1", "id2").alias("id"), "lat1", "lon1", "lat2", "lon2")
-    return dem.line_peaks(lines, b.raster(spark, sf_dir)).select("id.id1", "id.id2", "peak_m", scaled(F.col("fraction"), 6).alias("fraction"))
+    of = spatial.kinds(b.towers(spark, sf_dir).select("id", "lat", "lon"))
+    lines = _pairs(of).select(F.struct("id1", "id2").alias("id"), "lat1", "lon1", "lat2", "lon2")
+    return _each(dem.line_peaks(lines, b.raster(spark, sf_dir)).select("id.id1", "id.id2", "peak_m", scaled(F.col("fraction"), 6).alias("fraction")), of)
 
 
 # --- line of sight --------------------------------------------------------------------------------
@@ -172,7 +173,8 @@ def _shaped(found: DataFrame) -> DataFrame:
 @query(f"WITH {_coarse(False)} {_SHUT} UNION ALL SELECT id1, id2, {_s('clearance')}, {_s('loss', 4)}, visible, 'coarse' FROM coarse")
 def coarse_sight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decision without a raster: over the cells between two towers in which others stand."""
-    return _shaped(los.evaluate(_links(spark, sf_dir), b.TIGHT))
+    of = _masts(spark, sf_dir)
+    return _each(_shaped(los.evaluate(_links(of), b.TIGHT)), of)
 
 
 def _bilinear(name: str, source: str) -> str:
@@ -206,12 +208,14 @@ final_g AS (SELECT id1, id2, round_even(f, 6) AS f, max(terrain) AS terrain FROM
 @query(f"WITH {PIXELS}, {_coarse(True)}, {_DENSE} {_SHUT} UNION ALL SELECT id1, id2, {_s('clearance')}, {_s('loss', 4)}, visible, 'coarse' FROM coarse WHERE NOT visible UNION ALL SELECT id1, id2, {_s('clearance')}, {_s('loss', 4)}, visible, 'dense' FROM final")
 def line_of_sight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole decision: gates, coarse profile, dense profile with refinement."""
-    return _shaped(los.evaluate(_links(spark, sf_dir), b.TIGHT, None, b.raster(spark, sf_dir)))
+    of = _masts(spark, sf_dir)
+    return _each(_shaped(los.evaluate(_links(of), b.TIGHT, None, b.raster(spark, sf_dir))), of)
 
 
 @query(f"WITH {PIXELS}, {_LINKS}, {_PEAKS}, at_peak AS (SELECT k.id1, k.id2, fraction AS f, peak_m AS terrain, far, h1, h2 FROM peaks k JOIN links USING (id1, id2)), {_metrics('peak_metrics', 'at_peak')} SELECT k.id1, k.id2, coalesce(fraction > 0 AND fraction < 1 AND geometric < radius * 0.6e0, false) AS rejected FROM peaks k LEFT JOIN peak_metrics m USING (id1, id2)")
 def shadow_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return los.shadow_prefilter(_links(spark, sf_dir), b.raster(spark, sf_dir), b.TIGHT).select("id.id1", "id.id2", "rejected")
+    of = _masts(spark, sf_dir)
+    return _each(los.shadow_prefilter(_links(of), b.raster(spark, sf_dir), b.TIGHT).select("id.id1", "id.id2", "rejected"), of)
 
 
 _NEAR = f"reach AS (SELECT v.id AS cell, t.id AS source, v.lat AS clat, v.lon AS clon, t.lat AS tlat, t.lon AS tlon FROM receivers v JOIN towers t ON abs(v.lat - t.lat) < 0.03 WHERE {_chord('v', 't')} <= {REACH_M})"

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from meshwright.config import MeshConfig
-from meshwright.operators import dem, los
+from meshwright.operators import dem, los, spatial
+
+
+def standing(spark, n=40):
+    """Points on seven places, by the remainder of their id."""
+    return spark.range(n).select("id", (F.lit(40.0) + (F.col("id") % 7) / F.lit(100.0)).alias("lat"), F.lit(44.0).alias("lon"), (F.col("id") % 3).cast("double").alias("ground"))
 
 
 def test_a_line_of_no_length_is_not_rejected(spark):
@@ -11,3 +18,33 @@ def test_a_line_of_no_length_is_not_rejected(spark):
     raster = dem.Raster(pixels, 44.0, 40.1, 0.2, 1, 1)
     pairs = spark.createDataFrame([(1, 40.0, 44.1, 40.0, 44.1, 10.0, 10.0, 20.0, 20.0)], "id int, lat1 double, lon1 double, lat2 double, lon2 double, ground1 double, ground2 double, mast1 double, mast2 double")
     assert [r.rejected for r in los.shadow_prefilter(pairs, raster, MeshConfig()).collect()] == [False]
+
+
+def test_pairs_of_kinds_are_the_pairs_of_their_members(spark):
+    rows = standing(spark)
+    for names in (["id", "lat", "lon"], ["id", "lat", "lon", "ground"]):
+        some = rows.select(*names)
+        of = spatial.kinds(some)
+        found = spatial.each(spatial.kind_pairs(of, 1500.0).select("id1", "id2", "lat1", "lat2"), of, of, ordered=True).collect()
+        want = spatial.pairs_within(some, 1500.0).select("id1", "id2", "lat1", "lat2").collect()
+        assert len(found) == len(want) and set(found) == set(want)
+
+
+def test_what_depends_on_places_is_computed_once_a_kind(spark):
+    of = spatial.kinds(standing(spark, 700).select("id", "lat", "lon"))
+    assert of.rows.count() == 7 and of.members.count() == 700
+    assert spatial.kind_pairs(of, 1500.0).count() == 7 + 2 * 6
+
+
+def test_a_large_kind_is_dealt_in_parts(spark):
+    of = spatial.kinds(spark.range(2500).select("id", F.lit(40.0).alias("lat"), F.lit(44.0).alias("lon")))
+    assert of.members.select("part").distinct().count() == 3
+    found = spatial.each(spatial.kind_pairs(of, 100.0).select("id1", "id2"), of, of, ordered=True)
+    assert found.count() == 2500 * 2499 // 2 and found.rdd.getNumPartitions() >= spatial.spread(spark)
+
+
+def test_rows_that_are_alone_are_their_own_kinds(spark):
+    some = standing(spark, 7).select("id", "lat", "lon")
+    of = spatial.kinds(some)
+    assert of.members is None
+    assert set(spatial.each(spatial.kind_pairs(of, 1500.0).select("id1", "id2"), of, of, ordered=True).collect()) == set(spatial.pairs_within(some, 1500.0).select("id1", "id2").collect())
