@@ -26,11 +26,13 @@ def aggregate_links(links: DataFrame) -> DataFrame:
     """By cell, over visible links (cell, source, ord, distance_m, path_loss_db, clearance_m).
 
     n_visible, closest_* (least distance) and serving_* (least loss); ties go to the smaller ord.
+    Where links have ``n``, a link stands for so many of its kind, the first by ord among them.
     """
+    many = F.sum("n") if "n" in links.columns else F.count(F.lit(1))
     near = F.struct("distance_m", "ord")
     strong = F.struct("path_loss_db", "ord")
     return links.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n_visible"),
+        many.alias("n_visible"),
         F.min_by("source", near).alias("closest_id"),
         F.min("distance_m").alias("closest_m"),
         F.min_by(F.struct("source", "path_loss_db", "clearance_m", "distance_m"), strong).alias("s"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meshwright.config import MeshConfig
-from meshwright.operators import dem, los, spatial
+from meshwright.operators import coverage, dem, los, placement, spatial, waves
 
 
 def standing(spark, n=40):
@@ -48,3 +48,56 @@ def test_rows_that_are_alone_are_their_own_kinds(spark):
     of = spatial.kinds(some)
     assert of.members is None
     assert set(spatial.each(spatial.kind_pairs(of, 1500.0).select("id1", "id2"), of, of, ordered=True).collect()) == set(spatial.pairs_within(some, 1500.0).select("id1", "id2").collect())
+
+
+def test_nearest_of_places_with_many_sites(spark):
+    points, sites = standing(spark).select("id", "lat", "lon"), standing(spark, 30).select("id", "lat", "lon")
+    for k in (1, 3):
+        for radius in (1500.0, None):
+            found = spatial.nearest(points, sites, radius, k).select("id1", "rank", "id2").collect()
+            gap = {(p, s): abs(p % 7 - s % 7) for p in range(40) for s in range(30)}
+            want = {(p, rank, s) for p in range(40) for rank, s in enumerate(sorted((s for s in range(30) if radius is None or gap[p, s] <= 1), key=lambda s: (gap[p, s], s))[:k], 1)}
+            one = {(p, r, s) for p, r, s in found if abs(p % 7 - s % 7) == 0}
+            assert one == {(p, r, s) for p, r, s in want if gap[p, s] == 0} and len(found) == len(want)
+
+
+def test_sites_of_one_place_go_to_an_earlier_one_there(spark):
+    rows = [(i, i, 1 + i % 2, 40.0 + (i % 3) / 100, 44.0) for i in range(24)]
+    sites = spark.createDataFrame(rows, "id long, ord long, priority int, lat double, lon double")
+    found = {(r.a, r.b) for r in placement.priority_links(sites).where("level = 2").collect()}
+    want = set()
+    for a in rows:
+        if a[2] == 2:
+            near = [x for x in rows if x[2] < a[2] or (x[2] == a[2] and x[1] < a[1])]
+            want.add((a[0], min(near, key=lambda x: (round(abs(x[3] - a[3]), 4), x[1]))[0]))
+    assert found == want
+
+
+def test_many_points_a_place_keep_their_first(spark):
+    rows = [(i, 100 - i, 40.0 + (i % 5) / 100, 44.0) for i in range(50)]
+    got = {r.id: (r.kept, r.by) for r in waves.first_fit(spark.createDataFrame(rows, "id long, ord long, lat double, lon double"), 1200.0).collect()}
+    kept, want = [], {}
+    for i, ord_, lat, _ in sorted(rows, key=lambda r: r[1]):
+        near = [(abs(lat - x[2]), x[1], x[0]) for x in kept if abs(lat - x[2]) < 0.0105]
+        want[i] = (not near, min(near)[2] if near else None)
+        kept += [] if near else [(i, ord_, lat)]
+    assert {i: k for i, (k, _) in got.items()} == {i: k for i, (k, _) in want.items()} and {i for i, (k, by) in got.items() if not k and by is None} == set()
+
+
+def test_waves_in_blocks_and_long_chains(spark, monkeypatch):
+    monkeypatch.setattr(waves, "BLOCK", 16)
+    claims = [(r, c) for r in range(90) for c in ((r % 4, 9) if r < 60 else (100 + r,))]
+    last: dict = {}
+    want = {}
+    for r in range(90):
+        cells = [c for q, c in claims if q == r]
+        want[r] = 1 + max(last.get(c, -1) for c in cells)
+        last.update(dict.fromkeys(cells, want[r]))
+    found = waves.waves(spark.createDataFrame(claims, "route long, cell long"))
+    assert {x.route: x.wave for x in found.collect()} == want and max(want.values()) == 59
+
+
+def test_links_that_stand_for_several(spark):
+    links = spark.createDataFrame([(1, 5, 5, 10, 3, 0.0, 4), (1, 6, 6, 9, 3, 0.0, 0), (1, 7, 7, 12, 1, 0.0, 2)], "cell long, source long, ord long, distance_m long, path_loss_db long, clearance_m double, n long")
+    r = coverage.aggregate_links(links).first()
+    assert (r.n_visible, r.closest_id, r.serving_id) == (6, 6, 7)
