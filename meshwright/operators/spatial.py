@@ -128,13 +128,27 @@ def nearest(points: DataFrame, sites: DataFrame, radius_m: float | None = None,
     far = geo.geodesic_m(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
     place = F.row_number().over(W.partitionBy("id1").orderBy("distance_m", order))
 
+    if allowed is None:
+        # a place looks once, and only its first k sites can be among a point's k nearest
+        sites = sites.withColumn("__n", F.row_number().over(W.partitionBy("lat", "lon").orderBy(order[:-1]))).where(F.col("__n") <= k).drop("__n")
+        spots = points.groupBy("lat", "lon").agg(F.min("id").alias("id"))
+        whole, points = points, spots
+
     def within(some: DataFrame, reach: float) -> DataFrame:
         pairs = range_join(some, sites, reach)
         pairs = pairs if allowed is None else pairs.where(allowed)
         return pairs.withColumn("distance_m", far).withColumn("rank", place).where(F.col("rank") <= k)
 
+    def told(near: DataFrame) -> DataFrame:
+        if allowed is not None:
+            return near
+        own = whole.select(*[F.col(c).alias(f"{c}1") for c in whole.columns])
+        near = near.drop("id1").withColumnRenamed("lat1", "__lat").withColumnRenamed("lon1", "__lon")
+        rest = [c for c in near.columns if c not in ("__lat", "__lon")]
+        return own.join(near, (F.col("lat1") == F.col("__lat")) & (F.col("lon1") == F.col("__lon"))).select(*own.columns, *rest)
+
     if radius_m is not None:
-        return within(points, radius_m)
+        return told(within(points, radius_m))
     found, left, reach = None, cut(points), FIRST_M
     while True:
         near = cut(within(left, reach))
@@ -142,10 +156,10 @@ def nearest(points: DataFrame, sites: DataFrame, radius_m: float | None = None,
         done = near if last else near.join(near.groupBy(F.col("id1").alias("__id")).agg(F.count(F.lit(1)).alias("__n"), F.max("distance_m").alias("__far")).where((F.col("__n") == k) & (F.col("__far") <= reach / CHORD)), F.col("id1") == F.col("__id"), "left_semi")
         found = done if found is None else found.unionByName(done)
         if last:
-            return found
+            return told(found)
         left = cut(left.join(done.select(F.col("id1").alias("__id")).distinct(), F.col("id") == F.col("__id"), "left_anti"))
         if left.isEmpty():
-            return found
+            return told(found)
         reach = min(reach * LARGER, WHOLE_M)
 
 
