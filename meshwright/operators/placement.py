@@ -257,9 +257,16 @@ def priority_links(sites: DataFrame) -> DataFrame:
     first = sites.agg(F.min("priority").alias("first"))
     ranked = sites.join(F.broadcast(first))
     top = ranked.where("priority = first")
-    mesh = top.select(F.col("id").alias("a"), F.col("ord").alias("oa"), F.col("priority").alias("level")).join(top.select(F.col("id").alias("b"), F.col("ord").alias("ob")), F.col("oa") < F.col("ob")).select("a", "b", "level")
-    later = ranked.where("priority > first").select("id", "ord", "priority", "lat", "lon")
-    before = sites.select("id", "ord", "priority", "lat", "lon")
+    mesh = top.select(F.col("id").alias("a"), F.col("ord").alias("oa"), F.col("priority").alias("level")).repartition(spatial.spread(sites.sparkSession), "a").join(top.select(F.col("id").alias("b"), F.col("ord").alias("ob")), F.col("oa") < F.col("ob")).select("a", "b", "level")
+    # of a level's sites at one place only the first looks about it: the others stand beside an earlier one
+    heads = sites.groupBy("lat", "lon", "priority").agg(F.min_by("id", "ord").alias("id"), F.min("ord").alias("ord"))
+    before = cut(heads.select("id", "ord", "priority", "lat", "lon"))
+    beside = before.select(F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), F.col("priority").alias("__p"), F.col("id").alias("__id"), F.col("ord").alias("__ord"))
+    here = (F.col("lat") == F.col("__lat")) & (F.col("lon") == F.col("__lon"))
+    rest = ranked.where("priority > first").select("id", "ord", "priority", "lat", "lon")
+    behind = here & (F.col("priority") == F.col("__p")) & (F.col("ord") > F.col("__ord"))
+    later = rest.join(beside, behind, "left_anti")
+    copies = rest.join(beside, behind, "left_semi").join(beside, here & (F.col("__p") <= F.col("priority"))).groupBy(F.col("id").alias("a"), F.col("priority").alias("level")).agg(F.min_by("__id", "__ord").alias("b")).select("a", "b", "level")
     earlier = (F.col("priority2") < F.col("priority1")) | ((F.col("priority2") == F.col("priority1")) & (F.col("ord2") < F.col("ord1")))
     near = spatial.nearest(later, before, allowed=earlier).select(F.col("id1").alias("a"), F.col("id2").alias("b"), F.col("priority1").alias("level"))
-    return mesh.union(near)
+    return mesh.union(near).union(copies)
