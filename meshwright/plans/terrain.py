@@ -239,10 +239,11 @@ tested AS (SELECT s.id1 AS source, s.id2 AS cell, far, CASE WHEN far <= 0 THEN 0
 seen AS (SELECT * FROM tested WHERE free AND loss <= {BUDGET!r}e0), served AS (SELECT cell, count(*) AS n_visible, min_by(source, (far, source)) AS closest_id, min_by(source, (loss, source)) AS serving_id, min(loss) AS loss FROM seen GROUP BY cell), any_near AS (SELECT cell, min_by(source, (far, source)) AS any_id FROM tested GROUP BY cell)
 SELECT v.id AS cell, coalesce(n_visible, 0) AS n_visible, coalesce(closest_id, any_id) AS closest_id, serving_id, coalesce(n_visible > 0 AND {b.TIGHT.tx_power_dbm + 2 * b.TIGHT.antenna_gain_dbi!r}e0 - loss >= {b.TIGHT.receiver_sensitivity_dbm!r}e0, false) AS covered FROM receivers v LEFT JOIN served s ON s.cell = v.id LEFT JOIN any_near a ON a.cell = v.id""")
 def terrain_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = b.receivers(spark, sf_dir).select(F.col("id").alias("cell"), "lat", "lon", (F.col("ground") + 900.0).alias("elevation"))
+    of = spatial.kinds(b.receivers(spark, sf_dir).select("id", "lat", "lon", (F.col("ground") + 900.0).alias("elevation")))
+    cells = of.rows.select(F.col("id").alias("cell"), "lat", "lon", "elevation")
     sources = coverage.snap_sources(b.towers(spark, sf_dir).select("id", "lat", "lon", (F.col("ground") + 950.0).alias("ground"), F.col("id").alias("ord")), b.RESOLUTION)
     found = coverage.tower_coverage(cells, sources, b.raster(spark, sf_dir), b.TIGHT, REACH_M)
-    return found.select("cell", "n_visible", "closest_id", "serving_id", "covered")
+    return spatial.each(found.select(F.col("cell").alias("id1"), "n_visible", "closest_id", "serving_id", "covered"), of).withColumnRenamed("id1", "cell")
 
 
 # --- routes and corridors -------------------------------------------------------------------------
