@@ -175,9 +175,18 @@ def inject(corridor: DataFrame, best: DataFrame, cap: int | None = None) -> Data
 
 
 def slope_percentile(corridor: DataFrame, share: float = 0.9) -> DataFrame:
-    """(route, slope): exact percentile of |rise| in m per km between following cells (route, pos, cell, elevation)."""
+    """(route, slope): exact percentile of |rise| in m per km between following cells (route, pos, cell, elevation).
+
+    Slopes are ranked in the window of their route, and the two about the share are taken, so that rows are dealt once and no
+    group's values are gathered.
+    """
     w = W.partitionBy("route").orderBy("pos")
     ahead = corridor.withColumn("c2", F.lead("cell").over(w)).withColumn("e2", F.lead("elevation").over(w)).where("c2 is not null")
-    far = geo.geodesic_m(grid.lat_of(F.col("cell")), grid.lon_of(F.col("cell")), grid.lat_of(F.col("c2")), grid.lon_of(F.col("c2")))
-    return ahead.withColumn("d", far).where("d > 1").groupBy("route").agg(F.percentile(F.abs(F.col("e2") - F.col("elevation")) / (F.col("d") / 1000), share).alias("slope"))
-
+    far = geo.geodesic_rows(grid.lat_of(F.col("cell")), grid.lon_of(F.col("cell")), grid.lat_of(F.col("c2")), grid.lon_of(F.col("c2")))
+    slopes = ahead.withColumn("d", far).where("d > 1").select("route", (F.abs(F.col("e2") - F.col("elevation")) / (F.col("d") / 1000)).alias("s"))
+    ranked = slopes.withColumn("k", F.row_number().over(W.partitionBy("route").orderBy(F.asc_nulls_last("s"))) - 1)
+    ranked = ranked.withColumn("at", (F.count("s").over(W.partitionBy("route")) - 1) * F.lit(float(share)))
+    pick = lambda k: F.max(F.when(F.col("k") == k, F.col("s")))
+    found = ranked.groupBy("route").agg(F.first("at").alias("at"), pick(F.floor("at")).alias("lo"), pick(F.ceil("at")).alias("hi"))
+    between = (F.ceil("at") - F.col("at")) * F.col("lo") + (F.col("at") - F.floor("at")) * F.col("hi")
+    return found.select("route", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(between).alias("slope"))

@@ -22,22 +22,45 @@ from meshwright.operators.stage import cut
 
 #: Rounds of gap repair, and candidates that each side of a gap tries.
 REPAIR_ROUNDS, CANDIDATES = 3, 24
+#: Positions ahead that a position of a corridor meets within the window of its route.
+AHEAD = 32
 
 
 def forward_pairs(corridor: DataFrame, most_m: float) -> DataFrame:
     """(route, i, j, distance_m, ...): pairs of positions i < j by centroid distance; once a distance of i exceeds the limit all later j go.
 
-    ``corridor`` has route, pos, lat, lon, unfit.  Only pairs of a route that lie in reach of each other are made: a position's
-    partners in reach are numbered in order, and stay as long as none is missing between them.
+    ``corridor`` has route, pos, lat, lon, unfit.  A position first meets the AHEAD that follow it, in a window of its route, so that
+    its rows are dealt once; its partners in reach are numbered in order, and stay as long as none is missing between them.
+    A position that has all of these in reach, which takes a route of more cells, meets those farther on by ``range_join``.
     """
-    n = F.row_number().over(W.partitionBy("route").orderBy("pos"))
-    rows = corridor.select("route", "pos", "lat", "lon", "unfit").withColumn("n", n)
+    names = ["pos", "lat", "lon", "unfit"]
+    of_route = W.partitionBy("route").orderBy("pos")
+    rows = corridor.select("route", *names).withColumn("n", F.row_number().over(of_route))
     # a chord on the sphere is never more than a hundredth longer than the geodesic
-    near = spatial.range_join(rows, rows, most_m * 1.01, "chord", "route").where("n1 < n2")
-    near = near.withColumn("distance_m", geo.geodesic_m(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))).where(F.col("distance_m") <= most_m)
-    place = F.row_number().over(W.partitionBy("route1", "pos1").orderBy("n2"))
-    kept = near.withColumn("place", place).where(F.col("place") == F.col("n2") - F.col("n1"))
-    return kept.select(F.col("route1").alias("route"), F.col("pos1").alias("i"), "lat1", "lon1", "unfit1", F.col("pos2").alias("j"), "lat2", "lon2", "unfit2", "distance_m")
+    reach = most_m * 1.01
+    placed = rows
+    for axis, v in zip("xyz", geo.xyz(F.col("lat"), F.col("lon")), strict=True):
+        placed = placed.withColumn(f"__{axis}", v)
+    follow = F.collect_list(F.struct(*names, "n", "__x", "__y", "__z")).over(of_route.rowsBetween(1, AHEAD))
+    met = placed.withColumn("__follow", follow).withColumn("__o", F.explode("__follow")).drop("__follow")
+    gap = [(F.col(f"__{axis}") - F.col(f"__o.__{axis}")) * (F.col(f"__{axis}") - F.col(f"__o.__{axis}")) for axis in "xyz"]
+    met = met.where(F.sqrt(gap[0] + gap[1] + gap[2]) <= reach)
+    near = met.select("route", *[F.col(c).alias(f"{c}1") for c in (*names, "n")], *[F.col(f"__o.{c}").alias(f"{c}2") for c in (*names, "n")])
+
+    def kept(pairs: DataFrame) -> DataFrame:
+        far = geo.geodesic_rows(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
+        pairs = pairs.withColumn("distance_m", far).where(F.col("distance_m") <= most_m)
+        place = F.row_number().over(W.partitionBy("route", "n1").orderBy("n2"))
+        return pairs.withColumn("place", place).where(F.col("place") == F.col("n2") - F.col("n1"))
+
+    found = kept(near)
+    if not corridor.groupBy("route").count().where(F.col("count") > AHEAD + 1).isEmpty():
+        found, rows = cut(found), cut(rows)
+        open_ = found.where(F.col("place") == AHEAD).select(F.col("route").alias("__r"), F.col("n1").alias("__n"))
+        left = rows.join(open_, (F.col("route") == F.col("__r")) & (F.col("n") == F.col("__n")), "left_semi")
+        rest = spatial.range_join(left, rows, reach, "chord", "route").where("n1 < n2").withColumnRenamed("route1", "route")
+        found = found.unionByName(kept(rest.select(*near.columns)).where(F.col("place") > AHEAD))
+    return found.select("route", F.col("pos1").alias("i"), "lat1", "lon1", "unfit1", F.col("pos2").alias("j"), "lat2", "lon2", "unfit2", "distance_m")
 
 
 def prefiltered(pairs: DataFrame, corridor: DataFrame, config: MeshConfig) -> DataFrame:

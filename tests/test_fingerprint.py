@@ -89,3 +89,39 @@ def test_best_cells_beside_a_road(spark):
     offered = beside.select("route", "cell", grid.lat_of(F.col("cell")).alias("lat"), grid.lon_of(F.col("cell")).alias("lon"), (F.col("cell") % 97).cast("double").alias("elevation"))
     wide = corridor.best_buffer_cells(offered, road, 1e6)
     assert sorted(map(tuple, corridor.best_buffer_cells(offered, road, 4000.0).collect())) == sorted(map(tuple, wide.collect())) and wide.count() > 20
+
+
+def test_forward_pairs_meet_those_beyond_the_window(spark):
+    """A position with more cells in reach than the window holds meets all of them; one on a short route makes no join."""
+    at = [(1, p, 40.0 + (p if p < 60 else 600) * 1e-4, 44.0, False) for p in range(70)] + [(2, p * 2, 41.0 + p * 0.02, 44.0, False) for p in range(5)]
+    rows = spark.createDataFrame(at, "route long, pos int, lat double, lon double, unfit boolean")
+    found = {(r.route, r.i, r.j) for r in placement.forward_pairs(rows, 5000.0).collect()}
+    want = {(1, i, j) for i in range(60) for j in range(i + 1, 60)} | {(1, i, j) for i in range(60, 70) for j in range(i + 1, 70)} | {(2, i, i + 2) for i in range(0, 8, 2)} | {(2, i, i + 4) for i in range(0, 6, 2)}
+    within = {(1, i, j) for i in range(60) for j in range(60, 70) if (600 - i) * 1e-4 * 111032 <= 5000}
+    assert {x for x in found if not (x[0] == 1 and x[1] < 60 <= x[2])} == want and all(x in found for x in within)
+    short = placement.forward_pairs(rows.where("route = 2"), 5000.0)
+    assert " Join" not in short._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_slopes_are_ranked_in_the_window_of_their_route(spark):
+    from meshwright.functions import geo
+
+    rows = winding(spark, 40).withColumn("elevation", ((F.col("pos") * 37 + F.col("route")) % 101).cast("double"))
+    w = "lead({0}) over (partition by route order by pos)"
+    ahead = rows.selectExpr("route", "cell", "elevation", w.format("cell") + " c2", w.format("elevation") + " e2").where("c2 is not null")
+    far = geo.geodesic_m(*[of(F.col(c)) for c in ("cell", "c2") for of in (grid.lat_of, grid.lon_of)])
+    slopes = ahead.withColumn("d", far).where("d > 1").groupBy("route").agg(F.percentile(F.abs(F.col("e2") - F.col("elevation")) / (F.col("d") / 1000), 0.9).alias("s"))
+    want = {r.route: r.s for r in slopes.collect()}
+    found = corridor.slope_percentile(rows)
+    got = {r.route: r.slope for r in found.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 * want[k] for k in want)
+    assert "percentile" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_geodesics_of_arrays_are_those_of_columns(spark):
+    from meshwright.functions import geo
+
+    rows = spark.range(200).select((F.lit(40.0) + F.col("id") * 0.001).alias("a"), (F.lit(44.0) + F.col("id") * 0.002).alias("b"), (F.lit(40.1) - F.col("id") * 0.001).alias("c"), F.when(F.col("id") != 7, F.lit(44.1)).alias("d"))
+    both = rows.select(*[f(*[F.col(c) for c in "abcd"]).alias(n) for f, n in ((geo.geodesic_m, "x"), (geo.geodesic_rows, "y"))]).collect()
+    assert all((r.x is None) == (r.y is None) and (r.x is None or abs(r.x - r.y) < 1e-7) for r in both)
+    assert [r[0] for r in rows.limit(1).select(geo.geodesic_rows(F.col("a"), F.col("b"), F.col("a"), F.col("b"))).collect()] == [0.0]
