@@ -110,14 +110,17 @@ def geodesics(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.nda
 
 
 def geodesic_rows(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """``geodesic_m`` by Arrow batches, for tables of many rows: lambdas are interpreted row by row.  Null where an argument is."""
+    """``geodesic_m`` by Arrow batches, for tables of many rows: lambdas are interpreted row by row.  Null where an argument is.
+
+    Called nondeterministic, so that a filter on it does not compute it twice.
+    """
 
     @F.pandas_udf("double")
     def far(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
         return pd.Series(geodesics(*[x.to_numpy(dtype="float64") for x in (lat1, lon1, lat2, lon2)]))
 
     known = lat1.isNotNull() & lon1.isNotNull() & lat2.isNotNull() & lon2.isNotNull()
-    return F.when(known, far(lat1, lon1, lat2, lon2))
+    return F.when(known, far.asNondeterministic()(lat1, lon1, lat2, lon2))
 
 
 def xyz(lat: Column, lon: Column) -> tuple[Column, Column, Column]:

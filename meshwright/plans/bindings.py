@@ -48,5 +48,7 @@ def raster(spark: SparkSession, sf_dir: str) -> Raster:
 
 def corridors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """route, pos, cell (part key), value (whole price) of every order's lines."""
-    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("route"), (F.row_number().over(order) - 1).cast("int").alias("pos"), F.col("l_partkey").alias("cell"), F.floor("l_extendedprice").cast("long").alias("value"))
+    # named before the window, so that Spark knows the rows to be dealt by route already
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("route"), F.col("l_partkey").alias("cell"), "l_linenumber", "l_suppkey", "l_extendedprice", "l_shipdate")
+    order = W.partitionBy("route").orderBy("l_linenumber", "cell", "l_suppkey", "l_extendedprice", "l_shipdate")
+    return lines.select("route", (F.row_number().over(order) - 1).cast("int").alias("pos"), "cell", F.floor("l_extendedprice").cast("long").alias("value"))
