@@ -50,6 +50,12 @@ def fingerprints(tables: dict[str, DataFrame], digits: int = 6) -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame, seed: int = 7) -> DataFrame:
+    """``df`` dealt at random into as many partitions as the session shuffles into, times those it is read in, so that no task gets a share of a large table."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n * max(1, df.rdd.getNumPartitions()), F.rand(seed))
+
+
 def repeated(spark: SparkSession, run: Callable[[], dict[str, DataFrame]], partitions: tuple[int, ...] = (3, 8), digits: int = 6) -> DataFrame:
     """(name, run, partitions, rows, total, parity, same): a plan's tables, run once for each number of shuffle partitions, and whether each is as in the first run."""
     was = spark.conf.get("spark.sql.shuffle.partitions")

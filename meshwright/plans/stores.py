@@ -153,7 +153,7 @@ def sight_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT name, n AS rows, true AS same FROM (SELECT 'events' AS name, count(*) AS n FROM events UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'orders', count(*) FROM orders), range(2)")
 def table_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of tables dealt into different numbers of partitions, which are to be the same."""
-    deal = lambda: {name: b.table(spark, sf_dir, name).repartition(F.rand(7)) for name in ("events", "lineitem", "orders")}
+    deal = lambda: {name: fingerprint.dealt(b.table(spark, sf_dir, name)) for name in ("events", "lineitem", "orders")}
     return fingerprint.repeated(spark, deal, (2, 5)).select("name", "rows", "same")
 
 

@@ -125,3 +125,13 @@ def test_geodesics_of_arrays_are_those_of_columns(spark):
     both = rows.select(*[f(*[F.col(c) for c in "abcd"]).alias(n) for f, n in ((geo.geodesic_m, "x"), (geo.geodesic_rows, "y"))]).collect()
     assert all((r.x is None) == (r.y is None) and (r.x is None or abs(r.x - r.y) < 1e-7) for r in both)
     assert [r[0] for r in rows.limit(1).select(geo.geodesic_rows(F.col("a"), F.col("b"), F.col("a"), F.col("b"))).collect()] == [0.0]
+
+
+def test_tables_are_dealt_into_more_parts_the_more_they_are_read_in(spark):
+    for parts in (1, 6):
+        table = spark.range(600).repartition(parts)
+        some = fingerprint.dealt(table)
+        assert some.rdd.getNumPartitions() == parts * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        sizes = some.groupBy(F.spark_partition_id()).count()
+        assert sizes.agg(F.sum("count")).first()[0] == 600 and one(some) == one(table)
+    assert max(r["count"] for r in sizes.collect()) < 100
