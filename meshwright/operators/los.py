@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 
 from meshwright.config import MeshConfig
 from meshwright.functions import geo, grid, physics
-from meshwright.operators import dem
+from meshwright.operators import dem, spatial
 from meshwright.operators.stage import cut
 
 BLOCKED_CLEARANCE, NO_LOSS = -999.0, 999.0
@@ -31,6 +31,16 @@ def fan_out(requested: DataFrame, results: DataFrame, a: str = "src", b: str = "
     return requested.withColumn("lo", F.least(a, b)).withColumn("hi", F.greatest(a, b)).join(results, ["lo", "hi"])
 
 
+def requests(asked: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
+    """(lo, hi, asked): the distinct unordered pairs, and how many directed requests each of them answers.
+
+    Pairs are dealt before they are counted: where most are asked once, a count beforehand would hold nearly all rows of a task
+    and save none.
+    """
+    pairs = asked.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))
+    return pairs.repartition(spatial.spread(asked.sparkSession), "lo", "hi").groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("asked"))
+
+
 def merged_profile(samples: DataFrame) -> DataFrame:
     """(id, fraction, terrain): the highest terrain of each fraction (6 digits)."""
     return samples.groupBy("id", F.bround("fraction", 6).alias("fraction")).agg(F.max("terrain").alias("terrain"))

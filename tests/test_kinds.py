@@ -101,3 +101,11 @@ def test_links_that_stand_for_several(spark):
     links = spark.createDataFrame([(1, 5, 5, 10, 3, 0.0, 4), (1, 6, 6, 9, 3, 0.0, 0), (1, 7, 7, 12, 1, 0.0, 2)], "cell long, source long, ord long, distance_m long, path_loss_db long, clearance_m double, n long")
     r = coverage.aggregate_links(links).first()
     assert (r.n_visible, r.closest_id, r.serving_id) == (6, 6, 7)
+
+
+def test_requests_are_dealt_before_they_are_counted(spark):
+    asked = spark.createDataFrame([(1, 2), (2, 1), (3, 3), (1, 2), (2, 3), (None, 4)], "src long, dst long")
+    found = los.requests(asked)
+    assert {tuple(r) for r in found.collect()} == {(1, 2, 3), (3, 3, 1), (2, 3, 1), (4, 4, 1)}
+    plan = los.requests(asked)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
