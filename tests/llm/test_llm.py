@@ -267,6 +267,24 @@ def test_short_copies_go(spark, tmp_path):
     assert {r.doc_id: r.removed for r in lines.op6_line_dedup(spark, str(tmp_path)).collect()} == {1: "", 2: "0", 3: "0"}
 
 
+def test_line_signatures_stay_small(spark):
+    """Shingles as plain longs without a pattern, band rows with 64-bit ids, which lists give back whole; counts by hash."""
+    texts = ["aaaaaaaaaaaaaaaaaaaaaaaa", "abcdefghijabcdefghij", "語" * 3 + "😀éb" * 9, "abcd", prose(90, 3)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, line string")
+    sets = rows.select("id", lines.shingles(F.col("line")).alias("s"))
+    assert not sets.schema["s"].dataType.containsNull and "regexp" not in sets._jdf.queryExecution().toString()
+    got = {r.id: r.s for r in sets.collect()}
+    for i, x in enumerate(texts):
+        grams = [x[k : k + 5] for k in range(len(x) - 4)]
+        assert len(got[i] or []) == len(grams) and len(set(got[i] or [])) == len(set(grams))
+    assert {r.id: r["count"] for r in lines.with_bands(rows).groupBy("id").count().collect()} == {0: 12, 1: 12, 2: 12, 4: 12}
+    docs = rows.select(F.col("id").alias("doc_id"), F.col("line").alias("text"))
+    counts = lines.line_counts(docs, 1)
+    ids = [r.id for r in counts.orderBy("id").collect()]
+    lists = counts.select(F.xxhash64("id").alias("id"), F.lit(7).alias("n"), F.lit(1).cast("long").alias("key"), F.lit(5).cast("long").alias("c"))
+    assert sorted(r.id for r in lines.with_whole_ids(lists, counts).collect()) == ids
+
+
 # --- neighbours ------------------------------------------------------------------------------------
 
 
