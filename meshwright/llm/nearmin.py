@@ -82,10 +82,10 @@ def hashes_of(text: str, size: int) -> np.ndarray:
 
 
 def sketches(text: Column, size: int) -> Column:
-    """struct<n, digest, sketch, longer>: set size, digest of the whole set, its K smallest hashes (as longs of the
-    same order), and the LONG smallest ones cut to 32 bits."""
+    """struct<n, digest, sketch, rest>: set size, digest of the whole set, its K smallest hashes (as longs of the
+    same order), and those that follow up to the LONG smallest, cut to 32 bits."""
 
-    @F.arrow_udf("struct<n:bigint,digest:binary,sketch:array<bigint>,longer:array<int>>")
+    @F.arrow_udf("struct<n:bigint,digest:binary,sketch:array<bigint>,rest:array<int>>")
     def of(texts: pa.Array) -> pa.Array:
         n, digest, parts, more = [], [], [], []
         for at in range(0, len(texts), 256):
@@ -94,15 +94,20 @@ def sketches(text: Column, size: int) -> Column:
                 n.append(len(h))
                 digest.append(xxhash.xxh3_128_digest(h.tobytes()))
                 parts.append(h[:K])
-                more.append((h[:LONG] >> np.uint64(32)).astype(np.uint32) ^ np.uint32(1 << 31))
-        longer = pa.ListArray.from_arrays(np.cumsum([0, *map(len, more)], dtype=np.int32), (np.concatenate(more) if more else np.zeros(0, np.uint32)).view(np.int32))
+                more.append((h[K:LONG] >> np.uint64(32)).astype(np.uint32) ^ np.uint32(1 << 31))
+        rest = pa.ListArray.from_arrays(np.cumsum([0, *map(len, more)], dtype=np.int32), (np.concatenate(more) if more else np.zeros(0, np.uint32)).view(np.int32))
         ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
         flat = (np.concatenate(parts) if parts else np.zeros(0, np.uint64)) ^ np.uint64(1 << 63)
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(ends, flat.view(np.int64)), longer], ["n", "digest", "sketch", "longer"])
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(ends, flat.view(np.int64)), rest], ["n", "digest", "sketch", "rest"])
 
     return of(text)
 
 
+def longer() -> Column:
+    """The LONG smallest hashes cut to 32 bits: those of the sketch, and the rest."""
+    return F.concat(F.transform("sketch", lambda x: F.shiftright(x, 32).cast("int")), F.col("rest"))
+
+
 def estimate(a: Column, b: Column, whole: Column) -> Column:
     """Jaccard similarity by the sketch of the union: its LONG smallest hashes, or all where both sets are whole."""
     union = F.array_sort(F.array_union(a, b))
@@ -139,7 +144,7 @@ def measured_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size:
     """
     pairs = stored(pairs)
     ends = pairs.select(F.xxhash64("a").alias("h")).union(pairs.select(F.xxhash64("b").alias("h"))).distinct()
-    classes = sieved(classes.select("rep", "n", "longer").withColumn("h", F.xxhash64("rep")), "h", native_sieve(ends, "h")).where("__in")
+    classes = sieved(classes.withColumn("h", F.xxhash64("rep")), "h", native_sieve(ends, "h")).where("__in").select("rep", "n", longer().alias("longer"))
     one = classes.select(F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("longer").alias("sa"))
     two = classes.select(F.col("rep").alias("rb"), F.col("n").alias("nb"), F.col("longer").alias("sb"))
     close = pairs.join(one, F.col("a") == F.col("ra")).join(two, F.col("b") == F.col("rb"))
@@ -196,13 +201,13 @@ def several(rows: DataFrame) -> DataFrame:
 
 
 def classes_of(seen: DataFrame) -> DataFrame:
-    """rep, n, sketch, longer of every class of equal sets; only sets that may be repeated are dealt anew."""
+    """rep, n, sketch, rest of every class of equal sets; only sets that may be repeated are dealt anew."""
     rows = seen.where("n > 0 and doc_id is not null").withColumn("h", F.xxhash64("digest"))
     counts = rows.groupBy("h").count().where("count > 1").select("h")
     split = sieved(rows, "h", native_sieve(counts, "h"))
-    once = split.where("not __in").select(F.col("doc_id").alias("rep"), "n", "sketch", "longer")
-    again = split.where("__in").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("longer").alias("longer"))
-    return once.union(stored(again.select("rep", "n", "sketch", "longer")))
+    once = split.where("not __in").select(F.col("doc_id").alias("rep"), "n", "sketch", "rest")
+    again = split.where("__in").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("rest").alias("rest"))
+    return once.union(stored(again.select("rep", "n", "sketch", "rest")))
 
 
 def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:

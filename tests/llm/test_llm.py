@@ -285,6 +285,16 @@ def test_line_signatures_stay_small(spark):
     assert sorted(r.id for r in lines.with_whole_ids(lists, counts).collect()) == ids
 
 
+def test_sketches_keep_each_hash_once(spark):
+    """What the longer sketch shares with the sketch is not kept again, and comes back from it."""
+    texts = ["", "one", prose(40, 1), prose(900, 2)]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id long, text string").select("id", nearmin.sketches(F.col("text"), 2).alias("s")).select("id", "s.*")
+    for r in rows.withColumn("longer", nearmin.longer()).collect():
+        known = nearmin.hashes_of(texts[r.id], 2)
+        assert len(r.rest) == max(0, min(len(known), nearmin.LONG) - nearmin.K)
+        assert r.longer == [(int(h) >> 32) - 2**31 for h in known[: nearmin.LONG]] and r.sketch == [int(h) - 2**63 for h in known[: nearmin.K]]
+
+
 # --- neighbours ------------------------------------------------------------------------------------
 
 
