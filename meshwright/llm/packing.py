@@ -25,12 +25,14 @@ import threading
 import time
 import unicodedata
 import zlib
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -55,8 +57,13 @@ MEMO = 1_400_000
 IDLE_S = 4.0
 #: Closing marks: to the tokenizer a run of its own after letters.
 MARKS = string.punctuation.encode()
-#: A lower-cased ASCII word of letters, with or without closing marks.
-SHAPE = re.compile(rb"([a-z]+)[" + re.escape(MARKS) + rb"]*").fullmatch
+#: A lower-case word of letters, with or without closing marks: ASCII, and the letters from U+00DF to U+00FF, which no normalisation changes.
+SHAPE = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([" + re.escape(MARKS) + rb"]*)").fullmatch
+#: The characters that stand for bytes in the vocabulary (byte-level BPE), for bytes read as Latin-1.
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTES = dict(zip([b for b in range(256) if b not in _PLAIN], range(256, 512), strict=False))
+#: Bytes of text encoded at once; a longer text is taken alone.
+SLICE = 4_000_000
 #: Words encoded at once.
 JOINED = 2000
 
@@ -103,18 +110,34 @@ class WordIds:
             self.memo[word] = ids[at : (at := at + 4 * len(own))]
 
     def learn(self, words: list[bytes]) -> None:
-        """Encode words: those of letters, with or without closing marks, joined by blanks, many at a time, the others one by one.
+        """Encode words: those of plain letters by the model alone, other letters joined by blanks, many at a time, the others one by one.
 
-        A word of letters is one run to the tokenizer, its closing marks are another, and each run ends in one
-        word-end id.  Where the number of these ids in a joined text is not that of its runs, its words are encoded singly.
+        A word of letters is one run to the tokenizer, its closing marks are another, so that the ids of a word with
+        marks are those of its letters and those of its marks; each is encoded once.  Plain letters are what the normaliser and the
+        pre-tokenizer leave as they are, so that only their bytes are named.
         """
+        shapes, other = [], []
+        for word in words:
+            if shape := SHAPE(word):
+                shapes.append((word, *shape.groups()))
+            else:
+                other.append(word)
+        tokens = self.tokenizer.model.tokenize
+        for core in {core for _, core, _ in shapes if core not in self.memo}:
+            name = core.decode() if core.isascii() else core.decode("latin-1").translate(BYTES)
+            self.memo[core] = np.array([x.id for x in tokens(name)], "<u4").tobytes()
+        if rest := {marks for _, _, marks in shapes if marks and marks not in self.memo}:
+            self.learn_others(list(rest))
+        for word, core, marks in shapes:
+            if marks:
+                self.memo[word] = self.memo[core] + self.memo[marks]
+        self.learn_others(other)
+
+    def learn_others(self, words: list[bytes]) -> None:
+        """Each run of a joined text ends in one word-end id.  Where the number of these ids is not that of its runs, its words are encoded singly."""
         joined, runs, other = [], [], []
         for word in words:
-            shape = SHAPE(word)
-            if shape:
-                joined.append(word)
-                runs.append(2 if shape.end(1) < len(word) else 1)
-            elif not word.isascii() and (core := word.rstrip(MARKS)) and letters(core):
+            if not word.isascii() and (core := word.rstrip(MARKS)) and letters(core):
                 joined.append(word)
                 runs.append(1 if core == word else 2)
             else:
@@ -132,16 +155,38 @@ class WordIds:
             group = other[at : at + JOINED]
             self.keep(group, self.batch([w.decode() for w in group]))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """Ids of texts: their words are numbered by Arrow, so that a word is looked up once however often it stands there."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        words = lists.flatten().dictionary_encode()
+        distinct = words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
         with self.lock:
             if len(self.memo) > MEMO:
                 self.memo.clear()
-            split = [x.encode().lower().split() for x in texts]
-            if fresh := set().union(*split) - self.memo.keys():
-                self.learn(list(fresh))
-            of = self.memo.__getitem__
+            if fresh := [word for word in distinct if word not in self.memo]:
+                self.learn(fresh)
+            own = list(map(self.memo.__getitem__, distinct))
             self.used = time.monotonic()
-            return [b"".join(map(of, words)) for words in split]
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        firsts = np.cumsum(sizes) - sizes
+        at = words.indices.to_numpy()
+        stops = np.cumsum(sizes[at])
+        # a word's ids stand one after the other, both where they are kept and in its text
+        places = np.repeat(firsts[at] - stops + sizes[at], sizes[at]) + np.arange(stops[-1] if len(stops) else 0)
+        ids = np.frombuffer(b"".join(own), "<u4")[places]
+        cuts = np.concatenate([[0], stops])[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def slices(texts: pa.Array, most: int = SLICE) -> Iterator[pa.Array]:
+    """Runs of texts of at most ``most`` bytes together, or of one."""
+    ends, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while at < len(texts):
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield texts[at:to]
+        at = to
 
 
 @functools.cache
@@ -158,9 +203,8 @@ def pieces(text: Column, path: str, capacity: int = CAPACITY, end_id: int = END_
     def cut(texts: pa.Array) -> pa.Array:
         out = []
         words = word_ids(path)
-        rows = texts.to_pylist()
-        for at in range(0, len(rows), 128):
-            for ids in words.encode(rows[at : at + 128]):
+        for some in slices(texts):
+            for ids in words.encode(some):
                 ids += end
                 out.append([{"piece": i, "start": s // 4, "length": (len(part := ids[s : s + 4 * capacity])) // 4, "ids_crc32": zlib.crc32(part)} for i, s in enumerate(range(0, len(ids), 4 * capacity))])
         return pa.array(out, pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])))

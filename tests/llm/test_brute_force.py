@@ -12,6 +12,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -388,3 +389,22 @@ def test_searches_in_several_passes(spark, monkeypatch):
     once = sorted(map(tuple, neighbours.search(df, asked).collect()))
     monkeypatch.setattr(neighbours, "PASS", 7)
     assert sorted(map(tuple, neighbours.search(df, asked).collect())) == once and len(once) == 400
+
+
+def test_words_are_looked_up_one_by_one():
+    """Fresh words are found without a walk over all words kept, letters are encoded once for all their marks, and ids are the tokenizer's."""
+
+    class Kept(dict):
+        def keys(self):
+            raise AssertionError("the memo was walked")
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words, theirs = packing.WordIds(path), Tokenizer.from_file(path)
+    theirs.encode_special_tokens = True
+    words.memo = Kept()
+    texts = ["", "  ", "Zyxwvut, zyxwvut. zyxwvut'\x0bzyxwvut***", "été ÉTÉ, ÿß straße... ß÷ ×é naïve—x æøå!", "it's don't l'été 'tis dogs' <|endoftext|> <|", "a\u0085b c d été, \x1cx ﬁn ΣΑΣ. İi ǅ!", "\n日本語、 日本語. 12a ab12 x_y\n\n"]
+    assert words.encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in theirs.encode_batch_fast(texts, add_special_tokens=False)]
+    assert {b"zyxwvut", b"zyxwvut***", "straße".encode()} <= set(words.memo)
+    joined = pa.array(["ab " * 50, "", "c" * 300, "d", "e f"])
+    assert [len(x) for x in packing.slices(joined, 160)] == [2, 1, 2]
+    assert words.encode(joined[2:]) == [words.encode([x])[0] for x in joined[2:].to_pylist()]
