@@ -166,6 +166,17 @@ def measured_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size:
     return found.where("near").drop("near"), judged.where("not likely").select("a", "b").union(found.where("not near").select("a", "b"))
 
 
+def shared_values(values: DataFrame, percent: int) -> DataFrame:
+    """(v, rep, n, df): the rows (v, rep, n) whose value a class of a fitting size retains as well; ``df`` classes retain it in all.
+
+    Other values make no pair, and what two possible partners share either of them keeps, so that both rank it alike.
+    """
+    beside = W.partitionBy("v").orderBy("n")
+    fits = (F.lag("n").over(beside) * 100 >= F.col("n") * percent) | (F.lead("n").over(beside) * percent <= F.col("n") * 100)
+    rows = values.select("v", "rep", "n", F.coalesce(fits, F.lit(False)).alias("fits"), F.count(F.lit(1)).over(W.partitionBy("v")).alias("df"))
+    return rows.where("fits").drop("fits")
+
+
 def listed_values(classes: DataFrame, percent: int) -> DataFrame:
     """Inverted lists (key, id, n, own, level, c): of each class the rarest retained values that a partner must share COUNT of.
 
@@ -175,13 +186,12 @@ def listed_values(classes: DataFrame, percent: int) -> DataFrame:
     """
     values = classes.where(F.col("n") * (100 - percent) >= percent)  # smaller sets have no other partner
     values = values.select("rep", "n", F.explode("sketch").alias("v"))
-    held = values.groupBy("v").count().where("count > 1").select(F.col("v").alias("v2"), F.col("count").alias("df"))
-    known = values.join(held, F.col("v") == F.col("v2")).drop("v2")
+    known = shared_values(values, percent)
     whole = F.col("n") * 100 <= F.lit(K * percent)  # any partner's sketch is its whole set as well
     shared = F.when(whole, F.ceil(F.col("n") * percent / 100)).otherwise(F.lit(SHARED))
     kept = F.least("n", F.lit(K)) - shared + COUNT
     mine = W.partitionBy("rep")
-    # values that no other class retains are the rarest, and come first
+    # values that no partner retains are taken for the rarest, and come first
     place = F.least("n", F.lit(K)) - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("df", "v"))
     rows = known.withColumn("place", place).where(F.col("place") <= kept).select("v", "rep", "n")
     # sets of the threshold differ in size by its inverse at most: lists are kept by size class, each class with the one below

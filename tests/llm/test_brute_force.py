@@ -408,3 +408,17 @@ def test_words_are_looked_up_one_by_one():
     joined = pa.array(["ab " * 50, "", "c" * 300, "d", "e f"])
     assert [len(x) for x in packing.slices(joined, 160)] == [2, 1, 2]
     assert words.encode(joined[2:]) == [words.encode([x])[0] for x in joined[2:].to_pylist()]
+
+
+def test_values_of_sizes_that_fit_are_shared(spark):
+    """A sketch's value counts as shared only if a class within the threshold of its size retains it, and is dealt once."""
+    rng = random.Random(9)
+    held = [(v, rep, 10 + rep * rep) for rep in range(40) for v in rng.sample(range(60), 20)]
+    found = nearmin.shared_values(spark.createDataFrame(held, "v long, rep long, n long"), 80)
+    of = collections.defaultdict(list)
+    for v, rep, n in held:
+        of[v].append((rep, n))
+    want = {(v, rep, n, len(of[v])) for v, rep, n in held if any(r != rep and 80 * max(n, m) <= 100 * min(n, m) for r, m in of[v])}
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(want) < len(held) and set(rows) == want
+    assert found._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
