@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from meshwright.functions import exact
+
 #: Radius of the sphere, and metres of a degree in the local projection.
 EARTH_RADIUS_M = 6_371_000.0
 METRES_PER_DEGREE = 111_320.0
@@ -83,30 +85,55 @@ def geodesic_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, rounds: i
     return F.when((lat1 == lat2) & (lon1 == lon2), _d(0)).otherwise(let(base, solve))
 
 
-def geodesics(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray, rounds: int = 6) -> np.ndarray:
-    """``geodesic_m`` of arrays: the same rounds, a batch at a time."""
+def geodesics(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray, rounds: int = 6, by=np) -> np.ndarray:
+    """``geodesic_m`` of arrays: the same rounds, a batch at a time, with the functions of ``by``."""
     f, a = WGS84_F, WGS84_A
     b = a * (1 - f)
     unless = lambda zero, value, by: np.where(zero == 0, 0.0, value / np.where(by == 0, 1.0, by))
-    u1, u2 = np.arctan((1 - f) * np.tan(np.radians(lat1))), np.arctan((1 - f) * np.tan(np.radians(lat2)))
-    s1, c1, s2, c2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
+    u1, u2 = by.arctan((1 - f) * by.tan(np.radians(lat1))), by.arctan((1 - f) * by.tan(np.radians(lat2)))
+    s1, c1, s2, c2 = by.sin(u1), by.cos(u1), by.sin(u2), by.cos(u2)
     lam = wide = np.radians(lon2 - lon1)
     for i in range(rounds + 1):
-        sin_l, cos_l = np.sin(lam), np.cos(lam)
+        sin_l, cos_l = by.sin(lam), by.cos(lam)
         x, y = c2 * sin_l, c1 * s2 - s1 * c2 * cos_l
-        sin_s, cos_s = np.sqrt(x * x + y * y), s1 * s2 + c1 * c2 * cos_l
+        sin_s, cos_s = np.sqrt(by.square(x) + by.square(y)), s1 * s2 + c1 * c2 * cos_l
         sin_a = unless(sin_s, c1 * c2 * sin_l, sin_s)
         cos2_a = 1.0 - sin_a * sin_a
         cos_m = np.where(cos2_a == 0, 0.0, cos_s - unless(cos2_a, 2.0 * s1 * s2, cos2_a))
         if i < rounds:
             c = f / 16 * cos2_a * (4.0 + f * (4.0 - 3.0 * cos2_a))
-            lam = wide + (1.0 - c) * f * sin_a * (np.arctan2(sin_s, cos_s) + c * sin_s * (cos_m + c * cos_s * (-1.0 + 2.0 * cos_m * cos_m)))
+            lam = wide + (1.0 - c) * f * sin_a * (by.arctan2(sin_s, cos_s) + c * sin_s * (cos_m + c * cos_s * (-1.0 + 2.0 * cos_m * cos_m)))
     u = cos2_a * ((a * a - b * b) / (b * b))
     big_a = 1.0 + u / 16384.0 * (4096.0 + u * (-768.0 + u * (320.0 - 175.0 * u)))
     big_b = u / 1024.0 * (256.0 + u * (-128.0 + u * (74.0 - 47.0 * u)))
     turn = big_b / 6.0 * cos_m * (-3.0 + 4.0 * sin_s * sin_s) * (-3.0 + 4.0 * cos_m * cos_m)
     delta = big_b * sin_s * (cos_m + big_b / 4.0 * (cos_s * (-1.0 + 2.0 * cos_m * cos_m) - turn))
-    return np.where((lat1 == lat2) & (lon1 == lon2), 0.0, b * big_a * (np.arctan2(sin_s, cos_s) - delta))
+    return np.where((lat1 == lat2) & (lon1 == lon2), 0.0, b * big_a * (by.arctan2(sin_s, cos_s) - delta))
+
+
+def geodesic_exact(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """``geodesic_m`` by the C library's functions, to the last bit what SQL gives."""
+
+    @F.pandas_udf("double")
+    def far(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
+        return pd.Series(geodesics(*[x.to_numpy(dtype="float64") for x in (lat1, lon1, lat2, lon2)], by=exact))
+
+    return far(lat1, lon1, lat2, lon2)
+
+
+def chord_exact(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """``chord_m`` by the C library's functions, to the last bit what SQL gives."""
+
+    @F.pandas_udf("double")
+    def far(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
+        def place(lat: pd.Series, lon: pd.Series) -> list[np.ndarray]:
+            la, lo = np.radians(lat.to_numpy(dtype="float64")), np.radians(lon.to_numpy(dtype="float64"))
+            return [EARTH_RADIUS_M * exact.cos(la) * exact.cos(lo), EARTH_RADIUS_M * exact.cos(la) * exact.sin(lo), EARTH_RADIUS_M * exact.sin(la)]
+
+        x, y, z = (exact.square(one - two) for one, two in zip(place(lat1, lon1), place(lat2, lon2), strict=True))
+        return pd.Series(np.sqrt(x + y + z))
+
+    return far(lat1, lon1, lat2, lon2)
 
 
 def geodesic_rows(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

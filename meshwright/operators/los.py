@@ -52,14 +52,19 @@ def coarse_profile(pairs: DataFrame, cells: DataFrame, raster: dem.Raster | None
     A cell of ``cells`` (cell, elevation) gives its elevation, another the raster's point
     elevation, and is left out without a raster.  Cells of mixed resolutions give the ends only.
     """
+    middle = between_ends(pairs, cells, raster)
+    ends = pairs.select("id", F.explode(F.array(F.struct(F.lit(0.0).alias("fraction"), F.col("ground1").alias("terrain")), F.struct(F.lit(1.0).alias("fraction"), F.col("ground2").alias("terrain")))).alias("e")).select("id", "e.*")
+    return merged_profile(middle.union(ends))
+
+
+def between_ends(pairs: DataFrame, cells: DataFrame, raster: dem.Raster | None = None) -> DataFrame:
+    """(id, fraction, terrain): ``coarse_profile`` without the ends, fractions as they are."""
     inner = pairs.select("id", "cell1", "cell2", "lat1", "lon1", "lat2", "lon2", F.explode(grid.path_cells(F.col("cell1"), F.col("cell2"))).alias("cell")).where("cell != cell1 and cell != cell2")
     placed = inner.withColumn("lat", grid.lat_of(F.col("cell"))).withColumn("lon", grid.lon_of(F.col("cell")))
     known = placed.join(cells.select(F.col("cell").alias("__c"), F.col("elevation").alias("__e")), F.col("cell") == F.col("__c"), "left")
     known = dem.nearest_value(known, raster, "__p") if raster is not None else known.withColumn("__p", F.lit(None).cast("double"))
     fraction = geo.line_fraction(F.col("lat"), F.col("lon"), F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
-    middle = known.select("id", fraction.alias("fraction"), F.coalesce("__e", "__p").alias("terrain")).where("terrain is not null")
-    ends = pairs.select("id", F.explode(F.array(F.struct(F.lit(0.0).alias("fraction"), F.col("ground1").alias("terrain")), F.struct(F.lit(1.0).alias("fraction"), F.col("ground2").alias("terrain")))).alias("e")).select("id", "e.*")
-    return merged_profile(middle.union(ends))
+    return known.select("id", fraction.alias("fraction"), F.coalesce("__e", "__p").alias("terrain")).where("terrain is not null")
 
 
 def dense_profile(pairs: DataFrame, raster: dem.Raster, step_m: float = 50.0, most: int = 400) -> DataFrame:

@@ -43,29 +43,35 @@ def pairs_within(points: DataFrame, radius_m: float) -> DataFrame:
     return range_join(points, points, radius_m).where("id1 < id2")
 
 
-#: Members of a kind that stay together when pairs of kinds are repeated for their members.
-PART = 1000
+#: Members of a kind that stay together when pairs of kinds are repeated for their members, and where they are handed on as arrays.
+PART, PACK = 1000, 250
 
 
 @dataclasses.dataclass(frozen=True)
 class Kinds:
-    """Rows that differ in nothing but their id: ``rows`` (the columns, the least ``id``, ``last``, ``n``), and ``members`` (id, kind, part); no members where most rows are alone."""
+    """Rows that differ in nothing but their id: ``rows`` (the columns, the least ``id``, ``last``, ``n``), and ``members`` (id, kind, part); no members where most rows are alone.
+
+    Columns of their ``own`` may differ too: they are with the members, and their largest values with the rows.
+    """
 
     rows: DataFrame
     members: DataFrame | None
+    own: tuple[str, ...] = ()
+    size: int = PART
 
 
-def kinds(rows: DataFrame) -> Kinds:
+def kinds(rows: DataFrame, own: tuple[str, ...] = ()) -> Kinds:
     """The kinds of rows (id, ...), so that what depends on the other columns is computed once a kind."""
-    names = [c for c in rows.columns if c != "id"]
-    found = cut(rows.groupBy(*names).agg(F.min("id").alias("id"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")))
-    if 2 * found.count() > rows.count():
+    names = [c for c in rows.columns if c != "id" and c not in own]
+    found = cut(rows.groupBy(*names).agg(F.min("id").alias("id"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in own]))
+    if not own and 2 * found.count() > rows.count():
         return Kinds(rows.withColumn("last", F.col("id")).withColumn("n", F.lit(1).cast("long")), None)
-    own = found.select(*[F.col(c).alias(f"__{c}") for c in names], F.col("id").alias("kind"), F.ceil(F.col("n") / PART).alias("__parts"))
+    size = PACK if own else PART
+    kept = found.select(*[F.col(c).alias(f"__{c}") for c in names], F.col("id").alias("kind"), F.ceil(F.col("n") / size).alias("__parts"))
     met = F.lit(True)
     for c in names:
         met = met & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    return Kinds(found, cut(rows.join(own, met).select("id", "kind", F.pmod(F.xxhash64("id"), F.col("__parts")).alias("part"))))
+    return Kinds(found, cut(rows.join(kept, met).select("id", *own, "kind", F.pmod(F.xxhash64("id"), F.col("__parts")).alias("part"))), own, size)
 
 
 def spread(spark: SparkSession) -> int:
@@ -97,18 +103,34 @@ def each(found: DataFrame, first: Kinds | None = None, second: Kinds | None = No
     sides = [(side, k) for side, k in (("1", first), ("2", second)) if k is not None and k.members is not None]
     if not sides:
         return found.where("id1 < id2") if ordered else found
-    out = found
+    out = _dealt(found, sides)
     for side, k in sides:
-        parts = k.rows.select(F.col("id").alias(f"__k{side}"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / PART) - 1)).alias(f"__p{side}"))
-        out = out.join(parts, F.col(f"id{side}") == F.col(f"__k{side}"))
-    out = out.repartition(spread(found.sparkSession), *[c for c in ("id1", "id2") if c in found.columns], *[f"__p{side}" for side, _ in sides])
-    for side, k in sides:
-        own = k.members.select(F.col("id").alias(f"__id{side}"), F.col("kind").alias(f"__m{side}"), F.col("part").alias(f"__q{side}"))
+        own = k.members.select(F.col("id").alias(f"__id{side}"), *[F.col(c).alias(f"{c}{side}") for c in k.own], F.col("kind").alias(f"__m{side}"), F.col("part").alias(f"__q{side}"))
         out = out.join(own, (F.col(f"id{side}") == F.col(f"__m{side}")) & (F.col(f"__p{side}") == F.col(f"__q{side}")))
     low, high = ("__id1" if "1" in dict(sides) else "id1"), ("__id2" if "2" in dict(sides) else "id2")
     out = out.where(F.col(low) < F.col(high)) if ordered else out
     named = {f"id{side}": F.col(f"__id{side}").alias(f"id{side}") for side, _ in sides}
-    return out.select(*[named.get(c, F.col(c)) for c in found.columns])
+    return out.select(*[named.get(c, F.col(c)) for c in found.columns], *[f"{c}{side}" for side, k in sides for c in k.own])
+
+
+def _dealt(found: DataFrame, sides: list[tuple[str, Kinds]]) -> DataFrame:
+    """``found`` once for each part of the kinds of its sides (__p1, __p2), dealt by hash."""
+    out = found
+    for side, k in sides:
+        parts = k.rows.select(F.col("id").alias(f"__k{side}"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / k.size) - 1)).alias(f"__p{side}"))
+        out = out.join(parts, F.col(f"id{side}") == F.col(f"__k{side}"))
+    return out.repartition(spread(found.sparkSession), *[c for c in ("id1", "id2") if c in found.columns], *[f"__p{side}" for side, _ in sides])
+
+
+def packs(found: DataFrame, of: Kinds) -> DataFrame:
+    """Rows about pairs of kinds (id1, id2, ...) with their members as arrays (ids1, own1, ids2, own2), a part of each at a time; ``of`` has one column of its own."""
+    sides = [("1", of), ("2", of)]
+    packed = cut(of.members.groupBy("kind", "part").agg(F.collect_list(F.struct("id", F.col(of.own[0]).alias("own"))).alias("m")))
+    out = _dealt(found, sides)
+    for side, _ in sides:
+        own = packed.select(F.col("m.id").alias(f"ids{side}"), F.col("m.own").alias(f"own{side}"), F.col("kind").alias(f"__m{side}"), F.col("part").alias(f"__q{side}"))
+        out = out.join(own, (F.col(f"id{side}") == F.col(f"__m{side}")) & (F.col(f"__p{side}") == F.col(f"__q{side}")))
+    return out.select(*found.columns, "ids1", "own1", "ids2", "own2")
 
 
 #: Where a search for the nearest begins, and how much larger each round is; beyond the last all sites are in reach.

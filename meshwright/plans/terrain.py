@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from meshwright.functions import geo, grid, physics
-from meshwright.operators import adaptive, corridor, coverage, dem, los, network, placement, spatial
+from meshwright.operators import adaptive, corridor, coverage, dem, los, network, placement, sightlines, spatial
 from meshwright.plans import bindings as b
-from meshwright.plans.queries import BUDGET, CELLS, CORRIDORS, FREQUENCY, PAIRS, PIXELS, REACH_M, RECEIVERS, SITES, TOWERS, _chord, _fspl, _each, _links, _masts, _pairs, _receiver_cells, _s, _vincenty, query, scaled
+from meshwright.plans.queries import BUDGET, CELLS, CORRIDORS, FREQUENCY, PAIRS, PIXELS, REACH_M, RECEIVERS, SITES, TOWERS, _chord, _fspl, _each, _links, _mast_rows, _masts, _pairs, _receiver_cells, _s, _vincenty, query, scaled
 
 _M, _C, _R3 = geo.METRES_PER_DEGREE, grid._COS0, grid.ROOT3
 _E8, _E9 = grid.EDGE_M[8], grid.EDGE_M[9]
@@ -167,14 +167,14 @@ _SHUT = f"SELECT id1, id2, {_s(f'{_MAST!r}e0')} AS clearance_mm, 0 AS loss, true
 
 
 def _shaped(found: DataFrame) -> DataFrame:
-    return found.select("id.id1", "id.id2", scaled(F.col("clearance_m")).alias("clearance_mm"), scaled(F.col("path_loss_db"), 4).alias("loss"), "visible", "gate")
+    return found.select("id1", "id2", scaled(F.col("clearance_m")).alias("clearance_mm"), scaled(F.col("path_loss_db"), 4).alias("loss"), "visible", "gate")
 
 
 @query(f"WITH {_coarse(False)} {_SHUT} UNION ALL SELECT id1, id2, {_s('clearance')}, {_s('loss', 4)}, visible, 'coarse' FROM coarse")
 def coarse_sight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decision without a raster: over the cells between two towers in which others stand."""
-    of = _masts(spark, sf_dir)
-    return _each(_shaped(los.evaluate(_links(of), b.TIGHT)), of)
+    of = spatial.kinds(_mast_rows(spark, sf_dir))
+    return _each(_shaped(los.evaluate(_links(of), b.TIGHT).select("id.id1", "id.id2", "*")), of)
 
 
 def _bilinear(name: str, source: str) -> str:
@@ -209,12 +209,12 @@ final_g AS (SELECT id1, id2, round_even(f, 6) AS f, max(terrain) AS terrain FROM
 def line_of_sight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole decision: gates, coarse profile, dense profile with refinement."""
     of = _masts(spark, sf_dir)
-    return _each(_shaped(los.evaluate(_links(of), b.TIGHT, None, b.raster(spark, sf_dir))), of)
+    return _shaped(sightlines.sights(_pairs(of), of, b.TIGHT, b.raster(spark, sf_dir)))
 
 
 @query(f"WITH {PIXELS}, {_LINKS}, {_PEAKS}, at_peak AS (SELECT k.id1, k.id2, fraction AS f, peak_m AS terrain, far, h1, h2 FROM peaks k JOIN links USING (id1, id2)), {_metrics('peak_metrics', 'at_peak')} SELECT k.id1, k.id2, coalesce(fraction > 0 AND fraction < 1 AND geometric < radius * 0.6e0, false) AS rejected FROM peaks k LEFT JOIN peak_metrics m USING (id1, id2)")
 def shadow_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    of = _masts(spark, sf_dir)
+    of = spatial.kinds(_mast_rows(spark, sf_dir))
     return _each(los.shadow_prefilter(_links(of), b.raster(spark, sf_dir), b.TIGHT).select("id.id1", "id.id2", "rejected"), of)
 
 
