@@ -181,8 +181,13 @@ def shadow_prefilter(pairs: DataFrame, raster: dem.Raster, config: MeshConfig, s
     """(id, rejected): whether the peak of the line leaves less than a share of the Fresnel radius; a line of no length has none."""
     peaks = dem.line_peaks(pairs.select("id", "lat1", "lon1", "lat2", "lon2"), raster)
     rows = pairs.join(peaks, "id").withColumn("distance_m", geo.geodesic_m(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")))
+    return rows.select("id", shadowed(config, share).alias("rejected"))
+
+
+def shadowed(config: MeshConfig, share: float = 0.6) -> Column:
+    """The rule of ``shadow_prefilter`` for rows with distance_m, fraction, peak_m, and ground and mast per end."""
     m = physics.sample_metrics(F.col("fraction"), F.col("peak_m"), F.col("distance_m"), F.col("ground1") + F.col("mast1"), F.col("ground2") + F.col("mast2"), config.wavelength_m, config.effective_earth_radius_m)
-    return rows.withColumn("m", m).select("id", F.coalesce((F.col("distance_m") > 0) & (F.col("fraction") > 0) & (F.col("fraction") < 1) & (F.col("m.geometric") < F.col("m.fresnel") * share), F.lit(False)).alias("rejected"))
+    return F.coalesce((F.col("distance_m") > 0) & (F.col("fraction") > 0) & (F.col("fraction") < 1) & (m["geometric"] < m["fresnel"] * share), F.lit(False))
 
 
 def cached(requested: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from meshwright.functions import geo, grid, physics
 from meshwright.operators import adaptive, corridor, coverage, dem, los, network, placement, sightlines, spatial
+from meshwright.operators.stage import cut
 from meshwright.plans import bindings as b
 from meshwright.plans.queries import BUDGET, CELLS, CORRIDORS, FREQUENCY, PAIRS, PIXELS, REACH_M, RECEIVERS, SITES, TOWERS, _chord, _fspl, _each, _links, _mast_rows, _masts, _pairs, _receiver_cells, _s, _vincenty, query, scaled
 
@@ -214,8 +215,13 @@ def line_of_sight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PIXELS}, {_LINKS}, {_PEAKS}, at_peak AS (SELECT k.id1, k.id2, fraction AS f, peak_m AS terrain, far, h1, h2 FROM peaks k JOIN links USING (id1, id2)), {_metrics('peak_metrics', 'at_peak')} SELECT k.id1, k.id2, coalesce(fraction > 0 AND fraction < 1 AND geometric < radius * 0.6e0, false) AS rejected FROM peaks k LEFT JOIN peak_metrics m USING (id1, id2)")
 def shadow_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    of = spatial.kinds(_mast_rows(spark, sf_dir))
-    return _each(los.shadow_prefilter(_links(of), b.raster(spark, sf_dir), b.TIGHT).select("id.id1", "id.id2", "rejected"), of)
+    of = _masts(spark, sf_dir)
+    lines = _links(of).drop("ground1", "ground2")
+    far = geo.geodesic_exact(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
+    peaks = dem.line_peaks(lines.select("id", "lat1", "lon1", "lat2", "lon2"), b.raster(spark, sf_dir))
+    lines = cut(lines.withColumn("distance_m", far).join(peaks, "id").select("id1", "id2", "mast1", "mast2", "distance_m", "fraction", "peak_m"))
+    # a peak is that of the places, only the grounds are the towers' own
+    return _each(lines, of).select("id1", "id2", los.shadowed(b.TIGHT).alias("rejected"))
 
 
 _NEAR = f"reach AS (SELECT v.id AS cell, t.id AS source, v.lat AS clat, v.lon AS clon, t.lat AS tlat, t.lon AS tlon FROM receivers v JOIN towers t ON abs(v.lat - t.lat) < 0.03 WHERE {_chord('v', 't')} <= {REACH_M})"
