@@ -10,7 +10,7 @@ from meshwright.functions import geo, grid, physics
 from meshwright.operators import adaptive, corridor, coverage, dem, los, network, placement, sightlines, spatial
 from meshwright.operators.stage import cut
 from meshwright.plans import bindings as b
-from meshwright.plans.queries import BUDGET, CELLS, CORRIDORS, FREQUENCY, PAIRS, PIXELS, REACH_M, RECEIVERS, SITES, TOWERS, _chord, _fspl, _each, _links, _mast_rows, _masts, _pairs, _receiver_cells, _s, _vincenty, query, scaled
+from meshwright.plans.queries import BUDGET, CELLS, CORRIDORS, FREQUENCY, PAIRS, PIXELS, REACH_M, RECEIVERS, SITES, TOWERS, _chord, _fspl, _each, _links, _masts, _pairs, _receiver_cells, _s, _vincenty, query, scaled
 
 _M, _C, _R3 = geo.METRES_PER_DEGREE, grid._COS0, grid.ROOT3
 _E8, _E9 = grid.EDGE_M[8], grid.EDGE_M[9]
@@ -174,8 +174,8 @@ def _shaped(found: DataFrame) -> DataFrame:
 @query(f"WITH {_coarse(False)} {_SHUT} UNION ALL SELECT id1, id2, {_s('clearance')}, {_s('loss', 4)}, visible, 'coarse' FROM coarse")
 def coarse_sight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decision without a raster: over the cells between two towers in which others stand."""
-    of = spatial.kinds(_mast_rows(spark, sf_dir))
-    return _each(_shaped(los.evaluate(_links(of), b.TIGHT).select("id.id1", "id.id2", "*")), of)
+    of = _masts(spark, sf_dir)
+    return _shaped(sightlines.sights(_pairs(of), of, b.TIGHT))
 
 
 def _bilinear(name: str, source: str) -> str:
